@@ -443,14 +443,14 @@ def _(spark, sf):
 
 @query("w6_trailing_stats", """
 SELECT o_orderkey, o_orderpriority,
-       round(avg(o_totalprice) OVER w, 3) AS sma_20, round(stddev_samp(o_totalprice) OVER w, 3) AS volatility_20
+       round(avg(o_totalprice) OVER w, 6) AS sma_20, round(stddev_samp(o_totalprice) OVER w, 3) AS volatility_20
 FROM orders
 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
 def _(spark, sf):
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate", "o_totalprice")
     rolled = rolling.trailing_stats(orders, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "o_totalprice")
-    return rounded(rolled.select("o_orderkey", "o_orderpriority", F.col("mean").alias("sma_20"),
-                                 F.col("deviation").alias("volatility_20")), "sma_20", "volatility_20", digits=3)
+    return rolled.select("o_orderkey", "o_orderpriority", F.round("mean", 6).alias("sma_20"),
+                         F.round("deviation", 3).alias("volatility_20"))
 
 
 BASELINES_SQL = f"""{BARS_SQL},
@@ -464,10 +464,11 @@ baselines AS (
 
 @query("w8_latest_baseline", f"""
 WITH {BASELINES_SQL}
-SELECT stock_ticker, yesterday_close, round(sma_20, 3) AS sma_20,
+SELECT stock_ticker, yesterday_close, round(sma_20, 6) AS sma_20,
        round(historical_volatility_20d, 3) AS historical_volatility_20d FROM baselines""")
 def _(spark, sf):
-    return rounded(marts.baselines(staging.bars(inputs.bars_raw(spark, sf))), "sma_20", "historical_volatility_20d", digits=3)
+    base = marts.baselines(staging.bars(inputs.bars_raw(spark, sf)))
+    return rounded(rounded(base, "sma_20"), "historical_volatility_20d", digits=3)
 
 
 # ------------------------------------------------------------------ marts
@@ -484,7 +485,7 @@ features AS (
 FEATURES_SQL = f"{TICKS_SQL}, {BASELINES_SQL}, {FEATURES_OF_TICKS_SQL}"
 FEATURE_ROWS_SQL = """
 SELECT asset_key, stock_ticker, event_timestamp, live_price, live_volume, baseline_close,
-       round(sma_20_baseline, 3) AS sma_20_baseline, round(rolling_volatility, 3) AS rolling_volatility,
+       round(sma_20_baseline, 6) AS sma_20_baseline, round(rolling_volatility, 3) AS rolling_volatility,
        round(price_deviation_pct, 3) AS price_deviation_pct FROM features"""
 
 
@@ -492,10 +493,14 @@ def market_features(spark, sf) -> DataFrame:
     return marts.market_features(market_ticks(spark, sf), staging.bars(inputs.bars_raw(spark, sf)), AS_OF)
 
 
+def feature_rows(features: DataFrame) -> DataFrame:
+    kept = rounded(features.drop("dw_inserted_at"), "sma_20_baseline")
+    return rounded(kept, "rolling_volatility", "price_deviation_pct", digits=3)
+
+
 @query("m_market_features", f"WITH {FEATURES_SQL} {FEATURE_ROWS_SQL}")
 def flagship(spark, sf):
-    return rounded(market_features(spark, sf).drop("dw_inserted_at"),
-                   "sma_20_baseline", "rolling_volatility", "price_deviation_pct", digits=3)
+    return feature_rows(market_features(spark, sf))
 
 
 @query("j1_left_baseline", """
@@ -784,6 +789,12 @@ def evaluated(spark, sf) -> DataFrame:
     return evaluation.merged(made, event_outcomes(spark, sf))
 
 
+def totals(hit_rate: str, abs_error: str, error: str) -> list:
+    """Means as sums: sums of cents have few digits, so no mean is cut at an exact half."""
+    return [F.round(F.col(mean) * F.col("predictions"), 4).alias(name)
+            for mean, name in ((hit_rate, "hits"), (abs_error, "abs_error"), (error, "error"))]
+
+
 DAILY_SQL = f"""{evaluated_sql()},
 daily AS (
   SELECT stock_ticker, CAST(target_window AS DATE) AS target_day, count(*) AS predictions,
@@ -794,15 +805,17 @@ daily AS (
 
 @query("a5_accuracy", f"""
 WITH {DAILY_SQL}
-SELECT stock_ticker, CAST(target_day AS VARCHAR) AS target_day, predictions, round(hit_rate, 6) AS hit_rate,
-       round(mean_abs_error, 6) AS mean_abs_error, round(mean_error, 6) AS mean_error,
-       round(hit_rate - avg(hit_rate) OVER w, 6) AS hit_rate_drift,
-       round(mean_abs_error - avg(mean_abs_error) OVER w, 6) AS abs_error_drift
+SELECT stock_ticker, CAST(target_day AS VARCHAR) AS target_day, predictions, round(hit_rate * predictions, 4) AS hits,
+       round(mean_abs_error * predictions, 4) AS abs_error, round(mean_error * predictions, 4) AS error,
+       round(hit_rate - avg(hit_rate) OVER w, 7) AS hit_rate_drift,
+       round(mean_abs_error - avg(mean_abs_error) OVER w, 7) AS abs_error_drift
 FROM daily WINDOW w AS (PARTITION BY stock_ticker ORDER BY target_day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)""")
 def _(spark, sf):
     days = evaluation.accuracy(evaluated(spark, sf))
-    return rounded(plain(days, target_day="string"), "hit_rate", "mean_abs_error", "mean_error",
-                   "hit_rate_drift", "abs_error_drift")
+    return days.select("stock_ticker", F.col("target_day").cast("string").alias("target_day"), "predictions",
+                       *totals("hit_rate", "mean_abs_error", "mean_error"),
+                       F.round("hit_rate_drift", 7).alias("hit_rate_drift"),
+                       F.round("abs_error_drift", 7).alias("abs_error_drift"))
 
 
 @query("a6_labelled_set", f"""
@@ -857,8 +870,7 @@ def _(spark, sf):
     target, log = scratch(spark, "features"), scratch(spark, "features-log")
     live = unified.quotes_as_ticks(staging.parse_quotes(inputs.quote_payloads(inputs.stream(spark, sf, "lineitem"))))
     market.enrich(live, lambda: staging.bars(inputs.bars_raw(spark, sf)), target, log, AS_OF).awaitTermination()
-    return rounded(spark.read.parquet(target).drop("batch", "dw_inserted_at"),
-                   "sma_20_baseline", "rolling_volatility", "price_deviation_pct", digits=3)
+    return feature_rows(spark.read.parquet(target).drop("batch"))
 
 
 @query("t6_stream_union", f"""
@@ -892,8 +904,8 @@ def _(spark, sf):
 
 @query("t8_stream_accuracy", """
 SELECT event_type AS stock_ticker, date_trunc('day', ts + INTERVAL 1 HOUR) AS window_start, count(*) AS predictions,
-       round(avg((abs(value - user_id) / nullif(value, 0) <= 0.01)::INT::DOUBLE), 6) AS hit_rate,
-       round(avg(abs(value - user_id)), 6) AS mean_abs_error, round(avg(value - user_id), 6) AS mean_error
+       round(avg((abs(value - user_id) / nullif(value, 0) <= 0.01)::INT) * count(*), 4) AS hits,
+       round(sum(abs(value - user_id)), 4) AS abs_error, round(sum(value - user_id), 4) AS error
 FROM events
 WHERE date_trunc('day', ts + INTERVAL 1 HOUR) + INTERVAL 1 DAY
       <= (SELECT max(ts + INTERVAL 1 HOUR) - INTERVAL 1 HOUR FROM events)
@@ -907,5 +919,6 @@ def _(spark, sf):
         pricing.within_margin(error, F.col("value")).alias("is_prediction_correct"))
     (outcomes.daily_accuracy(live).writeStream.format("parquet").outputMode("append")
      .option("checkpointLocation", log).trigger(availableNow=True).start(target).awaitTermination())
-    return rounded(plain(spark.read.parquet(target), window_start="timestamp_ntz"),
-                   "hit_rate", "mean_abs_error", "mean_error")
+    return spark.read.parquet(target).select(
+        "stock_ticker", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "predictions",
+        *totals("hit_rate", "mean_abs_error", "mean_error"))
