@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-def as_variant(df: DataFrame, column: str = "raw_payload") -> Column:
-    """The column as VARIANT, parsing it first where it still is JSON text.
+def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` with a column that is costly to compute.
+
+    Filters on a plain column are moved below its projection, which computes it once more
+    for the filter.  They are not moved below the unnesting of an array.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def with_payload(df: DataFrame, column: str = "raw_payload", name: str = "payload") -> DataFrame:
+    """``df`` with the column as VARIANT, parsing it where it still is JSON text.
 
     Text that is not JSON becomes NULL.
     """
-    col = F.col(column)
     if isinstance(df.schema[column].dataType, T.VariantType):
-        return col
-    return F.try_parse_json(col)
+        return df.withColumn(name, F.col(column))
+    return computed_once(df, F.try_parse_json(column), name)
 
 
 def at(payload: Column, path: str, dtype: str = "string") -> Column:

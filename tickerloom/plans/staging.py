@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickerloom import names
 from tickerloom.functions.clock import from_epoch_ms
-from tickerloom.functions.payload import as_variant, at, key_path
+from tickerloom.functions.payload import at, key_path, with_payload
 from tickerloom.operators.dedup import keep_any, keep_latest
 
 
 def _payload(raw: DataFrame) -> DataFrame:
-    return raw.select(as_variant(raw).alias("payload"))
+    return with_payload(raw.select("raw_payload")).select("payload")
 
 
 def parse_trades(raw: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom import names, schemas
-from tickerloom.functions.payload import at, has_key, key_path, to_text
+from tickerloom.functions.payload import at, computed_once, has_key, to_text, with_payload
 from tickerloom.functions.text import mentions_any
 from tickerloom.operators.conform import first_fault, shaped
 from tickerloom.operators.lookup import lookup_join
@@ -52,15 +52,14 @@ def carries_data(body: Column, feed: names.Feed) -> Column:
 
 def triage(raw: DataFrame, feed: names.Feed) -> DataFrame:
     """``raw`` with ``body`` (VARIANT), ``verdict`` and ``reason``; every row is kept."""
-    parsed = raw.withColumn("body", F.try_parse_json("value"))
     body = F.col("body")
-    fault = (F.when(body.isNull(), "not JSON")
-             .when(carries_data(body, feed), first_fault(body, SHAPES[feed])))
-    return (parsed.withColumn("reason", fault)
-            .withColumn("verdict",
-                        F.when(F.col("reason").isNotNull(), "rejected")
-                        .when(carries_data(body, feed), "accepted")
-                        .otherwise("dropped")))
+    wanted = carries_data(body, feed)
+    fault = F.when(body.isNull(), "not JSON").when(wanted, first_fault(body, SHAPES[feed]))
+    judged = computed_once(with_payload(raw, "value", "body"), F.struct(fault.alias("reason"), wanted.alias("wanted")),
+                           "_judged")
+    reason = F.col("_judged.reason")
+    verdict = F.when(reason.isNotNull(), "rejected").when(F.col("_judged.wanted"), "accepted").otherwise("dropped")
+    return judged.withColumns({"reason": reason, "verdict": verdict}).drop("_judged")
 
 
 def tally(triaged: DataFrame) -> DataFrame:

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Costly work on a table of fewer file splits than cores is spread over the cores first.
+
+    A table with at least as many splits as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The same table as a stream of its files."""
     schema = table(spark, sf_dir, name).schema
@@ -31,7 +40,7 @@ def trade_payloads(events: DataFrame) -> DataFrame:
 
 
 def trades_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trade_payloads(table(spark, sf_dir, "events"))
+    return trade_payloads(spread(table(spark, sf_dir, "events")))
 
 
 TRADES_SQL = """
@@ -61,7 +70,7 @@ def quote_payloads(lines: DataFrame) -> DataFrame:
 
 
 def quotes_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quote_payloads(table(spark, sf_dir, "lineitem"))
+    return quote_payloads(spread(table(spark, sf_dir, "lineitem")))
 
 
 QUOTES_SQL = """
@@ -96,7 +105,7 @@ def bar_payloads(orders: DataFrame) -> DataFrame:
 
 
 def bars_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bar_payloads(table(spark, sf_dir, "orders"))
+    return bar_payloads(spread(table(spark, sf_dir, "orders")))
 
 
 BARS_SQL = """
@@ -138,7 +147,7 @@ def entity_news_payloads(documents: DataFrame) -> DataFrame:
 
 
 def entity_news_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_news_payloads(table(spark, sf_dir, "documents"))
+    return entity_news_payloads(spread(table(spark, sf_dir, "documents")))
 
 
 ENTITY_NEWS_SQL = f"""
@@ -160,7 +169,7 @@ def headline_payloads(documents: DataFrame) -> DataFrame:
 
 
 def headlines_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headline_payloads(table(spark, sf_dir, "documents"))
+    return headline_payloads(spread(table(spark, sf_dir, "documents")))
 
 
 HEADLINES_SQL = f"""

@@ -124,7 +124,7 @@ def trade_bodies(events: DataFrame) -> DataFrame:
 
 
 def triaged_trades(spark, sf) -> DataFrame:
-    return landing.triage(trade_bodies(table(spark, sf, "events")), names.TRADES)
+    return landing.triage(trade_bodies(inputs.spread(table(spark, sf, "events"))), names.TRADES)
 
 
 @query("i7_validate_split", """
@@ -172,7 +172,7 @@ SELECT CAST(l_suppkey AS VARCHAR) AS code, l_orderkey * 10 + l_linenumber AS seq
        CASE WHEN l_discount = 0 THEN 0 ELSE 1 END AS asks
 FROM lineitem""")
 def _(spark, sf):
-    bodies = table(spark, sf, "lineitem").selectExpr("""to_json(named_struct('cmd_id', 22999, 'data', named_struct(
+    bodies = inputs.spread(table(spark, sf, "lineitem")).selectExpr("""to_json(named_struct('cmd_id', 22999, 'data', named_struct(
         'code', cast(l_suppkey as string), 'seq', l_orderkey * 10 + l_linenumber, 'tick_time', 0,
         'asks', if(l_discount = 0, null, array(named_struct('price', '1', 'volume', '2')))))) AS value""")
     rows = landing.elements(landing.triage(bodies, names.QUOTES), names.QUOTES)
@@ -191,7 +191,7 @@ def _(spark, sf):
 @query("i3_drop_notices", """
 SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'dropped' ELSE 'accepted' END AS verdict FROM orders""")
 def _(spark, sf):
-    bodies = table(spark, sf, "orders").selectExpr("o_orderkey", """
+    bodies = inputs.spread(table(spark, sf, "orders")).selectExpr("o_orderkey", """
         if(o_orderstatus = 'F', '{"Note": null}', to_json(named_struct(
            'Meta Data', map('2. Symbol', cast(o_custkey as string)),
            'Time Series (Daily)', map(date_format(o_orderdate, 'yyyy-MM-dd'), named_struct(
@@ -215,7 +215,7 @@ def article_bodies(documents: DataFrame) -> DataFrame:
 @query("i5_drop_error_status", """
 SELECT doc_id, CASE WHEN lang = 'de' THEN 'dropped' ELSE 'accepted' END AS verdict FROM documents""")
 def _(spark, sf):
-    return landing.triage(article_bodies(table(spark, sf, "documents")), names.HEADLINES).select("doc_id", "verdict")
+    return landing.triage(article_bodies(inputs.spread(table(spark, sf, "documents"))), names.HEADLINES).select("doc_id", "verdict")
 
 
 @query("i6_unnest_articles", """
@@ -223,7 +223,7 @@ SELECT content, title, description FROM (
   SELECT CAST(doc_id AS VARCHAR) AS content, unnest(string_split(text, chr(10))) AS title, lang AS description
   FROM documents WHERE lang <> 'de')""")
 def _(spark, sf):
-    triaged = landing.triage(article_bodies(table(spark, sf, "documents")), names.HEADLINES)
+    triaged = landing.triage(article_bodies(inputs.spread(table(spark, sf, "documents"))), names.HEADLINES)
     return landing.elements(triaged, names.HEADLINES).select("content", "title", "description")
 
 
@@ -232,7 +232,7 @@ SELECT doc_id, CASE WHEN lang = 'fr' THEN 'dropped' WHEN lang = 'es' THEN 'rejec
        CASE WHEN lang = 'es' THEN 'data' END AS reason
 FROM documents""")
 def _(spark, sf):
-    bodies = table(spark, sf, "documents").selectExpr("doc_id", f"""
+    bodies = inputs.spread(table(spark, sf, "documents")).selectExpr("doc_id", f"""
         CASE lang WHEN 'fr' THEN to_json(named_struct('error', named_struct('message', text)))
           WHEN 'es' THEN to_json(named_struct('meta', map('found', 1), 'data', array(named_struct('uuid', text))))
           ELSE to_json(named_struct('meta', map('found', 1), 'data', array(named_struct(
@@ -249,7 +249,7 @@ SELECT CAST(o_custkey AS VARCHAR) AS stock_ticker, o_orderdate AS api_refreshed_
        o_totalprice - 2 AS open_price, o_totalprice AS close_price, o_orderkey AS trading_volume
 FROM orders""")
 def _(spark, sf):
-    bodies = table(spark, sf, "orders").selectExpr("""to_json(named_struct(
+    bodies = inputs.spread(table(spark, sf, "orders")).selectExpr("""to_json(named_struct(
         'Meta Data', map('2. Symbol', cast(o_custkey as string),
                          '3. Last Refreshed', date_format(o_orderdate, 'yyyy-MM-dd')),
         'Time Series (Daily)', map(date_format(o_orderdate, 'yyyy-MM-dd'), named_struct(
