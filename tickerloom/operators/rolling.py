@@ -38,18 +38,19 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     the partition.  ``order`` must be unique within a key.
     """
     keys, order = list(keys), list(order)
+    df = df.withColumn("_key", F.struct(*keys))  # as one value, a missing part equals a missing part
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = (df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
               .withColumn("_place", F.monotonically_increasing_id())
               .withColumn("_part", F.spark_partition_id()))
     spread = settle(spread)  # the same places for both uses below
-    chunks = spread.groupBy(*keys, "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = spread.groupBy("_key", "_part").agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = chunks.select(
-        *keys, "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
-    return (lookup_join(spread, offsets, [*keys, "_part"])
+        "_key", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return (lookup_join(spread, offsets, ["_key", "_part"])
             .withColumn("_pos", F.col("_place") + F.col("_shift"))
-            .drop("_place", "_part", "_shift"))
+            .drop("_key", "_place", "_part", "_shift"))
 
 
 def trailing_stats(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
