@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from tickerloom.session import settle
 
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+MIN_PIECE_ROWS = 100_000
 
 
 def _hashable(dtype: T.DataType) -> bool:
@@ -57,24 +58,24 @@ def _spread(df: DataFrame, pieces: Column) -> Column:
 
 
 def skew_join(facts: DataFrame, other: DataFrame, on: Sequence[str], how: str = "left",
-              pieces: int | None = None) -> DataFrame:
-    """Shuffled equi join in which no key sends more than about ``1/pieces`` of ``facts`` to a task.
+              pieces: int | None = None, min_rows: int = MIN_PIECE_ROWS) -> DataFrame:
+    """Shuffled equi join in which no key brings more than ``1/pieces`` of ``facts`` into one task.
 
-    A key with more rows than that is cut into numbered pieces, and its rows in ``other``
-    are repeated once per piece.  At most ``pieces`` keys can be that large, so the table of
-    large keys is bounded whatever the data, and so are the repeated rows of a lookup.
+    Keys of up to ``min_rows`` rows are left alone.  A larger key is cut into numbered pieces,
+    and its rows in ``other`` are repeated once per piece.  At most ``pieces`` keys can be that
+    large, so the table of large keys is bounded whatever the data, and so are the repeated
+    rows of a lookup.
     """
     on = list(on)
     if pieces is None:
         pieces = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = settle(facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")))
-    total = counts.agg(F.sum("_rows")).first()[0] or 0
-    limit = max(1, -(-total // pieces))
     has_key = F.lit(True)
     for c in on:
         has_key = has_key & F.col(c).isNotNull()
-    large = counts.filter((F.col("_rows") > limit) & has_key).select(
-        *on, F.ceil(F.col("_rows") / limit).alias("_pieces"))
+    counts = settle(facts.filter(has_key).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+                    .filter(F.col("_rows") > min_rows))
+    limit = max(min_rows, -(-(counts.agg(F.sum("_rows")).first()[0] or 0) // pieces))
+    large = counts.filter(F.col("_rows") > limit).select(*on, F.ceil(F.col("_rows") / limit).alias("_pieces"))
 
     # Rows without a key match nothing; they are spread over all pieces.
     share = F.when(has_key, F.coalesce("_pieces", F.lit(1))).otherwise(F.lit(pieces))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickerloom import names
+from tickerloom.functions.payload import with_payload
 
 UNREADABLE = "unreadable"
 
@@ -28,9 +29,9 @@ def raw_rows(messages: DataFrame) -> DataFrame:
     """
     routed = messages.withColumn("bronze_table", table_of(F.col("topic"))).filter(
         "value IS NOT NULL AND bronze_table IS NOT NULL")
-    payload = F.try_parse_json("value")
-    return routed.select(
-        payload.alias("raw_payload"),
+    payload = F.col("raw_payload")
+    return with_payload(routed, "value", "raw_payload").select(
+        payload,
         F.when(payload.isNull(), F.col("value")).alias("unreadable_text"),
         F.struct("topic", "partition", "offset", "timestamp", "key").alias("record_metadata"),
         F.when(payload.isNull(), F.lit(UNREADABLE)).otherwise(F.col("bronze_table")).alias("bronze_table"),

@@ -17,10 +17,18 @@ from tickerloom.operators.dedup import keep_latest
 from tickerloom.streaming.ingest import triggered
 
 
-def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = "10 minutes") -> DataFrame:
-    """First copy per key among those that arrive within ``delay`` of each other."""
-    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str, delay: str = "10 minutes",
+                   pieces: int = 8) -> DataFrame:
+    """First copy per key among those that arrive within ``delay`` of each other.
+
+    A stream cannot reduce before the shuffle, so copies are first told apart in ``pieces`` by
+    the split they came in; then at most ``pieces`` copies of a key meet in one task.
+    """
+    timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+    if pieces > 1:
+        timed = (timed.withColumn("_piece", F.pmod(F.spark_partition_id(), F.lit(pieces)))
+                 .dropDuplicatesWithinWatermark([*keys, "_piece"]).drop("_piece"))
+    return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
 def latest_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str,

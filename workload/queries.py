@@ -521,7 +521,7 @@ def _(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice")
     per_flag = (lines.filter("l_returnflag <> 'N'").groupBy("l_returnflag")
                 .agg(F.count(F.lit(1)).alias("flag_rows")))
-    return lookup.skew_join(lines, per_flag, ["l_returnflag"])
+    return lookup.skew_join(lines, per_flag, ["l_returnflag"], min_rows=1000)
 
 
 @query("p16_deviation", """
