@@ -25,9 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The same table as a stream of its files."""
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet*")
+    """The same table as a stream of its files, spread like :func:`spread`."""
+    stored = table(spark, sf_dir, name)
+    live = spark.readStream.schema(stored.schema).parquet(f"{sf_dir}/{name}.parquet*")
+    cores = spark.sparkContext.defaultParallelism
+    return live if stored.rdd.getNumPartitions() >= cores else live.repartition(cores)
 
 
 # --- trades: every event is a trade, delivered twice with different conditions -------------
