@@ -13,6 +13,7 @@ from tickerloom.operators import conform, dedup, lookup, rolling
 from tickerloom.plans import evaluation, marts, predictions, staging, unified
 from tickerloom.session import shared_dir
 from tickerloom.sources import bronze, landing
+from tickerloom.sources.tables import Tables
 from tickerloom.streaming import dedup as stream_dedup, ingest, market, outcomes
 from workload import inputs
 from workload.inputs import (BARS_SQL, ENTITY_NEWS_SQL, HEADLINES_SQL, PREDICTIONS_SQL, QUOTES_SQL, REST, REST_SQL,
@@ -306,6 +307,16 @@ def _(spark, sf):
                         landing.best_price(F.col("levels")).alias("top_price"))
 
 
+# ------------------------------------------------------------------ clock
+
+@query("f14_second_distance", """
+SELECT event_id, date_diff('second', ts, ts + to_milliseconds(CAST(value * 100 AS BIGINT))) AS seconds FROM events""")
+def _(spark, sf):
+    later = F.expr("timestampadd(MILLISECOND, cast(round(value * 100) as int), ts)")
+    return table(spark, sf, "events").select(
+        "event_id", (clock.epoch_second(later) - clock.epoch_second(F.col("ts"))).alias("seconds"))
+
+
 # --------------------------------------------------------------- staging models
 
 @query("w2_dedup_any", f"WITH {TRADES_SQL} SELECT * FROM trades")
@@ -546,6 +557,15 @@ def _(spark, sf):
     return marts.realtime_stream(market_ticks(spark, sf), AS_OF).drop("dw_inserted_at")
 
 
+@query("s8_full_refresh", f"""
+WITH {TICKS_SQL}
+SELECT md5(stock_ticker) AS asset_key, stock_ticker, event_timestamp, trade_price, trade_volume, price_source FROM ticks""")
+def _(spark, sf):
+    tables = Tables(spark, scratch(spark, "models"))
+    ticks = tables.replace(names.INT_TICKS, market_ticks(spark, sf))
+    return tables.replace(names.FCT_STREAM, marts.realtime_stream(ticks, AS_OF)).drop("dw_inserted_at")
+
+
 NEWS_INPUTS_SQL = f"""{NEWS_SQL},
 news_inputs AS (
   SELECT md5(asset_ticker) AS asset_key, news_id, asset_ticker,
@@ -744,6 +764,39 @@ def _(spark, sf):
     return event_outcomes(spark, sf).drop("dw_inserted_at")
 
 
+@query("m_evaluated_predictions", f"""
+WITH {LATEST_SQL}, {DOCUMENT_NEWS_SQL}, {PREDICTIONS_SQL.replace('predictions AS', 'event_predictions AS')},
+made AS ({PREDICTED_SQL}),
+matched AS (
+  SELECT m.prediction_id, r.trade_price AS actual_price
+  FROM made m JOIN realised r ON m.stock_ticker = r.stock_ticker
+   AND abs(date_diff('second', r.event_timestamp, m.target_window)) <= 3600
+  QUALIFY row_number() OVER (PARTITION BY m.prediction_id
+    ORDER BY r.event_timestamp DESC, r.price_source DESC, r.trade_price DESC) = 1)
+SELECT m.prediction_id, m.stock_ticker, m.target_window, m.predicted_future_price, x.actual_price,
+       x.actual_price - m.predicted_future_price AS price_error_variance,
+       abs(x.actual_price - m.predicted_future_price) / nullif(x.actual_price, 0) <= 0.01 AS is_prediction_correct
+FROM made m LEFT JOIN matched x ON m.prediction_id = x.prediction_id""")
+def _(spark, sf):
+    made = made_predictions(spark, sf)
+    due = evaluation.pending(made, None, "2024-01-20 12:05:00")
+    done = evaluation.evaluate(due, inputs.realised(spark, sf), AS_OF, seconds=3600)
+    return evaluation.merged(made, done).select(
+        "prediction_id", "stock_ticker", "target_window", "predicted_future_price", "actual_price",
+        "price_error_variance", "is_prediction_correct")
+
+
+@query("a4_batch_counts", f"""
+WITH {PREDICTIONS_SQL}
+SELECT stock_ticker, count(*) AS made, count(*) FILTER (target_window <= TIMESTAMP '{AS_OF}') AS due
+FROM predictions GROUP BY 1""")
+def _(spark, sf):
+    made = inputs.predictions(spark, sf)
+    due = evaluation.pending(made, None, AS_OF).groupBy("stock_ticker").agg(F.count(F.lit(1)).alias("due"))
+    counts = made.groupBy("stock_ticker").agg(F.count(F.lit(1)).alias("made"))
+    return counts.join(due, "stock_ticker", "left").withColumn("due", F.coalesce("due", F.lit(0).cast("bigint")))
+
+
 # Purchases have been evaluated before; the rest is pending once its moment has come.
 EARLIER_SQL = """
 earlier AS (SELECT prediction_id, predicted_future_price + 1 AS actual_price FROM predictions WHERE stock_ticker = 'purchase')"""
@@ -842,6 +895,14 @@ def _(spark, sf):
     return bronze_rows(spark.read.parquet(root))
 
 
+@query("t2_repeated_trigger", BRONZE_SQL)
+def _(spark, sf):
+    root, log = scratch(spark, "bronze"), scratch(spark, "bronze-log")
+    for _ in range(2):  # the second run finds nothing new
+        ingest.to_bronze(queue_records(inputs.stream(spark, sf, "events")), root, log).awaitTermination()
+    return bronze_rows(spark.read.parquet(root))
+
+
 @query("t3_stream_dedup_any", f"""
 WITH {TRADES_SQL} SELECT stock_ticker, event_timestamp, trade_price, trade_volume FROM trades""")
 def _(spark, sf):
