@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.clock import epoch_second
 from tickerloom.operators.lookup import lookup_join
+from tickerloom.session import settle
 
 MIN_SPAN_SECONDS = 600
 
@@ -31,18 +32,19 @@ def latest_within(rows: DataFrame, records: DataFrame, on: Sequence[str], row_ti
     """
     on = list(on)
     rows = rows.withColumn("_until", epoch_second(F.col(row_time)) + after)
-    asked = rows.select(*on, "_until").filter(F.col("_until").isNotNull()).distinct()
+    asked = settle(rows.select(*on, "_until").filter(F.col("_until").isNotNull()).distinct())
 
-    # Only records near some row matter: two scalars that reach the scan as filters.
-    edge = asked.agg(F.min("_until").alias("lo"), F.max("_until").alias("hi"))
+    # Only records near some row matter: the ends of the questions reach the scan as filters.
+    first, last = asked.agg(F.min("_until"), F.max("_until")).first()
     reach = before + after
+    if first is None:
+        first = last = 0  # no questions, so no record will be an answer
+    stored_as = dict(records.dtypes)[record_time]
 
-    def moment(column: str, shift: int):
-        as_time = F.timestamp_seconds(F.col(column) + shift)
-        return edge.select(as_time.cast(dict(records.dtypes)[record_time])).scalar()
+    def moment(second: int) -> Column:
+        return F.timestamp_seconds(F.lit(second)).cast(stored_as)
 
-    near = records.filter((F.col(record_time) >= moment("lo", -reach))
-                          & (F.col(record_time) < moment("hi", 1)))
+    near = records.filter((F.col(record_time) >= moment(first - reach)) & (F.col(record_time) < moment(last + 1)))
 
     best = F.max(F.struct(record_time, *prefer, *[c for c in carry if c not in prefer and c != record_time]))
     winners = (near.groupBy(*on, epoch_second(F.col(record_time)).alias("_second"))
