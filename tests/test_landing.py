@@ -61,6 +61,8 @@ def test_quotes(spark):
         (QUOTE, "accepted"),
         ({"cmd_id": 22000, "data": {}}, "dropped"),
         ({"cmd_id": 22003}, "dropped"),
+        ({**QUOTE, "cmd_id": "22999"}, "dropped"),
+        ({**QUOTE, "cmd_id": 22999.0}, "accepted"),
         ({"data": {}}, "dropped"),
         ({"cmd_id": 22999, "data": without(QUOTE["data"], "asks")}, "accepted"),
         (quote(asks=None), "rejected"),

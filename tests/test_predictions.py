@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,6 +61,17 @@ def test_projection(spark):
     assert got == [102.5, None, 0.0]
 
 
+def test_rounding_is_that_of_the_stored_value(spark):
+    rng = random.Random(5)
+    values = [rng.randrange(10 ** 9) * 10 + 5 for _ in range(3000)]
+    values = [v / 10 ** 5 for v in values] + [-v / 10 ** 5 for v in values[:500]] + [
+        1.08345, 0.00005, 0.03125, 0.09375, -0.03125, 1e-9, 0.0, 123456789.00005, 1e16, 2.5e300] + [rng.random() for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = df.select("v", pricing.rounded(F.col("v"), 4).alias("r")).collect()
+    assert all(r.r == round(r.v, 4) for r in got)
+    assert spark.sql("SELECT double('infinity') v").select(pricing.rounded(F.col("v"), 4)).first()[0] == float("inf")
+
+
 def test_predict(spark):
     market = features(spark, ("A", "2025-01-10T11:00:00", 50.0, 1.0, 0.0, 0.0), ("A", "2025-01-10T11:30:00", 100.0, 1.0, 2.0, 5.0),
                       ("A", "2025-01-10T11:30:00", 90.0, 1.0, 2.0, 5.0), ("B", "2025-01-10T11:30:00", 10.0, 1.0, None, 0.0))

@@ -24,10 +24,20 @@ def deviation_pct(price: Column, baseline: Column) -> Column:
     return ((price - baseline) / F.nullif(baseline, F.lit(0.0)) * 100.0).cast("double")
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Round by the value as it is stored, exact halves to even.
+
+    ``F.round`` goes by the shortest text of a double, so 1.08345, which is stored a little
+    below that, would become 1.0835 instead of 1.0834.  Formatting goes by the stored value.
+    """
+    text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
+    return F.when(F.abs(value) < 1e15, text.try_cast("double")).otherwise(value)
+
+
 def projected_price(price: Column, deviation: Column, volatility: Column) -> Column:
     """The price moved by its own deviation plus a share of the volatility."""
     moved = price + deviation / 100.0 * price + volatility * names.VOLATILITY_WEIGHT
-    return F.round(moved, names.FORECAST_DECIMALS)
+    return rounded(moved, names.FORECAST_DECIMALS)
 
 
 def within_margin(error: Column, actual: Column, margin: float = names.HIT_MARGIN) -> Column:

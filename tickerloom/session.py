@@ -39,14 +39,13 @@ def shared_dir(spark: SparkSession) -> str:
     to a folder of this machine.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not named:
-        named = sc.getCheckpointDir()
+    in_use = sc.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or in_use
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tickerloom-")
-    if sc.getCheckpointDir() is None:
+    if in_use is None or named.removeprefix("file:").rstrip("/") not in in_use:
         sc.setCheckpointDir(named)
     return named
 

@@ -40,7 +40,8 @@ def carries_data(body: Column, feed: names.Feed) -> Column:
     if feed == names.TRADES:
         ok = at(body, "$.type") == names.TRADE_MESSAGE
     elif feed == names.QUOTES:
-        ok = at(body, "$.cmd_id", "double") == names.QUOTE_PUSH
+        as_number = F.schema_of_variant(F.try_variant_get(body, "$.cmd_id", "variant")) != "STRING"
+        ok = as_number & (at(body, "$.cmd_id", "double") == names.QUOTE_PUSH)
     elif feed == names.BARS:
         ok = ~_any_key(body, names.BAR_NOTICE_KEYS)
     elif feed == names.ENTITY_NEWS:

@@ -659,12 +659,18 @@ def _(spark, sf):
 
 
 @query("d3_projection", """
-SELECT event_id, round(value + user_id / 100.0 * value + event_id * 0.1, 4) AS projected FROM events""")
+SELECT event_id, CAST(format('{:.4f}', value + user_id / 100.0 * value + event_id * 0.1) AS DOUBLE) AS projected FROM events""")
 def _(spark, sf):
     return table(spark, sf, "events").select("event_id", pricing.projected_price(
         F.col("value"), F.col("user_id").cast("double"), F.col("event_id").cast("double")).alias("projected"))
 
 
+@query("f15_rounding", """
+SELECT o_orderkey, CAST(format('{:.4f}', o_totalprice / 1000) AS DOUBLE) AS rounded FROM orders""")
+def _(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", pricing.rounded(F.col("o_totalprice") / 1000, 4).alias("rounded"))
+
+
 def event_features(events: DataFrame) -> DataFrame:
     """Every event as a feature row of its type."""
     return events.select(
@@ -715,8 +721,8 @@ SELECT md5(n.news_id || '|' || n.asset_ticker || '|2024-01-20 12:00:00') AS pred
        n.asset_ticker AS stock_ticker, TIMESTAMP '2024-01-20 12:00:00' AS predicted_at,
        TIMESTAMP '2024-01-20 12:05:00' AS target_window,
        round({sentiment_sql('n.nlp_text_payload')}, 6) AS predicted_sentiment_score,
-       round(m.live_price + m.price_deviation_pct / 100.0 * m.live_price + m.rolling_volatility * 0.1, 4)
-         AS predicted_future_price
+       CAST(format('{{:.4f}}', m.live_price + m.price_deviation_pct / 100.0 * m.live_price + m.rolling_volatility * 0.1)
+         AS DOUBLE) AS predicted_future_price
 FROM document_news n JOIN latest m ON n.asset_ticker = m.stock_ticker"""
 
 
