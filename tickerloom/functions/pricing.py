@@ -31,7 +31,12 @@ def rounded(value: Column, digits: int) -> Column:
     below that, would become 1.0835 instead of 1.0834.  Formatting goes by the stored value.
     """
     text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
-    return F.when(F.abs(value) < 1e15, text.try_cast("double")).otherwise(value)
+    # Formatting takes a lone last 5 for an exact half, so the smallest values are compared instead.
+    unit, half = float(f"1e-{digits}"), float(f"5e-{digits + 1}")
+    up = F.abs(value) >= half if round(half, digits) > 0 else F.abs(value) > half
+    smallest = F.when(up, F.signum(value) * unit).otherwise(F.signum(value) * 0.0)
+    return (F.when(F.abs(value) < unit, smallest)
+            .when(F.abs(value) < 1e15, text.try_cast("double")).otherwise(value))
 
 
 def projected_price(price: Column, deviation: Column, volatility: Column) -> Column:
