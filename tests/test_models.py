@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import raw, rows, ts
-from tickerloom import names
 from tickerloom.plans import marts, staging, unified
 
 AS_OF = "2025-01-10 12:00:00"

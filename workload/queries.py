@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom import names, schemas
 from tickerloom.functions import clock, payload, pricing, text
-from tickerloom.operators import conform, dedup, lookup, rolling
+from tickerloom.operators import lookup, rolling
 from tickerloom.plans import evaluation, marts, predictions, staging, unified
 from tickerloom.session import shared_dir
 from tickerloom.sources import bronze, landing
@@ -24,7 +24,6 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 AS_OF = "2024-01-20 12:00:00"
-KEY = "md5({0})".format
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
