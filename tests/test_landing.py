@@ -162,6 +162,20 @@ def test_selections(spark):
     assert rows(landing.watched(news, "id", watch).select("id")) == [("b",)]
 
 
+def test_subscriptions(spark):
+    def kept(feed, *messages, watch=None):
+        rows_of_feed = landing.elements(landing.triage(bodies(spark, *messages), feed), feed)
+        out = landing.messages(landing.subscribed(rows_of_feed, feed, watch), feed)
+        return [r[0] for r in rows(out.select("key"), "key")]
+    assert kept(names.TRADES, {"type": "trade", "data": [TRADE, {**TRADE, "s": "NVDA"}]}) == ["NVDA"]
+    assert kept(names.QUOTES, QUOTE) == [] and kept(names.QUOTES, QUOTE, watch=["BBBUSDT"]) == ["BBBUSDT"]
+    assert kept(names.BARS, {"Meta Data": {"2. Symbol": "MSFT"}, "Time Series (Daily)": {}}) == ["MSFT"]
+    one = {**ARTICLE, "uuid": "u2", "entities": [{**ARTICLE["entities"][0], "symbol": "CC:BTC"}]}
+    assert kept(names.ENTITY_NEWS, {"meta": {}, "data": [ARTICLE, one]}) == ["u2"]
+    other = {**HEADLINE, "title": "Quiet", "description": None}
+    assert kept(names.HEADLINES, {"status": "ok", "totalResults": 2, "articles": [HEADLINE, other]}) == ["New method"]
+
+
 def test_best_price(spark):
     book = spark.sql("""SELECT * FROM VALUES (1, array(named_struct('price', '5'), named_struct('price', '4'))),
                         (2, cast(array() as array<struct<price: string>>)), (3, null) AS t(n, levels)""")

@@ -110,6 +110,32 @@ def watched(rows: DataFrame, column: str, watch: Iterable[str] | DataFrame) -> D
     return rows.filter(F.col(column).isin(*watch))
 
 
+WATCHED = {
+    names.TRADES: names.WATCHED_TRADES,
+    names.QUOTES: names.WATCHED_QUOTES,
+    names.BARS: names.WATCHED_BARS,
+    names.ENTITY_NEWS: names.WATCHED_ENTITIES,
+    names.HEADLINES: names.HEADLINE_KEYWORDS,
+}
+
+
+def subscribed(rows: DataFrame, feed: names.Feed, watch: Iterable[str] | None = None) -> DataFrame:
+    """Rows of :func:`elements` that the feed's subscription asks for.
+
+    Trades, quotes and bars go by ticker, entity news by any of its entities, headlines by
+    keywords in title, description or content.
+    """
+    wanted = list(WATCHED[feed] if watch is None else watch)
+    if feed == names.ENTITY_NEWS:
+        return rows.filter(F.exists("entities", lambda entity: entity["symbol"].isin(wanted)))
+    if feed == names.HEADLINES:
+        found = F.lit(False)
+        for column in ("title", "description", "content"):
+            found = found | mentions_any(F.col(column), wanted)
+        return rows.filter(found)
+    return rows.filter(message_key(feed).isin(wanted))
+
+
 def recent(rows: DataFrame, published: Column, today: date | str, days: int = names.LOOK_BACK_DAYS) -> DataFrame:
     """Rows published on or after the day ``days`` before ``today``."""
     start = F.date_sub(F.lit(today).cast("date"), days)
