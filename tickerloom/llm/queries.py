@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import near_duplicates, packing, token_counts
-from tickerloom.llm.store import ready
+from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc
+from tickerloom.llm.store import ready, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,11 +29,63 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def labelled(documents: DataFrame, labels: DataFrame, name: str) -> DataFrame:
+    """Documents with their label; an id that is labelled more than once has the larger label."""
+    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).alias("label"))
+    return documents.select("doc_id", "text").join(marks, "doc_id")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    known = labelled(documents, table(spark, sf_dir, "labels").where(~held_out), "toxic")
+    found = toxicity.toxicity(documents, *toxicity.learn(documents, known))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence", "cosines")
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    read = warc.records(warc.read_archives(*warc.write_archives(pages), with_data=False))
+    kind = dict(pages.dtypes)["page_id"]
+    return read.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.summary(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_classes(table(spark, sf_dir, "documents")).drop("line")
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
+    found = language.languages(documents, language.learn(documents.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
+    chain = quality.learn(labelled(documents, table(spark, sf_dir, "labels").where(~held_out), "quality"))
+    return quality.scored(documents.select("doc_id", "text"), chain).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
