@@ -3,9 +3,10 @@
 SuperMinHash gives every element the ranks of one random permutation of the slots, so that a
 document's elements fill the slots evenly and its work ends as soon as no later rank can lower any slot.
 Documents with equal sets of shingles are one class from the start.  Classes that share a band
-are compared with the most central classes of that band alone, and every link counts only after both full
-sets were intersected.  What such stars leave open is settled by the triangle inequality of
-the Jaccard distance or by further stars, so that no link is lost and no group is paired with itself.
+are compared by their signatures; pairs whose signatures agree far too rarely cannot be links.  Every other
+pair counts only after both full sets were intersected, each class's most alike partners first:
+pairs that links already join by another way need no test, so a large group is not paired with
+itself, and no pair that could still join two groups is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrays import LOWER, STEP, U64, WHITE, blocks, lists, mix, runs, salted, signed, text_bytes, word_hashes
 from tickerloom.llm.components import components
@@ -23,6 +24,9 @@ from tickerloom.llm.store import documents, kept
 
 SLOTS = 128
 ROWS = 4
+SMALL = 9
+LARGE = 4096
+FIRST_TURN = 4
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -84,14 +88,17 @@ def node_of(values: np.ndarray) -> int:
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, slots: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Size, class, band keys and signature, a byte per slot, of each text."""
     for part in blocks(batches, "text", 1_000_000):
         sets = shingles(part.column("text"), width)
-        keys = signed(band_keys(signatures(sets, slots), rows))
+        table = signatures(sets, slots)
+        keys = signed(band_keys(table, rows))
         n = np.array([len(s) for s in sets], np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(n > 0, keys.shape[1], 0))])
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at)],
-            ["doc_id", "n_shingles", "node", "bands"])
+            [part.column("doc_id"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at),
+             pa.array([row.tobytes() for row in (mix(table) >> U64(56)).astype(np.uint8)], pa.binary())],
+            ["doc_id", "n_shingles", "node", "bands", "signature"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -104,52 +111,137 @@ def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, center, far, linked): Jaccard distance and verdict of each pair, from both full sets."""
+    """(node, center, linked): the verdict on each pair, from both full sets."""
     one = sets.select("node", F.col("elements").alias("one"))
     other = sets.select(F.col("node").alias("center"), F.col("elements").alias("other"))
     both = F.size(F.array_intersect("one", "other")).cast("long")
     return (pairs.join(one, "node").join(other, "center")
             .select("node", "center", both.alias("both"), (F.size("one") + F.size("other") - both).alias("any"))
-            .select("node", "center", (1 - F.col("both") / F.col("any")).alias("far"), (100 * F.col("both") >= percent * F.col("any")).alias("linked")))
+            .select("node", "center", (100 * F.col("both") >= percent * F.col("any")).alias("linked")))
 
 
-def links_in_bands(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Links (a, b) enough to connect all that links connect, among ``members`` (key, node, weight).
+def least_agreement(slots: int, percent: int) -> int:
+    """Slots in which a link's signatures agree at least, six standard deviations below the mean."""
+    share = percent / 100
+    return int(slots * share - 6 * (slots * share * (1 - share)) ** 0.5)
 
-    Each turn compares the members of a band with its most central ones, twice as many as before.
-    These are then done.  A member already joined to the first center stays only where it
-    could still link a member that isn't: its distance to the center must be within one threshold of the other's.
+
+def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (node, center) under a common key that may be links and have different labels, from rows sorted by key.
+
+    Of a larger group each node gives its partners ranked ``low`` to ``high`` by agreement; ``more`` says that
+    some are left.  Groups of up to ``SMALL`` give all their pairs in the first turn.
+    """
+    names = ("key", "node", "label", "half")
+
+    def answer(one, other, more=0):
+        low_, high_ = np.minimum(one, other), np.maximum(one, other)
+        pairs = np.unique(np.stack([low_, high_]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
+        n = pairs.shape[1]
+        pairs = np.pad(pairs, ((0, 0), (0, more)))
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.arange(n + more) >= n)], ["node", "center", "more"])
+
+    def small(key, node, label, half, table, size):
+        for d in range(1, SMALL):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (label[d:] != label[:-d]) & ((half[d:] != half[:-d]) | (half[d:] < 0)) & np.repeat(size <= SMALL, size)[d:])
+            for part in (i[k:k + 50_000] for k in range(0, len(i), 50_000)):
+                good = part[(table[part] == table[part + d]).sum(axis=1) >= least]
+                yield node[good], node[good + d]
+
+    def large(node, label, half, table):
+        more = False
+        for a in range(0, len(node), 32):
+            z = min(a + 32, len(node))
+            agree = (table[a:z, None, :] == table[None, :, :]).sum(axis=2, dtype=np.int16)
+            agree[(half[a:z, None] == half[None, :]) & (half[None, :] >= 0)] = -1
+            agree[np.arange(z - a), np.arange(a, z)] = -1
+            order = np.lexsort((np.broadcast_to(node, agree.shape), -agree), axis=1)
+            rank = np.sort(-agree, axis=1)
+            fits = -rank >= least
+            differs = label[order] != label[a:z, None]
+            more |= bool((fits & differs)[:, high:].any())
+            x, y = np.nonzero((fits & differs)[:, low:high])
+            yield node[a + x], node[order[x, y + low]], False
+        yield node[:0], node[:0], more
+
+    def groups(held):
+        key, node, label, half, table = held
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        found = list(small(key, node, label, half, table, size)) if low == 0 else []
+        left = 0
+        for a, n in zip(begin[size > SMALL], size[size > SMALL]):
+            for one, other, more in large(node[a:a + n], label[a:a + n], half[a:a + n], table[a:a + n]):
+                found.append((one, other))
+                left |= more
+        if found:
+            yield answer(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), int(left))
+
+    held = None
+    for whole in batches:
+        for batch in (whole.slice(i, 20_000) for i in range(0, whole.num_rows, 20_000)):
+            raw = batch.column("signature")
+            table = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            got = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [table]
+            held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
+            cut = int(np.searchsorted(held[0], held[0][-1]))
+            if cut:
+                yield from groups([c[:cut] for c in held])
+                held = [c[cut:] for c in held]
+    if held is not None:
+        yield from groups(held)
+
+
+def split_large(members: DataFrame, bands: DataFrame, most: int) -> DataFrame:
+    """(key, node, half): groups of more than ``most`` classes in parts that keep every possible link.
+
+    A link shares more than one band, so a large band is first cut by each second band.  What is still
+    large is dealt to parts of at most about ``most``, and every two parts make a group, in which ``half`` keeps
+    a part from being compared with itself again.
+    """
+    bounded = members.where(F.col("n") <= most).select("key", "node", F.lit(-1).alias("half"))
+    wide = members.where(F.col("n") > most)
+    if wide.isEmpty():
+        return bounded
+    finer = wide.join(bands, "node").select("node", "key", F.explode("bands").alias("second")).where("key < second").select("node", F.xxhash64("key", "second").alias("key"))
+    # A member alone under its first band and the smallest key needs no second: links share several bands.
+    sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    parts = F.ceil(F.col("n") / most).cast("int")
+    dealt = (finer.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    keyed = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
+    half = F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part"))
+    return bounded.unionByName(dealt.select(keyed.alias("key"), "node", half.alias("half"), "part", "other").drop("part", "other"))
+
+
+def connecting_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame | None:
+    """(node, label): components of the links among ``members`` (key, node, half), or nothing where there is none.
+
+    Turns take ever more partners of each node, until no pair is left that may be a link and whose labels differ.
     """
-    near = 1 - percent / 100
-    links, tried, stars = None, None, 1
-    while not members.isEmpty():
-        order = Window.partitionBy("key").orderBy(F.desc("weight"), "node")
-        centers = (members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= stars)
-                   .select("key", F.col("node").alias("center"), "rank"))
-        centers = kept(centers, "centers")
-        asked = members.join(centers, "key").where("node <> center").select(F.least("node", "center").alias("node"), F.greatest("node", "center").alias("center")).distinct()
-        if tried is not None:
-            asked = asked.join(tried, ["node", "center"], "left_anti")
-        found = kept(distances(asked, sets, percent), "distances")
-        tried = found if tried is None else tried.unionByName(found)
-        linked = found.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
-        links = linked if links is None else links.unionByName(linked)
-        labels = components(links)
-        labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        first = centers.where("rank = 1").select("key", "center")
-        far = tried.select("node", "center", "far").unionByName(tried.select(F.col("center").alias("node"), F.col("node").alias("center"), "far"))
-        centre_label = labelled.select(F.col("key"), F.col("node").alias("center"), F.col("label").alias("center_label"))
-        state = (labelled.join(first.join(centre_label, ["key", "center"]), "key")
-                 .join(far, ["node", "center"], "left").withColumn("far", F.coalesce("far", F.lit(0.0)))
-                 .withColumn("free", F.col("label") != F.col("center_label")))
-        state = kept(state.join(centers.select("key", F.col("center").alias("node"), F.lit(True).alias("used")), ["key", "node"], "left")
-                     .where("used IS NULL").select("key", "node", "weight", "label", "far", "free"), "members")
-        nearest = state.where("free").groupBy("key").agg(F.min("far").alias("nearest"))
-        rest = state.join(nearest, "key").where(F.col("free") | (F.col("far") >= F.col("nearest") - near - 1e-9))
-        several = rest.groupBy("key").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("key")
-        members = kept(rest.select("key", "node", "weight").join(several, "key"), "members")
-        stars *= 2
-    return links
+    least, low, high = least_agreement(slots, percent), 0, FIRST_TURN
+    labels, tried = None, None
+    groups = kept(members.join(signatures, "node").select("key", "node", "half", "signature"), "groups")
+    while True:
+        labelled = (groups.withColumn("label", F.col("node")) if labels is None
+                    else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        if labels is not None:
+            open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") & (F.col("n") > SMALL)).select("key")
+            groups = kept(labelled.join(open_keys, "key").select("key", "node", "half", "signature", "label"), "groups")
+            labelled, groups = groups, groups.drop("label")
+        found = kept(labelled.select("key", "node", "label", "half", "signature").repartition("key").sortWithinPartitions("key")
+                     .mapInArrow(lambda it, a=low, z=high: alike(it, least, a, z), "node long, center long, more boolean"), "alike")
+        asked = found.where("NOT more").select("node", "center").distinct()
+        asked = asked if tried is None else asked.join(tried, ["node", "center"], "left_anti")
+        tested = kept(distances(asked, sets, percent), "tested")
+        tried = tested.select("node", "center") if tried is None else tried.unionByName(tested.select("node", "center"))
+        new = tested.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
+        if not new.isEmpty():
+            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b") if labels is not None else None
+            labels = kept(components(new if known is None else new.unionByName(known)), "labels")
+        if found.where("more").isEmpty():
+            return labels
+        low, high = high, 4 * high
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
@@ -164,22 +256,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
     """
     plain = documents(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    signed_rows = kept(plain.mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, n_shingles long, node long, bands array<long>"), "signatures")
+    signed_rows = kept(plain.mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, n_shingles long, node long, bands array<long>, signature binary"), "signatures")
     some = signed_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = some.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = kept(classes, "classes")
+    first = F.min_by(F.struct("bands", "signature"), "doc_id")
+    classes = kept(some.groupBy("node").agg(F.min("doc_id").alias("smallest"), first.alias("first")).select("node", "smallest", "first.*"), "classes")
     postings = classes.select("node", F.explode("bands").alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = kept(postings.join(shared, "key"), "shared-bands")
-    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    chosen = kept(weights.join(classes.select("node", "smallest"), "node"), "candidates")
+    chosen = kept(members.select("node").distinct().join(classes.select("node", "smallest"), "node"), "candidates")
     texts = plain.join(chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id").select("node", "text")
     sets = kept(texts.mapInArrow(lambda it: full_sets(it, width), "node long, elements array<long>"), "sets")
-    links = links_in_bands(members.join(weights, "node").select("key", "node", "weight"), sets, percent)
-    if links is None:
+    labels = connecting_links(split_large(members, classes.select("node", "bands"), LARGE), classes.select("node", "signature"), sets, percent, slots)
+    if labels is None:
         named = classes.select("node", F.col("smallest").alias("component_id"))
     else:
-        labelled = classes.select("node", "smallest").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = classes.select("node", "smallest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lowest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
         named = labelled.join(lowest, "label").select("node", "component_id")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
