@@ -126,11 +126,11 @@ def least_agreement(slots: int, percent: int) -> int:
     return int(slots * share - 6 * (slots * share * (1 - share)) ** 0.5)
 
 
-def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int) -> Iterator[pa.RecordBatch]:
+def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int, few: int) -> Iterator[pa.RecordBatch]:
     """Pairs (node, center) under a common key that may be links and have different labels, from rows sorted by key.
 
     Of a larger group each node gives its partners ranked ``low`` to ``high`` by agreement; ``more`` says that
-    some are left.  Groups of up to ``SMALL`` give all their pairs in the first turn.
+    some are left.  Groups of up to ``few`` give all their pairs in the first turn.
     """
     names = ("key", "node", "label", "half")
 
@@ -142,8 +142,8 @@ def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int) ->
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.arange(n + more) >= n)], ["node", "center", "more"])
 
     def small(key, node, label, half, table, size):
-        for d in range(1, SMALL):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (label[d:] != label[:-d]) & ((half[d:] != half[:-d]) | (half[d:] < 0)) & np.repeat(size <= SMALL, size)[d:])
+        for d in range(1, few):
+            i = np.flatnonzero((key[d:] == key[:-d]) & (label[d:] != label[:-d]) & ((half[d:] != half[:-d]) | (half[d:] < 0)) & np.repeat(size <= few, size)[d:])
             for part in (i[k:k + 50_000] for k in range(0, len(i), 50_000)):
                 good = part[(table[part] == table[part + d]).sum(axis=1) >= least]
                 yield node[good], node[good + d]
@@ -170,7 +170,7 @@ def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int) ->
         size = np.diff(np.append(begin, len(key)))
         found = list(small(key, node, label, half, table, size)) if low == 0 else []
         left = 0
-        for a, n in zip(begin[size > SMALL], size[size > SMALL]):
+        for a, n in zip(begin[size > few], size[size > few]):
             for one, other, more in large(node[a:a + n], label[a:a + n], half[a:a + n], table[a:a + n]):
                 found.append((one, other))
                 left |= more
@@ -204,33 +204,33 @@ def split_large(members: DataFrame, bands: DataFrame, most: int) -> DataFrame:
     if wide.isEmpty():
         return bounded
     finer = wide.join(bands, "node").select("node", "key", F.explode("bands").alias("second")).where("key < second").select("node", F.xxhash64("key", "second").alias("key"))
-    # A member alone under its first band and the smallest key needs no second: links share several bands.
+    # The smaller of two common bands takes the larger one as its second; a band that isn't large compares its pairs itself.
     sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     parts = F.ceil(F.col("n") / most).cast("int")
     dealt = (finer.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     keyed = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
     half = F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part"))
-    return bounded.unionByName(dealt.select(keyed.alias("key"), "node", half.alias("half"), "part", "other").drop("part", "other"))
+    return bounded.unionByName(dealt.select(keyed.alias("key"), "node", half.alias("half")))
 
 
-def connecting_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, slots: int) -> DataFrame | None:
+def connecting_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, slots: int, few: int = SMALL, turn: int = FIRST_TURN) -> DataFrame | None:
     """(node, label): components of the links among ``members`` (key, node, half), or nothing where there is none.
 
     Turns take ever more partners of each node, until no pair is left that may be a link and whose labels differ.
     """
-    least, low, high = least_agreement(slots, percent), 0, FIRST_TURN
+    least, low, high = least_agreement(slots, percent), 0, turn
     labels, tried = None, None
     groups = kept(members.join(signatures, "node").select("key", "node", "half", "signature"), "groups")
     while True:
         labelled = (groups.withColumn("label", F.col("node")) if labels is None
                     else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
         if labels is not None:
-            open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") & (F.col("n") > SMALL)).select("key")
+            open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") & (F.col("n") > few)).select("key")
             groups = kept(labelled.join(open_keys, "key").select("key", "node", "half", "signature", "label"), "groups")
             labelled, groups = groups, groups.drop("label")
         found = kept(labelled.select("key", "node", "label", "half", "signature").repartition("key").sortWithinPartitions("key")
-                     .mapInArrow(lambda it, a=low, z=high: alike(it, least, a, z), "node long, center long, more boolean"), "alike")
+                     .mapInArrow(lambda it, a=low, z=high: alike(it, least, a, z, few), "node long, center long, more boolean"), "alike")
         asked = found.where("NOT more").select("node", "center").distinct()
         asked = asked if tried is None else asked.join(tried, ["node", "center"], "left_anti")
         tested = kept(distances(asked, sets, percent), "tested")
@@ -244,7 +244,7 @@ def connecting_links(members: DataFrame, signatures: DataFrame, sets: DataFrame,
         low, high = high, 4 * high
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, large: int = LARGE, few: int = SMALL, turn: int = FIRST_TURN) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked where 100 * intersection >= ``percent`` * union of their sets of
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
     chosen = kept(members.select("node").distinct().join(classes.select("node", "smallest"), "node"), "candidates")
     texts = plain.join(chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id").select("node", "text")
     sets = kept(texts.mapInArrow(lambda it: full_sets(it, width), "node long, elements array<long>"), "sets")
-    labels = connecting_links(split_large(members, classes.select("node", "bands"), LARGE), classes.select("node", "signature"), sets, percent, slots)
+    labels = connecting_links(split_large(members, classes.select("node", "bands"), large), classes.select("node", "signature"), sets, percent, slots, few, turn)
     if labels is None:
         named = classes.select("node", F.col("smallest").alias("component_id"))
     else:
