@@ -4,20 +4,25 @@ The tokenizer cuts at white space before anything else, its normaliser neither j
 reorders characters across a blank, and its special strings hold none.  So the ids of a text
 are those of its blank-separated words one after another, and a word met before need not be
 encoded again.  Texts are cut at blanks and line feeds alone; other white space stays inside
-a word, where the tokenizer itself deals with it.  Each table of words is bounded.
+a word, where the tokenizer itself deals with it.  The tokenizer lower-cases, so A-Z is lower-cased
+first, but for texts with combining marks, which compose with small letters only, or with special strings.
+The tables of words are bounded; words met again outlive the others.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterable
 
 import numpy as np
-import pyarrow as pa
 
 VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 500_000
 LONG_WORD = 64
+# Small letters of the first two Unicode blocks: neither normalising nor cutting changes a word of these.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -37,7 +42,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        bare = json.loads(self.tokenizer.to_str())
+        cut = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"normalizer": None, "pre_tokenizer": cut}))
+        suffix = bare["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         """The ids as the library gives them for the text in one piece."""
@@ -50,33 +62,62 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        cut = [folded(t).replace(b"\n", b" ").split(b" ") for t in texts]
+        needed = set().union(*cut)
+        new = needed - self.words.keys()
+        if len(self.words) + len(new) > MOST_WORDS:
+            self.words, self.older = {}, self.words
+            new = needed
+        found = {w: ids for w in new if (ids := self.older.get(w)) is not None}
+        self.words.update(found)
+        new -= found.keys()
+        found = {b"": b""}
+        stems = {w[:-1]: w[-1:] for w in new if plain_end(w)}
+        for word, ids in self._encode({w for w in new if not plain_end(w)} | (stems.keys() - self.words.keys()) | {b".", b","}):
+            found[word] = ids
         table = self.words
-        new = set().union(*cut) - table.keys()
-        if new:
-            if len(table) + len(new) > MOST_WORDS:
-                table = self.words = {"": b""}
-                new = set().union(*cut) - table.keys()
-            found = dict(self._encode(new))
-            if len(found) + len(table) > MOST_WORDS or any(len(w) > LONG_WORD for w in found):
-                table = table | found
-                self.words.update((w, ids) for w, ids in list(found.items())[:MOST_WORDS - len(self.words)] if len(w) <= LONG_WORD)
-            else:
-                table.update(found)
+        for word in new:
+            if word not in found:
+                stem = word[:-1]
+                found[word] = (found[stem] if stem in found else table[stem]) + found[word[-1:]]
+        if any(len(w) > LONG_WORD for w in found):
+            table.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
+            table = table | found
+        else:
+            table.update(found)
         return [b"".join(map(table.__getitem__, words)) for words in cut]
 
-    def _encode(self, words: Iterable[str]) -> Iterable[tuple[str, bytes]]:
-        """Encode many words as one text, and tell their ids apart by the offsets."""
-        words = list(words)
-        for part in (words[i:i + 20_000] for i in range(0, len(words), 20_000)):
-            ends = np.cumsum([len(w) + 1 for w in part])
-            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            begins = np.array(got.offsets, np.int64).reshape(-1, 2)[:, 0]
-            at = np.concatenate([[0], np.searchsorted(begins, ends)])
-            for i, word in enumerate(part):
-                yield word, ids[at[i]:at[i + 1]].tobytes()
-
-
-def text_list(column: pa.Array) -> list[str]:
-    return column.to_pylist()
+    def _encode(self, words: Iterable[bytes]) -> Iterable[tuple[bytes, bytes]]:
+        """Encode many words as few texts.  Plain words end where a token ends a word, the others are told apart by the offsets."""
+        plain, others = [], []
+        for word in words:
+            (plain if PLAIN.fullmatch(word) else others).append(word)
+        for part in (plain[i:i + 20_000] for i in range(0, len(plain), 20_000)):
+            got = self.bare.encode_batch_fast([b" ".join(part[i:i + 500]).decode() for i in range(0, len(part), 500)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == len(part) and at[-1] == len(ids):
+                yield from slices(part, ids, np.append(0, at))
+            else:
+                others += part
+        for part in (others[i:i + 500] for i in range(0, len(others), 500)):
+            text = b" ".join(part).decode()
+            got = self.tokenizer.encode(text, add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
+            ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
+            yield from slices(part, np.array(got.ids, "<u4"), np.append(0, np.searchsorted(begins, ends)))
+
+
+def slices(words: list[bytes], ids: np.ndarray, at: np.ndarray) -> Iterable[tuple[bytes, bytes]]:
+    raw, at = ids.tobytes(), (4 * at).tolist()
+    return ((word, raw[a:z]) for word, a, z in zip(words, at, at[1:]))
+
+
+def folded(text: str) -> bytes:
+    raw = text.encode()
+    return raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()
+
+
+def plain_end(word: bytes) -> bool:
+    """Whether a word is something after a small letter and one stop or comma, which is a token of its own."""
+    return len(word) > 1 and word[-1] in b".," and 0x61 <= word[-2] <= 0x7A
