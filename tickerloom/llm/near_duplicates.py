@@ -26,6 +26,7 @@ SLOTS = 128
 ROWS = 4
 SMALL = 9
 LARGE = 4096
+LOAD = 2_000_000
 FIRST_TURN = 4
 EMPTY = np.uint64(2**64 - 1)
 
@@ -88,26 +89,28 @@ def node_of(values: np.ndarray) -> int:
 
 
 def sign(batches: Iterator[pa.RecordBatch], width: int, slots: int, rows: int) -> Iterator[pa.RecordBatch]:
-    """Size, class, band keys and signature, a byte per slot, of each text."""
+    """Size, class and band keys of each text."""
     for part in blocks(batches, "text", 1_000_000):
         sets = shingles(part.column("text"), width)
-        table = signatures(sets, slots)
-        keys = signed(band_keys(table, rows))
+        keys = signed(band_keys(signatures(sets, slots), rows))
         n = np.array([len(s) for s in sets], np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(n > 0, keys.shape[1], 0))])
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at),
-             pa.array([row.tobytes() for row in (mix(table) >> U64(56)).astype(np.uint8)], pa.binary())],
-            ["doc_id", "n_shingles", "node", "bands", "signature"])
+            [part.column("doc_id"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at)],
+            ["doc_id", "n_shingles", "node", "bands"])
 
 
-def full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    for part in blocks(batches, "text"):
+def full_sets(batches: Iterator[pa.RecordBatch], width: int, slots: int) -> Iterator[pa.RecordBatch]:
+    """All elements and the signature, a byte per slot, of the classes asked for."""
+    for part in blocks(batches, "text", 1_000_000):
         sets = shingles(part.column("text"), width)
         nodes = np.array([node_of(s) for s in sets], np.int64)
         same = np.flatnonzero(nodes == part.column("node").to_numpy())
+        table = (mix(signatures([sets[i] for i in same], slots)) >> U64(56)).astype(np.uint8)
         at = np.cumsum([0, *[len(sets[i]) for i in same]])
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[same]), lists(signed(np.concatenate([np.zeros(0, U64), *[sets[i] for i in same]])), at)], ["node", "elements"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes[same]), lists(signed(np.concatenate([np.zeros(0, U64), *[sets[i] for i in same]])), at), pa.array([row.tobytes() for row in table], pa.binary())],
+            ["node", "elements", "signature"])
 
 
 def distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,70 +129,83 @@ def least_agreement(slots: int, percent: int) -> int:
     return int(slots * share - 6 * (slots * share * (1 - share)) ** 0.5)
 
 
-def alike(batches: Iterator[pa.RecordBatch], least: int, low: int, high: int, few: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (node, center) under a common key that may be links and have different labels, from rows sorted by key.
-
-    Of a larger group each node gives its partners ranked ``low`` to ``high`` by agreement; ``more`` says that
-    some are left.  Groups of up to ``few`` give all their pairs in the first turn.
-    """
-    names = ("key", "node", "label", "half")
-
-    def answer(one, other, more=0):
-        low_, high_ = np.minimum(one, other), np.maximum(one, other)
-        pairs = np.unique(np.stack([low_, high_]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
-        n = pairs.shape[1]
-        pairs = np.pad(pairs, ((0, 0), (0, more)))
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.arange(n + more) >= n)], ["node", "center", "more"])
-
-    def small(key, node, label, half, table, size):
-        for d in range(1, few):
-            i = np.flatnonzero((key[d:] == key[:-d]) & (label[d:] != label[:-d]) & ((half[d:] != half[:-d]) | (half[d:] < 0)) & np.repeat(size <= few, size)[d:])
-            for part in (i[k:k + 50_000] for k in range(0, len(i), 50_000)):
-                good = part[(table[part] == table[part + d]).sum(axis=1) >= least]
-                yield node[good], node[good + d]
-
-    def large(node, label, half, table):
-        more = False
-        for a in range(0, len(node), 32):
-            z = min(a + 32, len(node))
-            agree = (table[a:z, None, :] == table[None, :, :]).sum(axis=2, dtype=np.int16)
-            agree[(half[a:z, None] == half[None, :]) & (half[None, :] >= 0)] = -1
-            agree[np.arange(z - a), np.arange(a, z)] = -1
-            order = np.lexsort((np.broadcast_to(node, agree.shape), -agree), axis=1)
-            rank = np.sort(-agree, axis=1)
-            fits = -rank >= least
-            differs = label[order] != label[a:z, None]
-            more |= bool((fits & differs)[:, high:].any())
-            x, y = np.nonzero((fits & differs)[:, low:high])
-            yield node[a + x], node[order[x, y + low]], False
-        yield node[:0], node[:0], more
-
-    def groups(held):
-        key, node, label, half, table = held
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        found = list(small(key, node, label, half, table, size)) if low == 0 else []
-        left = 0
-        for a, n in zip(begin[size > few], size[size > few]):
-            for one, other, more in large(node[a:a + n], label[a:a + n], half[a:a + n], table[a:a + n]):
-                found.append((one, other))
-                left |= more
-        if found:
-            yield answer(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]), int(left))
-
+def by_key(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Rows sorted by key as columns and a table of signatures, cut where a key ends; lists of elements stay lists."""
     held = None
     for whole in batches:
         for batch in (whole.slice(i, 20_000) for i in range(0, whole.num_rows, 20_000)):
-            raw = batch.column("signature")
-            table = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            table = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             got = [batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [table]
             held = got if held is None else [np.concatenate(x) for x in zip(held, got)]
             cut = int(np.searchsorted(held[0], held[0][-1]))
             if cut:
-                yield from groups([c[:cut] for c in held])
+                yield [c[:cut] for c in held]
                 held = [c[cut:] for c in held]
     if held is not None:
-        yield from groups(held)
+        yield held
+
+
+def apart(half: np.ndarray, one, other) -> np.ndarray:
+    """Whether two rows of a group are to be compared: not within the same numbered part."""
+    return (half[one] != half[other]) | (half[other] < 0)
+
+
+def alike(batches: Iterator[pa.RecordBatch], least: int, most: int, few: int) -> Iterator[pa.RecordBatch]:
+    """Pairs (node, center) under a common key that may be links, from rows sorted by key.
+
+    Groups of up to ``few`` give all of them; of a larger one each node gives its ``most`` most alike partners.
+    """
+    for key, node, half, table in by_key(batches, ("key", "node", "half")):
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        every, found = np.arange(len(key)), [(node[:0], node[:0])]
+        for d in range(1, min(few, int(size.max()))):
+            i = every[:-d][(key[d:] == key[:-d]) & apart(half, every[:-d], every[d:]) & np.repeat(size <= few, size)[d:]]
+            for part in (i[k:k + 50_000] for k in range(0, len(i), 50_000)):
+                good = part[(table[part] == table[part + d]).sum(axis=1) >= least]
+                found.append((node[good], node[good + d]))
+        for a, z in ((a, a + n) for a, n in zip(begin[size > few], size[size > few])):
+            for b in range(a, z, 32):
+                rows = every[b:min(b + 32, z)]
+                agree = (table[rows, None, :] == table[None, a:z, :]).sum(axis=2, dtype=np.int16)
+                agree[~apart(half, rows[:, None], every[None, a:z])] = -1
+                agree[np.arange(len(rows)), rows - a] = -1
+                top = np.argsort(-agree, axis=1, kind="stable")[:, :most]
+                x, y = np.nonzero(np.take_along_axis(agree, top, axis=1) >= least)
+                found.append((node[rows[x]], node[a + top[x, y]]))
+        one, other = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)]), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["node", "center"])
+
+
+def joining_links(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join labels within a group, one for each join, from rows sorted by key that carry the full sets.
+
+    Every two nodes of different labels are compared, by signature first and then by all elements, unless
+    links found in the group have joined them.
+    """
+    for key, node, label, half, part, elements, table in by_key(batches, ("key", "node", "label", "half", "part", "elements")):
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        out: list[tuple[int, int]] = []
+        for a, z in zip(begin, np.append(begin[1:], len(key))):
+            _, group = np.unique(label[a:z], return_inverse=True)
+            sizes = np.array([len(e) for e in elements[a:z]], np.int64)
+            bits, every = None, np.arange(z - a)
+            for x in np.flatnonzero(group != np.bincount(group).argmax()):
+                other = every[(group != group[x]) & apart(half[a:z], every, x) & apart(part[a:z], every, x)]
+                other = other[(table[a + other] == table[a + x]).sum(axis=1) >= least]
+                if len(other) and bits is None:
+                    words, place = np.unique(np.concatenate(elements[a:z]), return_inverse=True)
+                    bits = np.zeros((z - a, -(-len(words) // 64)), U64)
+                    np.bitwise_or.at(bits, (np.repeat(every, sizes), place >> 6), U64(1) << (place & 63).astype(U64))
+                for some in (other[k:k + 512] for k in range(0, len(other), 512)):
+                    some = some[group[some] != group[x]]
+                    both = np.bitwise_count(bits[some] & bits[x]).sum(axis=1, dtype=np.int64)
+                    for y in some[100 * both >= percent * (sizes[some] + sizes[x] - both)]:
+                        if group[y] != group[x]:
+                            out.append((node[a + x], node[a + y]))
+                            group[group == group[y]] = group[x]
+        yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def split_large(members: DataFrame, bands: DataFrame, most: int) -> DataFrame:
@@ -206,45 +222,52 @@ def split_large(members: DataFrame, bands: DataFrame, most: int) -> DataFrame:
     finer = wide.join(bands, "node").select("node", "key", F.explode("bands").alias("second")).where("key < second").select("node", F.xxhash64("key", "second").alias("key"))
     # The smaller of two common bands takes the larger one as its second; a band that isn't large compares its pairs itself.
     sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / most).cast("int")
-    dealt = (finer.join(sizes, "key").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    parts = finer.join(sizes, "key").select("key", "node", F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    return bounded.unionByName(dealt_parts(parts).select("key", "node", F.col("part").alias("half")))
+
+
+def dealt_parts(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, parts, ...) with groups of several parts dealt so that every two parts meet under a key of their own.
+
+    ``part`` is -1 where all of a group is to be compared, and else the number of the part, which isn't
+    compared with itself there.
+    """
+    several = (rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
     keyed = F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-    half = F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part"))
-    return bounded.unionByName(dealt.select(keyed.alias("key"), "node", half.alias("half")))
+    return (several.withColumn("key", keyed).withColumn("part", F.when(F.col("part") == F.col("other"), F.lit(-1)).otherwise(F.col("part")))
+            .drop("parts", "other"))
 
 
-def connecting_links(members: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, slots: int, few: int = SMALL, turn: int = FIRST_TURN) -> DataFrame | None:
+def connecting_links(members: DataFrame, sets: DataFrame, percent: int, slots: int, few: int, turn: int, load: int) -> DataFrame | None:
     """(node, label): components of the links among ``members`` (key, node, half), or nothing where there is none.
 
-    Turns take ever more partners of each node, until no pair is left that may be a link and whose labels differ.
+    The most alike partners come first, whose pairs are few.  Groups whose labels still differ then get
+    the full sets, in parts of at most about ``load`` elements, and are searched for what joins them.
     """
-    least, low, high = least_agreement(slots, percent), 0, turn
-    labels, tried = None, None
-    groups = kept(members.join(signatures, "node").select("key", "node", "half", "signature"), "groups")
-    while True:
-        labelled = (groups.withColumn("label", F.col("node")) if labels is None
-                    else groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        if labels is not None:
-            open_keys = labelled.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n")).where(F.col("open") & (F.col("n") > few)).select("key")
-            groups = kept(labelled.join(open_keys, "key").select("key", "node", "half", "signature", "label"), "groups")
-            labelled, groups = groups, groups.drop("label")
-        found = kept(labelled.select("key", "node", "label", "half", "signature").repartition("key").sortWithinPartitions("key")
-                     .mapInArrow(lambda it, a=low, z=high: alike(it, least, a, z, few), "node long, center long, more boolean"), "alike")
-        asked = found.where("NOT more").select("node", "center").distinct()
-        asked = asked if tried is None else asked.join(tried, ["node", "center"], "left_anti")
-        tested = kept(distances(asked, sets, percent), "tested")
-        tried = tested.select("node", "center") if tried is None else tried.unionByName(tested.select("node", "center"))
-        new = tested.where("linked").select(F.col("node").alias("a"), F.col("center").alias("b"))
-        if not new.isEmpty():
-            known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b") if labels is not None else None
-            labels = kept(components(new if known is None else new.unionByName(known)), "labels")
-        if found.where("more").isEmpty():
-            return labels
-        low, high = high, 4 * high
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, large: int = LARGE, few: int = SMALL, turn: int = FIRST_TURN) -> DataFrame:
+    least = least_agreement(slots, percent)
+    groups = kept(members.join(sets.select("node", "signature"), "node"), "groups")
+    asked = groups.select("key", "node", "half", "signature").repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: alike(it, least, turn, few), "node long, center long").distinct()
+    first = kept(distances(asked, sets, percent).where("linked").select(F.col("node").alias("a"), F.col("center").alias("b")), "links")
+    if first.isEmpty():
+        labels, known = None, first
+        labelled = groups.withColumn("label", F.col("node"))
+    else:
+        labels = kept(components(first), "labels")
+        known = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
+        labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    weighed = labelled.select("key", "node", "half", "label").join(sets.select("node", F.size("elements").alias("size")), "node")
+    open_groups = (weighed.groupBy("key").agg((F.min("label") != F.max("label")).alias("open"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("load"))
+                   .where(F.col("open") & (F.col("n") > few)).select("key", F.ceil(F.col("load") / load).cast("int").alias("parts")))
+    dealt = kept(dealt_parts(weighed.join(open_groups, "key").select("key", "node", "half", "label", "parts")), "open-groups")
+    if dealt.isEmpty():
+        return labels
+    later = (dealt.join(sets, "node").select("key", "node", "label", "half", "part", "elements", "signature").repartition("key").sortWithinPartitions("key")
+             .mapInArrow(lambda it: joining_links(it, least, percent), "a long, b long").distinct())
+    return components(known.unionByName(later))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, large: int = LARGE, few: int = SMALL, turn: int = FIRST_TURN, load: int = LOAD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked where 100 * intersection >= ``percent`` * union of their sets of
@@ -256,17 +279,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
     """
     plain = documents(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    signed_rows = kept(plain.mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, n_shingles long, node long, bands array<long>, signature binary"), "signatures")
+    signed_rows = kept(plain.mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, n_shingles long, node long, bands array<long>"), "signatures")
     some = signed_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    first = F.min_by(F.struct("bands", "signature"), "doc_id")
-    classes = kept(some.groupBy("node").agg(F.min("doc_id").alias("smallest"), first.alias("first")).select("node", "smallest", "first.*"), "classes")
+    classes = kept(some.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     postings = classes.select("node", F.explode("bands").alias("key"))
     shared = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = kept(postings.join(shared, "key"), "shared-bands")
     chosen = kept(members.select("node").distinct().join(classes.select("node", "smallest"), "node"), "candidates")
-    texts = plain.join(chosen.select(F.col("smallest").alias("doc_id"), "node"), "doc_id").select("node", "text")
-    sets = kept(texts.mapInArrow(lambda it: full_sets(it, width), "node long, elements array<long>"), "sets")
-    labels = connecting_links(split_large(members, classes.select("node", "bands"), large), classes.select("node", "signature"), sets, percent, slots, few, turn)
+    texts = plain.join(chosen.select(F.col("smallest").alias("doc_id"), "node").hint("merge"), "doc_id").select("node", "text")
+    sets = kept(texts.mapInArrow(lambda it: full_sets(it, width, slots), "node long, elements array<long>, signature binary"), "sets")
+    labels = connecting_links(split_large(members, classes.select("node", "bands"), large), sets, percent, slots, few, turn, load)
     if labels is None:
         named = classes.select("node", F.col("smallest").alias("component_id"))
     else:
