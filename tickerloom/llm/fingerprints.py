@@ -14,11 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickerloom.llm.arrays import BYTE, STEP, U64, Prefixes, mix, text_bytes
-from tickerloom.llm.store import documents, kept
+from tickerloom.llm.store import documents
 
 @dataclass(frozen=True)
 class Sizes:
@@ -128,44 +127,31 @@ ANSWER = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerp
 
 
 def walk(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Answers for neighbours within a sorted partition; its first and last row go on as they are."""
-    part = TaskContext.get().partitionId()
-
-    def finish(batch: pa.RecordBatch, end: str | None, text: str | None) -> pa.RecordBatch:
-        n = batch.num_rows
-        return pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int32()), pa.array([end] * n, pa.string()), pa.array([text] * n, pa.string()), *batch.columns], ["part", "end", "text", *batch.schema.names])
-
-    def open_row(ids: pa.Array, end: str, text: str) -> pa.RecordBatch:
-        none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
-        return finish(pa.RecordBatch.from_arrays([ids, *none], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]), end, text)
-
-    ids, held, seen = None, [], False
+    """Answers for every row that isn't a guest, from rows sorted by range; the row behind it has the next text."""
+    ids, guests, held = None, [], []
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column("doc_id")
-        if not seen:
-            yield open_row(column.slice(0, 1), "first", batch.column("text")[0].as_py())
-            seen = True
+        column, guest = batch.column("doc_id"), batch.column("guest").to_pylist()
         _, at = text_bytes(batch.column("text"))
         begin = 0
         while begin < batch.num_rows:
             end = max(begin + 1, int(np.searchsorted(at, at[begin] + most, "right")) - 1)
             ids = column.slice(begin, end - begin) if ids is None else pa.concat_arrays([ids, column.slice(begin, end - begin)])
+            guests += guest[begin:end]
             held += batch.column("text").slice(begin, end - begin).to_pylist()
             if len(held) > 1:
-                own = ids.slice(0, len(ids) - 1)
-                yield finish(compare(own, held[:-1], held[1:]), None, None)
-                ids, held = ids.slice(len(ids) - 1), held[-1:]
+                yield compare(ids.slice(0, len(ids) - 1), held[:-1], held[1:]).filter(pa.array([not g for g in guests[:-1]]))
+                ids, guests, held = ids.slice(len(ids) - 1), guests[-1:], held[-1:]
             begin = end
-    if ids is not None:
-        yield open_row(ids, "last", held[0])
 
 
-def bridge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield compare(batch.column("doc_id").slice(i, 1), [batch.column("text")[i].as_py()], [batch.column("following")[i].as_py()])
+def range_of(key: Column, tops: list[Column], low: int, high: int) -> Column:
+    """The number of the last of the descending ``tops`` that isn't below ``key``, by halving."""
+    if high - low == 1:
+        return F.lit(low)
+    middle = (low + high) // 2
+    return F.when(key > tops[middle], range_of(key, tops, low, middle)).otherwise(range_of(key, tops, middle, high))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -175,19 +161,23 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     is the one with the next smaller id (after the last: the first); rows that repeat an id follow each
     other by a hash of their texts, rows without an id come last.  A missing text is empty: its fingerprint is
     empty, and like another empty one alone.  A single document is its own next one.  Likeness is the share of a
-    document's chunks, by bytes, that the other has.  The table is dealt by ranges of the id; only the
-    first and last rows of the partitions meet in a second step.
+    document's chunks, by bytes, that the other has.  Ids and hashes alone are dealt into ranges first.  Then
+    every text goes to its range, and the first one of each range also to the range before it, as a guest.
     """
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
+    rows = documents(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.desc_nulls_last("doc_id"), F.desc("hash")]
-    dealt = (documents(docs, "doc_id", "text").withColumn("hash", F.xxhash64("text"))
-             .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text"))
-    walked = kept(dealt.mapInArrow(walk, f"part int, end string, text string, doc_id {kind}, {ANSWER}"), "fingerprints")
-    names = [c for c in walked.columns if c not in ("part", "end", "text")]
-    # At most one row per partition.
-    parts = sorted(r.part for r in walked.where("end = 'first'").select("part").collect())
-    after = spark.createDataFrame([(p, parts[(i + 1) % len(parts)]) for i, p in enumerate(parts)], "part int, next int")
-    seams = (walked.where("end = 'last'").select("part", "doc_id", "text").join(after, "part")
-             .join(walked.where("end = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following")), "next").select("doc_id", "text", "following"))
-    return walked.where("end IS NULL").select(*names).unionByName(seams.mapInArrow(bridge, f"doc_id {kind}, {ANSWER}"))
+    key = F.struct("doc_id", "hash")
+    ranges = rows.select("doc_id", "hash").repartitionByRange(n, *order).groupBy(F.spark_partition_id()).agg(F.max(key).alias("top"))
+    found = [r.top for r in ranges.orderBy(F.desc("top")).collect()]  # at most one row per partition
+    if not found:
+        return spark.createDataFrame([], f"doc_id {kind}, {ANSWER}")
+    tops = [F.struct(F.lit(t.doc_id).cast(kind).alias("doc_id"), F.lit(t.hash).alias("hash")) for t in found]
+    own = rows.withColumn("range", range_of(key, tops, 0, len(tops))).withColumn("guest", F.lit(False))
+    first = rows.where(F.col("hash").isin([t.hash for t in found]))
+    guests = (first.withColumn("range", range_of(key, tops, 0, len(tops))).where(key == F.element_at(F.array(*tops), F.col("range") + 1))
+              .withColumn("range", F.pmod(F.col("range") - 1, F.lit(len(tops)))).withColumn("guest", F.lit(True)))
+    dealt = own.unionByName(guests).repartitionById(n, F.col("range")).sortWithinPartitions("range", "guest", *order)
+    return dealt.select("doc_id", "text", "guest").mapInArrow(walk, f"doc_id {kind}, {ANSWER}")
