@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom.llm import contamination, line_dedup, near_duplicates, packing, quality
-from tickerloom.llm.queries import labelled, table
+from tickerloom.llm.queries import table
 from tickerloom.llm.store import kept, ready, remainder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text the lines' chain takes for good, learned from the labels outside the held-out fifth."""
     labels = table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), 5) != 0)
-    chain = quality.learn(labelled(docs, labels, "quality"))
+    chain = quality.learn(docs, labels)
     return quality.scored(docs, chain, "quality_score").where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
 
 

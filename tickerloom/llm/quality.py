@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrays import LOWER, Prefixes, WHITE, blocks, edges, text_bytes
-from tickerloom.llm.store import documents
+from tickerloom.llm.store import labelled_sample
 
 SAMPLE = 4_000
 SAMPLE_BYTES = 50_000
@@ -185,14 +185,9 @@ def fit(texts: pa.Array, good: np.ndarray) -> Chain:
     return chain
 
 
-def learn(labelled: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
-    """Fit on at most ``sample`` rows of ``labelled`` (text, label 0/1) of at most ``sample_bytes`` bytes each.
-
-    The rows are those whose texts have the smallest hashes, so the choice depends on neither order
-    nor ids.  Rows without a label are left out.
-    """
-    rows = documents(labelled, "text", "label").where(F.col("label").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    chosen = rows.withColumn("hash", F.xxhash64("text", F.lit(1))).orderBy("hash", "label").limit(sample).select("text", "label").toArrow()
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
+    """Fit on at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, of at most ``sample_bytes`` bytes each."""
+    chosen = labelled_sample(docs, labels, label, sample).where(F.octet_length("text") <= sample_bytes).select("text", "label").toArrow()
     good = chosen.column("label").to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
         only = float(good[0]) if len(good) else 1.0

@@ -29,17 +29,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, name: str) -> DataFrame:
-    """Documents with their label; an id that is labelled more than once has the larger label."""
-    marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(name).alias("label"))
-    return documents.select("doc_id", "text").join(marks, "doc_id")
-
-
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 4) == 2
-    known = labelled(documents, table(spark, sf_dir, "labels").where(~held_out), "toxic")
-    found = toxicity.toxicity(documents, *toxicity.learn(documents, known))
+    model = toxicity.learn(documents, table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.toxicity(documents, *model)
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "evidence", "cosines")
 
 
@@ -86,6 +80,6 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, held_out = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 5) == 0
-    chain = quality.learn(labelled(documents, table(spark, sf_dir, "labels").where(~held_out), "quality"))
+    chain = quality.learn(documents, table(spark, sf_dir, "labels").where(~held_out))
     return quality.scored(documents.select("doc_id", "text"), chain).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))

@@ -43,3 +43,15 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a missing id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
+    """(doc_id, text, label): at most ``sample`` rows of ``docs`` whose id has a label, for fitting a model on the driver.
+
+    ``labels`` has doc_id and ``label``; an id that is labelled more than once has the larger one, and rows without
+    id or label are left out.  The ids with the smallest hashes are taken, so that what is broadcast and
+    what comes out are bounded by ``sample``, whatever the input.
+    """
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(sample)
+    return documents(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(sample)

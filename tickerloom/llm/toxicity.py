@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, signed, text_bytes
-from tickerloom.llm.store import documents, kept
+from tickerloom.llm.store import documents, kept, labelled_sample
 
 SAMPLE = 12_000
 TERMS = 4096
@@ -191,15 +191,13 @@ class Bank:
         return float(0.98 * np.interp(vote, *self.curve) + 0.02 * vote)
 
 
-def learn(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, n_terms: int = TERMS, k: int = NEIGHBOURS) -> tuple[Vocabulary, Bank]:
-    """Vocabulary and bank from at most ``sample`` rows of ``labelled`` (doc_id, text, label 0/1) and the statistics of ``docs``.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, n_terms: int = TERMS, k: int = NEIGHBOURS) -> tuple[Vocabulary, Bank]:
+    """Vocabulary and bank from at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, and the statistics of all ``docs``.
 
-    The sample has the rows whose texts have the smallest hashes.  Rows without a label are left out.
-    What reaches the driver are ``n_terms`` terms and the sample's entries of that vocabulary.
+    What reaches the driver are ``n_terms`` terms and the sample's entries of that vocabulary.  Ids of the
+    sample must be whole numbers; they are shown as evidence alone.
     """
-    rows = documents(labelled, "doc_id", "text", "label").where(F.col("label").isNotNull()).withColumn("doc_id", F.col("doc_id").cast("long"))
-    bank_rows = kept(rows.withColumn("hash", F.xxhash64("text", F.lit(1))).orderBy("hash", "label", "doc_id").limit(sample).drop("hash")
-                     .repartition(rows.sparkSession.sparkContext.defaultParallelism), "labelled")
+    bank_rows = kept(labelled_sample(docs, labels, label, sample).withColumn("doc_id", F.col("doc_id").cast("long")).repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
     ones, zeros = bank_rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("label"), F.lit(0))).first()
     counted = (bank_rows.select("text", F.col("label").cast("long").alias("label")).mapInArrow(label_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
                .where(F.col("ones") + F.col("zeros") >= LEAST_DOCS))
