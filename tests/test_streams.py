@@ -124,16 +124,25 @@ def test_live_ticks_and_enrichment_equal_the_batch(spark, tmp_path):
     assert got.filter("stock_ticker = 'A'").first().price_deviation_pct == pytest.approx(10.0)
 
 
-def test_daily_accuracy_waits_for_the_watermark(spark, tmp_path):
+def test_daily_accuracy_counts_late_outcomes(spark, tmp_path):
     schema = "stock_ticker string, target_window timestamp_ntz, actual_price double, price_error_variance double, is_prediction_correct boolean"
-    data = [("A", ts("2025-01-01T01:00:00"), 1.0, 2.0, True), ("A", ts("2025-01-01T02:00:00"), 1.0, -4.0, False),
-            ("A", ts("2025-01-01T03:00:00"), None, None, None), ("A", ts("2025-01-02T05:00:00"), 1.0, 1.0, True)]
-    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "in"))
-    live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    (outcomes.daily_accuracy(live).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
-     .trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination())
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert rows(got) == [("A", ts("2025-01-01T00:00:00"), 2, 0.5, 3.0, -1.0)]
+    first = [("A", ts("2025-01-01T01:00:00"), 1.0, 2.0, True), ("A", ts("2025-01-06T05:00:00"), 1.0, 1.0, True)]
+    late = [("A", ts("2025-01-01T02:00:00"), 1.0, -4.0, False), ("A", ts("2025-01-02T03:00:00"), None, None, None)]
+    for rows in (first, late):  # two starts on one checkpoint
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        outcomes.daily_accuracy(live, lambda: spark.read.parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(str(r.target_day), r.predictions, r.hit_rate, r.mean_error) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("2025-01-01", 2, 0.5, -1.0), ("2025-01-06", 1, 1.0, 1.0)}
+
+
+def test_any_log_keeps_late_rows(spark, tmp_path):
+    schema = "k string, moment timestamp_ntz, v int"
+    for rows in ([("a", ts("2025-01-09T00:00:00"), 2), ("a", ts("2025-01-09T00:00:00"), 1)], [("b", ts("2025-01-01T00:00:00"), 5), ("a", ts("2025-01-09T00:00:00"), 0)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        live = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        dedup.any_log(live, ["k", "moment"], str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r.k, r.v) for r in dedup.current_any(spark, str(tmp_path / "log"), ["k", "moment"]).collect()} == {("a", 0), ("b", 5)}
 
 
 def test_pending_is_retried_until_truth_arrives(spark, tmp_path):

@@ -30,6 +30,8 @@ def rounded(value: Column, digits: int) -> Column:
     ``F.round`` goes by the shortest text of a double, so 1.08345, which is stored a little
     below that, would become 1.0835 instead of 1.0834.  Formatting goes by the stored value.
     """
+    if digits < 4:
+        raise ValueError("values from 1e15 on, which are left as they are, have up to 3 decimals")
     text = F.call_function("format_number", value, F.lit("0." + "0" * digits))
     # Formatting takes a lone last 5 for an exact half, so the smallest values are compared instead.
     unit, half = float(f"1e-{digits}"), float(f"5e-{digits + 1}")

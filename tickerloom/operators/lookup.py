@@ -41,6 +41,8 @@ def measured_bytes(df: DataFrame) -> int:
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Join ``facts`` with ``lookup``, which is computed once and measured first."""
+    if how not in ("left", "inner", "left_semi", "left_anti"):
+        raise ValueError(f"{how}: every row of the result must belong to a row of facts")
     lookup = settle(lookup)
     if measured_bytes(lookup) <= max_bytes:
         return facts.join(F.broadcast(lookup), list(on), how)

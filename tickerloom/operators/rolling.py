@@ -18,13 +18,13 @@ def latest_trailing(df: DataFrame, key: str, order: str, value: str,
     """Per key the newest value with mean and sample deviation of the newest ``n`` rows.
 
     Equal to trailing frames over the whole series cut to the newest row, but each task
-    sends on at most ``n`` rows per key.  ``order`` must be unique within a key.
+    sends on at most ``n`` rows per key.  ``order`` must be unique within a key; a missing one is the newest.
     """
-    newest = Window.partitionBy(key).orderBy(F.col(order).desc())
+    newest = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_first())
     recent = (df.select(key, order, value)
               .withColumn("_rank", F.row_number().over(newest)).filter(F.col("_rank") <= n))
     return recent.groupBy(key).agg(
-        F.max_by(value, order).alias("latest"),
+        F.max(F.when(F.col("_rank") == 1, F.col(value))).alias("latest"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("deviation"),
     )

@@ -47,16 +47,37 @@ def evaluate(due: DataFrame, stream: DataFrame, as_of: datetime | str | None = N
                     now(as_of).alias("dw_inserted_at")))
 
 
+def daily_totals(evaluated: DataFrame) -> DataFrame:
+    """Per ticker and day of the target: predictions with an outcome, hits and errors."""
+    return (evaluated.filter("actual_price IS NOT NULL")
+            .groupBy("stock_ticker", F.to_date("target_window").alias("target_day"))
+            .agg(F.count(F.lit(1)).alias("predictions"),
+                 F.avg(F.col("is_prediction_correct").cast("double")).alias("hit_rate"),
+                 F.avg(F.abs("price_error_variance")).alias("mean_abs_error"),
+                 F.avg("price_error_variance").alias("mean_error")))
+
+
+def store(outcomes: DataFrame, path: str, batch: str) -> None:
+    """Add outcomes to their table; the same batch again replaces what it wrote before.
+
+    Scheduled runs and streams both write through here, so that they can share one table.
+    """
+    (outcomes.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+
+
+def one_outcome(stored: DataFrame) -> DataFrame:
+    """Stored outcomes with one per prediction, the earliest, whichever writers settled it."""
+    rest = [c for c in stored.columns if c not in ("prediction_id", "batch", "dw_inserted_at")]
+    first = F.min(F.struct("dw_inserted_at", *rest)).alias("_first")
+    return (stored.groupBy("prediction_id").agg(first)
+            .select("prediction_id", *[F.col("_first")[c].alias(c) for c in rest], F.col("_first.dw_inserted_at").alias("dw_inserted_at")))
+
+
 def accuracy(evaluated: DataFrame, trailing_days: int = 7) -> DataFrame:
-    """Per ticker and day: hits and errors, and their drift from the days before."""
-    day = F.window(F.col("target_window").cast("timestamp"), "1 day").start.cast("date")
-    daily = (evaluated.filter("actual_price IS NOT NULL")
-             .groupBy("stock_ticker", day.alias("target_day"))
-             .agg(F.count(F.lit(1)).alias("predictions"),
-                  F.avg(F.col("is_prediction_correct").cast("double")).alias("hit_rate"),
-                  F.avg(F.abs("price_error_variance")).alias("mean_abs_error"),
-                  F.avg("price_error_variance").alias("mean_error")))
-    before = Window.partitionBy("stock_ticker").orderBy("target_day").rowsBetween(-trailing_days, -1)
+    """Per ticker and day: hits and errors, and their drift from the ``trailing_days`` calendar days before."""
+    daily = daily_totals(evaluated)
+    before = Window.partitionBy("stock_ticker").orderBy(F.unix_date("target_day")).rangeBetween(-trailing_days, -1)
     return daily.select("*",
                         (F.col("hit_rate") - F.avg("hit_rate").over(before)).alias("hit_rate_drift"),
                         (F.col("mean_abs_error") - F.avg("mean_abs_error").over(before)).alias("abs_error_drift"))

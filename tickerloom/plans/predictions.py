@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom import names
 from tickerloom.functions.clock import now_utc, to_second
@@ -80,20 +80,27 @@ def news_with_market(news: DataFrame, features: DataFrame) -> DataFrame:
 
 def predict(news: DataFrame, features: DataFrame, as_of: datetime | str | None = None,
             load_model: Callable[[], TextModel] | None = None, limit: int | None = None,
-            stable_ids: bool = True, expression: Callable[[Column], Column] = word_sentiment) -> DataFrame:
+            stable_ids: bool = True, keep_failed: bool = False, expression: Callable[[Column], Column] = word_sentiment) -> DataFrame:
     """One prediction per news row with a market row.
 
     With ``stable_ids`` a repeated run over the same moment makes the same ids, so it can be
     anti-joined before appending; otherwise ids are random.  ``limit`` scores only the
-    newest news.
+    newest news.  A text that the model fails on makes no prediction, so that a later run tries it again,
+    unless ``keep_failed`` gives it the score 0.  News that agree in id, ticker and text are
+    numbered, so that no two predictions of a run share an id, whether news have an id or not.
     """
     rows = news.select("asset_key", "asset_ticker", "news_id", "nlp_text_payload", "published_timestamp")
     if limit is not None:
         rows = rows.orderBy(F.col("published_timestamp").desc(), "news_id", "asset_ticker").limit(limit)
     scored = with_sentiment(news_with_market(rows, features), "nlp_text_payload", load_model, expression)
+    if not keep_failed:
+        scored = scored.filter("score_status = 'ok'")
     made = to_second(now_utc(as_of))
     if stable_ids:
-        made_id = F.md5(F.concat_ws("|", "news_id", "asset_ticker",
+        named = [F.coalesce("news_id", F.lit("")), F.col("asset_ticker"), F.coalesce("nlp_text_payload", F.lit(""))]
+        alike = Window.partitionBy("news_id", "asset_ticker", "nlp_text_payload").orderBy("published_timestamp")
+        scored = scored.withColumn("_copy", F.row_number().over(alike))
+        made_id = F.md5(F.concat_ws("|", *named, F.col("_copy").cast("string"),
                                     F.date_format(made, "yyyy-MM-dd HH:mm:ss")).cast("binary"))
     else:
         made_id = F.uuid()

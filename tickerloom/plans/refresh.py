@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
@@ -59,15 +60,20 @@ def score(tables: Tables, as_of: datetime | str | None = None, limit: int | None
 def evaluate(tables: Tables, as_of: datetime | str | None = None) -> None:
     """Append outcomes for predictions whose moment has come."""
     made = tables.read_or_empty(names.FCT_PREDICTIONS, schemas.PREDICTIONS)
-    done = tables.read_or_empty(EVALUATIONS, schemas.EVALUATIONS)
-    due = evaluation.pending(made, done, as_of)
-    tables.append(EVALUATIONS, evaluation.evaluate(due, tables.read(names.FCT_STREAM), as_of))
+    due = evaluation.pending(made, outcomes_table(tables), as_of)
+    batch = f"refresh-{as_of or datetime.now(timezone.utc).isoformat()}".replace(":", "").replace(" ", "T")
+    evaluation.store(evaluation.evaluate(due, tables.read(names.FCT_STREAM), as_of), tables.path(EVALUATIONS), f"{batch}-{uuid.uuid4().hex[:8]}")
+
+
+def outcomes_table(tables: Tables) -> DataFrame:
+    """The outcomes of scheduled runs and streams, one per prediction."""
+    return evaluation.one_outcome(tables.read_or_empty(EVALUATIONS, schemas.EVALUATIONS))
 
 
 def predictions_table(tables: Tables) -> DataFrame:
     """The prediction table with outcomes."""
     return evaluation.merged(tables.read_or_empty(names.FCT_PREDICTIONS, schemas.PREDICTIONS),
-                             tables.read_or_empty(EVALUATIONS, schemas.EVALUATIONS))
+                             outcomes_table(tables))
 
 
 def refresh(tables: Tables, bronze_root: str, as_of: datetime | str | None = None, limit: int | None = None,

@@ -42,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     in_use = sc.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or in_use
     if not named:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith(("local[", "local ")) and sc.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tickerloom-")
     if in_use is None or named.removeprefix("file:").rstrip("/") not in in_use:

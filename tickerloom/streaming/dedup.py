@@ -1,19 +1,19 @@
 """Deduplication of streams.
 
-Where any copy will do, the first to arrive is kept, with state bounded by a watermark.
-Where the latest must win, arrival order is not enough: each batch is reduced and
-appended to a log, and reading the log reduces once more.  Reducing is idempotent, so
+Each batch is reduced and appended to a log, and reading the log reduces once more: no row is
+too late, and the result is that of the whole table.  :func:`first_arrivals` bounds its state by a
+watermark instead; it drops rows that are later than its delay.  Reducing is idempotent, so
 repeated batches and late or early compaction never change what is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tickerloom.operators.dedup import keep_latest
+from tickerloom.operators.dedup import keep_any, keep_latest
 from tickerloom.streaming.ingest import triggered
 
 
@@ -21,6 +21,9 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str, dela
                    pieces: int = 8) -> DataFrame:
     """First copy per key among those that arrive within ``delay`` of each other.
 
+    Rows later than ``delay`` behind the newest one of an earlier batch are lost; where that
+    must not be, use :func:`any_log`.
+
     A stream cannot reduce before the shuffle, so copies are first told apart in ``pieces`` by
     the split they came in; then at most ``pieces`` copies of a key meet in one task.
     """
@@ -31,12 +34,12 @@ def first_arrivals(stream: DataFrame, keys: Sequence[str], event_time: str, dela
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
-def latest_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str,
-               run: str = "latest", continuous: bool = False) -> StreamingQuery:
-    """Append each batch's latest rows to the log under ``root``."""
+def batch_log(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], root: str, checkpoint: str,
+              run: str, continuous: bool) -> StreamingQuery:
+    """Append each batch, reduced by itself, to the log under ``root``."""
 
     def append(batch: DataFrame, number: int) -> None:
-        (keep_latest(batch, keys, order).withColumn("batch", F.lit(f"{run}-{number}"))
+        (reduce(batch).withColumn("batch", F.lit(f"{run}-{number}"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch").parquet(root))
 
@@ -44,6 +47,23 @@ def latest_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str], roo
     return triggered(writer, continuous).start()
 
 
+def any_log(stream: DataFrame, keys: Sequence[str], root: str, checkpoint: str,
+            run: str = "any", continuous: bool = False) -> StreamingQuery:
+    """Append each batch's rows, one per key, to the log under ``root``; no row is ever too late."""
+    return batch_log(stream, lambda batch: keep_any(batch, keys), root, checkpoint, run, continuous)
+
+
+def current_any(spark: SparkSession, root: str, keys: Sequence[str]) -> DataFrame:
+    """One row per key over the whole log, the same as without a stream."""
+    return keep_any(spark.read.parquet(root).drop("batch"), keys)
+
+
+def latest_log(stream: DataFrame, keys: Sequence[str], order: Sequence[str], root: str, checkpoint: str,
+               run: str = "latest", continuous: bool = False) -> StreamingQuery:
+    """Append each batch's latest rows to the log under ``root``."""
+    return batch_log(stream, lambda batch: keep_latest(batch, keys, order), root, checkpoint, run, continuous)
+
+
 def current(spark: SparkSession, root: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The latest row per key over the whole log."""
     return keep_latest(spark.read.parquet(root).drop("batch"), keys, order)

@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.plans import marts, staging, unified
-from tickerloom.streaming.dedup import first_arrivals
+from tickerloom.streaming import dedup
 from tickerloom.streaming.ingest import triggered
 
 
+TRADE_KEYS = ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"]
+QUOTE_KEYS, QUOTE_ORDER = ["asset_ticker", "sequence_id"], ["event_timestamp"]
+
+
+def trade_log(raw: DataFrame, root: str, checkpoint: str, run: str = "trades", continuous: bool = False) -> StreamingQuery:
+    """Append the trades of each batch; late ones too."""
+    return dedup.any_log(staging.parse_trades(raw), TRADE_KEYS, root, checkpoint, run, continuous)
+
+
+def quote_log(raw: DataFrame, root: str, checkpoint: str, run: str = "quotes", continuous: bool = False) -> StreamingQuery:
+    return dedup.latest_log(staging.parse_quotes(raw), QUOTE_KEYS, QUOTE_ORDER, root, checkpoint, run, continuous)
+
+
+def logged_trades(spark: SparkSession, root: str) -> DataFrame:
+    return dedup.current_any(spark, root, TRADE_KEYS)
+
+
+def logged_ticks(spark: SparkSession, quote_root: str, trade_root: str) -> DataFrame:
+    """Both feeds as far as they have come, equal to the unified table of the same messages."""
+    return unified.market_ticks(dedup.current(spark, quote_root, QUOTE_KEYS, QUOTE_ORDER), logged_trades(spark, trade_root))
+
+
 def live_trades(raw: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    keys = ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"]
-    once = first_arrivals(staging.parse_trades(raw), keys, "event_timestamp", delay)
+    """Trades as they arrive, without those that come later than ``delay``; :func:`trade_log` keeps all."""
+    once = dedup.first_arrivals(staging.parse_trades(raw), TRADE_KEYS, "event_timestamp", delay)
     return once.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
 
 

@@ -30,23 +30,24 @@ def retry_pending(new_ticks: DataFrame, read_predictions: Callable[[], DataFrame
         if keep_days is not None:
             newest = evaluation.now_utc(as_of) - F.expr(f"INTERVAL {keep_days} DAYS")
             due = due.filter(F.col("target_window") >= newest)
-        (evaluation.evaluate(due, read_stream(), as_of, **how).withColumn("batch", F.lit(label))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch").parquet(target))
+        evaluation.store(evaluation.evaluate(due, read_stream(), as_of, **how), target, label)
 
     writer = new_ticks.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
     return triggered(writer, continuous).start()
 
 
-def daily_accuracy(evaluated: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Hits and errors per ticker and tumbling window, final once the watermark has passed."""
-    timed = (evaluated.filter("actual_price IS NOT NULL")
-             .withColumn("_moment", F.col("target_window").cast("timestamp"))
-             .withWatermark("_moment", delay))
-    return (timed.groupBy(F.window("_moment", width).alias("_window"), "stock_ticker")
-            .agg(F.count(F.lit(1)).alias("predictions"),
-                 F.avg(F.col("is_prediction_correct").cast("double")).alias("hit_rate"),
-                 F.avg(F.abs("price_error_variance")).alias("mean_abs_error"),
-                 F.avg("price_error_variance").alias("mean_error"))
-            .select("stock_ticker", F.col("_window.start").alias("window_start"),
-                    "predictions", "hit_rate", "mean_abs_error", "mean_error"))
+def daily_accuracy(new_outcomes: DataFrame, read_evaluated: Callable[[], DataFrame], target: str, checkpoint: str,
+                   continuous: bool = False) -> StreamingQuery:
+    """Keep hits and errors per ticker and day equal to the stored outcomes, however late one comes.
+
+    Each batch makes the days that it touches anew; ``target`` is partitioned by day.
+    """
+
+    def replace(batch: DataFrame, _: int) -> None:
+        days = batch.filter("actual_price IS NOT NULL").select(F.to_date("target_window").alias("target_day")).distinct()
+        stored = read_evaluated().withColumn("target_day", F.to_date("target_window"))
+        (evaluation.daily_totals(stored.join(days, "target_day", "left_semi").drop("target_day"))
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("target_day").parquet(target))
+
+    writer = new_outcomes.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint)
+    return triggered(writer, continuous).start()
