@@ -161,7 +161,9 @@ def bad_share(p: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def fit(texts: pa.Array, good: np.ndarray) -> Chain:
     """A chain and its curve from texts with labels (1 good, 0 bad)."""
-    x, size, first = line_features(*text_bytes(texts))
+    parts = [line_features(*text_bytes(part.column(0))) for part in blocks([pa.RecordBatch.from_arrays([texts], ["text"])], "text", 1_000_000)]
+    x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))])
     bad_doc = np.repeat(1 - good, np.diff(first))
     labels, chain = bad_doc.astype(float), None
     for turn in range(3):

@@ -1,7 +1,7 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
-Terms are whole words and word beginnings of 4 to 6 bytes, as insults are inflected.  Those that tell the
-labels apart on a bounded sample of labelled rows make the vocabulary; their document frequencies are
+Terms are whole words and word beginnings of 4 to 6 bytes, as insults are inflected.  Those that stand
+more often with label 1 in a bounded sample of labelled rows make the vocabulary; their document frequencies are
 counted over all documents.  The sample is the bank of examples, held as an inverted index in blocks: the
 largest weight of each term in a block bounds what its examples can reach, so that blocks are
 opened in the order of their bounds until no other can matter.  The result is exact.  Neighbours
@@ -206,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     seen_in = F.col("ones") + F.col("zeros")
     part = lambda n, rate: F.when(n > 0, n * F.log(n / (seen_in * rate))).otherwise(0.0)
     ratio = 2 * (part(F.col("ones"), F.lit(p)) + part(F.col("zeros"), F.lit(1 - p)))  # log-likelihood ratio against the common rate
-    chosen = counted.withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("ratio"), "term").limit(n_terms).select("term").toArrow()
+    chosen = counted.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("ones") > seen_in * p)).orderBy(F.desc("ratio"), "term").limit(n_terms).select("term").toArrow()
     hashes = np.sort(chosen.column("term").to_numpy().astype(np.int64)) if 0 < ones < total else np.zeros(0, np.int64)
     vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
     counts = documents(docs, "text").mapInArrow(lambda it, v=vocabulary: document_counts(it, v), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
