@@ -119,7 +119,7 @@ def token_counts(docs: DataFrame, path: str | None = None, chunk: int = CHUNK, o
         failed = got.where(F.col("n_tokens").isNull())
         if width >= longest or failed.isEmpty():
             break
-        wide *= WIDEN
+        wide = max(wide, 1) * WIDEN
         width = max(width, 4 * wide)
         todo = todo.join(failed.select("key"), "key", "left_semi")
     if found is None:

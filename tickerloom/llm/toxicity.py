@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, signed, text_bytes
+from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, runs, signed, text_bytes
 from tickerloom.llm.store import documents, kept, labelled_sample
 
 SAMPLE = 12_000
@@ -144,19 +144,16 @@ class Bank:
                 break
             opened, order = order[:step], order[step:]
             step *= 2
-            for b in opened:
-                if len(best) == k and bounds[b] < scores[-1]:
-                    continue
-                mine = by_block[at[b]:at[b + 1]]
-                sums = np.zeros(BLOCK)
-                for c, q in zip(cell[mine], query[mine]):
-                    a, z = self.cell_at[c], self.cell_at[c + 1]
-                    sums[self.example[a:z] - b * BLOCK] += q * self.weight[a:z]
-                found = np.flatnonzero(sums > 0)
-                found = found[found + b * BLOCK != without]
-                best, scores = np.append(best, found + b * BLOCK), np.append(scores, sums[found])
-                top = np.lexsort((best, -scores))[:k]
-                best, scores = best[top], scores[top]
+            opened = opened[bounds[opened] >= scores[-1]] if len(best) == k else opened
+            mine = by_block[np.concatenate([np.arange(at[b], at[b + 1]) for b in opened])]
+            counts = self.cell_at[cell[mine] + 1] - self.cell_at[cell[mine]]
+            entry = np.repeat(self.cell_at[cell[mine]], counts) + runs(counts)
+            sums = np.bincount(self.example[entry], np.repeat(query[mine], counts) * self.weight[entry], len(self.labels))
+            found = np.flatnonzero(sums > 0)
+            found = found[found != without]
+            best, scores = np.append(best, found), np.append(scores, sums[found])
+            top = np.lexsort((best, -scores))[:k]
+            best, scores = best[top], scores[top]
         return best, scores
 
     def vote(self, best: np.ndarray, scores: np.ndarray) -> float:
