@@ -1,0 +1,408 @@
+"""Each operator against a plain version, and on missing, empty, repeated and clashing rows."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc
+from tickerloom.llm.arrays import Prefixes, edges, text_bytes
+from tickerloom.llm.components import components
+from tickerloom.llm.store import labelled_sample, ready
+from tickerloom.llm.wordbpe import encoder
+
+DOCS = "doc_id long, text string, n_tokens string, score string, label string, key string, hash string"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def found(spark):
+    ready(spark)
+
+
+def documents(spark, rows):
+    """Documents with extra columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "x", "x", "x", "x", "x") for i, t in rows], DOCS)
+
+
+def words(n, seed, size=40):
+    chance = random.Random(seed)
+    return " ".join("".join(chance.choice("abcdeimnorst") for _ in range(chance.randint(2, 7))) + chance.choice(["", "", ",", "."]) for _ in range(n))
+
+
+ODD = [(1, None), (2, ""), (2, ""), (3, " \n\t "), (None, "no id here"), (4, "Ünïcode — 漢字 İ ΣΑΣ don't 12.5 <|endoftext|> H̱"), (5, "one"), (5, "two")]
+
+
+def test_stretches_hash_alike_wherever_they_stand():
+    raw = np.frombuffer(b"abcabc", np.uint8)
+    hashes = Prefixes(raw).of(np.array([0, 3, 1]), np.array([3, 6, 3]))
+    assert hashes[0] == hashes[1] != hashes[2]
+
+
+def test_runs_end_with_their_text():
+    raw, at = text_bytes(pa.array(["ab", "", "cd e"]))
+    begin, end = edges(raw != 0x20, at)
+    assert list(zip(begin, end)) == [(0, 2), (2, 4), (5, 6)]
+
+
+# op1
+
+@pytest.mark.parametrize("chunk,overlap", [(20_000, 256), (60, 4), (30, 0)])
+def test_token_counts_are_those_of_the_library(spark, chunk, overlap):
+    rows = ODD + [(10, words(300, 1)), (11, "x" * 500), (12, "\n\n".join([words(40, 2)] * 3)), (13, "<|endoftext|>" * 30)]
+    got = token_counts.token_counts(documents(spark, rows), chunk=chunk, overlap=overlap).collect()
+    plain = encoder().whole
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in got) == sorted((i or 0, len((t or "").encode()), len(plain(t or ""))) for i, t in rows)
+
+
+def test_token_counts_of_no_documents(spark):
+    assert token_counts.token_counts(documents(spark, [])).collect() == []
+
+
+# op2
+
+def test_nearest_examples_are_exact():
+    chance = np.random.default_rng(1)
+    n, terms = 500, 40
+    dense = (chance.random((n, terms)) < 0.1) * chance.random((n, terms))
+    norm = np.linalg.norm(dense, axis=1, keepdims=True)
+    dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
+    doc, term = np.nonzero(dense)
+    bank = toxicity.Bank(np.searchsorted(doc, np.arange(n + 1)), term, dense[doc, term], (chance.random(n) < 0.3).astype(float), np.arange(n), terms)
+    for query in dense[:60]:
+        some = np.flatnonzero(query)
+        best, scores = bank.nearest(some, query[some], 10)
+        every = dense @ query
+        expected = np.sort(every[every > 1e-12])[::-1][:10]
+        assert np.allclose(scores, expected)
+        assert np.allclose(every[bank.ids[best]], scores)
+
+
+def test_toxicity_finds_words_and_their_stems(spark):
+    chance = random.Random(3)
+    rows = [(i, words(30, i) + (f" grobi{chance.choice(['al', 'en', 'um'])} {words(5, i + 9999)}" if i % 5 == 0 else "")) for i in range(400)]
+    docs = documents(spark, rows + [(900, "grobisch " + words(20, 7)), (901, words(20, 8)), (None, None), (902, "")])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(400)] + [(None, 1), (1, None), (77777, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, *toxicity.learn(docs, labels)).collect()}
+    assert got[900].score > 0.8 and got[900].evidence and all(e % 5 == 0 for e in got[900].evidence)
+    assert max(got[901].score, got[902].score, got[None].score) < 0.1
+    assert len(got) == 404
+    # Without labels every text gets the same score.
+    assert {r.score for r in toxicity.toxicity(docs, *toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
+
+
+# op3
+
+def shingle_set(text, width):
+    split = re.findall("[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(split[i:i + width]) for i in range(max(len(split) - width + 1, min(len(split), 1)))}
+
+
+def plain_components(rows, width, percent):
+    sets = [(i, shingle_set(t, width)) for i, t in rows]
+    root = list(range(len(sets)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(sets)):
+            for b in range(a):
+                one, other = sets[a][1], sets[b][1]
+                if root[a] != root[b] and one and other and 100 * len(one & other) >= percent * len(one | other):
+                    root[a] = root[b] = min(root[a], root[b])
+                    changed = True
+    lowest = {}
+    for (i, _), r in zip(sets, root):
+        lowest[r] = min(lowest.get(r, i), i)
+    return {(i, len(s), lowest[r]) for (i, s), r in zip(sets, root)}
+
+
+@pytest.mark.parametrize("how", [{}, {"large": 4, "few": 2, "turn": 1, "load": 200}])
+@pytest.mark.parametrize("width,percent", [(3, 85), (5, 80)])
+def test_near_duplicates_lose_no_link(spark, width, percent, how):
+    chance = random.Random(5)
+    rows = []
+    for family in range(4):
+        base = words(60, family).split()
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(chance.randint(0, 5)):
+                copy[chance.randrange(len(copy))] = words(1, chance.random())
+            base = copy if chance.random() < 0.3 else base  # chains as well as stars
+            rows.append((len(rows) + 1, " ".join(copy)))
+    rows += [(200 + i, t) for i, t in enumerate(["A b C", "a B c", "a b", "", "  ", words(60, 0)])]
+    got = near_duplicates.near_duplicates(documents(spark, rows), width, percent, **how).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == plain_components(rows, width, percent)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    got = near_duplicates.near_duplicates(documents(spark, ODD + [(None, "one"), (9, "ONE")])).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0, r.kept) for r in got) == [
+        (0, 1, 0, True), (0, 1, 0, True), (1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True), (3, 0, 3, True), (4, 5, 4, True), (5, 1, 5, True), (5, 1, 5, True), (9, 1, 5, False)]
+    assert near_duplicates.near_duplicates(documents(spark, [])).collect() == []
+
+
+def test_superminhash_estimates_the_likeness():
+    one, other = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
+    table = near_duplicates.signatures([one, other, one[:0], one[:1]], 512)
+    assert abs((table[0] == table[1]).mean() - 800 / 1200) < 0.06
+    assert (table[2] == near_duplicates.EMPTY).all() and (table[3] != near_duplicates.EMPTY).all()
+
+
+def test_components_of_a_long_chain(spark):
+    n = 300
+    order = random.Random(1).sample(range(n), n)
+    links = spark.createDataFrame([(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1001)], "a long, b long").repartition(7)
+    got = {r.node: r.label for r in components(links).collect()}
+    assert got == {i: 0 for i in range(n)} | {1000: 1000, 1001: 1000}
+
+
+# op4
+
+def test_fingerprints_follow_the_definition(spark):
+    rows = [(i, words(chance, i)) for i, chance in enumerate([0, 3, 30, 200, 200, 400, 1, 50] * 4)] + [(500, None), (501, words(400, 5))]
+    got = {r.doc_id: r for r in fingerprints.document_fingerprints(documents(spark, rows)).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    for k, (i, text) in enumerate(order):
+        text, following = text or "", order[(k + 1) % len(order)][1] or ""
+        n = len(text) // 3
+        changed = text[:len(text) - n] + following[:n]
+        row = got[i]
+        assert (row.n_chars, row.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        parsed = [fingerprints.parse(x) for x in (row.fingerprint, row.edited_fingerprint, got[order[(k + 1) % len(order)][0]].fingerprint)]
+        assert row.near_edited == pytest.approx(fingerprints.contained(parsed[0], parsed[1]))
+        assert row.near_next == pytest.approx(fingerprints.contained(parsed[0], parsed[2]))
+    assert got[501].fingerprint == got[5].fingerprint
+
+
+def test_an_insertion_moves_few_chunks():
+    text = words(2000, 1)
+    one, other = fingerprints.chunk_sets(pa.array([text, "something new. " + text[:500] + "x" + text[500:]]))
+    assert fingerprints.contained(one, other) > 0.98
+
+
+def test_fingerprints_of_odd_rows(spark):
+    assert fingerprints.document_fingerprints(documents(spark, ODD)).count() == len(ODD)
+    single = fingerprints.document_fingerprints(documents(spark, [(7, "abcdef")])).first()
+    assert single.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and single.near_next == 1.0
+    assert fingerprints.document_fingerprints(documents(spark, [])).collect() == []
+
+
+# op5
+
+def test_packing_is_whole_and_tight(spark):
+    rows = ODD + [(100 + i, words(n, i)) for i, n in enumerate([2000, 900, 5, 40, 300, 700] * 12)]
+    docs = documents(spark, rows)
+    packed = packing.pack(packing.pieces(docs, with_ids=True, capacity=512), capacity=512, shard=20).collect()
+    want = []
+    for i, text in rows:
+        ids = np.append(encoder().whole(text or ""), 1).astype("<u4")
+        want += [(i or 0, k // 512, k, len(ids[k:k + 512]), zlib.crc32(ids[k:k + 512].tobytes())) for k in range(0, len(ids), 512)]
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    ends = {}
+    for r in sorted(packed, key=lambda r: r.offset):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+        assert len(r.ids) == r.length
+    assert max(ends.values()) <= 512
+    assert len(ends) <= 1.05 * sum(r.length for r in packed) / 512 + 1
+    assert packing.pack(packing.pieces(documents(spark, []))).collect() == []
+
+
+def test_crossover_keeps_every_item():
+    chance = random.Random(2)
+    sizes = np.array([chance.randint(1, 99) for _ in range(80)])
+    one, other = packing.first(sizes, 100, 2, chance)
+    child = packing.mutate(packing.crossover(one, other, sizes, 100, chance), sizes, 100, chance)
+    assert sorted(i for b in child for i in b) == list(range(80))
+    assert all(sizes[b].sum() <= 100 for b in child)
+
+
+# op6
+
+def test_archives_give_back_every_payload(spark, tmp_path):
+    big = words(3000, 1)
+    rows = [(3, "http://a/\r\nX: y", big), (1, None, big), (2, "u", "short"), (5, "u", "short"), (7, "u", None), (None, "u", big), (8, "u", "é" * 60), (9, "u", "é" * 60), (9, "u", "é" * 60), (10, "u", "WARC/1.0\r\n\r\n" * 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    base, files = warc.write_archives(pages, f"file://{tmp_path}/archive", chunk=1000)
+    chunks = warc.read_archives(base, files, chunk=700)
+    got = warc.records(chunks).collect()
+    shared = {1: None, 3: "1", 8: None, 9: "8"}
+    want = [(str(i) if i else None, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), shared.get(i)) for i, _, h in rows]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.refers_to) for r in got], key=key) == sorted(want, key=key)
+    assert all((r.record_type == "revisit") == (r.refers_to is not None) for r in got)
+    parts = chunks.where("record_id = '<urn:page:1>'").orderBy("chunk_no").collect()
+    assert b"".join(bytes(p.data) for p in parts).decode() == big and max(len(p.data) for p in parts) <= 700
+    assert [p.last for p in parts] == [False] * (len(parts) - 1) + [True]
+
+
+def test_archives_of_no_pages(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.records(warc.read_archives(*warc.write_archives(pages))).collect() == []
+
+
+# op7
+
+def plain_hits(docs, items, width):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {}
+    for item, text in items:
+        w = split(text)
+        for k in range(max(len(w) - width + 1, min(len(w), 1))):
+            windows.setdefault(tuple(w[k:k + width]), set()).add(item)
+    out = []
+    for i, text in docs:
+        w, hit, names = split(text), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if (found_items := windows.get(tuple(w[k:k + size]))) is not None:
+                    hit |= set(range(k, k + size))
+                    names |= found_items
+        out.append((i or 0, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(map(str, names))).encode()).hexdigest(), bool(hit)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [200_000, 20])
+def test_contamination_equals_a_plain_search(spark, block):
+    items = [(1, words(25, 1)), (10, words(12, 2)), (2, words(25, 1)), (3, "Only Three words"), (3, words(11, 3)), (4, "one"), (5, None), (6, "!!!")]
+    docs = ODD + [(50, words(30, 7) + " " + words(25, 1).upper() + " " + words(12, 2)), (51, "only three! WORDS only three"), (52, words(25, 1)[20:]), (52, words(25, 1)[20:]), (53, words(12, 2) + words(11, 3))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination.summary(contamination.contamination(documents(spark, docs), benchmark, block=block)).collect()
+    assert sorted((r.doc_id or 0, *tuple(r)[1:]) for r in got) == plain_hits(docs, items, 10)
+
+
+def test_contamination_without_items_and_without_documents(spark):
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    assert {r.contaminated for r in contamination.summary(contamination.contamination(documents(spark, ODD), benchmark)).collect()} == {False}
+    some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert contamination.contamination(documents(spark, []), some).collect() == []
+
+
+def test_contamination_by_nearness(spark):
+    benchmark = spark.createDataFrame([(1, "red green blue black")], "item_id long, text string")
+    docs = documents(spark, [(1, "black and blue with green or red"), (2, "red " + "x " * 30 + "green blue black"), (3, "red green blue black")])
+    got = {r.doc_id: (r.items, r.near_items) for r in contamination.contamination(docs, benchmark, near=8).collect()}
+    assert got == {1: ([], [1]), 2: ([], []), 3: ([1], [1])}
+
+
+# op8
+
+def test_bit_parallel_distance_is_exact():
+    chance = random.Random(1)
+    one, other = [], []
+    for _ in range(1500):
+        a = "".join(chance.choice("abé漢") for _ in range(chance.randint(0, 30)))
+        b = list(a)
+        for _ in range(chance.randint(0, 4)):
+            p = chance.randint(0, len(b))
+            b[p:p + chance.randint(0, 1)] = chance.choice(["", "a", "b"])
+        one.append(a)
+        other.append("".join(b))
+    for most in range(4):
+        assert list(line_dedup.within(one, other, most)) == [line_dedup.plain_distance(a, b) <= most for a, b in zip(one, other)]
+
+
+@pytest.mark.parametrize("heavy", [20_000, 3])
+def test_lines_equal_a_plain_search(spark, heavy, monkeypatch):
+    chance = random.Random(4)
+    base = [words(6, i) for i in range(4)]
+    rows = [(1, None), (2, ""), (3, "short\nshort\n"), (3, "short")]
+    for i in range(40):
+        lines = []
+        for _ in range(4):
+            line = list(chance.choice(base))
+            for _ in range(chance.randint(0, 3)):
+                line[chance.randrange(len(line))] = chance.choice("xyz")
+            lines.append("".join(line))
+        rows.append((10 + i, "\n".join(lines)))
+    docs = documents(spark, rows)
+    if heavy == 3:
+        plain = line_dedup.near_lines
+        monkeypatch.setattr(line_dedup, "near_lines", lambda *a: plain(*a, heavy=3))
+    got = line_dedup.line_classes(docs).collect()
+    places = {}
+    for i, text in rows:
+        for k, line in enumerate((text or "").split("\n")):
+            places.setdefault(line, []).append((i, k))
+    long = [x for x in places if len(x) >= 20]
+    near = {x: [y for y in long if y != x and line_dedup.plain_distance(x, y) <= 2] for x in long}
+    want = {}
+    for line, where in places.items():
+        for place in where:
+            want[place] = ((min(min(places[y]) for y in [line, *near[line]]), len(near[line])) if line in near else (place, 0))
+    assert {(r.doc_id, r.line_no): ((r.first_doc_id, r.first_line_no), r.n_links) for r in got} == want
+    assert all(r.kept == ((r.doc_id, r.line_no) == (r.first_doc_id, r.first_line_no)) for r in got)
+
+
+def test_texts_without_repeated_lines(spark):
+    line, other = "a line of more than twenty characters", "another line of more than twenty characters"
+    docs = documents(spark, [(1, f"{line}\nx\nx"), (2, line), (3, f"{other}\n{line}"), (None, None), (4, "")])
+    left = line_dedup.without_repeated_lines(docs)
+    assert left.columns == docs.columns
+    assert {(r.doc_id, r.text) for r in left.collect()} == {(1, f"{line}\nx\nx"), (3, other), (None, None), (4, "")}
+
+
+# op9
+
+def test_language_spans(spark):
+    rows = [(i, words(60, i).replace("a", "ö"), "x1") for i in range(20)] + [(100 + i, words(60, 100 + i).replace("a", "ł"), "x2") for i in range(20)] + [(200 + i, "привет мир " * 20, "ru") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn(docs.unionByName(docs.limit(3).withColumn("lang", F.lit(None).cast("string"))))
+    mixed = words(40, 1).replace("a", "ö") + " " + words(80, 101).replace("a", "ł")
+    asked = documents(spark, [(1, mixed), (2, "мир"), (3, "123 !"), (4, None), (5, ""), (None, words(30, 9).replace("a", "ö"))])
+    got = {r.doc_id: r for r in language.languages(asked, profiles).collect()}
+    assert got[1].lang_pred == "x2" and got[1].span_langs == ["x1", "x2"] and 0.5 < got[1].score < 0.8
+    assert got[2].lang_pred == "ru" and got[None].lang_pred == "x1"
+    assert {(got[i].lang_pred, got[i].score) for i in (3, 4, 5)} == {("und", 0.0)}
+    nothing = language.learn(docs.limit(0))
+    assert {r.lang_pred for r in language.languages(asked, nothing).collect()} == {"und"}
+
+
+def test_viterbi_is_the_best_path():
+    chance = np.random.default_rng(1)
+    first = np.array([0, 3, 3, 8])
+    scores = chance.normal(size=(8, 3))
+    got = language.viterbi(scores, first, 0.7)
+    value = lambda path, s: sum(s[i, p] for i, p in enumerate(path)) - 0.7 * sum(a != b for a, b in zip(path, path[1:]))
+    for a, z in ((0, 3), (3, 8)):
+        every = np.stack(np.meshgrid(*[range(3)] * (z - a))).reshape(z - a, -1).T
+        assert value(got[a:z], scores[a:z]) == pytest.approx(max(value(p, scores[a:z]) for p in every))
+
+
+# op10
+
+def test_marginals_are_those_of_all_paths():
+    chance = np.random.default_rng(2)
+    first, moves = np.array([0, 1, 5]), chance.normal(size=(2, 2))
+    bad = chance.normal(size=5)
+    p, pairs = quality.marginals(bad, first, moves)
+    paths = np.stack(np.meshgrid(*[range(2)] * 4)).reshape(4, -1).T
+    weight = np.exp([(bad[1:] * q).sum() + sum(moves[a, b] for a, b in zip(q, q[1:])) for q in paths])
+    assert p[1:] == pytest.approx((weight[:, None] * paths).sum(axis=0) / weight.sum())
+    assert p[0] == pytest.approx(1 / (1 + np.exp(-bad[0])))
+    assert pairs.sum() == pytest.approx(3)
+
+
+def test_quality_tells_good_lines_from_bad(spark):
+    good = [(i, "\n".join(words(15, 10 * i + k).capitalize() + "." for k in range(4))) for i in range(60)]
+    bad = [(100 + i, "\n".join([words(15, 5000 + i).capitalize() + "."] + [" | ".join(words(12, 7000 + 10 * i + k).split()) for k in range(4)])) for i in range(60)]
+    docs = documents(spark, good + bad + [(500, None), (501, ""), (None, good[0][1])])
+    labels = spark.createDataFrame([(i, 1) for i, _ in good[:40]] + [(i, 0) for i, _ in bad[:40]] + [(None, 0), (3, None)], "doc_id long, quality int")
+    got = quality.scored(docs, quality.learn(docs, labels))
+    assert got.columns == [c for c in docs.columns if c != "score"] + ["score"]
+    scores = {r.doc_id: r.score for r in got.collect()}
+    assert min(scores[i] for i, _ in good) > 0.5 > 0.3 > max(scores[i] for i, _ in bad)
+    assert 0 <= scores[500] == scores[501] <= 1 and scores[None] == scores[0]
+    assert quality.scored(docs, quality.learn(docs, labels.limit(0))).count() == docs.count()
+    assert quality.scored(docs.limit(0), quality.learn(docs, labels)).count() == 0
+
+
+def test_the_labelled_sample_is_bounded(spark):
+    docs = documents(spark, [(i % 5, words(3, i)) for i in range(50)])
+    labels = spark.createDataFrame([(i, 1) for i in range(5)] * 3, "doc_id long, quality int")
+    assert labelled_sample(docs, labels, "quality", 7).count() == 7
