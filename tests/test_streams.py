@@ -82,6 +82,28 @@ def test_repeated_batch_replaces_itself(spark, tmp_path):
     assert bronze.read(spark, str(tmp_path / "b"), names.TRADES.bronze).count() == 2
 
 
+def test_a_batch_makes_one_file_per_table_and_day(spark, tmp_path):
+    day = "timestamp_seconds(1735689600 + 86400 * (id % 3))"
+    batch = spark.range(3000, numPartitions=8).selectExpr(
+        "cast(id as string) AS key", "if(id % 10 = 9, null, to_json(named_struct('p', id))) AS value",
+        f"if(id % 2 = 0, '{names.TRADES.topic}', '{names.QUOTES.topic}') AS topic",
+        "0 AS partition", "id AS offset", f"{day} AS timestamp")
+    live_in, root = str(tmp_path / "in"), tmp_path / "bronze"
+    batch.write.json(live_in)
+    ingest.to_bronze(queue.landed_messages(spark, live_in), str(root), str(tmp_path / "log")).awaitTermination()
+    bronze.append_batch(batch, str(tmp_path / "plain"), "run-0")
+    for folder in (root, tmp_path / "plain"):
+        files = [f.parent for f in folder.rglob("*.parquet")]
+        assert len(files) == len(set(files)) == 6
+        read = bronze.read(spark, str(folder), names.TRADES.bronze)
+        assert read.count() == 1500 and dict(read.dtypes)["ingest_date"] == "date" and dict(read.dtypes)["batch"] == "string"
+
+
+def test_a_raw_table_without_messages_has_no_rows(spark, tmp_path):
+    assert bronze.read(spark, str(tmp_path / "none"), names.TRADES.bronze).collect() == []
+    assert bronze.unreadable(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_stream_keep_latest_out_of_order(spark, tmp_path):
     write_messages(tmp_path / "in", 1, quote(1, 1000, 5), quote(2, 0, 7))
     write_messages(tmp_path / "in", 2, quote(1, 3000, 6), quote(1, 2000, 9))

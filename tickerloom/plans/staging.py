@@ -72,12 +72,8 @@ def bars(raw: DataFrame) -> DataFrame:
 
 def parse_entity_news(raw: DataFrame) -> DataFrame:
     p, entity = F.col("payload"), F.col("entity")
-    articles = (_payload(raw).filter(at(p, "$.uuid").isNotNull())
-                .select("payload", F.explode(at(p, "$.entities", "array<variant>")).alias("entity")))
-    return articles.select(
+    articles = _payload(raw).filter(at(p, "$.uuid").isNotNull()).select(
         at(p, "$.uuid").alias("article_uuid"),
-        at(entity, "$.symbol").alias("entity_ticker"),
-        at(entity, "$.sentiment_score", "double").alias("sentiment_score"),
         at(p, "$.title").alias("title"),
         at(p, "$.description").alias("description"),
         at(p, "$.snippet").alias("snippet"),
@@ -85,6 +81,12 @@ def parse_entity_news(raw: DataFrame) -> DataFrame:
         at(p, "$.source").alias("news_source"),
         at(p, "$.language").alias("language"),
         at(p, "$.published_at").try_cast("timestamp").alias("published_timestamp"),
+        F.explode(at(p, "$.entities", "array<variant>")).alias("entity"))
+    return articles.select(
+        "article_uuid",
+        at(entity, "$.symbol").alias("entity_ticker"),
+        at(entity, "$.sentiment_score", "double").alias("sentiment_score"),
+        "title", "description", "snippet", "article_url", "news_source", "language", "published_timestamp",
         at(entity, "$.name").alias("entity_name"))
 
 

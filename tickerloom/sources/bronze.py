@@ -7,12 +7,16 @@ replaces itself.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickerloom import names
 from tickerloom.functions.payload import with_payload
 
 UNREADABLE = "unreadable"
+STORED = ("raw_payload variant, unreadable_text string, "
+          "record_metadata struct<topic: string, partition: int, offset: bigint, timestamp: timestamp, key: string>, "
+          "ingest_date date, batch string")
 
 
 def table_of(topic: Column) -> Column:
@@ -40,20 +44,33 @@ def raw_rows(messages: DataFrame) -> DataFrame:
 
 
 def append_batch(messages: DataFrame, root: str, batch: int | str) -> None:
-    """Append one batch; the same batch again replaces what it wrote before."""
-    (raw_rows(messages).withColumn("batch", F.lit(str(batch)))
+    """Append one batch; the same batch again replaces what it wrote before.
+
+    Rows of a table and day are brought together before they are written, so that a batch makes
+    few files; adaptive execution cuts a table and day that is larger than its target size.
+    """
+    (raw_rows(messages).withColumn("batch", F.lit(str(batch))).hint("rebalance", "bronze_table", "ingest_date")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bronze_table", "ingest_date", "batch").parquet(root))
 
 
+def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of one table's folder; none while nothing has been written to it."""
+    try:
+        return spark.read.schema(STORED).parquet(f"{root.rstrip('/')}/bronze_table={table}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STORED)
+
+
 def read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """One raw table: ``raw_payload`` and lineage columns."""
-    return spark.read.parquet(root).filter(F.col("bronze_table") == table).drop("bronze_table", "unreadable_text")
+    """One raw table: ``raw_payload`` and lineage columns.  Only its own folder is listed."""
+    return _stored(spark, root, table).drop("unreadable_text")
 
 
 def unreadable(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).filter(F.col("bronze_table") == UNREADABLE).select(
-        "unreadable_text", "record_metadata")
+    return _stored(spark, root, UNREADABLE).select("unreadable_text", "record_metadata")
 
 
 def preview(table: DataFrame, n: int = 10) -> DataFrame:

@@ -11,10 +11,15 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tickerloom import names, schemas
 
+MAX_MESSAGES = 5_000_000
+
 
 def topic_stream(spark: SparkSession, servers: str, topics: tuple[str, ...] = tuple(f.topic for f in names.FEEDS),
-                 max_messages: int | None = None) -> DataFrame:
-    """All topics from their earliest offset, as text keys and values."""
+                 max_messages: int | None = MAX_MESSAGES) -> DataFrame:
+    """All topics from their earliest offset, as text keys and values.
+
+    A trigger takes at most ``max_messages``, so that a long backlog comes in several batches; none is left out.
+    """
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
               .option("subscribe", ",".join(topics)).option("startingOffsets", "earliest"))
     if max_messages:

@@ -59,10 +59,10 @@ def _(spark, sf):
 
 
 def queue_records(events: DataFrame) -> DataFrame:
-    """Every event as a message; its type decides topic and readability."""
+    """Every event as a message; its type decides topic and readability, a small value makes it an empty one."""
     return events.selectExpr(
         "cast(user_id as string) AS key",
-        "CASE WHEN event_type = 'error' THEN concat('broken ', props) ELSE props END AS value",
+        "CASE WHEN value < 5 THEN NULL WHEN event_type = 'error' THEN concat('broken ', props) ELSE props END AS value",
         """CASE event_type WHEN 'click' THEN 'raw_finnhub_ticks' WHEN 'view' THEN 'raw_alltick_ticks'
              WHEN 'purchase' THEN 'raw_newsapi_news' WHEN 'error' THEN 'raw_marketaux_news'
              ELSE 'some_other_topic' END AS topic""",
@@ -75,7 +75,7 @@ SELECT CASE event_type WHEN 'click' THEN 'bronze_finnhub_ticks' WHEN 'view' THEN
        event_id AS "offset", CAST(user_id AS VARCHAR) AS key,
        CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k,
        CASE WHEN event_type = 'error' THEN 'broken ' || props END AS unreadable_text
-FROM events WHERE event_type <> 'signup'"""
+FROM events WHERE event_type <> 'signup' AND value >= 5"""
 
 
 def bronze_rows(rows: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ SELECT CASE event_type WHEN 'click' THEN 'bronze_finnhub_ticks' WHEN 'view' THEN
          WHEN 'purchase' THEN 'bronze_newsapi_news' ELSE 'unreadable' END AS bronze_table,
        CAST(ts AS DATE)::VARCHAR AS ingest_date, count(*) AS messages, min(event_id) AS first_offset,
        max(event_id) AS last_offset
-FROM events WHERE event_type <> 'signup' GROUP BY ALL""")
+FROM events WHERE event_type <> 'signup' AND value >= 5 GROUP BY ALL""")
 def _(spark, sf):
     rows = bronze.raw_rows(queue_records(table(spark, sf, "events")))
     return rows.groupBy("bronze_table", F.col("ingest_date").cast("string").alias("ingest_date")).agg(
