@@ -95,6 +95,18 @@ def test_toxicity_finds_words_and_their_stems(spark):
     assert {r.score for r in toxicity.toxicity(docs, *toxicity.learn(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_weighs_rare_terms(spark):
+    rare = {3, 13, 23}
+    rows = [(i, words(30, i) + (" zwackel" if i in rare else " grobian" if i % 10 == 3 else "")) for i in range(200)]
+    docs = documents(spark, rows + [(900, "zwackel qqqq qqqqq"), (901, words(30, 0) + " qqqq"), (902, "qqqq qqqqq")])
+    labels = spark.createDataFrame([(i, int(i % 10 == 3)) for i in range(200)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, *toxicity.learn(docs, labels)).collect()}
+    # Three documents are enough for a term, words that lean to no label count, and unknown words make a vector longer.
+    assert set(got[900].evidence) == rare and 0 < max(got[900].cosines) < 0.999
+    assert got[901].evidence[0] == 0 and 0.5 < got[901].cosines[0] < 0.999
+    assert got[902].evidence == [] and got[900].score > got[901].score
+
+
 # op3
 
 def shingle_set(text, width):

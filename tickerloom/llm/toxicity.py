@@ -1,10 +1,11 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are whole words and word beginnings of 4 to 6 bytes, as insults are inflected.  Those that stand
-more often with label 1 in a bounded sample of labelled rows make the vocabulary; their document frequencies are
-counted over all documents.  The sample is the bank of examples, held as an inverted index in blocks: the
-largest weight of each term in a block bounds what its examples can reach, so that blocks are
-opened in the order of their bounds until no other can matter.  The result is exact.  Neighbours
+"""Toxicity scores from the nearest labelled examples by exact cosine of TF-IDF vectors.
+
+Terms are whole words and word beginnings of 4 to 6 bytes, as insults are inflected.  Every term of a text
+weighs in: those of a bounded sample of labelled rows make the vocabulary, with document frequencies counted over
+all documents, and a term that no example has counts in the length of a text's vector.  A weight grows with how
+far the term leans towards label 1 in the sample, but no term is dropped.  The sample is the bank of examples:
+terms that stand in the most examples are columns of a dense matrix, the others an inverted index, and
+every example that shares a term is scored.  The result is exact.  Neighbours
 vote with weights that fall with their distance, and a monotone curve fitted by leaving each example out
 turns votes into probabilities.
 """
@@ -22,11 +23,9 @@ from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, m
 from tickerloom.llm.store import documents, kept, labelled_sample
 
 SAMPLE = 12_000
-TERMS = 4096
-LEAST_DOCS = 4
-LEAST_RATIO = 28.0
 NEIGHBOURS = 15
-BLOCK = 64
+DENSE = 2048
+TOGETHER = 128
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
 INSIDE = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -47,114 +46,134 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return signed(np.concatenate(hashes)), np.concatenate(docs)
 
 
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct terms of all texts, and (text, number of the term, times) of each term of a text, sorted."""
+    hashes, doc = terms(column)
+    found, place = np.unique(hashes, return_inverse=True)
+    cell, times = np.unique(doc * len(found) + place, return_counts=True)
+    return found, cell // max(len(found), 1), cell % max(len(found), 1), times
+
+
 def label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each term of a task's texts: in how many texts it stands, by label."""
     for part in blocks(batches, "text", 4_000_000):
-        hashes, doc = terms(part.column("text"))
-        pairs = np.unique(np.stack([hashes, doc]), axis=1)
-        label = part.column("label").to_numpy()[pairs[1]]
-        found, place = np.unique(pairs[0], return_inverse=True)
+        found, doc, place, _ = term_counts(part.column("text"))
+        label = part.column("label").to_numpy()[doc]
         yield pa.RecordBatch.from_pydict({"term": found, "ones": np.bincount(place, label == 1, len(found)).astype(np.int64), "zeros": np.bincount(place, label == 0, len(found)).astype(np.int64)})
 
 
+def leaning(ones: np.ndarray, zeros: np.ndarray, rate: float) -> np.ndarray:
+    """A factor of at least 1 for each term: 1 + its log-likelihood ratio against the common rate of label 1, and 1 for terms that lean to label 0."""
+    n = ones + zeros
+    if not 0 < rate < 1:
+        return np.ones(len(n))
+    ratio = 2 * sum(x * np.log(np.maximum(x, 1) / (n * r)) for x, r in ((ones, rate), (zeros, 1 - rate)))
+    return np.where(ones > n * rate, 1 + np.maximum(ratio, 0), 1.0)
+
+
 @dataclass
 class Vocabulary:
-    """Sorted term hashes and their inverse document frequencies."""
+    """Sorted term hashes, the factor of each, and that of a term that isn't there."""
 
     hashes: np.ndarray
-    idf: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.marks = np.zeros(1 << 20, bool)
-        self.marks[self.hashes & 0xFFFFF] = True
+    factor: np.ndarray
+    other: float = 1.0
 
     def find(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, term number, times) of every term of the vocabulary, sorted."""
-        hashes, doc = terms(column)
-        maybe = np.flatnonzero(self.marks[hashes & 0xFFFFF])
-        hashes, doc = hashes[maybe], doc[maybe]
-        place = np.searchsorted(self.hashes, hashes)
-        same = np.append(self.hashes, 0)[place] == hashes
-        same &= place < len(self.hashes)
-        cell, times = np.unique(doc[same] * len(self.hashes) + place[same], return_counts=True)
-        return cell // max(len(self.hashes), 1), cell % max(len(self.hashes), 1), times
+        """(text, term number, times) of every term, sorted by text; a term outside the vocabulary has the number -1."""
+        found, doc, place, times = term_counts(column)
+        number = np.searchsorted(self.hashes, found)
+        known = np.append(self.hashes, 0)[number] == found
+        known &= number < len(self.hashes)
+        return doc, np.where(known, number, -1)[place], times
 
     def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors: first entry of each text, term numbers, weights."""
+        """Unit vectors without their unknown terms, which count in the norm: first entry of each text, term numbers, weights."""
         doc, term, times = self.find(column)
-        weight = (1 + np.log(times)) * self.idf[term]
+        weight = (1 + np.log(times)) * np.append(self.factor, self.other)[term]
         norm = np.sqrt(np.bincount(doc, weight**2, len(column)))
+        known = term >= 0
+        doc, term, weight = doc[known], term[known], weight[known]
         return np.searchsorted(doc, np.arange(len(column) + 1)), term, weight / norm[doc]
 
 
 def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    counts, rows = np.zeros(len(vocabulary.hashes), np.int64), 0
+    counts, rows = np.zeros(len(vocabulary.hashes) + 1, np.int64), 0
     for part in blocks(batches, "text"):
         _, term, _ = vocabulary.find(part.column("text"))
-        counts += np.bincount(term, minlength=len(counts))
+        counts += np.bincount(term + 1, minlength=len(counts))
         rows += part.num_rows
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_pydict({"term": np.append(some, -1).astype(np.int32), "n": np.append(counts[some], rows).astype(np.int64)})
+    some = np.flatnonzero(counts[1:])
+    yield pa.RecordBatch.from_pydict({"term": np.append(some, -1).astype(np.int32), "n": np.append(counts[1:][some], rows).astype(np.int64)})
 
 
 class Bank:
-    """Labelled examples as an inverted index whose postings are cut into blocks of examples."""
+    """Labelled examples by their ids: an inverted index, and a matrix of the terms that stand in the most of them."""
 
     def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, n_terms: int):
-        doc = np.repeat(np.arange(len(labels)), np.diff(at))
-        # Examples with the same strongest term stand together, which makes the bounds of blocks tight.
-        strongest = np.full(len(labels), -1)
-        if len(term):
-            by_weight = np.lexsort((weight, doc))
-            strongest[doc[by_weight]] = term[by_weight]
-        order = np.lexsort((ids, labels, strongest))
-        self.rank = np.empty(len(order), np.int64)
-        self.rank[order] = np.arange(len(order))
+        order = np.lexsort((labels, ids))
+        self.rank = np.empty(len(order), np.int32)
+        self.rank[order] = np.arange(len(order), dtype=np.int32)
         self.labels, self.ids = labels[order], ids[order]
-        self.empty = np.diff(at)[order] == 0
-        example = self.rank[doc]
-        by_term = np.lexsort((example, term))
-        self.term, self.example, self.weight = term[by_term], example[by_term], weight[by_term]
-        self.blocks = -(-len(labels) // BLOCK)
-        cell = self.term * self.blocks + self.example // BLOCK
-        self.cells, begin = np.unique(cell, return_index=True)
-        self.cell_at = np.append(begin, len(cell))
-        self.cell_most = np.maximum.reduceat(self.weight, begin) if len(begin) else np.zeros(0)
-        self.term_at = np.searchsorted(self.cells, np.arange(n_terms + 1) * self.blocks)
+        empty = np.diff(at)[order] == 0
+        by_term = np.argsort(term, kind="stable")
+        self.example = np.repeat(self.rank, np.diff(at))[by_term]
+        self.weight = weight[by_term].astype(np.float32)
+        counts = np.bincount(term, minlength=n_terms)
+        self.term_at = np.concatenate([[0], np.cumsum(counts)])
+        self.columns = np.argsort(-counts, kind="stable")[:DENSE]
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         self.prior = float(labels.mean()) if len(labels) else 0.0
-        self.plain = float(self.labels[self.empty].mean()) if self.empty.any() else self.prior
+        self.plain = float(self.labels[empty].mean()) if empty.any() else None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("matrix", "column")}
+
+    def open(self) -> None:
+        """Make the matrix, once in a worker."""
+        if hasattr(self, "matrix"):
+            return
+        self.matrix = np.zeros((len(self.columns), len(self.labels)), np.float32)
+        self.column = np.full(len(self.term_at) - 1, -1)
+        self.column[self.columns] = np.arange(len(self.columns))
+        for row, t in zip(self.matrix, self.columns):
+            a, z = self.term_at[t], self.term_at[t + 1]
+            row[self.example[a:z]] = self.weight[a:z]
+
+    def all_nearest(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of the texts the ``k`` examples with the largest cosine above 0, ties by their place in the bank."""
+        self.open()
+        n = len(self.labels)
+        for first in range(0, len(at) - 1, TOGETHER):
+            last = min(first + TOGETHER, len(at) - 1)
+            begin = at[first]
+            doc = np.repeat(np.arange(last - first), np.diff(at[first:last + 1]))
+            here, some = self.column[term[begin:at[last]]], weight[begin:at[last]]
+            often = here >= 0
+            query = np.zeros((last - first, len(self.columns)), np.float32)
+            query[doc[often], here[often]] = some[often]
+            rough = query @ self.matrix
+            for i in range(first, last):
+                mine = slice(at[i], at[i + 1])
+                own, rare = term[mine], here[at[i] - begin:at[i + 1] - begin] < 0
+                lists = own[rare]
+                counts = self.term_at[lists + 1] - self.term_at[lists]
+                entry = np.repeat(self.term_at[lists], counts) + runs(counts)
+                rest = np.bincount(self.example[entry], np.repeat(weight[mine][rare], counts) * self.weight[entry], n)
+                sums = rough[i - first] + rest
+                if without is not None:
+                    sums[without[i]] = 0
+                # Single precision chooses with some to spare, double precision decides.
+                least = np.partition(sums, n - k)[n - k] - 1e-4 if n > k else 0.0
+                best = np.flatnonzero((sums >= least) & (sums > 0))
+                column = here[at[i] - begin:at[i + 1] - begin][~rare]
+                exact = rest[best] + weight[mine][~rare] @ self.matrix[column[:, None], best[None, :]].astype(float)
+                top = np.lexsort((best, -exact))[:k]
+                yield best[top], exact[top]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples with the largest cosine above 0, ties by their place in the bank."""
-        cells = [np.arange(self.term_at[t], self.term_at[t + 1]) for t in term]
-        cell = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-        if not len(cell):
-            return np.zeros(0, np.int64), np.zeros(0)
-        query = np.repeat(weight, [len(c) for c in cells])
-        block = self.cells[cell] % self.blocks
-        bounds = np.bincount(block, query * self.cell_most[cell], self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        by_block = np.argsort(block, kind="stable")
-        at = np.searchsorted(block[by_block], np.arange(self.blocks + 1))
-        best, scores, step = np.zeros(0, np.int64), np.zeros(0), 4
-        while len(order):
-            if len(best) == k and bounds[order[0]] < scores[-1]:
-                break
-            opened, order = order[:step], order[step:]
-            step *= 2
-            opened = opened[bounds[opened] >= scores[-1]] if len(best) == k else opened
-            mine = by_block[np.concatenate([np.arange(at[b], at[b + 1]) for b in opened])]
-            counts = self.cell_at[cell[mine] + 1] - self.cell_at[cell[mine]]
-            entry = np.repeat(self.cell_at[cell[mine]], counts) + runs(counts)
-            sums = np.bincount(self.example[entry], np.repeat(query[mine], counts) * self.weight[entry], len(self.labels))
-            found = np.flatnonzero(sums > 0)
-            found = found[found != without]
-            best, scores = np.append(best, found), np.append(scores, sums[found])
-            top = np.lexsort((best, -scores))[:k]
-            best, scores = best[top], scores[top]
-        return best, scores
+        """The same for one text."""
+        return next(self.all_nearest(np.array([0, len(term)]), term, weight, k, None if without < 0 else np.array([without])))
 
     def vote(self, best: np.ndarray, scores: np.ndarray) -> float:
         """Weighted share of label 1, with one vote of the prior; neighbours at an angle count less."""
@@ -163,13 +182,14 @@ class Bank:
 
     def calibrate(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, k: int) -> None:
         """Pool adjacent violators on votes for examples that are left out themselves."""
-        votes, truth = [], []
-        for i in range(len(labels)):
-            a, z = at[i], at[i + 1]
-            if a < z:
-                best, scores = self.nearest(term[a:z], weight[a:z], k, int(self.rank[i]))
-                votes.append(self.vote(best, scores) if len(best) else self.plain)
+        votes, truth, clean = [], [], []
+        for i, (best, scores) in enumerate(self.all_nearest(at, term, weight, k, self.rank)):
+            if len(best):
+                votes.append(self.vote(best, scores))
                 truth.append(labels[i])
+                clean += [] if self.labels[best].any() else [labels[i]]
+        if self.plain is None:
+            self.plain = (sum(clean) + self.prior) / (len(clean) + 1)
         if not votes:
             return
         order = np.argsort(votes, kind="stable")
@@ -188,35 +208,31 @@ class Bank:
         return float(0.98 * np.interp(vote, *self.curve) + 0.02 * vote)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, n_terms: int = TERMS, k: int = NEIGHBOURS) -> tuple[Vocabulary, Bank]:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS) -> tuple[Vocabulary, Bank]:
     """Vocabulary and bank from at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, and the statistics of all ``docs``.
 
-    What reaches the driver are ``n_terms`` terms and the sample's entries of that vocabulary.  Ids of the
+    What reaches the driver are the sample's terms and their entries.  Ids of the
     sample must be whole numbers; they are shown as evidence alone.
     """
     bank_rows = kept(labelled_sample(docs, labels, label, sample).withColumn("doc_id", F.col("doc_id").cast("long")).repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
-    ones, zeros = bank_rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count(F.lit(1)) - F.coalesce(F.sum("label"), F.lit(0))).first()
-    counted = (bank_rows.select("text", F.col("label").cast("long").alias("label")).mapInArrow(label_counts, "term long, ones long, zeros long").groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-               .where(F.col("ones") + F.col("zeros") >= LEAST_DOCS))
-    total = max(ones + zeros, 1)
-    p = ones / total
-    seen_in = F.col("ones") + F.col("zeros")
-    part = lambda n, rate: F.when(n > 0, n * F.log(n / (seen_in * rate))).otherwise(0.0)
-    ratio = 2 * (part(F.col("ones"), F.lit(p)) + part(F.col("zeros"), F.lit(1 - p)))  # log-likelihood ratio against the common rate
-    chosen = counted.withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (F.col("ones") > seen_in * p)).orderBy(F.desc("ratio"), "term").limit(n_terms).select("term").toArrow()
-    hashes = np.sort(chosen.column("term").to_numpy().astype(np.int64)) if 0 < ones < total else np.zeros(0, np.int64)
-    vocabulary = Vocabulary(hashes, np.ones(len(hashes)))
-    counts = documents(docs, "text").mapInArrow(lambda it, v=vocabulary: document_counts(it, v), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    seen = dict((r.term, r.n) for r in counts)
-    frequency = np.array([seen.get(i, 0) for i in range(len(hashes))], float)
-    vocabulary.idf = np.log((1 + seen.get(-1, 0)) / (1 + frequency)) + 1
-    entries = bank_rows.mapInArrow(lambda it, v=vocabulary: example_vectors(it, v), "doc_id long, label int, terms array<int>, weights array<double>").toArrow().combine_chunks()
-    at = np.concatenate([[0], np.cumsum([len(x) for x in entries.column("terms").to_pylist()])]).astype(np.int64)
-    flat = lambda c: np.concatenate([np.zeros(0), *[np.array(x) for x in entries.column(c).to_pylist()]])
+    rate = bank_rows.agg(F.avg("label")).first()[0] or 0.0
+    counted = (bank_rows.select("text", F.col("label").cast("long").alias("label")).mapInArrow(label_counts, "term long, ones long, zeros long")
+               .groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow())
+    hashes, ones, zeros = (counted.column(c).to_numpy() for c in ("term", "ones", "zeros"))
+    order = np.argsort(hashes)
+    vocabulary = Vocabulary(hashes[order], np.ones(len(order)))
+    counts = documents(docs, "text").mapInArrow(lambda it, v=vocabulary: document_counts(it, v), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    # The first place is that of the number -1, under which all rows are counted.
+    frequency = np.zeros(len(order) + 1)
+    frequency[counts.column("term").to_numpy() + 1] = counts.column("n").to_numpy()
+    vocabulary.factor = (np.log((1 + frequency[0]) / (1 + frequency[1:])) + 1) * leaning(ones[order], zeros[order], rate)
+    vocabulary.other = float(np.log((1 + frequency[0]) / 2) + 1)
+    entries = bank_rows.mapInArrow(lambda it, v=vocabulary: example_vectors(it, v), "doc_id long, label int, terms array<int>, weights array<float>").toArrow()
+    at = np.concatenate([[0], np.cumsum([len(x) for c in entries.column("terms").chunks for x in c])]).astype(np.int64)
+    term, weight = (np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy() for c in entries.column(name).chunks]]) for name, kind in (("terms", np.int32), ("weights", np.float32)))
     ids = np.array([-1 if x is None else x for x in entries.column("doc_id").to_pylist()], np.int64)
     labels = np.array(entries.column("label").to_pylist(), float)
-    term, weight = flat("terms").astype(np.int64), flat("weights")
-    bank = Bank(at, term, weight, labels, ids, len(hashes))
+    bank = Bank(at, term, weight, labels, ids, len(order))
     bank.calibrate(at, term, weight, labels, k)
     return vocabulary, bank
 
@@ -224,16 +240,14 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 def example_vectors(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches, "text"):
         at, term, weight = vocabulary.vectors(part.column("text"))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), lists(term.astype(np.int32), at), lists(weight, at)], ["doc_id", "label", "terms", "weights"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), lists(term.astype(np.int32), at), lists(weight.astype(np.float32), at)], ["doc_id", "label", "terms", "weights"])
 
 
 def vote_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bank: Bank, k: int) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches, "text"):
         at, term, weight = vocabulary.vectors(part.column("text"))
         scores, evidence, cosines = np.full(part.num_rows, bank.plain), [], []
-        for i in range(part.num_rows):
-            a, z = at[i], at[i + 1]
-            best, near = bank.nearest(term[a:z], weight[a:z], k) if a < z else (np.zeros(0, np.int64), np.zeros(0))
+        for i, (best, near) in enumerate(bank.all_nearest(at, term, weight, k)):
             if len(best):
                 scores[i] = bank.score(bank.vote(best, near))
             evidence.append(bank.ids[best])
@@ -246,8 +260,10 @@ def vote_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bank
 def toxicity(docs: DataFrame, vocabulary: Vocabulary, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence, cosines) for every row of ``docs`` (doc_id, text).
 
-    evidence are the doc_ids of the nearest examples, nearest first.  A text without a term of the
-    vocabulary, a missing or empty one among them, has no neighbour and gets the rate of label 1 among such examples.
+    evidence are the doc_ids of the nearest examples, nearest first.  A term outside the vocabulary, which no
+    example has, weighs in the length of a vector as one that a single document has.  A text with such terms alone, a missing
+    or empty one among them, has no neighbour and gets the rate of label 1 among examples without a term, or else
+    among those whose neighbours all have label 0.
     """
     kind = dict(docs.dtypes)["doc_id"]
     return documents(docs, "doc_id", "text").mapInArrow(lambda it: vote_batches(it, vocabulary, bank, k), f"doc_id {kind}, score double, evidence array<long>, cosines array<double>")
