@@ -204,6 +204,17 @@ def test_fingerprints_of_odd_rows(spark):
     assert fingerprints.document_fingerprints(documents(spark, [])).collect() == []
 
 
+def test_fingerprints_of_all_lengths_compare(spark):
+    text = words(900, 6)
+    like = lambda *pair: fingerprints.contained(*fingerprints.chunk_sets(pa.array(pair)))
+    for bound in (256, 1024):
+        one, other = text[:bound - 6], text[:bound + 4]
+        assert like(one, other) > 0.8 and like(other, one) > 0.8
+    assert like(text[400:640], text) > 0.3
+    got = {r.doc_id: r for r in fingerprints.document_fingerprints(documents(spark, [(2, text[:300]), (1, text[2000:2020])])).collect()}
+    assert 0.5 < got[2].near_edited < 0.8
+
+
 # op5
 
 def test_packing_is_whole_and_tight(spark):

@@ -2,7 +2,8 @@
 
 A gear hash over the last few bytes decides where a chunk ends, so that an edit moves the cuts near it
 only.  Cuts are normalised: rarer before the usual size and more frequent behind it.  A fingerprint is the
-set of (digest, length) of the chunks; lengths weigh how much of it another one contains.
+set of (digest, length) of the chunks; lengths weigh how much of it another one contains.  Every text has coarse
+chunks and one that isn't long has fine ones besides; two texts are compared by the finest kind that both have.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ class Sizes:
     loose: int
 
 
-SHORT = 256  # characters; a text of fewer is cut finer, or it would be one chunk
+SHORT = 1024  # characters; a text of fewer is cut finely, too, as it has few coarse chunks or one
+FINELY = U64(0x8000)  # marks a fine chunk in its length
 FINE, COARSE = Sizes(4, 6, 24, 3, 1), Sizes(16, 32, 128, 7, 4)
 GEAR = (mix(BYTE + STEP) >> U64(32)).astype(np.uint32)
 
@@ -66,21 +68,21 @@ def chunks(raw: np.ndarray, at: np.ndarray, size: Sizes) -> tuple[np.ndarray, np
 
 
 def chunk_sets(column: pa.Array) -> list[np.ndarray]:
-    """For each text its sorted distinct chunks: 32 bits of digest, 16 bits of length."""
+    """For each text its sorted distinct chunks: 32 bits of digest, a mark of fine chunks, 15 bits of length."""
     short = pc.less(pc.utf8_length(column), SHORT).to_numpy(zero_copy_only=False)
     out: list[np.ndarray] = [np.zeros(0, U64)] * len(column)
-    for size, rows in ((FINE, np.flatnonzero(short)), (COARSE, np.flatnonzero(~short))):
+    for size, mark, rows in ((COARSE, U64(0), np.arange(len(column))), (FINE, FINELY, np.flatnonzero(short))):
         if not len(rows):
             continue
         raw, at = text_bytes(column.take(pa.array(rows)))
         doc, begin, end = chunks(raw, at, size)
-        value = (Prefixes(raw).of(begin, end) >> U64(32) << U64(16)) | (end - begin).astype(U64)
+        value = (Prefixes(raw).of(begin, end) >> U64(32) << U64(16)) | (end - begin).astype(U64) | mark
         order = np.lexsort((value, doc))
         doc, value = doc[order], value[order]
         new = np.ones(len(doc), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
         for row, some in zip(rows, np.split(value[new], np.searchsorted(doc[new], np.arange(1, len(rows))))):
-            out[row] = some
+            out[row] = np.sort(np.concatenate([out[row], some])) if mark else some
     return out
 
 
@@ -95,10 +97,16 @@ def parse(text: str) -> np.ndarray:
 
 
 def contained(one: np.ndarray, other: np.ndarray) -> float:
-    """The share of the bytes of one fingerprint's chunks that the other has, too; 1 for two empty ones."""
+    """The share of the bytes of one fingerprint's chunks that the other has, too; 1 for two empty ones.
+
+    Fine chunks count if both have some, or else the coarse ones, which every text has that isn't empty.
+    """
     if not len(one):
         return float(not len(other))
-    weight = (one & U64(0xFFFF)).astype(np.int64)
+    fine, other_fine = (one & FINELY) > 0, (other & FINELY) > 0
+    both = fine.any() and other_fine.any()
+    one, other = one[fine == both], other[other_fine == both]
+    weight = (one & ~FINELY & U64(0xFFFF)).astype(np.int64)
     place = np.searchsorted(other, one)
     same = np.append(other, U64(0))[place] == one
     return float(weight[same].sum() / weight.sum())
