@@ -370,6 +370,14 @@ def test_texts_without_repeated_lines(spark):
     assert {(r.doc_id, r.text) for r in left.collect()} == {(1, f"{line}\nx\nx"), (3, other), (None, None), (4, "")}
 
 
+def test_short_lines_of_wide_characters_are_grouped_exactly(spark):
+    line = "请订阅我们的频道谢谢"
+    rows = [(1, f"{line}\n短"), (2, f"短\n{line}"), (3, f"{line[:-1]}们\n{line}"), (4, "\u3000" * 9), (5, "\u3000" * 9)]
+    got = {(r.doc_id, r.line_no): r for r in line_dedup.line_classes(documents(spark, rows)).collect()}
+    assert {at for at, r in got.items() if not r.kept} == {(2, 1), (3, 1)}
+    assert (got[2, 1].first_doc_id, got[2, 1].first_line_no, got[2, 1].n_links) == (1, 0, 0)
+
+
 # op9
 
 def test_language_spans(spark):

@@ -20,6 +20,7 @@ from tickerloom.llm.store import documents, kept
 
 MOST_EDITS = 2
 MIN_CHARS = 20
+MIN_WIDTH = 20  # from which shorter lines that aren't blank are grouped exactly
 HEAVY = 20_000
 SEED = 42  # of the engine's own xxhash64
 
@@ -30,9 +31,12 @@ def line_hash(line: bytes, seed: int = SEED) -> int:
 
 
 def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line of every document with two hashes of it."""
+    """Every line of every document with two hashes of it, its length and its width.
+
+    A character of three bytes or more, as in scripts that write a word in one or two, is as wide as three; a blank line has no width.
+    """
     for batch in batches:
-        rows, numbers, one, two, sizes = [], [], [], [], []
+        rows, numbers, one, two, sizes, widths = [], [], [], [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
             for i, line in enumerate(text.split("\n")):
                 raw = line.encode()
@@ -41,9 +45,10 @@ def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one.append(line_hash(raw))
                 two.append(line_hash(raw, 7))
                 sizes.append(len(line))
+                widths.append(0 if line.isspace() else len(line) if len(raw) <= len(line) + 1 else len(line) + 2 * sum(c >= "\u0800" for c in line))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32())],
-            ["doc_id", "line_no", "line", "check", "n_chars"])
+            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(widths, pa.int32())],
+            ["doc_id", "line_no", "line", "check", "n_chars", "width"])
 
 
 def codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -248,20 +253,22 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, most: int, min_chars: in
             .mapInArrow(lambda it: verify(it, most), "a long, b long"))
 
 
-def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_chars: int = MIN_CHARS, min_width: int = MIN_WIDTH) -> DataFrame:
     """(doc_id, line_no, line, n_links, first_doc_id, first_line_no, kept) for every line of ``docs`` (doc_id, text).
 
     Lines end at a line feed; a missing or empty text is one empty line.  Two lines of at least
     ``min_chars`` characters are linked where they differ by at most ``most`` edits.  A line's first
     occurrence is the smallest (doc_id, line_no) among its copies and the lines linked with it; only that
-    one is kept.  n_links counts the different texts it is linked with.  Shorter lines are always kept.  A
+    one is kept.  n_links counts the different texts it is linked with.  A shorter line that isn't blank and has at
+    least ``min_width``, such as a sentence in Chinese, is linked with no other, but has copies; the rest are always kept.  A
     missing id comes before all others; rows that repeat an id count as one document.  ``line`` is a 64-bit
     hash of the line; copies must agree in a second one, too.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    found = kept(documents(docs, "doc_id", "text").mapInArrow(number_lines, f"doc_id {kind}, line_no int, line long, check long, n_chars int"), "lines")
+    found = kept(documents(docs, "doc_id", "text").mapInArrow(number_lines, f"doc_id {kind}, line_no int, line long, check long, n_chars int, width int"), "lines")
     place = F.struct("doc_id", "line_no")
-    able = found.where(F.col("n_chars") >= min_chars)
+    takes_part = (F.col("n_chars") >= min_chars) | (F.col("width") >= min_width)
+    able = found.where(takes_part)
     firsts = kept(able.groupBy("line", "check").agg(F.min(place).alias("first")), "first-lines")
     links = kept(near_lines(docs, able, most, min_chars), "line-links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -270,7 +277,7 @@ def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_chars: int = MIN_C
     classes = kept(firsts.join(around, "line", "left").select(
         "line", "check", F.least("first", F.coalesce("near", "first")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "line-classes")
     grouped = able.join(classes, ["line", "check"]).select("doc_id", "line_no", "line", "n_links", "class.*").toDF("doc_id", "line_no", "line", "n_links", "first_doc_id", "first_line_no")
-    short = found.where(F.col("n_chars") < min_chars).select("doc_id", "line_no", "line", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    short = found.where(~takes_part).select("doc_id", "line_no", "line", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
     return grouped.unionByName(short).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
 
 
