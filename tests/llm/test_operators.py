@@ -378,6 +378,15 @@ def test_short_lines_of_wide_characters_are_grouped_exactly(spark):
     assert (got[2, 1].first_doc_id, got[2, 1].first_line_no, got[2, 1].n_links) == (1, 0, 0)
 
 
+def test_lines_of_documents_without_an_id(spark):
+    line, other = "a line of more than twenty characters", "some words that stand without an id alone"
+    docs = documents(spark, [(None, f"{line}\nx"), (None, f"{other}\ny\n{line}"), (None, f"z\nz\nz\n{other}!"), (1, line)])
+    got = [r for r in line_dedup.line_classes(docs).collect() if r.n_links]
+    assert sorted((r.line_no, r.n_links, r.kept) for r in got) == [(0, 1, True), (3, 1, False)]
+    left = line_dedup.without_repeated_lines(docs)
+    assert sorted(r.text for r in left.collect()) == sorted([f"{line}\nx", f"{other}\ny", "z\nz\nz"])
+
+
 # op9
 
 def test_language_spans(spark):

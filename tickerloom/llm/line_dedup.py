@@ -245,7 +245,8 @@ def near_lines(docs: DataFrame, occurrences: DataFrame, most: int, min_chars: in
     pairs = kept(met.where("b IS NOT NULL").select("a", "b").unionByName(from_large).distinct(), "line-pairs")
     asked = kept(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "asked-lines")
     found_in = occurrences.join(asked, "line").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
-    some = docs.join(found_in.select("doc_id").distinct(), "doc_id", "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
+    ids = found_in.select("doc_id").distinct()
+    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
     lines = some.withColumn("line", F.xxhash64("words")).join(asked, "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
     lines = kept(lines, "line-texts")
     return (pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("one")), "a")
@@ -301,6 +302,7 @@ def without_repeated_lines(docs: DataFrame, most: int = MOST_EDITS, min_chars: i
     """
     gone = line_classes(docs, most, min_chars).where(~F.col("kept")).groupBy("doc_id").agg(F.collect_set(F.struct("line_no", "line")).alias("gone"))
     # Only documents that lose lines pass through Python.
-    marked = docs.join(gone, "doc_id", "left").select(*docs.columns, "gone")
+    gone = gone.withColumnRenamed("doc_id", "loser")
+    marked = docs.join(gone, docs["doc_id"].eqNullSafe(gone["loser"]), "left").select(*[docs[c] for c in docs.columns], "gone")
     schema = docs.schema
     return marked.where("gone IS NULL").drop("gone").unionByName(marked.where("gone IS NOT NULL").mapInArrow(drop_lines, schema))
