@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc
+from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, periodic_runs, quality, token_counts, toxicity, warc
 from tickerloom.llm.store import ready, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +85,31 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     chain = quality.learn(documents, table(spark, sf_dir, "labels").where(~held_out))
     return quality.scored(documents.select("doc_id", "text"), chain).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+def repeat_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A tenth of the documents, chosen by their ids, end in words repeated with a period; the rest stay."""
+    for batch in batches:
+        texts = batch.column("text")
+        change = {}
+        for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+            h = zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+            if h % 10 == 0 and (words := texts[i].as_py().encode().split()):
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                change[i] = b" ".join(words[:a] + [words[a + k % p] for k in range(n - a)]).decode()
+        if change:
+            texts = pa.array([change.get(i, t) for i, t in enumerate(texts.to_pylist())], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), texts], ["doc_id", "text"])
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), digest=True, change=repeat_words)
+    longest = F.reduce("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"),
+                       lambda best, run: F.when(best.isNull() | (run["length"] > best["length"]), run).otherwise(best))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.withColumn("longest", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "longest.start", "longest.length", "longest.period",
+        F.expr("longest.length * 1000 div longest.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), "collapsed_sha256", "n_words")
