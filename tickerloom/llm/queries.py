@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, periodic_runs, quality, token_counts, toxicity, warc
+from tickerloom.llm import contamination, conversations, fingerprints, language, line_dedup, near_duplicates, packing, periodic_runs, quality, token_counts, toxicity, warc
 from tickerloom.llm.store import ready, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """A quarter of the turns, chosen by their ids, dropped, emptied, robbed of their sentence ends, repeated or given to the user."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.select("conv_id", "turn", "role", "text", (F.crc32(key.cast("binary")) % 20).alias("kind")).where("kind != 0")
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace(F.coalesce("text", F.lit(" ")), "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))})
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("kind") == 3, 2).otherwise(1)))).drop("kind", "copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.repair(damaged(rows)), rows)
+
+
 def repeat_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A tenth of the documents, chosen by their ids, end in words repeated with a period; the rest stay."""
     for batch in batches:
