@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tickerloom.llm import contamination, conversations, fingerprints, language, line_dedup, near_duplicates, packing, periodic_runs, quality, token_counts, toxicity, warc
+from tickerloom.llm import contamination, conversations, fingerprints, language, line_dedup, near_duplicates, packing, periodic_runs, personal_data, quality, token_counts, toxicity, warc
 from tickerloom.llm.store import ready, remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +87,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = personal_data.personal_spans(documents, personal_data.learn(documents))
+
+    def listed(spans):
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.expr(f"size(filter(spans, s -> s.base AND s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in personal_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+                        F.transform("spans", lambda s: s["score"]).alias("scores"))
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """A quarter of the turns, chosen by their ids, dropped, emptied, robbed of their sentence ends, repeated or given to the user."""
     key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
