@@ -2,8 +2,9 @@
 
 A line of length l is cut into threshold + 1 even segments.  If another line is within the threshold,
 one of these segments occurs in it unchanged, close to the same place; which places need to be
-probed follows from both lengths.  Lines with a common segment are checked by a banded
-bit-parallel edit distance on their whole texts.
+probed follows from both lengths.  Lines with a common segment stand in one group, in which they are checked by
+a banded bit-parallel edit distance on their whole texts; a group tells of each line how many it is linked with and the first of
+them, never the pairs.
 """
 
 from __future__ import annotations
@@ -14,14 +15,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tickerloom.llm.arrays import STEP, U64, Prefixes, mix, runs, signed
 from tickerloom.llm.store import documents, kept
 
 MOST_EDITS = 2
-MIN_CHARS = 20
-MIN_WIDTH = 20  # from which shorter lines that aren't blank are grouped exactly
-HEAVY = 20_000
+MIN_CHARS = 20  # from which lines are compared by edits; shorter ones are one where they are equal
+HEAVY = 20_000  # rows under a key that are passed on instead of being looked through at once
+GROUP = 2_000
+GROUP_CHARS = 8_000_000
 SEED = 42  # of the engine's own xxhash64
 
 
@@ -31,12 +35,9 @@ def line_hash(line: bytes, seed: int = SEED) -> int:
 
 
 def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every line of every document with two hashes of it, its length and its width.
-
-    A character of three bytes or more, as in scripts that write a word in one or two, is as wide as three; a blank line has no width.
-    """
+    """Every line of every document with two hashes of it, its length and whether it is blank."""
     for batch in batches:
-        rows, numbers, one, two, sizes, widths = [], [], [], [], [], []
+        rows, numbers, one, two, sizes, blank = [], [], [], [], [], []
         for row, text in enumerate(batch.column("text").to_pylist()):
             for i, line in enumerate(text.split("\n")):
                 raw = line.encode()
@@ -45,10 +46,10 @@ def number_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 one.append(line_hash(raw))
                 two.append(line_hash(raw, 7))
                 sizes.append(len(line))
-                widths.append(0 if line.isspace() else len(line) if len(raw) <= len(line) + 1 else len(line) + 2 * sum(c >= "\u0800" for c in line))
+                blank.append(not line or line.isspace())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(widths, pa.int32())],
-            ["doc_id", "line_no", "line", "check", "n_chars", "width"])
+            [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(numbers, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blank, pa.bool_())],
+            ["doc_id", "line_no", "line", "check", "n_chars", "blank"])
 
 
 def codes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +64,8 @@ def segment(length: np.ndarray, i: int, parts: int) -> tuple[np.ndarray, np.ndar
     return i * size + np.maximum(0, i - (parts - more)), size + (i >= parts - more)
 
 
-def segment_rows(lines: list[str], most: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, number of the line, parity, probe) of each segment and of each substring to be probed.
+def key_table(lines: list[str], most: int, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of each line's segments and of its substrings to be probed (a row per line), which are there, which columns are probes, parity.
 
     A line probes lines as long as itself or up to ``most`` shorter.  Its own segments serve as the probe
     of the same place.  parity tells of 64 classes of characters whether their count is odd: one
@@ -74,20 +75,19 @@ def segment_rows(lines: list[str], most: int, min_chars: int) -> tuple[np.ndarra
     begin, length = at[:-1], np.diff(at)
     parity = np.bitwise_xor.reduceat(U64(1) << (mix(points.astype(U64) + STEP) >> U64(58)), begin) if len(lines) else np.zeros(0, U64)
     table = Prefixes(points)
-    parts, out = most + 1, []
-    every = np.arange(len(lines))
+    parts, keys, there, probe = most + 1, [], [], []
     for shorter in range(most + 1):
         other = length - shorter
         for i in range(parts):
             place, size = segment(other, i, parts)
             for shift in range(max(-i, shorter - (most - i)), min(i, shorter + (most - i)) + 1):
                 start = place + shift
-                there = every[(start >= 0) & (start + size <= length) & (other >= min_chars)]
-                a = (begin + start)[there]
-                key = mix(table.of(a, a + size[there]) + mix((other[there] * parts + i).astype(U64) + STEP))
-                out.append((key, there, np.full(len(there), bool(shorter or shift))))
-    key, line, probe = (np.concatenate(x) for x in zip(*out))
-    return key, line, parity[line], probe
+                inside = (start >= 0) & (start + size <= length) & (other >= min_chars)
+                a = np.where(inside, begin + start, 0)
+                keys.append(mix(table.of(a, np.where(inside, a + size, 0)) + mix((other * parts + i).astype(U64) + STEP)))
+                there.append(inside)
+                probe.append(bool(shorter or shift))
+    return np.stack(keys, 1), np.stack(there, 1), np.array(probe), parity
 
 
 def emit_segments(batches: Iterator[pa.RecordBatch], most: int, min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -106,36 +106,45 @@ def emit_segments(batches: Iterator[pa.RecordBatch], most: int, min_chars: int)
             sent.update(new)
             if not new:
                 continue
-            key, line, parity, probe = segment_rows(list(new.values()), most, min_chars)
+            keys, there, probe, parity = key_table(list(new.values()), most, min_chars)
             h = np.array(list(new), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), pa.array(h[line]), pa.array(signed(parity)), pa.array(probe)], ["key", "line", "parity", "probe"])
+            line, column = np.nonzero(there)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(keys[there])), pa.array(h[line]), pa.array(signed(parity[line])), pa.array(probe[column])], ["key", "line", "parity", "probe"])
 
 
 def close(one: np.ndarray, other: np.ndarray, most: int) -> np.ndarray:
     return np.bitwise_count(one ^ other) <= 2 * most
 
 
+def with_partner(key, line, parity, probe, most: int) -> np.ndarray:
+    """Which rows, sorted by key, have another line under their key that may be near; two probes don't meet."""
+    out = np.zeros(len(key), bool)
+    group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(group, len(key)))
+    small = np.repeat(size <= 9, size)
+    for d in range(1, min(8, int(size.max()) - 1) + 1):
+        met = (key[d:] == key[:-d]) & ~(probe[d:] & probe[:-d]) & (line[d:] != line[:-d]) & close(parity[d:], parity[:-d], most) & small[d:]
+        out[d:] |= met
+        out[:-d] |= met
+    for a, n in zip(group[size > 9], size[size > 9]):
+        mine = slice(a, a + n)
+        held = np.flatnonzero(~probe[mine]) + a
+        for part in (held[k:k + 500] for k in range(0, len(held), 500)):
+            met = (line[part][:, None] != line[mine][None, :]) & close(parity[part][:, None], parity[mine][None, :], most)
+            out[part] |= met.any(1)
+            out[mine] |= met.any(0)
+    return out
+
+
 def match_keys(batches: Iterator[pa.RecordBatch], most: int, heavy: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of different lines under a common key, from rows sorted by key; a key with very many rows is passed on."""
-    def pairs(key, line, parity, probe):
-        """All keys that end within these rows."""
-        group = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(group, len(key)))
-        for d in range(1, min(8, int(size.max()) - 1) + 1):
-            i = np.flatnonzero((key[d:] == key[:-d]) & ~(probe[d:] & probe[:-d]) & (line[d:] != line[:-d]) & close(parity[d:], parity[:-d], most) & np.repeat(size <= 9, size)[d:])
-            yield line[i], line[i + d]
-        for a, n in zip(group[size > 9], size[size > 9]):
-            rows = np.unique(np.stack([line[a:a + n], parity[a:a + n].astype(np.int64), probe[a:a + n].astype(np.int64)]), axis=1)
-            held = np.flatnonzero(rows[2] == 0)
-            for part in (held[k:k + 500] for k in range(0, len(held), 500)):
-                x, y = np.nonzero((rows[0][part][:, None] != rows[0][None, :]) & close(rows[1].view(U64)[part][:, None], rows[1].view(U64)[None, :], most))
-                yield rows[0][part][x], rows[0][y]
-
-    def out(one, other, sent=None):
-        low, high = np.minimum(one, other), np.maximum(one, other)
-        low, high = np.unique(np.stack([low, high]), axis=1) if len(low) else (low, high)
-        none = pa.nulls(len(low), pa.int64())
-        return pa.RecordBatch.from_arrays([none, pa.array(low), pa.array(high), none, pa.nulls(len(low), pa.bool_())], ["key", "a", "b", "parity", "probe"])
+    """The rows of lines that may have a near one under a common key, from rows sorted by key; a key with very many rows is passed on whole."""
+    def out(key, line, parity, probe, passed=False):
+        if not passed:
+            good = with_partner(key, line, parity.view(U64), probe, most)
+            key, line, probe = key[good], line[good], probe[good]
+        rows = np.unique(np.stack([key, line, probe.astype(np.int64)]), axis=1) if len(key) else np.zeros((3, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2] == 1)], ["key", "line", "probe"])
 
     held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
     passing = None
@@ -145,31 +154,22 @@ def match_keys(batches: Iterator[pa.RecordBatch], most: int, heavy: int) -> Iter
         if not len(held[0]):
             continue
         last = held[0][-1]
-        for big in [passing] if passing is not None else []:
-            mine = held[0] == big
-            yield heavy_rows(*[c[mine] for c in held])
+        if passing is not None:
+            mine = held[0] == passing
+            yield out(*[c[mine] for c in held], passed=True)
             held = [c[~mine] for c in held]
-            if last != big:
+            if last != passing:
                 passing = None
         if passing is None and len(held[0]):
             cut = int(np.searchsorted(held[0], last))
             if cut:
-                found = [p for p in pairs(held[0][:cut], held[1][:cut], held[2][:cut].view(U64), held[3][:cut])]
-                if found:
-                    yield out(*[np.concatenate(x) for x in zip(*found)])
+                yield out(*[c[:cut] for c in held])
                 held = [c[cut:] for c in held]
             if len(held[0]) > heavy:
-                yield heavy_rows(*held)
+                yield out(*held, passed=True)
                 held, passing = [c[:0] for c in held], last
     if len(held[0]):
-        found = [p for p in pairs(held[0], held[1], held[2].view(U64), held[3])]
-        if found:
-            yield out(*[np.concatenate(x) for x in zip(*found)])
-
-
-def heavy_rows(key, line, parity, probe) -> pa.RecordBatch:
-    rows = np.unique(np.stack([key, line, parity, probe.astype(np.int64)]), axis=1) if len(key) else np.zeros((4, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.nulls(rows.shape[1], pa.int64()), pa.array(rows[2]), pa.array(rows[3] == 1)], ["key", "a", "b", "parity", "probe"])
+        yield out(*held)
 
 
 def within(one: list[str], other: list[str], most: int) -> np.ndarray:
@@ -225,61 +225,127 @@ def plain_distance(one: str, other: str) -> int:
     return row[-1]
 
 
-def verify(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in (whole.slice(i, 4000) for i in range(0, whole.num_rows, 4000)):
-            good = within(batch.column("one").to_pylist(), batch.column("other").to_pylist(), most)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
-
-
-def near_lines(docs: DataFrame, occurrences: DataFrame, most: int, min_chars: int, heavy: int = HEAVY) -> DataFrame:
-    """(a, b): hashes of different lines within ``most`` edits of each other, a < b."""
-    texts = documents(docs, "text")
-    rows = texts.mapInArrow(lambda it: emit_segments(it, most, min_chars), "key long, line long, parity long, probe boolean")
-    met = kept(rows.repartition("key").sortWithinPartitions("key").mapInArrow(
-        lambda it: match_keys(it, most, heavy), "key long, a long, b long, parity long, probe boolean"), "common-segments")
-    large = met.where("b IS NULL").select("key", "a", "parity", "probe")
-    others = large.select("key", F.col("a").alias("b"), F.col("parity").alias("other"))
-    from_large = (large.where("NOT probe").join(others, "key").where(F.col("a") != F.col("b")).where(F.bit_count(F.col("parity").bitwiseXOR(F.col("other"))) <= 2 * most)
-                  .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    pairs = kept(met.where("b IS NOT NULL").select("a", "b").unionByName(from_large).distinct(), "line-pairs")
-    asked = kept(pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct(), "asked-lines")
-    found_in = occurrences.join(asked, "line").groupBy("line").agg(F.min("doc_id").alias("doc_id"))
-    ids = found_in.select("doc_id").distinct()
-    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
-    lines = some.withColumn("line", F.xxhash64("words")).join(asked, "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
-    lines = kept(lines, "line-texts")
-    return (pairs.join(lines.select(F.col("line").alias("a"), F.col("words").alias("one")), "a")
-            .join(lines.select(F.col("line").alias("b"), F.col("words").alias("other")), "b").select("a", "b", "one", "other")
-            .mapInArrow(lambda it: verify(it, most), "a long, b long"))
+def first_common(keys: np.ndarray, there: np.ndarray, probe: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest key that the lines of each pair share, at least one of them not as a probe."""
+    best = np.full(len(a), U64(2**64 - 1))
+    for one, other in ((a, b), (b, a)):
+        for p in np.flatnonzero(~probe):
+            mine, here = keys[one, p], there[one, p]
+            for q in range(len(probe)):
+                same = here & there[other, q] & (mine == keys[other, q])
+                best = np.where(same & (mine < best), mine, best)
+    return best
 
 
-def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_chars: int = MIN_CHARS, min_width: int = MIN_WIDTH) -> DataFrame:
+def links_within(lines: list[str], probe: np.ndarray, part: np.ndarray, key: int, crossed: bool, most: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of a group's lines each one is linked with, and the number of the first of them (-1: none).
+
+    A pair counts under the smallest key that its lines share, so that it counts once in all groups.  ``crossed``: only lines
+    of different parts meet.
+    """
+    keys, there, probes, parity = key_table(lines, most, min_chars)
+    length = np.array([len(x) for x in lines])
+    count, first = np.zeros(len(lines), np.int64), np.full(len(lines), len(lines))
+    step = max(1, 1_000_000 // len(lines))
+    for at in range(0, len(lines), step):
+        rows = np.arange(at, min(at + step, len(lines)))
+        met = (rows[:, None] < np.arange(len(lines))[None, :]) & ~(probe[rows][:, None] & probe[None, :]) & close(parity[rows][:, None], parity[None, :], most)
+        met &= np.abs(length[rows][:, None] - length[None, :]) <= most
+        if crossed:
+            met &= part[rows][:, None] != part[None, :]
+        a, b = np.nonzero(met)
+        a += at
+        mine = first_common(keys, there, probes, a, b) == U64(key % 2**64)
+        a, b = a[mine], b[mine]
+        # Pairs of long lines are compared few at a time.
+        cuts = np.searchsorted(np.cumsum(length[a] + length[b]), np.arange(1, int((length[a] + length[b]).sum()) // 2_000_000 + 1) * 2_000_000, "right")
+        for lot in np.split(np.arange(len(a)), np.unique(np.concatenate([cuts, np.arange(4000, len(a), 4000)])).astype(int)):
+            x, y = a[lot], b[lot]
+            good = within([lines[i] for i in x], [lines[i] for i in y], most)
+            x, y = x[good], y[good]
+            count += np.bincount(x, minlength=len(lines)) + np.bincount(y, minlength=len(lines))
+            np.minimum.at(first, x, y)
+            np.minimum.at(first, y, x)
+    return count, np.where(first < len(lines), first, -1)
+
+
+def link_groups(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """(line, n, doc_id, line_no) per line of a group with links in it, from rows sorted by group."""
+    def of(rows):
+        rows.sort(key=lambda r: (r["doc_id"] is not None, r["line_no"] if r["doc_id"] is None else r["doc_id"], r["line_no"]))
+        count, first = links_within([r["words"] for r in rows], np.array([r["probe"] for r in rows]), np.array([r["part"] for r in rows]),
+                                    rows[0]["key"], rows[0]["low"] != rows[0]["high"], most, min_chars)
+        return [{"line": r["line"], "n": int(n), "doc_id": rows[k]["doc_id"], "line_no": rows[k]["line_no"]} for r, n, k in zip(rows, count, first) if n]
+
+    group, held, out = None, [], []
+    for batch in batches:
+        for small in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for row in small.to_pylist():
+                now = (row["key"], row["low"], row["high"])
+                if now != group:
+                    out += of(held) if len(held) > 1 else []
+                    group, held = now, []
+                held.append(row)
+            if len(out) >= 1000:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+    out += of(held) if len(held) > 1 else []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
+def near_lines(docs: DataFrame, able: DataFrame, most: int, min_chars: int, heavy: int = HEAVY, group: int = GROUP) -> DataFrame:
+    """(line, n_links, near): how many different lines are within ``most`` edits of a line that has any, and the first place of all those.
+
+    Lines that may be near stand in groups, one per common key.  A group of more than ``group`` lines or GROUP_CHARS characters is dealt in
+    parts, and each two parts meet in a task of their own.  Every group gives at most a row per line.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)["doc_id"]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = documents(docs, "text").mapInArrow(lambda it: emit_segments(it, most, min_chars), "key long, line long, parity long, probe boolean")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: match_keys(it, most, heavy), "key long, line long, probe boolean")
+    met = kept(met.groupBy("key", "line").agg(F.min("probe").alias("probe")), "common-segments")
+    asked = kept(met.select("line").distinct(), "asked-lines")
+    firsts = able.join(asked, "line").groupBy("line").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
+    firsts = kept(firsts, "asked-places")
+    ids = firsts.select("first.doc_id").distinct()
+    some = docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.explode(F.split("text", "\n")).alias("words"))
+    lines = some.withColumn("line", F.xxhash64("words")).join(asked, "line", "left_semi").groupBy("line").agg(F.min("words").alias("words"))
+    lines = kept(lines.join(firsts, "line").select("line", "words", "first.*"), "line-texts")
+    sized = met.join(lines.select("line", F.char_length("words").alias("size")), "line").groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    parts = F.greatest(F.ceil(F.col("n") / group), F.least(F.col("n"), F.ceil(F.col("size") / GROUP_CHARS))).cast("int")
+    large = kept(sized.select("key", parts.alias("parts")).where("parts > 1"), "large-groups")
+    dealt = met.join(large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.expr("cast(pmod(xxhash64(line, 3), parts) AS int)"))
+    cells = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).select(
+        "key", "line", "probe", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    fields = f"line long, n long, doc_id {kind}, line_no int"
+    schema = to_arrow_schema(StructType.fromDDL(fields))
+    found = (cells.join(lines, "line").repartition(n, "key", "low", "high").sortWithinPartitions("key", "low", "high")
+             .mapInArrow(lambda it: link_groups(it, schema, most, min_chars), fields))
+    return found.groupBy("line").agg(F.sum("n").alias("n_links"), F.min(F.struct("doc_id", "line_no")).alias("near"))
+
+
+def line_classes(docs: DataFrame, most: int = MOST_EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line_no, line, n_links, first_doc_id, first_line_no, kept) for every line of ``docs`` (doc_id, text).
 
-    Lines end at a line feed; a missing or empty text is one empty line.  Two lines of at least
-    ``min_chars`` characters are linked where they differ by at most ``most`` edits.  A line's first
-    occurrence is the smallest (doc_id, line_no) among its copies and the lines linked with it; only that
-    one is kept.  n_links counts the different texts it is linked with.  A shorter line that isn't blank and has at
-    least ``min_width``, such as a sentence in Chinese, is linked with no other, but has copies; the rest are always kept.  A
+    Lines end at a line feed; a missing or empty text is one empty line.  Equal lines that aren't blank are one.  Two different lines of
+    at least ``min_chars`` characters are linked where they differ by at most ``most`` edits; in shorter ones so few edits make
+    another word.  A line's first occurrence is the smallest (doc_id, line_no) among its copies and the lines
+    linked with it; only that one is kept.  n_links counts the different texts it is linked with.  Blank lines are always kept.  A
     missing id comes before all others; rows that repeat an id count as one document.  ``line`` is a 64-bit
     hash of the line; copies must agree in a second one, too.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    found = kept(documents(docs, "doc_id", "text").mapInArrow(number_lines, f"doc_id {kind}, line_no int, line long, check long, n_chars int, width int"), "lines")
-    place = F.struct("doc_id", "line_no")
-    takes_part = (F.col("n_chars") >= min_chars) | (F.col("width") >= min_width)
-    able = found.where(takes_part)
-    firsts = kept(able.groupBy("line", "check").agg(F.min(place).alias("first")), "first-lines")
-    links = kept(near_lines(docs, able, most, min_chars), "line-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    around = (both.join(firsts.select(F.col("line").alias("b"), "first"), "b").groupBy(F.col("a").alias("line"))
-              .agg(F.min("first").alias("near"), F.count_distinct("b").alias("n_links")))
+    found = kept(documents(docs, "doc_id", "text").mapInArrow(number_lines, f"doc_id {kind}, line_no int, line long, check long, n_chars int, blank boolean"), "lines")
+    able = found.where("NOT blank")
+    firsts = kept(able.groupBy("line", "check").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "first-lines")
+    around = near_lines(docs, able.where(F.col("n_chars") >= min_chars), most, min_chars)
     classes = kept(firsts.join(around, "line", "left").select(
         "line", "check", F.least("first", F.coalesce("near", "first")).alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "line-classes")
     grouped = able.join(classes, ["line", "check"]).select("doc_id", "line_no", "line", "n_links", "class.*").toDF("doc_id", "line_no", "line", "n_links", "first_doc_id", "first_line_no")
-    short = found.where(~takes_part).select("doc_id", "line_no", "line", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
-    return grouped.unionByName(short).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
+    blank = found.where("blank").select("doc_id", "line_no", "line", F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("first_doc_id"), F.col("line_no").alias("first_line_no"))
+    return grouped.unionByName(blank).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("line_no") == F.col("first_line_no")))
 
 
 def drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
