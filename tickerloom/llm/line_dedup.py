@@ -237,61 +237,84 @@ def first_common(keys: np.ndarray, there: np.ndarray, probe: np.ndarray, a: np.n
     return best
 
 
-def links_within(lines: list[str], probe: np.ndarray, part: np.ndarray, key: int, crossed: bool, most: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
-    """How many of a group's lines each one is linked with, and the number of the first of them (-1: none).
-
-    A pair counts under the smallest key that its lines share, so that it counts once in all groups.  ``crossed``: only lines
-    of different parts meet.
+def meeting(group: np.ndarray, probe: np.ndarray, part: np.ndarray, crossed: np.ndarray, parity: np.ndarray, length: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of the same group that may be near, a part at a time; rows are sorted by group."""
+    def may(a, b):
+        return (~(probe[a] & probe[b]) & close(parity[a], parity[b], most) & (np.abs(length[a] - length[b]) <= most)
+                & (~crossed[a] | (part[a] != part[b])))
+
+    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(first, len(group)))
+    small = np.repeat(size <= 32, size)
+    for d in range(1, int(size[size <= 32].max(initial=1))):
+        a = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+        good = may(a, a + d)
+        yield a[good], a[good] + d
+    for at, n in zip(first[size > 32], size[size > 32]):
+        step = max(1, 1_000_000 // n)
+        for rows in (np.arange(k, min(k + step, at + n)) for k in range(at, at + n, step)):
+            x, y = np.nonzero((rows[:, None] < np.arange(at, at + n)[None, :]) & may(rows[:, None], np.arange(at, at + n)[None, :]))
+            yield rows[x], y + at
+
+
+def links_within(lines: list[str], group: np.ndarray, key: np.ndarray, crossed: np.ndarray, probe: np.ndarray, part: np.ndarray, most: int, min_chars: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many lines of its group each one is linked with, and the first row of them (or the number of rows).
+
+    A pair counts under the smallest key that its lines share, so that it counts once in all groups.  Where a group is
+    ``crossed``, only lines of different parts meet.
     """
     keys, there, probes, parity = key_table(lines, most, min_chars)
     length = np.array([len(x) for x in lines])
     count, first = np.zeros(len(lines), np.int64), np.full(len(lines), len(lines))
-    step = max(1, 1_000_000 // len(lines))
-    for at in range(0, len(lines), step):
-        rows = np.arange(at, min(at + step, len(lines)))
-        met = (rows[:, None] < np.arange(len(lines))[None, :]) & ~(probe[rows][:, None] & probe[None, :]) & close(parity[rows][:, None], parity[None, :], most)
-        met &= np.abs(length[rows][:, None] - length[None, :]) <= most
-        if crossed:
-            met &= part[rows][:, None] != part[None, :]
-        a, b = np.nonzero(met)
-        a += at
-        mine = first_common(keys, there, probes, a, b) == U64(key % 2**64)
+    for a, b in meeting(group, probe, part, crossed, parity, length, most):
+        mine = first_common(keys, there, probes, a, b) == key[a]
         a, b = a[mine], b[mine]
-        # Pairs of long lines are compared few at a time.
-        cuts = np.searchsorted(np.cumsum(length[a] + length[b]), np.arange(1, int((length[a] + length[b]).sum()) // 2_000_000 + 1) * 2_000_000, "right")
-        for lot in np.split(np.arange(len(a)), np.unique(np.concatenate([cuts, np.arange(4000, len(a), 4000)])).astype(int)):
-            x, y = a[lot], b[lot]
-            good = within([lines[i] for i in x], [lines[i] for i in y], most)
-            x, y = x[good], y[good]
+        # Pairs of about the same length are compared together, few of long lines at a time.
+        order = np.argsort(length[a], kind="stable")
+        a, b = a[order], b[order]
+        chars = np.cumsum(length[a] + length[b])
+        at = 0
+        while at < len(a):
+            end = min(at + 4000, max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + 4_000_000))))
+            good = within([lines[i] for i in a[at:end]], [lines[i] for i in b[at:end]], most)
+            x, y = a[at:end][good], b[at:end][good]
             count += np.bincount(x, minlength=len(lines)) + np.bincount(y, minlength=len(lines))
             np.minimum.at(first, x, y)
             np.minimum.at(first, y, x)
-    return count, np.where(first < len(lines), first, -1)
+            at = end
+    return count, first
 
 
 def link_groups(batches: Iterator[pa.RecordBatch], schema: pa.Schema, most: int, min_chars: int) -> Iterator[pa.RecordBatch]:
-    """(line, n, doc_id, line_no) per line of a group with links in it, from rows sorted by group."""
-    def of(rows):
-        rows.sort(key=lambda r: (r["doc_id"] is not None, r["line_no"] if r["doc_id"] is None else r["doc_id"], r["line_no"]))
-        count, first = links_within([r["words"] for r in rows], np.array([r["probe"] for r in rows]), np.array([r["part"] for r in rows]),
-                                    rows[0]["key"], rows[0]["low"] != rows[0]["high"], most, min_chars)
-        return [{"line": r["line"], "n": int(n), "doc_id": rows[k]["doc_id"], "line_no": rows[k]["line_no"]} for r, n, k in zip(rows, count, first) if n]
-
-    group, held, out = None, [], []
+    """(line, n, doc_id, line_no) per line of a group with links in it, from rows sorted by group; many small groups are looked at together."""
+    def place(r):
+        return r["doc_id"] is not None, r["line_no"] if r["doc_id"] is None else r["doc_id"], r["line_no"]
+
+    def of(groups):
+        rows = [r for g in groups for r in g]
+        number = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+        key = np.array([r["key"] for r in rows], np.int64).view(U64)
+        count, first = links_within([r["words"] for r in rows], number, key, np.array([r["low"] != r["high"] for r in rows]),
+                                    np.array([r["probe"] for r in rows]), np.array([r["part"] for r in rows]), most, min_chars)
+        out = [{"line": rows[i]["line"], "n": int(count[i]), "doc_id": rows[first[i]]["doc_id"], "line_no": rows[first[i]]["line_no"]} for i in np.flatnonzero(count)]
+        return [pa.RecordBatch.from_pylist(out, schema)] if out else []
+
+    now, held, groups, chars = None, [], [], 0
     for batch in batches:
-        for small in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
-            for row in small.to_pylist():
-                now = (row["key"], row["low"], row["high"])
-                if now != group:
-                    out += of(held) if len(held) > 1 else []
-                    group, held = now, []
+        for few in (batch.slice(i, 1000) for i in range(0, batch.num_rows, 1000)):
+            for row in few.to_pylist():
+                if (row["key"], row["low"], row["high"]) != now:
+                    if len(held) > 1:
+                        groups.append(sorted(held, key=place))
+                        chars += sum(len(r["words"]) for r in held)
+                    if chars > 2_000_000:
+                        yield from of(groups)
+                        groups, chars = [], 0
+                    now, held = (row["key"], row["low"], row["high"]), []
                 held.append(row)
-            if len(out) >= 1000:
-                yield pa.RecordBatch.from_pylist(out, schema)
-                out = []
-    out += of(held) if len(held) > 1 else []
-    if out:
-        yield pa.RecordBatch.from_pylist(out, schema)
+    groups += [sorted(held, key=place)] if len(held) > 1 else []
+    if groups:
+        yield from of(groups)
 
 
 def near_lines(docs: DataFrame, able: DataFrame, most: int, min_chars: int, heavy: int = HEAVY, group: int = GROUP) -> DataFrame:
