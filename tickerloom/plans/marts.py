@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,18 +23,18 @@ def assets(spark: SparkSession, as_of: datetime | str | None = None, rows=names.
     return known.select(asset_key(F.col("asset_ticker")).alias("asset_key"), "*", now(as_of).alias("created_at"))
 
 
-def daily_history(bars: DataFrame) -> DataFrame:
+def daily_history(bars: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     return bars.select(
         asset_key(F.col("stock_ticker")).alias("asset_key"), "stock_ticker", "candle_date",
         "open_price", "high_price", "low_price", "close_price", "trading_volume",
         day_range(F.col("high_price"), F.col("low_price")).alias("daily_price_range"),
-        "api_refreshed_at")
+        "api_refreshed_at", *also)
 
 
-def realtime_stream(ticks: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+def realtime_stream(ticks: DataFrame, as_of: datetime | str | None = None, also: Sequence[str] = ()) -> DataFrame:
     return ticks.select(
         asset_key(F.col("stock_ticker")).alias("asset_key"), "stock_ticker", "event_timestamp",
-        "trade_price", "trade_volume", "price_source", now(as_of).alias("dw_inserted_at"))
+        "trade_price", "trade_volume", "price_source", now(as_of).alias("dw_inserted_at"), *also)
 
 
 def baselines(bars: DataFrame, n: int = names.BASELINE_ROWS) -> DataFrame:
@@ -43,7 +44,7 @@ def baselines(bars: DataFrame, n: int = names.BASELINE_ROWS) -> DataFrame:
         F.col("deviation").alias("historical_volatility_20d"))
 
 
-def with_features(ticks_with_baseline: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+def with_features(ticks_with_baseline: DataFrame, as_of: datetime | str | None = None, also: Sequence[str] = ()) -> DataFrame:
     """Feature columns for ticks that carry the baseline columns, NULL where there is none."""
     price = F.col("trade_price")
     sma = F.coalesce("sma_20", "trade_price")
@@ -55,7 +56,7 @@ def with_features(ticks_with_baseline: DataFrame, as_of: datetime | str | None =
         sma.alias("sma_20_baseline"),
         F.coalesce("historical_volatility_20d", F.lit(0.0)).alias("rolling_volatility"),
         deviation_pct(price, sma).alias("price_deviation_pct"),
-        now(as_of).alias("dw_inserted_at"))
+        now(as_of).alias("dw_inserted_at"), *also)
 
 
 def market_features(ticks: DataFrame, bars: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
@@ -69,14 +70,14 @@ def market_features(ticks: DataFrame, bars: DataFrame, as_of: datetime | str | N
 
 
 def news_inputs(news: DataFrame, as_of: datetime | str | None = None,
-                language: str = names.HEADLINE_LANGUAGE) -> DataFrame:
+                language: str = names.HEADLINE_LANGUAGE, also: Sequence[str] = ()) -> DataFrame:
     wanted = news.filter((F.col("language") == language) & F.col("title").isNotNull()
                          & (F.col("asset_ticker") != names.UNKNOWN_TICKER))
     return wanted.select(
         asset_key(F.col("asset_ticker")).alias("asset_key"), "news_id", "asset_ticker",
         news_payload(F.col("title"), F.col("description"), F.col("content_body")).alias("nlp_text_payload"),
         F.col("sentiment_score").alias("baseline_sentiment"),
-        "news_source", "published_timestamp", now(as_of).alias("dw_inserted_at"))
+        "news_source", "published_timestamp", now(as_of).alias("dw_inserted_at"), *also)
 
 
 def with_asset(facts: DataFrame, dim: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame
 
 from tickerloom import names, schemas
-from tickerloom.plans import evaluation, marts, predictions, staging, unified
+from tickerloom.plans import evaluation, incremental, marts, predictions, staging, unified
 from tickerloom.sources import bronze
 from tickerloom.sources.tables import Tables
 
@@ -30,11 +30,11 @@ def staged(tables: Tables, bronze_root: str) -> dict[str, DataFrame]:
             for name, feed, model in STAGING}
 
 
-def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = None) -> dict[str, DataFrame]:
+def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = None, rules=names.TICKER_RULES) -> dict[str, DataFrame]:
     """Rebuild all stored models.  Each is computed once and read back where others need it."""
     models = staged(tables, bronze_root)
     ticks = tables.replace(names.INT_TICKS, unified.market_ticks(models[names.STG_QUOTES], models[names.STG_TRADES]))
-    news = tables.replace(names.INT_NEWS, unified.news(models[names.STG_ENTITY_NEWS], models[names.STG_HEADLINES]))
+    news = tables.replace(names.INT_NEWS, unified.news(models[names.STG_ENTITY_NEWS], models[names.STG_HEADLINES], rules))
     history = tables.replace(names.FCT_HISTORY, marts.daily_history(models[names.STG_BARS]))
     models |= {
         names.INT_TICKS: ticks,
@@ -49,20 +49,23 @@ def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = N
 
 
 def score(tables: Tables, as_of: datetime | str | None = None, limit: int | None = None,
-          load_model: Callable[[], predictions.TextModel] | None = None) -> None:
-    """Append predictions for the current features; a repeated run appends nothing new."""
+          load_model: Callable[[], predictions.TextModel] | None = None, **how) -> None:
+    """Append predictions for the current features; a repeated run appends nothing new.
+
+    ``how`` is passed on to :func:`tickerloom.plans.predictions.predict`.
+    """
     made = predictions.predict(tables.read(names.FCT_NEWS_INPUTS), tables.read(names.FCT_FEATURES), as_of,
-                               load_model, limit)
+                               load_model, limit, **how)
     stored = tables.read_or_empty(names.FCT_PREDICTIONS, schemas.PREDICTIONS)
     tables.append(names.FCT_PREDICTIONS, predictions.not_yet_stored(made, stored))
 
 
-def evaluate(tables: Tables, as_of: datetime | str | None = None) -> None:
-    """Append outcomes for predictions whose moment has come."""
+def evaluate(tables: Tables, as_of: datetime | str | None = None, **how) -> None:
+    """Append outcomes for predictions whose moment has come; ``how`` is passed on to the evaluation."""
     made = tables.read_or_empty(names.FCT_PREDICTIONS, schemas.PREDICTIONS)
     due = evaluation.pending(made, outcomes_table(tables), as_of)
     batch = f"refresh-{as_of or datetime.now(timezone.utc).isoformat()}".replace(":", "").replace(" ", "T")
-    evaluation.store(evaluation.evaluate(due, tables.read(names.FCT_STREAM), as_of), tables.path(EVALUATIONS), f"{batch}-{uuid.uuid4().hex[:8]}")
+    evaluation.store(evaluation.evaluate(due, tables.read(names.FCT_STREAM), as_of, **how), tables.path(EVALUATIONS), f"{batch}-{uuid.uuid4().hex[:8]}")
 
 
 def outcomes_table(tables: Tables) -> DataFrame:
@@ -77,9 +80,13 @@ def predictions_table(tables: Tables) -> DataFrame:
 
 
 def refresh(tables: Tables, bronze_root: str, as_of: datetime | str | None = None, limit: int | None = None,
-            load_model: Callable[[], predictions.TextModel] | None = None) -> DataFrame:
-    """One full cycle; returns the prediction table."""
-    transform(tables, bronze_root, as_of)
+            load_model: Callable[[], predictions.TextModel] | None = None, whole: bool = True) -> DataFrame:
+    """One full cycle; returns the prediction table.
+
+    Unless ``whole``, only what new messages touch is rebuilt (:mod:`tickerloom.plans.incremental`); one set of tables is to
+    be refreshed in one of both ways.
+    """
+    (transform if whole else incremental.transform)(tables, bronze_root, as_of)
     score(tables, as_of, limit, load_model)
     evaluate(tables, as_of)
     return predictions_table(tables)

@@ -14,6 +14,33 @@ from tickerloom.functions.payload import at, key_path, with_payload
 from tickerloom.operators.dedup import keep_any, keep_latest
 
 
+TRADE_KEYS = ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"]
+QUOTE_KEYS = ["asset_ticker", "sequence_id"]
+BAR_KEYS = ["stock_ticker", "candle_date"]
+ENTITY_KEYS = ["article_uuid", "entity_ticker"]
+HEADLINE_KEYS = ["title", "published_timestamp"]
+
+
+def one_trade(rows: DataFrame) -> DataFrame:
+    return keep_any(rows, TRADE_KEYS)
+
+
+def one_quote(rows: DataFrame) -> DataFrame:
+    return keep_latest(rows, QUOTE_KEYS, ["event_timestamp"])
+
+
+def one_bar(rows: DataFrame) -> DataFrame:
+    return keep_latest(rows, BAR_KEYS, ["api_refreshed_at"])
+
+
+def one_entity(rows: DataFrame) -> DataFrame:
+    return keep_latest(rows, ENTITY_KEYS, ["published_timestamp"])
+
+
+def one_headline(rows: DataFrame) -> DataFrame:
+    return keep_latest(rows, HEADLINE_KEYS, [])
+
+
 def _payload(raw: DataFrame) -> DataFrame:
     return with_payload(raw.select("raw_payload")).select("payload")
 
@@ -30,7 +57,7 @@ def parse_trades(raw: DataFrame) -> DataFrame:
 
 
 def trades(raw: DataFrame) -> DataFrame:
-    return keep_any(parse_trades(raw), ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"])
+    return one_trade(parse_trades(raw))
 
 
 def parse_quotes(raw: DataFrame) -> DataFrame:
@@ -47,7 +74,7 @@ def parse_quotes(raw: DataFrame) -> DataFrame:
 
 
 def quotes(raw: DataFrame) -> DataFrame:
-    return keep_latest(parse_quotes(raw), ["asset_ticker", "sequence_id"], ["event_timestamp"])
+    return one_quote(parse_quotes(raw))
 
 
 def parse_bars(raw: DataFrame) -> DataFrame:
@@ -67,7 +94,7 @@ def parse_bars(raw: DataFrame) -> DataFrame:
 
 
 def bars(raw: DataFrame) -> DataFrame:
-    return keep_latest(parse_bars(raw), ["stock_ticker", "candle_date"], ["api_refreshed_at"])
+    return one_bar(parse_bars(raw))
 
 
 def parse_entity_news(raw: DataFrame) -> DataFrame:
@@ -91,7 +118,7 @@ def parse_entity_news(raw: DataFrame) -> DataFrame:
 
 
 def entity_news(raw: DataFrame) -> DataFrame:
-    return keep_latest(parse_entity_news(raw), ["article_uuid", "entity_ticker"], ["published_timestamp"])
+    return one_entity(parse_entity_news(raw))
 
 
 def parse_headlines(raw: DataFrame) -> DataFrame:
@@ -110,4 +137,4 @@ def parse_headlines(raw: DataFrame) -> DataFrame:
 
 
 def headlines(raw: DataFrame) -> DataFrame:
-    return keep_latest(parse_headlines(raw), ["title", "published_timestamp"], [])
+    return one_headline(parse_headlines(raw))

@@ -7,11 +7,14 @@ replaces itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickerloom import names
 from tickerloom.functions.payload import with_payload
+from tickerloom.sources.versions import Files
 
 UNREADABLE = "unreadable"
 STORED = ("raw_payload variant, unreadable_text string, "
@@ -69,6 +72,20 @@ def read(spark: SparkSession, root: str, table: str) -> DataFrame:
     return _stored(spark, root, table).drop("unreadable_text")
 
 
+def folders(spark: SparkSession, root: str, table: str) -> dict[str, int]:
+    """The batch folders of a raw table, day by day, with the time of their last change."""
+    files, base = Files(spark), f"{root.rstrip('/')}/bronze_table={table}"
+    return {f"{day}/{batch}": at for day, _, _ in files.listed(base) if day.startswith("ingest_date=")
+            for batch, _, at in files.listed(f"{base}/{day}") if batch.startswith("batch=")}
+
+
+def read_folders(spark: SparkSession, root: str, table: str, some: Iterable[str]) -> DataFrame:
+    """The payloads of some batch folders, nothing else being listed."""
+    paths = [f"{root.rstrip('/')}/bronze_table={table}/{folder}" for folder in some]
+    schema = "raw_payload variant"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def unreadable(spark: SparkSession, root: str) -> DataFrame:
     return _stored(spark, root, UNREADABLE).select("unreadable_text", "record_metadata")
 

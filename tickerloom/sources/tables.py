@@ -1,10 +1,17 @@
-"""Model tables by name under one folder."""
+"""Model tables by name under one folder.
+
+A table that is replaced has versions (see :mod:`tickerloom.sources.versions`); one that is appended to is a plain folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tickerloom.sources.versions import Versions
+
 
 class Tables:
     def __init__(self, spark: SparkSession, root: str):
@@ -14,11 +21,18 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def versions(self, name: str) -> Versions:
+        return Versions(self.spark, self.path(name))
+
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        versions = self.versions(name)
+        return versions.read() if versions.exists() else self.spark.read.parquet(self.path(name))
 
     def read_or_empty(self, name: str, schema: str) -> DataFrame:
         """The table, or no rows while nothing has been written to it."""
+        versions = self.versions(name)
+        if versions.exists():
+            return versions.read()
         try:
             return self.spark.read.schema(schema).parquet(self.path(name))
         except AnalysisException as error:
@@ -27,9 +41,12 @@ class Tables:
             return self.spark.createDataFrame([], schema)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
-        """Full refresh.  ``df`` must not read the table it replaces."""
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.read(name)
+        """Full refresh.  Readers see the old rows until all new ones are there; of two writers at once the later one fails."""
+        return self.versions(name).replace(df)
+
+    def replace_parts(self, name: str, df: DataFrame, parts: Iterable[str]) -> None:
+        """Refresh of the named parts alone; ``df`` has theirs in the column ``_part``."""
+        self.versions(name).replace_parts(df, parts)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tickerloom.names import BARS, ENTITY_NEWS, HEADLINES, QUOTES, TRADES, Feed
 from tickerloom.session import utc
 
 
@@ -187,6 +188,28 @@ headlines AS (
     ORDER BY author DESC NULLS FIRST, description DESC NULLS FIRST, content DESC NULLS FIRST,
              source_name DESC NULLS FIRST) = 1)"""
 
+# --- the feeds as queue records ------------------------------------------------------------
+
+def queue_records(payloads: DataFrame, feed: Feed, day: str) -> DataFrame:
+    """Messages of a feed that all arrived on one day."""
+    return payloads.select(
+        F.lit(None).cast("string").alias("key"), F.col("raw_payload").alias("value"), F.lit(feed.topic).alias("topic"),
+        F.lit(0).alias("partition"), F.monotonically_increasing_id().alias("offset"), F.lit(day).cast("timestamp").alias("timestamp"))
+
+
+def all_messages(spark: SparkSession, sf_dir: str, day: str, part: int | None = None) -> DataFrame:
+    """All five feeds; of two parts each message is in one, so that copies come together or apart."""
+    feeds = ((trades_raw, TRADES), (quotes_raw, QUOTES), (bars_raw, BARS), (entity_news_raw, ENTITY_NEWS), (headlines_raw, HEADLINES))
+    both = None
+    for raw, feed in feeds:
+        payloads = raw(spark, sf_dir)
+        if part is not None:
+            payloads = payloads.filter(F.pmod(F.xxhash64("raw_payload"), F.lit(2)) == part)
+        rows = queue_records(payloads, feed, day)
+        both = rows if both is None else both.unionByName(rows)
+    return both
+
+
 # Rules and word lists that fit the language of the documents.
 WORD_RULES = (("thther", "enst", "AAA"), ("eaux", "ouv", "BBB"), ("einge", "ung", "CCC"), ("cion", "ada", "DDD"))
 GOOD_WORDS = ("the", "and", "la", "der")

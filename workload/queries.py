@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickerloom import names, schemas
 from tickerloom.functions import clock, payload, pricing, text
 from tickerloom.operators import lookup, rolling
-from tickerloom.plans import evaluation, marts, predictions, staging, unified
+from tickerloom.plans import evaluation, incremental, marts, predictions, staging, unified
 from tickerloom.session import shared_dir
 from tickerloom.sources import bronze, landing
 from tickerloom.sources.tables import Tables
@@ -578,6 +578,26 @@ def _(spark, sf):
     return plain(marts.news_inputs(all_news(spark, sf), AS_OF).drop("dw_inserted_at"), published_timestamp="timestamp_ntz")
 
 
+def refreshed_twice(spark, sf) -> Tables:
+    """Models after two deliveries, of which either has messages of every day, each followed by a refresh."""
+    tables, root = Tables(spark, scratch(spark, "models")), scratch(spark, "bronze")
+    for part, day in enumerate(("2024-01-10", "2024-01-11")):
+        bronze.append_batch(inputs.all_messages(spark, sf, day, part), root, f"delivery-{part}")
+        incremental.transform(tables, root, AS_OF, WORD_RULES, groups=2, block=1_000_000)
+    return tables
+
+
+@query("t2_incremental_refresh", f"WITH {FEATURES_SQL} {FEATURE_ROWS_SQL}")
+def _(spark, sf):
+    return feature_rows(refreshed_twice(spark, sf).read(names.FCT_FEATURES))
+
+
+@query("t2_incremental_news", f"WITH {NEWS_INPUTS_SQL} SELECT * FROM news_inputs")
+def _(spark, sf):
+    news = refreshed_twice(spark, sf).read(names.FCT_NEWS_INPUTS)
+    return plain(news.drop("dw_inserted_at"), published_timestamp="timestamp_ntz")
+
+
 def tickered(spark, sf) -> DataFrame:
     docs = titled(spark, sf)
     return docs.select("doc_id", text.asset_key(text.ticker_by_rules(
