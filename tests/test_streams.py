@@ -195,6 +195,36 @@ def test_pending_is_retried_until_truth_arrives(spark, tmp_path):
     assert run() == [2.0]
 
 
+def test_a_batch_asks_only_what_its_ticks_may_settle(spark, tmp_path, monkeypatch):
+    moments = {"p1": "2025-01-01T00:05:00", "p2": "2025-01-01T09:00:00", "p3": "2025-01-01T09:00:05", "p4": "2025-01-03T00:00:00"}
+    made = spark.createDataFrame([(p, "k", "A", ts("2025-01-01T00:00:00"), ts(at), 0.0, 1.0) for p, at in moments.items()], schemas.PREDICTIONS)
+    schema = "stock_ticker string, event_timestamp timestamp_ntz, trade_price double, price_source string"
+    target, folder, log = str(tmp_path / "out"), str(tmp_path / "ticks"), str(tmp_path / "cp")
+    asked = []
+    plain = evaluation.evaluate
+    monkeypatch.setattr(evaluation, "evaluate", lambda due, *a, **how: asked.append({r[0] for r in due.select("prediction_id").collect()}) or plain(due, *a, **how))
+
+    def stored():
+        return evaluation.one_outcome(Tables(spark, str(tmp_path)).read_or_empty("out", schemas.EVALUATIONS))
+
+    def run(*ticks, as_of=AS_OF):
+        if ticks:
+            spark.createDataFrame([(t, ts(at), price, "s") for t, at, price in ticks], schema).coalesce(1).write.mode("append").parquet(folder)
+        outcomes.retry_pending(spark.readStream.schema(schema).parquet(folder), lambda: made, lambda: spark.read.parquet(folder),
+                               stored, target, log, as_of).awaitTermination()
+        return {r.prediction_id: r.actual_price for r in stored().collect()}
+
+    assert run(("A", "2025-01-01T05:00:00", 1.0)) == {} and asked[-1] == {"p1", "p2", "p3"}  # the first look is at all that are due
+    assert run(("A", "2025-01-01T09:00:03", 2.0), ("A", "2025-01-02T23:59:59", 4.0)) == {"p2": 2.0, "p3": 2.0} and asked[-1] == {"p2", "p3"}
+    assert run(("B", "2025-01-01T00:05:00", 3.0), ("A", "2025-01-01T07:00:00", 3.0)).keys() == {"p2", "p3"} and asked[-1] == set()
+    # Its tick has come before its moment; the batch that comes after looks at it.
+    assert run(("A", "2025-01-02T12:00:00", 1.0), as_of="2025-01-03 00:00:30")["p4"] == 4.0 and asked[-1] == {"p4"}
+    # The same batch again, as after a failure: nothing that it has settled is lost.
+    (tmp_path / "cp" / "commits" / "3").unlink()
+    (tmp_path / "cp" / "commits" / ".3.crc").unlink(missing_ok=True)
+    assert run(as_of="2025-01-03 00:00:30") == {"p2": 2.0, "p3": 2.0, "p4": 4.0} and asked[-1] == set()
+
+
 def test_full_refresh(spark, tmp_path):
     write_messages(tmp_path / "in", 1, trade("NVDA", 100.0, 0), trade("NVDA", 102.0, 60_000), quote(1, 0, 50),
                    bars("NVDA", d30="98", d31="102"), headline("Bitcoin rally"), headline("weather"), entity("u", "NVDA"))

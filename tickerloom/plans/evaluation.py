@@ -10,9 +10,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tickerloom import names, schemas
-from tickerloom.functions.clock import now, now_utc
+from tickerloom.functions.clock import epoch_second, now, now_utc
 from tickerloom.functions.pricing import within_margin
-from tickerloom.operators.tolerance import latest_within
+from tickerloom.operators.tolerance import MIN_SPAN_SECONDS, latest_within
 
 
 def merged(predictions: DataFrame, evaluations: DataFrame) -> DataFrame:
@@ -29,6 +29,20 @@ def pending(predictions: DataFrame, evaluations: DataFrame | None = None,
     return due.join(evaluations.select("prediction_id"), "prediction_id", "left_anti").select(*due.columns)
 
 
+def near_ticks(due: DataFrame, ticks: DataFrame, seconds: int = names.MATCH_SECONDS) -> DataFrame:
+    """The predictions that one of the ticks may settle: those of a ticker and span of time that a tick reaches.
+
+    Only (ticker, span) of either side meet, so many ticks of a ticker count once per span.
+    """
+    span = max(2 * seconds + 1, MIN_SPAN_SECONDS)
+    second = epoch_second(F.col("event_timestamp"))
+    reach = F.array_distinct(F.array(F.floor((second - seconds) / span), F.floor((second + seconds) / span)))
+    spans = (ticks.filter("trade_price IS NOT NULL AND event_timestamp IS NOT NULL")
+             .select("stock_ticker", F.explode(reach).alias("_span")).distinct())
+    placed = due.withColumn("_span", F.floor(epoch_second(F.col("target_window")) / span))
+    return placed.join(spans, ["stock_ticker", "_span"], "left_semi").select(*due.columns)
+
+
 def evaluate(due: DataFrame, stream: DataFrame, as_of: datetime | str | None = None,
              seconds: int = names.MATCH_SECONDS, margin: float = names.HIT_MARGIN) -> DataFrame:
     """Outcome rows for the predictions that have a priced tick near their moment.
@@ -58,12 +72,12 @@ def daily_totals(evaluated: DataFrame) -> DataFrame:
 
 
 def store(outcomes: DataFrame, path: str, batch: str) -> None:
-    """Add outcomes to their table; the same batch again replaces what it wrote before.
+    """Add outcomes to their table.
 
-    Scheduled runs and streams both write through here, so that they can share one table.
+    Scheduled runs and streams both write through here, so that they can share one table.  Attempts of a batch lie beside each
+    other: what an earlier one settled is no longer pending for the next, and :func:`one_outcome` tells copies apart.
     """
-    (outcomes.withColumn("batch", F.lit(batch)).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+    outcomes.withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(path)
 
 
 def one_outcome(stored: DataFrame) -> DataFrame:

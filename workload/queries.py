@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickerloom import names, schemas
 from tickerloom.functions import clock, payload, pricing, text
 from tickerloom.operators import lookup, rolling
-from tickerloom.plans import evaluation, incremental, marts, predictions, staging, unified
+from tickerloom.plans import evaluation, incremental, marts, predictions, refresh, staging, unified
 from tickerloom.session import shared_dir
-from tickerloom.sources import bronze, landing
+from tickerloom.sources import bronze, landing, versions
 from tickerloom.sources.tables import Tables
 from tickerloom.streaming import dedup as stream_dedup, ingest, market, outcomes
 from workload import inputs
@@ -960,6 +960,16 @@ def _(spark, sf):
     return market.logged_trades(spark, logged_trades(spark, sf)).drop("trade_conditions")
 
 
+@query("t3_many_triggers", f"WITH {TRADES_SQL} SELECT * FROM trades")
+def _(spark, sf):
+    """Trades in sixteen triggers, whole rows."""
+    root, log, folder = scratch(spark, "trades"), scratch(spark, "trades-log"), scratch(spark, "delivered")
+    inputs.trade_payloads(table(spark, sf, "events")).repartition(16).write.parquet(folder)
+    live = spark.readStream.schema("raw_payload string").option("maxFilesPerTrigger", 1).parquet(folder)
+    market.trade_log(live, root, log).awaitTermination()
+    return market.logged_trades(spark, root).withColumn("trade_conditions", F.array_join("trade_conditions", ","))
+
+
 @query("t4_stream_keep_latest", f"WITH {QUOTES_SQL} SELECT * FROM quotes")
 def _(spark, sf):
     root, log = scratch(spark, "quotes"), scratch(spark, "quotes-log")
@@ -998,12 +1008,26 @@ WITH {evaluated_sql()}
 SELECT prediction_id, actual_price, price_error_variance, is_prediction_correct FROM outcomes
 WHERE target_window <= TIMESTAMP '{AS_OF}'""")
 def _(spark, sf):
-    target, log = scratch(spark, "outcomes"), scratch(spark, "outcomes-log")
-    nothing = spark.createDataFrame([], schemas.EVALUATIONS)
-    outcomes.retry_pending(
-        inputs.stream(spark, sf, "events"), lambda: inputs.predictions(spark, sf), lambda: inputs.realised(spark, sf),
-        lambda: nothing, target, log, AS_OF, seconds=inputs.MATCH_SECONDS).awaitTermination()
-    return spark.read.parquet(target).select(
+    """Ticks of some tickers come with each of three starts; purchases are settled by a scheduled run in between, and the last batch
+    is delivered again, as after a failure before its commit."""
+    tables, log, folder = Tables(spark, scratch(spark, "outcomes")), scratch(spark, "outcomes-log"), scratch(spark, "delivered")
+    realised = inputs.realised(spark, sf)
+    tables.append(names.FCT_PREDICTIONS, inputs.predictions(spark, sf))
+    tables.replace(names.FCT_STREAM, realised.filter("stock_ticker = 'purchase'"))
+
+    def start() -> None:
+        outcomes.retry_pending(
+            spark.readStream.schema(realised.schema).parquet(folder), lambda: tables.read(names.FCT_PREDICTIONS), lambda: spark.read.parquet(folder),
+            lambda: refresh.outcomes_table(tables), tables.path(refresh.EVALUATIONS), log, AS_OF, seconds=inputs.MATCH_SECONDS).awaitTermination()
+
+    for number, kinds in enumerate((("click", "signup"), ("view", "purchase"), ("error",))):
+        realised.filter(F.col("stock_ticker").isin(*kinds)).write.mode("append").parquet(folder)
+        start()
+        if number == 0:
+            refresh.evaluate(tables, AS_OF, seconds=inputs.MATCH_SECONDS)
+    versions.Files(spark).delete(f"{log}/commits/2")
+    start()
+    return refresh.outcomes_table(tables).select(
         "prediction_id", "actual_price", "price_error_variance", "is_prediction_correct")
 
 
