@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -578,6 +579,53 @@ def _(spark, sf):
     return plain(marts.news_inputs(all_news(spark, sf), AS_OF).drop("dw_inserted_at"), published_timestamp="timestamp_ntz")
 
 
+# Headlines point to tickers that have ticks, so that news are scored and predictions settled.
+MARKET_RULES = tuple((word, symbol, ticker) for (word, symbol, _), ticker in zip(WORD_RULES, ("20", "40", "60", "80")))
+DAY_SECONDS = 86400
+WHOLE_REFRESH_SQL = f"""
+WITH {FEATURES_SQL}, {NEWS_INPUTS_SQL.replace(rules_sql(WORD_RULES), rules_sql(MARKET_RULES))},
+latest AS (
+  SELECT * FROM features QUALIFY row_number() OVER (PARTITION BY stock_ticker ORDER BY event_timestamp DESC,
+    live_price DESC NULLS LAST, live_volume DESC NULLS LAST, price_deviation_pct DESC NULLS LAST, rolling_volatility DESC) = 1),
+made AS (
+  SELECT row_number() OVER () AS prediction_id, m.stock_ticker, TIMESTAMP '2024-01-20 12:05:00' AS target_window,
+         CAST(format('{{:.4f}}', m.live_price + m.price_deviation_pct / 100.0 * m.live_price + m.rolling_volatility * 0.1)
+           AS DOUBLE) AS predicted_future_price
+  FROM news_inputs n JOIN latest m ON n.asset_ticker = m.stock_ticker),
+settled AS (
+  SELECT m.prediction_id, t.trade_price AS actual_price
+  FROM made m JOIN ticks t ON m.stock_ticker = t.stock_ticker AND t.trade_price IS NOT NULL
+   AND abs(date_diff('second', t.event_timestamp, m.target_window)) <= {DAY_SECONDS}
+  QUALIFY row_number() OVER (PARTITION BY m.prediction_id
+    ORDER BY t.event_timestamp DESC, t.price_source DESC, t.trade_price DESC) = 1)
+SELECT 'int_unified_market_ticks' AS model, count(*) AS rows, round(avg(trade_price), 3) AS mean FROM ticks
+UNION ALL SELECT 'fct_realtime_market_stream', count(*), round(avg(trade_price), 3) FROM ticks
+UNION ALL SELECT 'fct_market_ml_features', count(*), round(avg(sma_20_baseline), 3) FROM features
+UNION ALL SELECT 'fct_daily_market_history', count(*), round(avg(close_price), 3) FROM bars
+UNION ALL SELECT 'int_unified_news', count(*), round(avg(sentiment_score), 3) FROM news
+UNION ALL SELECT 'fct_nlp_feature_inputs', count(*), round(avg(baseline_sentiment), 3) FROM news_inputs
+UNION ALL SELECT 'dim_assets', {len(names.ASSETS)}, NULL
+UNION ALL SELECT 'fct_model_predictions', count(*), round(avg(predicted_future_price), 2) FROM made
+UNION ALL SELECT 'outcomes', count(*), round(avg(actual_price), 2) FROM settled"""
+
+
+@query("s8_whole_refresh", WHOLE_REFRESH_SQL)
+def _(spark, sf):
+    """All seven models from the raw tables, then scores, then outcomes; replaced twice, as by two cycles."""
+    tables, root = Tables(spark, scratch(spark, "models")), scratch(spark, "bronze")
+    for part in range(2):
+        bronze.append_batch(inputs.all_messages(spark, sf, "2024-01-10", part), root, f"delivery-{part}")
+        refresh.transform(tables, root, AS_OF, MARKET_RULES)
+    refresh.score(tables, AS_OF)
+    refresh.evaluate(tables, "2024-01-20 12:05:00", seconds=DAY_SECONDS)
+    measured = {names.INT_TICKS: "trade_price", names.FCT_STREAM: "trade_price", names.FCT_FEATURES: "sma_20_baseline", names.FCT_HISTORY: "close_price",
+                names.INT_NEWS: "sentiment_score", names.FCT_NEWS_INPUTS: "baseline_sentiment", names.DIM_ASSETS: "cast(null as double)"}
+    rows = [(model, tables.read(model), value, 3) for model, value in measured.items()]
+    rows += [(names.FCT_PREDICTIONS, tables.read(names.FCT_PREDICTIONS), "predicted_future_price", 2), ("outcomes", refresh.outcomes_table(tables), "actual_price", 2)]
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(model).alias("model"), F.count(F.lit(1)).alias("rows"), F.round(F.avg(F.expr(value)), digits).alias("mean"))
+                                          for model, df, value, digits in rows])
+
+
 def refreshed_twice(spark, sf) -> Tables:
     """Models after two deliveries, of which either has messages of every day, each followed by a refresh."""
     tables, root = Tables(spark, scratch(spark, "models")), scratch(spark, "bronze")
