@@ -73,3 +73,37 @@ def test_stages_follow_plain_rules(spark):
 
 def test_run_is_all_stages(spark):
     assert corpus_pipeline.run(spark, SF).where(F.col("length") > 0).count() > 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Rows are judged by their own text: a repeated id costs no unique text, of equal rows one stays."""
+    texts = {name: " ".join(f"{name}{k}" for k in range(40)) for name in "abcd"}
+    long = texts["a"] + " and one more"
+    leak = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
+    rows = [(3, texts["a"]), (5, long), (5, texts["b"]), (7, texts["c"]), (7, texts["c"]), (8, None), (8, None), (None, texts["d"]), (None, texts["d"]), (9, leak), (9, texts["d"])]
+    names = spark.read.parquet(f"{SF}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").select(
+        *[F.col(f.name).cast(f.dataType) for f in names])
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, docs, SF).count() <= len(rows)
+    single = stages["near_duplicates"](spark, docs, SF)
+    assert single.columns == docs.columns
+    left = sorted((r.doc_id or 0, r.text or "") for r in single.collect())
+    assert left == sorted([(3, texts["a"]), (5, texts["b"]), (7, texts["c"]), (8, ""), (8, ""), (0, texts["d"]), (0, texts["d"]), (9, leak), (9, texts["d"])])
+    clean = stages["decontamination"](spark, docs, SF)
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == sorted((i or 0, t or "") for i, t in rows if t != leak)
+    lines = stages["line_dedup"](spark, docs, SF)
+    assert {r.text for r in lines.collect()} >= {texts["b"], texts["c"], leak}
+    packed = stages["packing"](spark, docs, SF)
+    assert packed.count() == len(rows)
+
+
+def test_a_run_keeps_nothing_but_the_last_tables(spark, tmp_path, monkeypatch):
+    from tickerloom.llm import store
+    made = []
+    plain = store.folder
+    monkeypatch.setattr(store, "folder", lambda s, name: made.append(plain(s, name)) or made[-1])
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    import os
+    there = [os.path.basename(p).rsplit("-", 1)[0] for p in made if os.path.isdir(p.removeprefix("file:"))]
+    assert "signatures" not in there and "quality" not in there and "decontamination" in there

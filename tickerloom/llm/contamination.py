@@ -182,7 +182,7 @@ def merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(rows, schema=batch.schema)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, near: int = 0, block: int = BLOCK) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, near: int = 0, block: int = BLOCK, keyed: bool = False) -> DataFrame:
     """(doc_id, n_words, items, begins, ends, near_items) for every row of ``docs`` (doc_id, text).
 
     ``benchmark`` has (item_id, text).  Its windows are ``width`` consecutive words, or all words of a
@@ -190,13 +190,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, nea
     and ends the merged spans of words inside occurrences (numbered from 0, end exclusive).  With
     ``near`` > 0, near_items are those with a window of which every word stands within ``near`` words of
     its rarest one, in any order.  A missing text has no words; items without an id are left out, and rows that
-    repeat an id count as one item.  Repeated documents are each answered.  Item ids are whole numbers.
+    repeat an id count as one item.  Repeated documents are each answered; ``keyed`` adds a hash of the text as ``key``.  Item ids are whole numbers.
     """
     kind = dict(docs.dtypes)["doc_id"]
     windows = kept(documents(benchmark, "item_id", "text").where(F.col("item_id").isNotNull()).withColumn("item_id", F.col("item_id").cast("long"))
                    .mapInArrow(lambda it: cut_windows(it, width), "item_id long, terms array<long>").distinct(), "windows")
     parts = max(1, -(-windows.count() // block))
-    rows = documents(docs, "doc_id", "text").withColumn("key", F.xxhash64("text") if parts > 1 else F.lit(0).cast("long"))
+    rows = documents(docs, "doc_id", "text").withColumn("key", F.xxhash64("text") if keyed or parts > 1 else F.lit(0).cast("long"))
     fields = "items array<long>, begins array<long>, ends array<long>, near_items array<long>"
     found = None
     for part in range(parts):  # blocks of the query set, each of at most about ``block`` windows
@@ -216,7 +216,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, nea
                  .withColumns({c: F.array_sort(F.array_distinct(c)) for c in ("items", "near_items")})
                  .withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copy", "copies"))
         found = found.mapInArrow(merge_spans, found.schema)
-    return found.drop("key")
+    return found if keyed else found.drop("key")
 
 
 def summary(found: DataFrame) -> DataFrame:

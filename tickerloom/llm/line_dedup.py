@@ -101,7 +101,7 @@ def emit_segments(batches: Iterator[pa.RecordBatch], most: int, min_chars: int)
                 for line in text.split("\n"):
                     if len(line) >= min_chars and (h := line_hash(line.encode())) not in sent:
                         new[h] = line
-            if len(sent) > 1_000_000:
+            if len(sent) > 300_000:
                 sent.clear()
             sent.update(new)
             if not new:

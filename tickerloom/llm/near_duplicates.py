@@ -96,8 +96,8 @@ def sign(batches: Iterator[pa.RecordBatch], width: int, slots: int, rows: int) -
         n = np.array([len(s) for s in sets], np.int64)
         at = np.concatenate([[0], np.cumsum(np.where(n > 0, keys.shape[1], 0))])
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at)],
-            ["doc_id", "n_shingles", "node", "bands"])
+            [part.column("doc_id"), part.column("text_key"), pa.array(n), pa.array([node_of(s) for s in sets], pa.int64()), lists(keys[n > 0].reshape(-1), at)],
+            ["doc_id", "text_key", "n_shingles", "node", "bands"])
 
 
 def full_sets(batches: Iterator[pa.RecordBatch], width: int, slots: int) -> Iterator[pa.RecordBatch]:
@@ -268,18 +268,19 @@ def connecting_links(members: DataFrame, sets: DataFrame, percent: int, slots: i
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: int = SLOTS, rows: int = ROWS, large: int = LARGE, few: int = SMALL, turn: int = FIRST_TURN, load: int = LOAD) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
+    """(doc_id, n_shingles, component_id, kept, group, text_key) for every row of ``docs`` (doc_id, text).
 
     Two documents are linked where 100 * intersection >= ``percent`` * union of their sets of
     ``width``-word shingles; a text of fewer words is one shingle, a missing or blank text has none and
     is linked with nothing.  component_id is the smallest doc_id that links lead to, kept marks the row
     that has it.  Rows without an id take no part: their component_id is missing and they are kept.  Rows that repeat
-    an id are documents of their own with that id.  Sets and classes are told apart by 64-bit hashes.
+    an id are documents of their own with that id, so that different groups can have the same component_id; ``group`` tells them apart.
+    text_key is a hash of the text.  Sets and classes are told apart by 64-bit hashes.
     With the default 32 bands of 4, a pair at the threshold of 0.8 is missed once in 20 million times.
     """
     plain = documents(docs, "doc_id", "text")
     kind = dict(docs.dtypes)["doc_id"]
-    signed_rows = kept(plain.mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, n_shingles long, node long, bands array<long>"), "signatures")
+    signed_rows = kept(plain.withColumn("text_key", F.xxhash64("text")).mapInArrow(lambda it: sign(it, width, slots, rows), f"doc_id {kind}, text_key long, n_shingles long, node long, bands array<long>"), "signatures")
     some = signed_rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = kept(some.groupBy("node").agg(F.min("doc_id").alias("smallest"), F.min_by("bands", "doc_id").alias("bands")), "classes")
     postings = classes.select("node", F.explode("bands").alias("key"))
@@ -290,12 +291,34 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, slots: i
     sets = kept(texts.mapInArrow(lambda it: full_sets(it, width, slots), "node long, elements array<long>, signature binary"), "sets")
     labels = connecting_links(split_large(members, classes.select("node", "bands"), large), sets, percent, slots, few, turn, load)
     if labels is None:
-        named = classes.select("node", F.col("smallest").alias("component_id"))
+        named = classes.select("node", F.col("smallest").alias("component_id"), F.col("node").alias("group"))
     else:
         labelled = classes.select("node", "smallest").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         lowest = labelled.groupBy("label").agg(F.min("smallest").alias("component_id"))
-        named = labelled.join(lowest, "label").select("node", "component_id")
+        named = labelled.join(lowest, "label").select("node", "component_id", F.col("label").alias("group"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    grouped = signed_rows.where(~alone).join(kept(named, "components"), "node").select("doc_id", "n_shingles", "component_id")
-    return (grouped.unionByName(signed_rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    grouped = signed_rows.where(~alone).join(kept(named, "components"), "node").select("doc_id", "n_shingles", "component_id", "group", "text_key")
+    single = signed_rows.where(alone).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("group"), "text_key")
+    return (grouped.unionByName(single)
+            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"), "group", "text_key"))
+
+
+def without_near_duplicates(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with all its columns and one row of each group; ``how`` is passed on to :func:`near_duplicates`.
+
+    The row with the smallest id stays; of rows that share that id, the one whose text has the smallest hash, and of equal ones any.  Rows
+    without an id or without words all stay.
+    """
+    found = kept(near_duplicates(docs, **how).where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "group", "kept", "text_key"), "near-duplicates")
+    # Several rows of a group can have its smallest id only where an id is repeated.
+    several = kept(found.where("kept").groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min("text_key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated-ids")
+    gone = found.where("NOT kept").select("doc_id", "text_key")
+    more = found.where("kept").join(several.select("group", "first"), "group").where("text_key <> first").select("doc_id", "text_key")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    place = {c: names[i] for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names).withColumns({"doc_id": F.col(place["doc_id"]), "text_key": F.xxhash64(F.coalesce(F.col(place["text"]), F.lit("")))})
+    left = rows.join(gone.unionByName(more).distinct(), ["doc_id", "text_key"], "left_anti")
+    if not several.isEmpty():
+        first = several.select("doc_id", F.col("first").alias("text_key"))
+        left = left.join(first, ["doc_id", "text_key"], "left_anti").unionByName(left.join(first, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
+    return left.select(*names).toDF(*docs.columns)

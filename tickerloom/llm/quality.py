@@ -9,6 +9,7 @@ logistic curve fitted on the same sample turns it into a probability.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -189,9 +190,10 @@ def fit(texts: pa.Array, good: np.ndarray) -> Chain:
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """Fit on at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, of at most ``sample_bytes`` bytes each."""
-    chosen = labelled_sample(docs, labels, label, sample).where(F.octet_length("text") <= sample_bytes).select("text", "label").toArrow()
+    chosen = labelled_sample(docs, labels, label, sample, sample_bytes).select("text", "label").toArrow()
     good = chosen.column("label").to_numpy().astype(float)
     if not len(good) or good.min() == good.max():
+        warnings.warn(f"{len(good)} usable rows with a label, all of one kind: every text gets the same score", stacklevel=2)
         only = float(good[0]) if len(good) else 1.0
         width = 3 * OWN + 2
         return Chain(np.zeros(width), np.ones(width), np.zeros(width), 0.0, np.zeros((2, 2)), -1e-9, 4.0 if only else -4.0)

@@ -19,7 +19,7 @@ from collections.abc import Iterable
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-MOST_WORDS = 250_000
+MOST_WORDS = 200_000
 LONG_WORD = 64
 # Small letters of the first two Unicode blocks: neither normalising nor cutting changes a word of these.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
