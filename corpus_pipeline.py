@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickerloom.llm import contamination, line_dedup, near_duplicates, packing, quality
 from tickerloom.llm.queries import table
-from tickerloom.llm.store import kept, ready, remainder
+from tickerloom.llm.store import cleared, kept, ready, remainder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,17 +30,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by 0.8 of their 5-word shingles; documents without an id stay."""
+    """One row of each group linked by 0.8 of their 5-word shingles; rows without an id stay."""
     ready(spark)
-    gone = kept(near_duplicates.near_duplicates(docs).where(~F.col("kept")).select("doc_id"), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no 10-word window of the benchmark occurs; documents without an id share their fate."""
-    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = kept(found.where(F.size("items") > 0).select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*docs.columns)
+    """Rows in whose text no 10-word window of the benchmark occurs."""
+    found = contamination.contamination(docs, table(spark, sf_dir, "benchmark"), keyed=True)
+    gone = kept(found.where(F.size("items") > 0).select("doc_id", "key").distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(gone["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["key"])
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,12 @@ ORACLE_SQL = None  # SQL expresses neither the chain's scores nor the packing; t
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole of documents, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole of documents, each result written and read again; what a stage has kept besides goes with it."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        with cleared(spark) as made:
+            docs = kept(stage(spark, docs, sf_dir), name)
+            last = made.pop()
+            made += before
+        before = [last]
     return STAGES[-1][1](spark, docs, sf_dir)
