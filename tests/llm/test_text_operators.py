@@ -65,21 +65,45 @@ def test_token_counts_of_no_documents(spark):
 
 # op2
 
-def test_nearest_examples_are_exact():
+def test_nearest_examples_are_exact(monkeypatch):
     chance = np.random.default_rng(1)
-    n, terms = 500, 40
-    dense = (chance.random((n, terms)) < 0.1) * chance.random((n, terms))
+    n, terms, kinds = 1000, 60, 5
+    kind = chance.integers(0, kinds, n)
+    dense = (chance.random((n, terms)) < 0.15) * chance.random((n, terms)) * (np.arange(terms)[None, :] % kinds == kind[:, None])
+    dense[:, 50:] += (chance.random((n, 10)) < 0.03) * chance.random((n, 10))
     norm = np.linalg.norm(dense, axis=1, keepdims=True)
     dense = np.divide(dense, norm, out=np.zeros_like(dense), where=norm > 0)
     doc, term = np.nonzero(dense)
-    bank = toxicity.Bank(np.searchsorted(doc, np.arange(n + 1)), term, dense[doc, term], (chance.random(n) < 0.3).astype(float), np.arange(n), terms)
-    for query in dense[:60]:
-        some = np.flatnonzero(query)
-        best, scores = bank.nearest(some, query[some], 10)
-        every = dense @ query
-        expected = np.sort(every[every > 1e-12])[::-1][:10]
-        assert np.allclose(scores, expected)
-        assert np.allclose(every[bank.ids[best]], scores)
+    for columns in (2048, 20):  # all lists in blocks, or some
+        monkeypatch.setattr(toxicity, "DENSE", columns)
+        at = np.searchsorted(doc, np.arange(n + 1))
+        bank = toxicity.Bank(at, term, dense[doc, term], (chance.random(n) < 0.3).astype(float), np.arange(n), chance.integers(0, 99, n), terms, np.arange(n))
+        for i, (best, scores) in enumerate(bank.all_nearest(at, term, dense[doc, term], 10)):
+            every = dense @ dense[i]
+            expected = np.sort(every[every > 1e-12])[::-1][:10]
+            assert np.allclose(scores, expected, atol=1e-6) and np.allclose(every[bank.ids[best]], scores, atol=1e-6)
+        own = np.array([bank.place[i] for i in range(n)])
+        for i, (best, _) in enumerate(bank.all_nearest(at, term, dense[doc, term], 10, own)):
+            assert own[i] not in best
+        assert bank.read < 0.9 * bank.bounded  # the bounds leave blocks unread
+
+
+def test_toxicity_equals_a_plain_search(spark):
+    rows = [(i, words(12 + i % 30, i) + (" grobian" if i % 6 == 0 else "")) for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")
+    docs = documents(spark, rows)
+    vocabulary, examples = toxicity.learn(docs, labels)
+    at, term, weight = vocabulary.vectors(pa.array([t for _, t in rows]))
+    dense = np.zeros((300, len(vocabulary.hashes)))
+    for i in range(300):
+        dense[i, term[at[i]:at[i + 1]]] = weight[at[i]:at[i + 1]]
+    bank, label = dense[0::2], np.array([int(i % 6 == 0) for i in range(0, 300, 2)])
+    for r in toxicity.toxicity(docs, vocabulary, examples).collect():
+        cosines = bank @ dense[r.doc_id]
+        order = np.argsort(-cosines, kind="stable")[:15]
+        order = order[cosines[order] > 0]
+        assert np.allclose(r.cosines, cosines[order], atol=1e-5)
+        assert abs(r.score - np.clip(examples.score(examples.vote(label[order], cosines[order])), 0, 1)) < 1e-3
 
 
 def test_toxicity_finds_words_and_their_stems(spark):

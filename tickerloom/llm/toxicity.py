@@ -3,9 +3,9 @@
 Terms are whole words and word beginnings of 4 to 6 bytes, as insults are inflected.  Every term of a text
 weighs in: those of a bounded sample of labelled rows make the vocabulary, with document frequencies counted over
 all documents, and a term that no example has counts in the length of a text's vector.  A weight grows with how
-far the term leans towards label 1 in the sample, but no term is dropped.  The sample is the bank of examples:
-terms that stand in the most examples are columns of a dense matrix, the others an inverted index, and
-every example that shares a term is scored.  The result is exact.  Neighbours
+far the term leans towards label 1 in the sample, but no term is dropped.  The sample is the bank of examples, an
+inverted index: lists of the commonest terms are stored in blocks with their largest weights, and a block that can't
+hold a nearer example than those found is not read; the other lists are short and read whole.  The result is exact.  Neighbours
 vote with weights that fall with their distance, and a monotone curve fitted by leaving each example out
 turns votes into probabilities.
 """
@@ -17,14 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, runs, signed, text_bytes
-from tickerloom.llm.store import documents, kept, labelled_sample
+from tickerloom.llm.store import documents, folder, kept, labelled_sample
 
 SAMPLE = 12_000
+SAMPLE_BYTES = 100_000
 NEIGHBOURS = 15
 DENSE = 2048
+ALIKE = 64
+BLOCK = 64  # examples
+FIRST = 2  # blocks that are read before the bounds decide
 TOGETHER = 128
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6)
@@ -108,66 +115,90 @@ def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -
 
 
 class Bank:
-    """Labelled examples by their ids: an inverted index, and a matrix of the terms that stand in the most of them."""
+    """Labelled examples as an inverted index.
 
-    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, n_terms: int):
-        order = np.lexsort((labels, ids))
-        self.rank = np.empty(len(order), np.int32)
-        self.rank[order] = np.arange(len(order), dtype=np.int32)
-        self.labels, self.ids = labels[order], ids[order]
-        empty = np.diff(at)[order] == 0
-        by_term = np.argsort(term, kind="stable")
-        self.example = np.repeat(self.rank, np.diff(at))[by_term]
-        self.weight = weight[by_term].astype(np.float32)
+    Alike examples stand next to each other, in blocks of BLOCK.  The longest lists, those of the terms that stand in the most
+    examples, are kept block by block with the largest weight of each block; of such a block nothing is read when that bound, together with
+    the other terms, can't reach the neighbours found so far.  Neither ids nor labels choose between equal cosines, but hashes of the texts.
+    """
+
+    def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, hashes: np.ndarray, n_terms: int, number: np.ndarray | None = None):
+        self.n = n = len(labels)
         counts = np.bincount(term, minlength=n_terms)
-        self.term_at = np.concatenate([[0], np.cumsum(counts)])
-        self.columns = np.argsort(-counts, kind="stable")[:DENSE]
-        self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        self.prior = float(labels.mean()) if len(labels) else 0.0
-        self.plain = float(self.labels[empty].mean()) if empty.any() else None
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in vars(self).items() if k not in ("matrix", "column")}
-
-    def open(self) -> None:
-        """Make the matrix, once in a worker."""
-        if hasattr(self, "matrix"):
-            return
-        self.matrix = np.zeros((len(self.columns), len(self.labels)), np.float32)
-        self.column = np.full(len(self.term_at) - 1, -1)
-        self.column[self.columns] = np.arange(len(self.columns))
-        for row, t in zip(self.matrix, self.columns):
-            a, z = self.term_at[t], self.term_at[t + 1]
-            row[self.example[a:z]] = self.weight[a:z]
+        columns = np.argsort(-counts, kind="stable")[:DENSE]
+        self.column = np.full(max(n_terms, 1), -1)
+        self.column[columns] = np.arange(len(columns))
+        row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
+        often = self.column[term] >= 0
+        # The commonest terms tell languages and kinds of text apart.
+        most = often & (self.column[term] < ALIKE)
+        rough = np.zeros((n, ALIKE), np.float32)
+        rough[row[most], self.column[term[most]]] = weight[most]
+        order = np.lexsort((labels, hashes, rough.argmax(1) if n else np.zeros(0)))
+        place = np.empty(n, np.int32)
+        place[order] = np.arange(n, dtype=np.int32)
+        self.labels, self.ids = labels[order], ids[order]
+        self.place = {int(k): int(v) for k, v in zip(number, place)} if number is not None else {}
+        by_term = np.argsort(term[~often], kind="stable")
+        self.example = place[row[~often]][by_term]
+        self.weight = weight[~often][by_term].astype(np.float32)
+        self.term_at = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=n_terms))])
+        self.groups = -(-n // BLOCK)
+        self.blocks = np.zeros((self.groups, len(columns), BLOCK), np.float32)
+        there = place[row[often]]
+        self.blocks[there // BLOCK, self.column[term[often]], there % BLOCK] = weight[often]
+        self.largest = np.ascontiguousarray(self.blocks.max(2).T) if n else np.zeros((len(columns), 0), np.float32)
+        self.read = self.bounded = 0
 
     def all_nearest(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts the ``k`` examples with the largest cosine above 0, ties by their place in the bank."""
-        self.open()
-        n = len(self.labels)
         for first in range(0, len(at) - 1, TOGETHER):
             last = min(first + TOGETHER, len(at) - 1)
+            if not self.n:
+                yield from [(np.zeros(0, np.int64), np.zeros(0))] * (last - first)
+                continue
             begin = at[first]
             doc = np.repeat(np.arange(last - first), np.diff(at[first:last + 1]))
             here, some = self.column[term[begin:at[last]]], weight[begin:at[last]]
             often = here >= 0
-            query = np.zeros((last - first, len(self.columns)), np.float32)
+            query = np.zeros((last - first, len(self.largest)), np.float32)
             query[doc[often], here[often]] = some[often]
-            rough = query @ self.matrix
+            rest = np.zeros((last - first, self.groups * BLOCK))
             for i in range(first, last):
                 mine = slice(at[i], at[i + 1])
-                own, rare = term[mine], here[at[i] - begin:at[i + 1] - begin] < 0
-                lists = own[rare]
-                counts = self.term_at[lists + 1] - self.term_at[lists]
-                entry = np.repeat(self.term_at[lists], counts) + runs(counts)
-                rest = np.bincount(self.example[entry], np.repeat(weight[mine][rare], counts) * self.weight[entry], n)
-                sums = rough[i - first] + rest
+                rare = here[at[i] - begin:at[i + 1] - begin] < 0
+                asked = term[mine][rare]
+                counts = self.term_at[asked + 1] - self.term_at[asked]
+                entry = np.repeat(self.term_at[asked], counts) + runs(counts)
+                rest[i - first] = np.bincount(self.example[entry], np.repeat(weight[mine][rare], counts) * self.weight[entry], rest.shape[1])
+            bound = query @ self.largest + rest.reshape(last - first, self.groups, BLOCK).max(2)
+            sums = np.full(rest.shape, -1.0)
+            least = np.zeros(last - first)
+            open_blocks = np.zeros(bound.shape, bool)
+            np.put_along_axis(open_blocks, np.argsort(-bound, axis=1)[:, :FIRST], True, 1)
+            done = np.zeros(bound.shape, bool)
+            for turn in range(2):
+                for b in np.flatnonzero(open_blocks.any(0)):
+                    asking = np.flatnonzero(open_blocks[:, b])
+                    here_at = slice(b * BLOCK, (b + 1) * BLOCK)
+                    sums[asking, here_at] = query[asking] @ self.blocks[b] + rest[asking, here_at]
+                done |= open_blocks
                 if without is not None:
-                    sums[without[i]] = 0
+                    sums[np.arange(last - first), without[first:last]] = -1.0
+                if turn == 0:
+                    if sums.shape[1] > k:
+                        least = np.maximum(np.partition(sums, sums.shape[1] - k, axis=1)[:, -k], 0)
+                    open_blocks = (bound >= least[:, None] - 1e-4) & (bound > 0) & ~done
+            self.read += int(done.sum())
+            self.bounded += done.size
+            for i in range(first, last):
+                mine, total = sums[i - first], sums.shape[1]
                 # Single precision chooses with some to spare, double precision decides.
-                least = np.partition(sums, n - k)[n - k] - 1e-4 if n > k else 0.0
-                best = np.flatnonzero((sums >= least) & (sums > 0))
-                column = here[at[i] - begin:at[i + 1] - begin][~rare]
-                exact = rest[best] + weight[mine][~rare] @ self.matrix[column[:, None], best[None, :]].astype(float)
+                floor = np.partition(mine, total - k)[total - k] - 1e-4 if total > k else 0.0
+                best = np.flatnonzero((mine >= floor) & (mine > 0))
+                own = here[at[i] - begin:at[i + 1] - begin]
+                column = own[own >= 0]
+                exact = rest[i - first][best] + weight[at[i]:at[i + 1]][own >= 0] @ self.blocks[(best // BLOCK)[None, :], column[:, None], (best % BLOCK)[None, :]].astype(float)
                 top = np.lexsort((best, -exact))[:k]
                 yield best[top], exact[top]
 
@@ -175,26 +206,43 @@ class Bank:
         """The same for one text."""
         return next(self.all_nearest(np.array([0, len(term)]), term, weight, k, None if without < 0 else np.array([without])))
 
-    def vote(self, best: np.ndarray, scores: np.ndarray) -> float:
+
+_OPENED: dict[str, Bank] = {}
+
+
+@dataclass
+class Examples:
+    """Where the examples' vectors are stored, and what their votes have taught."""
+
+    path: str
+    n_terms: int
+    prior: float
+    plain: float = 0.0
+    curve: tuple = ((0.0, 1.0), (0.0, 1.0))
+
+    def open(self) -> Bank:
+        """The bank, made from the stored vectors once in a worker."""
+        if self.path not in _OPENED:
+            where, root = pafs.FileSystem.from_uri(self.path)
+            stored = pq.read_table(root, filesystem=where, columns=["doc_id", "label", "hash", "number", "terms", "weights"])
+            sizes = pc.list_value_length(stored.column("terms")).to_numpy()
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            term, weight = (pc.list_flatten(stored.column(c)).to_numpy() for c in ("terms", "weights"))
+            ids = stored.column("doc_id").fill_null(-1).to_numpy()
+            _OPENED.clear()
+            _OPENED[self.path] = Bank(at, term, weight, stored.column("label").to_numpy().astype(float), ids, stored.column("hash").to_numpy(), self.n_terms, stored.column("number").to_numpy())
+        return _OPENED[self.path]
+
+    def vote(self, labels: np.ndarray, scores: np.ndarray) -> float:
         """Weighted share of label 1, with one vote of the prior; neighbours at an angle count less."""
         weight = 1 / (1.05 - np.minimum(scores, 1))
-        return float((weight @ self.labels[best] + self.prior) / (weight.sum() + 1))
+        return float((weight @ labels + self.prior) / (weight.sum() + 1))
 
-    def calibrate(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, k: int) -> None:
-        """Pool adjacent violators on votes for examples that are left out themselves."""
-        votes, truth, clean = [], [], []
-        for i, (best, scores) in enumerate(self.all_nearest(at, term, weight, k, self.rank)):
-            if len(best):
-                votes.append(self.vote(best, scores))
-                truth.append(labels[i])
-                clean += [] if self.labels[best].any() else [labels[i]]
-        if self.plain is None:
-            self.plain = (sum(clean) + self.prior) / (len(clean) + 1)
-        if not votes:
-            return
+    def calibrate(self, votes: np.ndarray, truth: np.ndarray) -> None:
+        """Pool adjacent violators on votes for examples that were left out themselves."""
         order = np.argsort(votes, kind="stable")
         pools: list[list[float]] = []  # sum, size, lowest and highest vote
-        for v, y in zip(np.array(votes)[order], np.array(truth)[order]):
+        for v, y in zip(votes[order], truth[order]):
             pools.append([float(y), 1.0, float(v), float(v)])
             while len(pools) > 1 and (pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]):
                 y2, n2, _, high = pools.pop()
@@ -208,16 +256,19 @@ class Bank:
         return float(0.98 * np.interp(vote, *self.curve) + 0.02 * vote)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS) -> tuple[Vocabulary, Bank]:
-    """Vocabulary and bank from at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, and the statistics of all ``docs``.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, k: int = NEIGHBOURS, sample_bytes: int = SAMPLE_BYTES) -> tuple[Vocabulary, Examples]:
+    """Vocabulary and examples from at most ``sample`` documents of ``docs`` (doc_id, text) with a ``label`` (0/1) in ``labels``, of at most
+    ``sample_bytes`` bytes each, and the statistics of all ``docs``.
 
-    What reaches the driver are the sample's terms and their entries.  Ids of the
-    sample must be whole numbers; they are shown as evidence alone.
+    What reaches the driver are the sample's distinct terms and a vote per example.  The examples' vectors stay in the shared
+    folder, from which the workers make the index.  Ids that aren't whole numbers are shown as missing in the evidence.
     """
-    bank_rows = kept(labelled_sample(docs, labels, label, sample).withColumn("doc_id", F.col("doc_id").cast("long")).repartition(docs.sparkSession.sparkContext.defaultParallelism), "labelled")
+    spark = docs.sparkSession
+    chosen = labelled_sample(docs, labels, label, sample, sample_bytes).withColumn("doc_id", F.col("doc_id").try_cast("long"))
+    bank_rows = kept(chosen.repartition(spark.sparkContext.defaultParallelism), "labelled")
     rate = bank_rows.agg(F.avg("label")).first()[0] or 0.0
     counted = (bank_rows.select("text", F.col("label").cast("long").alias("label")).mapInArrow(label_counts, "term long, ones long, zeros long")
-               .groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")).toArrow())
+               .groupBy("term").agg(F.sum("ones").cast("int").alias("ones"), F.sum("zeros").cast("int").alias("zeros")).toArrow())
     hashes, ones, zeros = (counted.column(c).to_numpy() for c in ("term", "ones", "zeros"))
     order = np.argsort(hashes)
     vocabulary = Vocabulary(hashes[order], np.ones(len(order)))
@@ -225,31 +276,54 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     # The first place is that of the number -1, under which all rows are counted.
     frequency = np.zeros(len(order) + 1)
     frequency[counts.column("term").to_numpy() + 1] = counts.column("n").to_numpy()
-    vocabulary.factor = (np.log((1 + frequency[0]) / (1 + frequency[1:])) + 1) * leaning(ones[order], zeros[order], rate)
+    vocabulary.factor = (np.log((1 + frequency[0]) / (1 + frequency[1:])) + 1) * leaning(ones[order].astype(float), zeros[order].astype(float), rate)
     vocabulary.other = float(np.log((1 + frequency[0]) / 2) + 1)
-    entries = bank_rows.mapInArrow(lambda it, v=vocabulary: example_vectors(it, v), "doc_id long, label int, terms array<int>, weights array<float>").toArrow()
-    at = np.concatenate([[0], np.cumsum([len(x) for c in entries.column("terms").chunks for x in c])]).astype(np.int64)
-    term, weight = (np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy() for c in entries.column(name).chunks]]) for name, kind in (("terms", np.int32), ("weights", np.float32)))
-    ids = np.array([-1 if x is None else x for x in entries.column("doc_id").to_pylist()], np.int64)
-    labels = np.array(entries.column("label").to_pylist(), float)
-    bank = Bank(at, term, weight, labels, ids, len(order))
-    bank.calibrate(at, term, weight, labels, k)
-    return vocabulary, bank
+    del counted, counts, hashes, ones, zeros, order, frequency
+    numbered = bank_rows.select("doc_id", "text", "label", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    path = folder(spark, "examples")
+    fields = "doc_id long, label int, hash long, number long, terms array<int>, weights array<float>"
+    numbered.mapInArrow(lambda it, v=vocabulary: example_vectors(it, v), fields).write.parquet(path)
+    examples = Examples(path, len(vocabulary.hashes), float(rate))
+    left_out = spark.read.schema(fields).parquet(path).mapInArrow(lambda it, e=examples: left_out_votes(it, e, k), "vote double, label double, clean boolean, bare boolean").toArrow()
+    vote, truth, clean, bare = (left_out.column(c).to_numpy() for c in ("vote", "label", "clean", "bare"))
+    voted = ~np.isnan(vote.astype(float))
+    examples.plain = float(truth[bare].mean()) if bare.any() else float((truth[clean].sum() + examples.prior) / (clean.sum() + 1))
+    if voted.any():
+        examples.calibrate(vote[voted].astype(float), truth[voted])
+    return vocabulary, examples
+
+
+def left_out_votes(batches: Iterator[pa.RecordBatch], examples: Examples, k: int) -> Iterator[pa.RecordBatch]:
+    """What the others' votes say of each example; whether its neighbours all have label 0, and whether it has no term."""
+    bank = examples.open()
+    for batch in batches:
+        for part in (batch.slice(i, 2000) for i in range(0, batch.num_rows, 2000)):
+            sizes = pc.list_value_length(part.column("terms")).to_numpy()
+            at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+            term, weight = (pc.list_flatten(part.column(c)).to_numpy() for c in ("terms", "weights"))
+            own = np.array([bank.place[n] for n in part.column("number").to_pylist()], np.int64)
+            votes, clean = [], []
+            for best, scores in bank.all_nearest(at, term, weight, k, own):
+                votes.append(examples.vote(bank.labels[best], scores) if len(best) else np.nan)
+                clean.append(bool(len(best)) and not bank.labels[best].any())
+            yield pa.RecordBatch.from_pydict({"vote": np.array(votes, float), "label": part.column("label").to_numpy().astype(float), "clean": np.array(clean, bool), "bare": sizes == 0})
 
 
 def example_vectors(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     for part in blocks(batches, "text"):
         at, term, weight = vocabulary.vectors(part.column("text"))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), lists(term.astype(np.int32), at), lists(weight.astype(np.float32), at)], ["doc_id", "label", "terms", "weights"])
+        yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("doc_id", "label", "hash", "number")], lists(term.astype(np.int32), at), lists(weight.astype(np.float32), at)],
+                                         ["doc_id", "label", "hash", "number", "terms", "weights"])
 
 
-def vote_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bank: Bank, k: int) -> Iterator[pa.RecordBatch]:
+def vote_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, examples: Examples, k: int) -> Iterator[pa.RecordBatch]:
+    bank = examples.open()
     for part in blocks(batches, "text"):
         at, term, weight = vocabulary.vectors(part.column("text"))
-        scores, evidence, cosines = np.full(part.num_rows, bank.plain), [], []
+        scores, evidence, cosines = np.full(part.num_rows, examples.plain), [], []
         for i, (best, near) in enumerate(bank.all_nearest(at, term, weight, k)):
             if len(best):
-                scores[i] = bank.score(bank.vote(best, near))
+                scores[i] = examples.score(examples.vote(bank.labels[best], near))
             evidence.append(bank.ids[best])
             cosines.append(near)
         ends = np.cumsum([0, *map(len, evidence)])
@@ -257,7 +331,7 @@ def vote_batches(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, bank
                                          ["doc_id", "score", "evidence", "cosines"])
 
 
-def toxicity(docs: DataFrame, vocabulary: Vocabulary, bank: Bank, k: int = NEIGHBOURS) -> DataFrame:
+def toxicity(docs: DataFrame, vocabulary: Vocabulary, examples: Examples, k: int = NEIGHBOURS) -> DataFrame:
     """(doc_id, score, evidence, cosines) for every row of ``docs`` (doc_id, text).
 
     evidence are the doc_ids of the nearest examples, nearest first.  A term outside the vocabulary, which no
@@ -266,4 +340,4 @@ def toxicity(docs: DataFrame, vocabulary: Vocabulary, bank: Bank, k: int = NEIGH
     among those whose neighbours all have label 0.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    return documents(docs, "doc_id", "text").mapInArrow(lambda it: vote_batches(it, vocabulary, bank, k), f"doc_id {kind}, score double, evidence array<long>, cosines array<double>")
+    return documents(docs, "doc_id", "text").mapInArrow(lambda it: vote_batches(it, vocabulary, examples, k), f"doc_id {kind}, score double, evidence array<long>, cosines array<double>")
