@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
-from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, runs, signed, text_bytes
+from tickerloom.llm.arrays import LOWER, STEP, Prefixes, blocks, edges, lists, mix, signed, text_bytes
 from tickerloom.llm.store import documents, folder, kept, labelled_sample
 
 SAMPLE = 12_000
@@ -140,8 +140,11 @@ class Bank:
         self.labels, self.ids = labels[order], ids[order]
         self.place = {int(k): int(v) for k, v in zip(number, place)} if number is not None else {}
         by_term = np.argsort(term[~often], kind="stable")
-        self.example = place[row[~often]][by_term]
-        self.weight = weight[~often][by_term].astype(np.float32)
+        # An entry is a number and a weight side by side, so that a list is read once.
+        self.entry = np.empty((len(by_term), 2), np.int32)
+        self.entry[:, 0] = place[row[~often]][by_term]
+        self.entry[:, 1] = weight[~often][by_term].astype(np.float32).view(np.int32)
+        self.entry = self.entry.view(np.int64).ravel()
         self.term_at = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=n_terms))])
         self.groups = -(-n // BLOCK)
         self.blocks = np.zeros((self.groups, len(columns), BLOCK), np.float32)
@@ -168,14 +171,18 @@ class Bank:
                 mine = slice(at[i], at[i + 1])
                 rare = here[at[i] - begin:at[i + 1] - begin] < 0
                 asked = term[mine][rare]
-                counts = self.term_at[asked + 1] - self.term_at[asked]
-                entry = np.repeat(self.term_at[asked], counts) + runs(counts)
-                rest[i - first] = np.bincount(self.example[entry], np.repeat(weight[mine][rare], counts) * self.weight[entry], rest.shape[1])
+                begins, ends = self.term_at[asked], self.term_at[asked + 1]
+                cuts = list(map(slice, begins.tolist(), ends.tolist()))
+                if cuts:
+                    entry = np.concatenate([self.entry[c] for c in cuts])
+                    factor = np.repeat(weight[mine][rare], ends - begins) * entry.view(np.float32)[1::2]
+                    rest[i - first] = np.bincount(entry.view(np.int32)[0::2], factor, rest.shape[1])
             bound = query @ self.largest + rest.reshape(last - first, self.groups, BLOCK).max(2)
             sums = np.full(rest.shape, -1.0)
             least = np.zeros(last - first)
             open_blocks = np.zeros(bound.shape, bool)
-            np.put_along_axis(open_blocks, np.argsort(-bound, axis=1)[:, :FIRST], True, 1)
+            likely = np.argsort(-bound, axis=1)[:, :FIRST]
+            np.put_along_axis(open_blocks, likely, True, 1)
             done = np.zeros(bound.shape, bool)
             for turn in range(2):
                 for b in np.flatnonzero(open_blocks.any(0)):
@@ -186,16 +193,17 @@ class Bank:
                 if without is not None:
                     sums[np.arange(last - first), without[first:last]] = -1.0
                 if turn == 0:
-                    if sums.shape[1] > k:
-                        least = np.maximum(np.partition(sums, sums.shape[1] - k, axis=1)[:, -k], 0)
+                    seen = np.take_along_axis(sums.reshape(bound.shape + (BLOCK,)), likely[:, :, None], 1).reshape(last - first, -1)
+                    least = np.maximum(np.partition(seen, max(seen.shape[1] - k, 0), axis=1)[:, max(seen.shape[1] - k, 0)], 0) if seen.shape[1] >= k else least
                     open_blocks = (bound >= least[:, None] - 1e-4) & (bound > 0) & ~done
             self.read += int(done.sum())
             self.bounded += done.size
             for i in range(first, last):
-                mine, total = sums[i - first], sums.shape[1]
+                mine = sums[i - first]
                 # Single precision chooses with some to spare, double precision decides.
-                floor = np.partition(mine, total - k)[total - k] - 1e-4 if total > k else 0.0
-                best = np.flatnonzero((mine >= floor) & (mine > 0))
+                best = np.flatnonzero(mine > max(least[i - first] - 1e-4, 0))
+                if len(best) > k:
+                    best = best[mine[best] >= np.partition(mine[best], len(best) - k)[len(best) - k] - 1e-4]
                 own = here[at[i] - begin:at[i + 1] - begin]
                 column = own[own >= 0]
                 exact = rest[i - first][best] + weight[at[i]:at[i + 1]][own >= 0] @ self.blocks[(best // BLOCK)[None, :], column[:, None], (best % BLOCK)[None, :]].astype(float)
