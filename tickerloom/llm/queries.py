@@ -62,9 +62,19 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
+ORACLE["op6_warc"] = """
+WITH payloads AS (SELECT page_id, sha256(coalesce(html, '')) AS payload_digest, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+firsts AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM payloads)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM firsts"""
+
+NEAR_WORDS = 20
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination.summary(contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR_WORDS)
+    return contamination.summary(found)
 
 
 @query

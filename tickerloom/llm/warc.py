@@ -197,9 +197,10 @@ def read_files(batches: Iterator[pa.RecordBatch], base: str, chunk: int, with_da
 def read_archives(base: str, files: DataFrame, chunk: int = CHUNK, with_data: bool = True) -> DataFrame:
     """The chunked record table of the listed files: a row for each chunk of each payload, with running digest and size.
 
-    One task streams one file.  Where a payload ends, the running digest is that of the whole payload.
+    A file is streamed by one task, and the files are dealt over all tasks.  Where a payload ends, the running digest is that of the whole payload.
     """
-    return files.select("file").repartition("file").mapInArrow(lambda it: read_files(it, base, chunk, with_data), CHUNKS)
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as a list of names alone would be brought into one task
+    return files.select("file").repartition(n, "file").mapInArrow(lambda it: read_files(it, base, chunk, with_data), CHUNKS)
 
 
 def records(chunks: DataFrame) -> DataFrame:
