@@ -118,7 +118,8 @@ def search(batches: Iterator[pa.RecordBatch], windows: Windows, frequency: np.nd
     order = np.argsort(rank, axis=1, kind="stable")
     possible = (rank > 0).all(axis=1)
     shift = 40
-    for batch in (whole.slice(i, 4000) for whole in batches for i in range(0, whole.num_rows, 4000)):
+    few = 500 if near else 4000  # anchors of all common words of the windows are held at once
+    for batch in (whole.slice(i, few) for whole in batches for i in range(0, whole.num_rows, few)):
         terms, at = flat_list(batch.column("terms"))
         places, _ = flat_list(batch.column("positions"))
         n_words = batch.column("n_words").to_numpy()
