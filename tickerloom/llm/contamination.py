@@ -220,9 +220,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, nea
     return found if keyed else found.drop("key")
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """Counts and a digest of the items of each document."""
+def summary(found: DataFrame, *also: str) -> DataFrame:
+    """Counts and a digest of the items of each document, and the columns named ``also``."""
     covered = F.aggregate(F.zip_with("ends", "begins", lambda e, b: e - b), F.lit(0).cast("long"), lambda a, x: a + x)
     named = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
     return (found.select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"),
-                         (covered > 0).alias("contaminated"), "near_items"))
+                         (covered > 0).alias("contaminated"), *also))

@@ -74,7 +74,7 @@ NEAR_WORDS = 20
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR_WORDS)
-    return contamination.summary(found)
+    return contamination.summary(found, "near_items")
 
 
 @query
