@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from tests.helpers import rows, ts
 from tickerloom.operators import dedup, lookup, rolling
+from tickerloom.operators.asof import latest_before
 from tickerloom.operators.tolerance import latest_within
 
 
@@ -132,3 +133,41 @@ def test_latest_trailing_equals_frames(spark):
              .withColumn("r", F.row_number().over(last)).filter("r = 1"))
     got = {r.k: (r.latest, round(r.mean, 9), round(r.deviation, 9)) for r in rolling.latest_trailing(df, "k", "i", "v").collect()}
     assert got == {r.k: (r.v, round(r.m, 9), round(r.d, 9)) for r in plain.collect()}
+
+
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize("span", [7, 400, 10_000_000])
+def test_latest_before_looks_back_without_bound(spark, same, span):
+    rng = random.Random(span)
+    start = ts("2024-01-01 00:00:00")
+
+    def some(n, prices):
+        return [(rng.choice(["hot", "hot", "a", "b", None]),
+                 rng.choice([None, *[start + timedelta(milliseconds=500 * rng.randrange(4000))] * 9]),
+                 rng.choice(["x", "y"]), rng.choice(prices)) for _ in range(n)]
+
+    records, questions = some(150, [1.0, 2.0, None]), some(400, [0.0])
+    questions += questions[:20] + [("never", start, "x", 0.0), ("hot", start - timedelta(days=9000), "x", 0.0)]
+    wanted = []
+    for key, at, source, _ in questions:
+        # the newest record, of equal times the greatest values; a missing one is least
+        fit = [(t, p is not None, p or 0.0, s) for k, t, s, p in records
+               if None not in (k, t, at) and k == key and (t < at or (same and t == at))]
+        best = max(fit, default=None)
+        wanted.append((key, at, source, best and (best[2] if best[1] else None), best and best[3]))
+    got = latest_before(ticks(spark, questions).drop("price"), ticks(spark, records).withColumnsRenamed({"at": "since", "source": "by"}),
+                        ["ticker"], "at", "since", ["price", "by"], same, span)
+    assert got.columns == ["ticker", "at", "source", "price", "by"]
+    assert sorted(rows(got), key=repr) == sorted(wanted, key=repr)
+    none = ticks(spark, []).withColumnsRenamed({"at": "since", "source": "by"})
+    assert latest_before(ticks(spark, questions).drop("price"), none, ["ticker"], "at", "since", ["by"]).filter("by IS NOT NULL").count() == 0
+    assert latest_before(ticks(spark, []).drop("price"), none, ["ticker"], "at", "since", ["by"]).count() == 0
+
+
+def test_latest_before_asks_equal_questions_once(spark):
+    asked = ticks(spark, [("hot", ts("2024-01-02 00:00:00"), "x", 1.0)] * 3000).drop("price")
+    records = ticks(spark, [("hot", ts("2024-01-01 00:00:00"), "y", 2.0)] * 3000).withColumnsRenamed({"at": "since", "source": "by"})
+    answered = latest_before(asked, records, ["ticker"], "at", "since", ["price"])
+    assert rows(answered.groupBy("price").count()) == [(2.0, 3000)]
+    plan = answered._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "Cross" not in plan

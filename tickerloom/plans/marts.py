@@ -11,8 +11,9 @@ from tickerloom import names
 from tickerloom.functions.clock import now
 from tickerloom.functions.pricing import day_range, deviation_pct
 from tickerloom.functions.text import asset_key, news_payload
+from tickerloom.operators.asof import latest_before
 from tickerloom.operators.lookup import lookup_join
-from tickerloom.operators.rolling import latest_trailing
+from tickerloom.operators.rolling import latest_trailing, trailing_stats
 
 ASSET_COLUMNS = "asset_ticker string, asset_name string, asset_class string, sector_theme string, " \
                 "trading_hours string, risk_profile string"
@@ -69,6 +70,25 @@ def market_features(ticks: DataFrame, bars: DataFrame, as_of: datetime | str | N
     return with_features(lookup_join(live, baselines(bars), ["stock_ticker"], "left"), as_of)
 
 
+def baselines_by_day(bars: DataFrame, n: int = names.BASELINE_ROWS) -> DataFrame:
+    """Per ticker and day its close with mean and sample deviation of that and up to ``n - 1`` closes before."""
+    days = bars.filter("stock_ticker IS NOT NULL AND candle_date IS NOT NULL").select("stock_ticker", "candle_date", "close_price")
+    return trailing_stats(days, ["stock_ticker"], ["candle_date"], "close_price", n).select(
+        "stock_ticker", "candle_date", F.col("close_price").alias("yesterday_close"), F.col("mean").alias("sma_20"),
+        F.col("deviation").alias("historical_volatility_20d"))
+
+
+def market_features_as_of(ticks: DataFrame, bars: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+    """Every tick against the baseline that was known at its time: that of the newest bar before its day.
+
+    A tick before its ticker's first bar, or without a time, is its own baseline, with zero volatility.
+    """
+    live = (ticks.select("stock_ticker", "event_timestamp", "trade_price", "trade_volume")
+            .withColumn("_day", F.col("event_timestamp").cast("date")))
+    carry = ["yesterday_close", "sma_20", "historical_volatility_20d"]
+    return with_features(latest_before(live, baselines_by_day(bars), ["stock_ticker"], "_day", "candle_date", carry), as_of)
+
+
 def news_inputs(news: DataFrame, as_of: datetime | str | None = None,
                 language: str = names.HEADLINE_LANGUAGE, also: Sequence[str] = ()) -> DataFrame:
     wanted = news.filter((F.col("language") == language) & F.col("title").isNotNull()

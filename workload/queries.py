@@ -535,6 +535,35 @@ def _(spark, sf):
     return lookup.skew_join(lines, per_flag, ["l_returnflag"], min_rows=1000)
 
 
+# Every third line item is a quote of one ticker, so that it has a third of all ticks.
+@query("j1_asof_baseline", f"""
+WITH {QUOTES_SQL}, {BARS_SQL},
+ticks AS (
+  SELECT CASE WHEN sequence_id % 3 = 0 THEN '7' ELSE asset_ticker END AS stock_ticker, event_timestamp,
+         (best_bid_price + best_ask_price) / 2.0 AS trade_price, best_bid_volume + best_ask_volume AS trade_volume
+  FROM quotes),
+days AS (
+  SELECT stock_ticker, candle_date, close_price AS yesterday_close, avg(close_price) OVER w AS sma_20,
+         stddev_samp(close_price) OVER w AS historical_volatility_20d
+  FROM bars
+  WINDOW w AS (PARTITION BY stock_ticker ORDER BY candle_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+features AS (
+  SELECT md5(l.stock_ticker) AS asset_key, l.stock_ticker, l.event_timestamp, l.trade_price AS live_price,
+         l.trade_volume AS live_volume, coalesce(h.yesterday_close, l.trade_price) AS baseline_close,
+         coalesce(h.sma_20, l.trade_price) AS sma_20_baseline,
+         coalesce(h.historical_volatility_20d, 0.0) AS rolling_volatility,
+         (l.trade_price - coalesce(h.sma_20, l.trade_price))
+           / nullif(coalesce(h.sma_20, l.trade_price), 0) * 100.0 AS price_deviation_pct
+  FROM ticks l ASOF LEFT JOIN days h
+    ON l.stock_ticker = h.stock_ticker AND CAST(l.event_timestamp AS DATE) > h.candle_date)
+{FEATURE_ROWS_SQL}""")
+def _(spark, sf):
+    quotes = staging.quotes(inputs.quotes_raw(spark, sf))
+    ticker = F.when(F.pmod("sequence_id", F.lit(3)) == 0, F.lit("7")).otherwise(F.col("stock_ticker"))
+    ticks = unified.quotes_as_ticks(quotes, ["sequence_id"]).withColumn("stock_ticker", ticker)
+    return feature_rows(marts.market_features_as_of(ticks, staging.bars(inputs.bars_raw(spark, sf)), AS_OF))
+
+
 @query("p16_deviation", """
 SELECT event_id, (value - user_id) / nullif(user_id::DOUBLE, 0) * 100.0 AS deviation FROM events""")
 def _(spark, sf):
