@@ -161,3 +161,20 @@ def test_assets(spark):
     facts = spark.createDataFrame([(keys["NVDA"], 1), ("EURUSD", 2)], "asset_key string, n int")
     assert rows(marts.with_asset(facts, dim).select("n", "asset_name"), "n") == [(1, "Nvidia Corporation"), (2, None)]
     assert rows(marts.orphans(facts, dim).select("n")) == [(2,)]
+
+
+def test_parts_are_unnested_without_their_message(spark, tmp_path):
+    """Stored messages: the scan reads the paths, and what goes through the unnesting is typed columns."""
+    feeds = {
+        "news": (staging.parse_entity_news, {"uuid": "u", "title": "t", "entities": [{"symbol": "A", "sentiment_score": 0.5}, {"symbol": "B"}]}),
+        "bars": (staging.parse_bars, {"meta_data": {"2. Symbol": "A", "3. Last Refreshed": "2024-01-01"},
+                                      "time_series": {"2024-01-01": {"open": "1"}, "2024-01-02": {"open": "2"}}}),
+    }
+    for name, (parse, message) in feeds.items():
+        folder = str(tmp_path / name)
+        raw(spark, message).select(F.parse_json("raw_payload").alias("raw_payload")).write.parquet(folder)
+        parsed = parse(spark.read.parquet(folder))
+        above, below = parsed._jdf.queryExecution().optimizedPlan().toString().split("Generate explode(")
+        assert "payload" not in above and "payload" not in below.splitlines()[0]
+        assert "try_variant_get" not in below  # every path is a column of the scan
+        assert rows(parsed) == rows(parse(raw(spark, message))) and parsed.count() == 2

@@ -2,6 +2,9 @@
 
 The raw column may be VARIANT or JSON text.  A value that does not cast is NULL here;
 malformed messages are set aside earlier, by :mod:`tickerloom.sources.landing`.
+
+What a message says about all its parts is read in a projection of its own, below the
+unnesting, which otherwise would read it once per part and carry the message along.
 """
 
 from __future__ import annotations
@@ -82,8 +85,8 @@ def parse_bars(raw: DataFrame) -> DataFrame:
     described = _payload(raw).select(
         at(p, "$.meta_data" + key_path("2. Symbol")[1:]).alias("stock_ticker"),
         at(p, "$.meta_data" + key_path("3. Last Refreshed")[1:]).try_cast("timestamp_ntz").alias("api_refreshed_at"),
-        F.explode(at(p, "$.time_series", "map<string,variant>")).alias("day", "bar"))
-    return described.select(
+        at(p, "$.time_series", "map<string,variant>").alias("days"))
+    return described.select("stock_ticker", "api_refreshed_at", F.explode("days").alias("day", "bar")).select(
         "stock_ticker", "api_refreshed_at",
         F.col("day").try_cast("date").alias("candle_date"),
         at(bar, "$.open", "double").alias("open_price"),
@@ -108,8 +111,8 @@ def parse_entity_news(raw: DataFrame) -> DataFrame:
         at(p, "$.source").alias("news_source"),
         at(p, "$.language").alias("language"),
         at(p, "$.published_at").try_cast("timestamp").alias("published_timestamp"),
-        F.explode(at(p, "$.entities", "array<variant>")).alias("entity"))
-    return articles.select(
+        at(p, "$.entities", "array<variant>").alias("entities"))
+    return articles.select("*", F.explode("entities").alias("entity")).select(
         "article_uuid",
         at(entity, "$.symbol").alias("entity_ticker"),
         at(entity, "$.sentiment_score", "double").alias("sentiment_score"),
