@@ -2,15 +2,17 @@
 
 Items are dealt by a hash into shards of bounded size.  Each shard is evolved on several islands,
 rows of one table, so that islands run side by side; after each epoch the best solution of
-every island moves on to the next island of its shard.  An individual is a set of bins.  Crossover
-injects well-filled bins of one parent whole into the other, drops the bins that now hold an item
-twice, and puts their other items back by best fit.  Poorly filled bins of all shards are dealt again and
+every island moves on to the next island of its shard.  An individual is a set of bins; the first ones are
+made by best fit in disturbed orders.  Crossover injects well-filled bins of one parent whole into the other and drops the bins
+that now hold an item twice; their other items fill bins better in exchange for shorter ones, and what is left goes back by best
+fit.  A shard's search ends at the least number of bins that its lengths allow, or after its generations.  Poorly filled bins of all shards are dealt again and
 packed together, so that a shard's remainder isn't left alone.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import random
 import zlib
 from collections.abc import Iterable, Iterator
@@ -29,9 +31,11 @@ END = 1
 SHARD = 2048
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 4
+GENERATIONS = 16
 POPULATION = 4
 FULL = 0.995
+TASK_ISLANDS = 128
+WIDE = 24  # displaced items, and items of a bin, that swaps try in pairs
 
 Bins = list[list[int]]
 
@@ -71,11 +75,11 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
 # One individual.  ``sizes`` holds the length of every item of the shard.
 
-def best_fit(items: Iterable[int], sizes: np.ndarray, capacity: int, bins: Bins) -> Bins:
-    """Put each item, longest first, into the fullest bin that has room for it."""
+def best_fit(items: Iterable[int], sizes: np.ndarray, capacity: int, bins: Bins, ordered: bool = False) -> Bins:
+    """Put each item, longest first or in the given order, into the fullest bin that has room for it."""
     bins = [list(b) for b in bins]
     room = sorted((capacity - int(sizes[b].sum()), k) for k, b in enumerate(bins))
-    for item in sorted(items, key=lambda i: -sizes[i]):
+    for item in items if ordered else sorted(items, key=lambda i: -sizes[i]):
         size = int(sizes[item])
         at = bisect.bisect_left(room, (size, -1))
         if at == len(room):
@@ -93,8 +97,44 @@ def fitness(bins: Bins, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
     return -len(bins), sum((int(sizes[b].sum()) / capacity) ** 2 for b in bins)
 
 
-def crossover(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> Bins:
-    """Inject well-filled bins of ``other`` into ``one``, drop bins that repeat an item, and refit what they held."""
+def swapped(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int) -> tuple[Bins, list[int]]:
+    """Fill bins better: one or two items of a bin against one or two displaced ones of more length that still fit."""
+    out, loose = [], list(displaced)
+    ones, twos = choices(loose, sizes)
+    for b in bins:
+        room = capacity - int(sizes[b].sum())
+        if room and loose:
+            mine_one, mine_two = choices(b, sizes)
+            mine = np.concatenate([mine_one[0], mine_two[0]])
+            best = (0, None, None)
+            for sums, who in (ones, twos):
+                if len(sums):
+                    at = np.searchsorted(sums, mine + room, side="right") - 1
+                    gain = np.where(at >= 0, sums[at] - mine, 0)
+                    k = int(gain.argmax())
+                    if gain[k] > best[0]:
+                        best = (int(gain[k]), (mine_one[1] + mine_two[1])[k], who[int(at[k])])
+            if best[0]:
+                _, go, come = best
+                b = [i for i in b if i not in go] + list(come)
+                loose = [i for i in loose if i not in come] + list(go)
+                ones, twos = choices(loose, sizes)
+        out.append(b)
+    return out, loose
+
+
+def choices(items: list[int], sizes: np.ndarray) -> tuple[tuple[np.ndarray, list[tuple[int, ...]]], tuple[np.ndarray, list[tuple[int, ...]]]]:
+    """Single items and pairs of the ``WIDE`` longest, each by rising length."""
+    made = []
+    few = sorted(items, key=lambda i: -sizes[i])[:WIDE]
+    for who in ([(i,) for i in items], list(itertools.combinations(few, 2))):
+        who = sorted(who, key=lambda x: sum(int(sizes[i]) for i in x))
+        made.append((np.array([sum(int(sizes[i]) for i in x) for x in who], np.int64), who))
+    return made[0], made[1]
+
+
+def crossover(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> tuple[Bins, list[int]]:
+    """Inject well-filled bins of ``other`` into ``one`` and drop bins that repeat an item; what they held besides is displaced."""
     good = [b for b in other if sizes[b].sum() >= FULL * capacity] or other
     injected = chance.sample(good, max(1, len(good) // chance.randint(2, 4)))
     held = {i for b in injected for i in b}
@@ -104,14 +144,21 @@ def crossover(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance:
             stay.append(b)
         else:
             displaced += [i for i in b if i not in held]
-    return best_fit(displaced, sizes, capacity, injected + stay)
+    return injected + stay, displaced
 
 
-def mutate(bins: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> Bins:
-    """Dissolve the emptiest bins and a few others, and refit their items."""
+def mutate(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int, chance: random.Random) -> tuple[Bins, list[int]]:
+    """Dissolve the emptiest bins and a few others."""
     order = sorted(range(len(bins)), key=lambda k: int(sizes[bins[k]].sum()))
     gone = set(order[:max(1, len(order) // 20)]) | set(chance.sample(order, min(2, len(order))))
-    return best_fit((i for k in gone for i in bins[k]), sizes, capacity, [b for k, b in enumerate(bins) if k not in gone])
+    return [b for k, b in enumerate(bins) if k not in gone], displaced + [i for k in gone for i in bins[k]]
+
+
+def child_of(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> Bins:
+    """Crossover, mutation, swaps of displaced items, and best fit for what is still displaced."""
+    bins, displaced = mutate(*crossover(one, other, sizes, capacity, chance), sizes, capacity, chance)
+    bins, displaced = swapped(bins, displaced, sizes, capacity)
+    return best_fit(displaced, sizes, capacity, bins)
 
 
 def bound(sizes: np.ndarray, capacity: int) -> int:
@@ -119,25 +166,25 @@ def bound(sizes: np.ndarray, capacity: int) -> int:
     return max(-(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))
 
 
-def evolve(population: list[Bins], sizes: np.ndarray, capacity: int, generations: int, chance: random.Random) -> list[Bins]:
-    """Generations of one island, best individual first; it stops when no better one can exist."""
+def evolve(population: list[Bins], sizes: np.ndarray, capacity: int, generations: int, chance: random.Random) -> tuple[list[Bins], int]:
+    """One island, best individual first, and how many generations ran; it stops when no better one can exist."""
     score = lambda b: fitness(b, sizes, capacity)
     population = sorted(population, key=score, reverse=True)
-    for _ in range(generations):
+    for ran in range(generations):
         if len(population[0]) <= bound(sizes, capacity):
-            break
+            return population, ran
         one, other = chance.sample(population, 2) if len(population) > 1 else population * 2
-        child = mutate(crossover(one, other, sizes, capacity, chance), sizes, capacity, chance)
+        child = child_of(one, other, sizes, capacity, chance)
         population = sorted([*population, child], key=score, reverse=True)[:len(population)]
-    return population
+    return population, generations
 
 
 def first(sizes: np.ndarray, capacity: int, count: int, chance: random.Random) -> list[Bins]:
-    """Best-fit decreasing, and looser ones whose order is disturbed."""
-    made = [best_fit(range(len(sizes)), sizes, capacity, [])]
-    while len(made) < count and len(made[0]) > bound(sizes, capacity):
-        k = chance.sample(range(len(sizes)), len(sizes) // 4)
-        made.append(best_fit(set(range(len(sizes))) - set(k), sizes, capacity, best_fit(k, sizes, capacity, [])))
+    """Best fit of items that come in disturbed orders: by length, each length being off by up to a half."""
+    made = []
+    for _ in range(count):
+        off = {i: int(sizes[i]) * chance.uniform(0.5, 1.5) for i in range(len(sizes))}
+        made.append(best_fit(sorted(off, key=off.get, reverse=True), sizes, capacity, [], ordered=True))
     return made
 
 
@@ -153,41 +200,53 @@ def grouped(of: np.ndarray) -> Bins:
     return [list(map(int, x)) for x in np.split(order, np.flatnonzero(np.diff(of[order])) + 1)] if len(of) else []
 
 
-ISLAND = "shard long, island int, lengths array<int>, solutions array<array<int>>"
+SEARCH = ("generations", "bins_first", "bins")  # what a shard's search tells
+ISLAND = "shard long, island int, lengths array<int>, solutions array<array<int>>, generations int, bins_first int"
 
 
 def island_epoch(frames: Iterator[pd.DataFrame], capacity: int, generations: int, count: int, epoch: int) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = []
-        for shard, island, lengths, solutions in zip(frame.shard, frame.island, frame.lengths, frame.solutions):
-            sizes = np.asarray(lengths, np.int64)
-            chance = random.Random(f"{shard}/{island}/{epoch}")
-            population = [grouped(np.asarray(s)) for s in solutions] or first(sizes, capacity, count, chance)
-            out.append([flat(b) for b in evolve(population, sizes, capacity, generations, chance)])
-        yield frame.assign(solutions=out)
-
-
-def evolve_shards(shards: DataFrame, capacity: int, islands: int, epochs: int, generations: int, count: int) -> DataFrame:
-    """(shard, best array<int>) for (shard, lengths): the bin of every item, the best of all islands.
-
-    After each epoch the best individual of an island joins the next island of the ring.
+        out, ran, started = [], [], []
+        for row in frame.itertuples():
+            sizes = np.asarray(row.lengths, np.int64)
+            chance = random.Random(f"{row.shard}/{row.island}/{epoch}")
+            population = [grouped(np.asarray(s)) for s in row.solutions] or first(sizes, capacity, count, chance)
+            started.append(min(map(len, population)) if epoch == 0 else row.bins_first)
+            population, some = evolve(population, sizes, capacity, generations, chance)
+            out.append([flat(b) for b in population])
+            ran.append(row.generations + some)
+        yield frame.assign(solutions=out, generations=np.array(ran, np.int32), bins_first=np.array(started, np.int32))
+
+
+def evolve_shards(shards: DataFrame, count_of: int, capacity: int, islands: int, epochs: int, generations: int, count: int) -> DataFrame:
+    """(shard, best array<int>, generations, bins_first, bins) for ``count_of`` rows of (shard, lengths).
+
+    ``best`` has the bin of every item in the best individual of all islands, ``generations`` how many ran on
+    them together, ``bins_first`` the fewest bins of an individual before the first one.
+    After each epoch the best individual of an island joins the next island of the ring.  The islands are dealt to a stated
+    number of tasks: their rows are few and short, so adaptive execution would bring all of them into one.
     """
-    table = (shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths")
-             .withColumn("solutions", F.array().cast("array<array<int>>")).repartition("shard", "island"))
+    tasks = max(1, min(count_of * islands, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-count_of * islands // TASK_ISLANDS))
+    zero = F.lit(0).alias
+    table = (shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths",
+                           F.array().cast("array<array<int>>").alias("solutions"), zero("generations"), zero("bins_first")))
     for epoch in range(epochs):
-        table = kept(table.mapInPandas(lambda it, e=epoch: island_epoch(it, capacity, generations, count, e), ISLAND), "islands")
+        dealt = table.repartition(tasks, "shard", "island")
+        table = kept(dealt.mapInPandas(lambda it, e=epoch: island_epoch(it, capacity, generations, count, e), ISLAND), "islands")
         if epoch + 1 < epochs:
             elite = table.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.col("solutions")[0].alias("elite"))
             table = (table.join(elite, ["shard", "island"])
                      .withColumn("solutions", F.array_distinct(F.concat(F.array("elite"), "solutions"))).drop("elite"))
     best = F.col("solutions")[0]
     filled = F.struct((-F.array_max(best)).alias("fewer"), (-F.col("island")).alias("island"), best.alias("best"))
-    return table.groupBy("shard").agg(F.max(filled).alias("top")).select("shard", "top.best")
+    return (table.groupBy("shard").agg(F.max(filled).alias("top"), F.sum("generations").alias("generations"), F.min("bins_first").alias("bins_first"))
+            .select("shard", "top.best", "generations", "bins_first", (1 - F.col("top.fewer")).alias("bins")))
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS,
          generations: int = GENERATIONS, count: int = POPULATION) -> DataFrame:
-    """Every row of ``items`` (any columns, and ``length``) with its sequence_id and offset.
+    """Every row of ``items`` (any columns, and ``length``) with its sequence_id and offset, and what the search of its shard did:
+    ``generations`` run, the fewest ``bins_first`` that it started from, and its ``bins`` in the end.
 
     Items as long as a sequence are one alone.  The others are dealt to shards of about ``shard`` items
     by a hash of their place in the table, so that no id, source or repeated row gathers in one.  Bins under ``FULL`` are dissolved once
@@ -203,9 +262,11 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), F.monotonically_increasing_id()), F.lit(n)) * 2 + level)
         ordered = F.array_sort(F.collect_list(F.struct("length", *[c for c in names if c != "length"])))
         shards = kept(dealt.groupBy("shard").agg(ordered.alias("items")), "shards")
-        best = evolve_shards(shards.select("shard", F.col("items.length").cast("array<int>").alias("lengths")), capacity, islands, epochs, generations, count)
-        bins = (shards.join(best, "shard").select("shard", F.explode(F.arrays_zip("items", "best")).alias("x"))
-                .groupBy("shard", F.col("x.best").alias("bin")).agg(F.array_sort(F.collect_list("x.items")).alias("items"))
+        lengths = shards.select("shard", F.col("items.length").cast("array<int>").alias("lengths"))
+        best = evolve_shards(lengths, shards.count(), capacity, islands, epochs, generations, count)
+        bins = (shards.join(best, "shard").select("shard", *SEARCH, F.explode(F.arrays_zip("items", "best")).alias("x"))
+                .groupBy("shard", F.col("x.best").alias("bin"))
+                .agg(F.array_sort(F.collect_list("x.items")).alias("items"), *[F.first(c).alias(c) for c in SEARCH])
                 .withColumn("filled", F.aggregate("items.length", F.lit(0).cast("long"), lambda a, x: a + x)))
         bins = kept(bins, "bins") if level == 0 else bins
         done = bins.where(F.col("filled") >= FULL * capacity) if level == 0 else bins
@@ -213,9 +274,10 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, islands
         if level == 0:
             rest = bins.where(F.col("filled") < FULL * capacity).select(F.explode("items").alias("x")).select(*[F.col("x")[c].alias(c) for c in names])
     ends = F.transform("items", lambda x, i: F.struct(x.alias("item"), F.aggregate(F.slice("items", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["length"]).alias("offset")))
-    in_bins = (placed.select((F.col("shard") * 2**20 + F.col("bin")).alias("sequence_id"), F.explode(ends).alias("x"))
-               .select(*[F.col("x.item")[c].alias(c) for c in names], "sequence_id", F.col("x.offset").alias("offset")))
-    alone = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    in_bins = (placed.select((F.col("shard") * 2**20 + F.col("bin")).alias("sequence_id"), *SEARCH, F.explode(ends).alias("x"))
+               .select(*[F.col("x.item")[c].alias(c) for c in names], "sequence_id", F.col("x.offset").alias("offset"), *SEARCH))
+    alone = whole.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
+                         F.lit(0).cast("long").alias("generations"), F.lit(1).alias("bins_first"), F.lit(1).alias("bins"))
     return in_bins.unionByName(alone)
 
 
