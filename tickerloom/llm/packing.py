@@ -12,7 +12,6 @@ packed together, so that a shard's remainder isn't left alone.
 from __future__ import annotations
 
 import bisect
-import itertools
 import random
 import zlib
 from collections.abc import Iterable, Iterator
@@ -77,10 +76,10 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, w
 
 def best_fit(items: Iterable[int], sizes: np.ndarray, capacity: int, bins: Bins, ordered: bool = False) -> Bins:
     """Put each item, longest first or in the given order, into the fullest bin that has room for it."""
-    bins = [list(b) for b in bins]
-    room = sorted((capacity - int(sizes[b].sum()), k) for k, b in enumerate(bins))
-    for item in items if ordered else sorted(items, key=lambda i: -sizes[i]):
-        size = int(sizes[item])
+    bins, of = [list(b) for b in bins], sizes.tolist()
+    room = sorted((capacity - sum([of[i] for i in b]), k) for k, b in enumerate(bins))
+    for item in items if ordered else sorted(items, key=of.__getitem__, reverse=True):
+        size = of[item]
         at = bisect.bisect_left(room, (size, -1))
         if at == len(room):
             bins.append([item])
@@ -94,16 +93,17 @@ def best_fit(items: Iterable[int], sizes: np.ndarray, capacity: int, bins: Bins,
 
 def fitness(bins: Bins, sizes: np.ndarray, capacity: int) -> tuple[int, float]:
     """Fewer bins first, then more uneven filling: nearly empty bins are nearly gone."""
-    return -len(bins), sum((int(sizes[b].sum()) / capacity) ** 2 for b in bins)
+    of = sizes.tolist()
+    return -len(bins), sum((sum([of[i] for i in b]) / capacity) ** 2 for b in bins)
 
 
 def swapped(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int) -> tuple[Bins, list[int]]:
-    """Fill bins better: one or two items of a bin against one or two displaced ones of more length that still fit."""
+    """Fill bins better that are not well filled: one or two items against one or two displaced ones of more length that still fit."""
     out, loose = [], list(displaced)
     ones, twos = choices(loose, sizes)
     for b in bins:
         room = capacity - int(sizes[b].sum())
-        if room and loose:
+        if room > (1 - FULL) * capacity and loose:
             mine_one, mine_two = choices(b, sizes)
             mine = np.concatenate([mine_one[0], mine_two[0]])
             best = (0, None, None)
@@ -125,12 +125,13 @@ def swapped(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int)
 
 def choices(items: list[int], sizes: np.ndarray) -> tuple[tuple[np.ndarray, list[tuple[int, ...]]], tuple[np.ndarray, list[tuple[int, ...]]]]:
     """Single items and pairs of the ``WIDE`` longest, each by rising length."""
-    made = []
-    few = sorted(items, key=lambda i: -sizes[i])[:WIDE]
-    for who in ([(i,) for i in items], list(itertools.combinations(few, 2))):
-        who = sorted(who, key=lambda x: sum(int(sizes[i]) for i in x))
-        made.append((np.array([sum(int(sizes[i]) for i in x) for x in who], np.int64), who))
-    return made[0], made[1]
+    items = np.array(items, np.int64)
+    items = items[np.argsort(sizes[items], kind="stable")]
+    few = items[-WIDE:]
+    a, b = np.triu_indices(len(few), 1)
+    sums = sizes[few[a]] + sizes[few[b]]
+    order = np.argsort(sums, kind="stable")
+    return (sizes[items], [(i,) for i in items.tolist()]), (sums[order], list(zip(few[a][order].tolist(), few[b][order].tolist())))
 
 
 def crossover(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> tuple[Bins, list[int]]:
@@ -155,8 +156,11 @@ def mutate(bins: Bins, displaced: list[int], sizes: np.ndarray, capacity: int, c
 
 
 def child_of(one: Bins, other: Bins, sizes: np.ndarray, capacity: int, chance: random.Random) -> Bins:
-    """Crossover, mutation, swaps of displaced items, and best fit for what is still displaced."""
+    """Crossover, mutation, and best fit for what is displaced; where that doesn't reach the bound, swaps come before it."""
     bins, displaced = mutate(*crossover(one, other, sizes, capacity, chance), sizes, capacity, chance)
+    fitted = best_fit(displaced, sizes, capacity, bins)
+    if len(fitted) <= bound(sizes, capacity):
+        return fitted
     bins, displaced = swapped(bins, displaced, sizes, capacity)
     return best_fit(displaced, sizes, capacity, bins)
 
