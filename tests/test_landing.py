@@ -180,3 +180,15 @@ def test_best_price(spark):
     book = spark.sql("""SELECT * FROM VALUES (1, array(named_struct('price', '5'), named_struct('price', '4'))),
                         (2, cast(array() as array<struct<price: string>>)), (3, null) AS t(n, levels)""")
     assert rows(book.select("n", landing.best_price(F.col("levels"))), "n") == [(1, "5"), (2, "N/A"), (3, "N/A")]
+
+
+def test_verdicts_are_counted_by_the_write(spark, tmp_path):
+    good = {"type": "trade", "data": [TRADE]}
+    got = bodies(spark, good, good, "not json", {"type": "ping"}, {"type": "trade", "data": "none"})
+    triaged, seen = landing.counted(landing.triage(got, names.TRADES), names.TRADES)
+    landing.messages(landing.elements(triaged, names.TRADES), names.TRADES).write.parquet(str(tmp_path / "out"))
+    counts = landing.observed_tally(spark, seen, names.TRADES)
+    assert sorted(rows(counts), key=repr) == sorted(rows(landing.tally(triaged)), key=repr)
+    assert {(r.verdict, r.bodies) for r in counts.collect()} == {("accepted", 2), ("dropped", 1), ("rejected", 1)}
+    assert counts.filter("verdict = 'rejected'").count() == 2
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2

@@ -11,14 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from tickerloom import names, schemas
 from tickerloom.functions.payload import at, computed_once, has_key, to_text, with_payload
 from tickerloom.functions.text import mentions_any
-from tickerloom.operators.conform import first_fault, shaped
+from tickerloom.operators.conform import first_fault, shaped, wire_name
 from tickerloom.operators.lookup import lookup_join
 
+NOT_JSON = "not JSON"
+
 SHAPES = {
     names.TRADES: schemas.TRADE_MESSAGE,
     names.QUOTES: schemas.QUOTE_MESSAGE,
@@ -55,7 +57,7 @@ def triage(raw: DataFrame, feed: names.Feed) -> DataFrame:
     """``raw`` with ``body`` (VARIANT), ``verdict`` and ``reason``; every row is kept."""
     body = F.col("body")
     wanted = carries_data(body, feed)
-    fault = F.when(body.isNull(), "not JSON").when(wanted, first_fault(body, SHAPES[feed]))
+    fault = F.when(body.isNull(), NOT_JSON).when(wanted, first_fault(body, SHAPES[feed]))
     judged = computed_once(with_payload(raw, "value", "body"), F.struct(fault.alias("reason"), wanted.alias("wanted")),
                            "_judged")
     reason = F.col("_judged.reason")
@@ -68,6 +70,30 @@ def tally(triaged: DataFrame) -> DataFrame:
     return triaged.groupBy("verdict", "reason").agg(F.count(F.lit(1)).alias("bodies"))
 
 
+def verdicts(feed: names.Feed) -> list[tuple[str, str | None]]:
+    """Every verdict with its reason that a body of the feed can get."""
+    return [("accepted", None), ("dropped", None), ("rejected", NOT_JSON),
+            *(("rejected", wire_name(field)) for field in SHAPES[feed])]
+
+
+def counted(triaged: DataFrame, feed: names.Feed) -> tuple[DataFrame, Observation]:
+    """``triaged``, which counts its verdicts while the first action on it runs, so that no second pass is needed.
+
+    The action may not shuffle rows further on, as a stage that is repeated would count again.
+    """
+    seen = Observation()
+    counts = [F.count_if((F.col("verdict") == verdict) & F.col("reason").eqNullSafe(F.lit(reason))).alias(f"n{k}")
+              for k, (verdict, reason) in enumerate(verdicts(feed))]
+    return triaged.observe(seen, *counts), seen
+
+
+def observed_tally(spark: SparkSession, seen: Observation, feed: names.Feed) -> DataFrame:
+    """What :func:`tally` gives, from the counts of an action that has run."""
+    counts = seen.get
+    rows = [(verdict, reason, counts[f"n{k}"]) for k, (verdict, reason) in enumerate(verdicts(feed)) if counts[f"n{k}"]]
+    return spark.createDataFrame(rows, "verdict string, reason string, bodies long")
+
+
 def shaped_bodies(triaged: DataFrame, feed: names.Feed) -> DataFrame:
     """Accepted bodies as one typed struct column ``message``."""
     return triaged.filter("verdict = 'accepted'").select(shaped(F.col("body"), SHAPES[feed]).alias("message"))

@@ -136,14 +136,25 @@ def _(spark, sf):
     return triaged_trades(spark, sf).select("event_id", "verdict", "reason")
 
 
-@query("i16_verdict_counts", """
+VERDICT_COUNTS_SQL = """
 SELECT CASE event_type WHEN 'signup' THEN 'rejected' WHEN 'error' THEN 'dropped' ELSE 'accepted' END AS verdict,
        CASE event_type WHEN 'signup' THEN 'data' END AS reason, count(*) AS bodies
-FROM events GROUP BY ALL""")
+FROM events GROUP BY ALL"""
+
+
+@query("i16_verdict_counts", VERDICT_COUNTS_SQL)
 def _(spark, sf):
     return landing.tally(triaged_trades(spark, sf))
 
 
+@query("i16_counts_on_write", VERDICT_COUNTS_SQL)
+def _(spark, sf):
+    triaged, seen = landing.counted(triaged_trades(spark, sf), names.TRADES)
+    accepted = landing.messages(landing.elements(triaged, names.TRADES), names.TRADES)
+    accepted.write.parquet(scratch(spark, "messages"))
+    return landing.observed_tally(spark, seen, names.TRADES)
+
+
 @query("i1_envelope_unnest", """
 SELECT CAST(user_id AS VARCHAR) AS s, value AS p, event_id AS t,
        CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 2.0 ELSE 3.0 END::DOUBLE AS v,
