@@ -9,12 +9,15 @@ unnesting, which otherwise would read it once per part and carry the message alo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom import names
 from tickerloom.functions.clock import from_epoch_ms
-from tickerloom.functions.payload import at, key_path, with_payload
+from tickerloom.functions.payload import at, key_path, to_text, with_payload
 from tickerloom.operators.dedup import keep_any, keep_latest
+from tickerloom.operators.lookup import lookup_join
 
 
 TRADE_KEYS = ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"]
@@ -36,10 +39,6 @@ def one_bar(rows: DataFrame) -> DataFrame:
     return keep_latest(rows, BAR_KEYS, ["api_refreshed_at"])
 
 
-def one_entity(rows: DataFrame) -> DataFrame:
-    return keep_latest(rows, ENTITY_KEYS, ["published_timestamp"])
-
-
 def one_headline(rows: DataFrame) -> DataFrame:
     return keep_latest(rows, HEADLINE_KEYS, [])
 
@@ -100,9 +99,14 @@ def bars(raw: DataFrame) -> DataFrame:
     return one_bar(parse_bars(raw))
 
 
-def parse_entity_news(raw: DataFrame) -> DataFrame:
-    p, entity = F.col("payload"), F.col("entity")
-    articles = _payload(raw).filter(at(p, "$.uuid").isNotNull()).select(
+ARTICLE_TEXTS = ["title", "description", "snippet", "article_url", "news_source", "language"]
+VERSION = "_version"
+
+
+def _articles(raw: DataFrame) -> DataFrame:
+    """One row per message: what it says about the article, and its list of entities as it came."""
+    p = F.col("payload")
+    return _payload(raw).filter(at(p, "$.uuid").isNotNull()).select(
         at(p, "$.uuid").alias("article_uuid"),
         at(p, "$.title").alias("title"),
         at(p, "$.description").alias("description"),
@@ -112,16 +116,69 @@ def parse_entity_news(raw: DataFrame) -> DataFrame:
         at(p, "$.language").alias("language"),
         at(p, "$.published_at").try_cast("timestamp").alias("published_timestamp"),
         at(p, "$.entities", "array<variant>").alias("entities"))
-    return articles.select("*", F.explode("entities").alias("entity")).select(
-        "article_uuid",
-        at(entity, "$.symbol").alias("entity_ticker"),
-        at(entity, "$.sentiment_score", "double").alias("sentiment_score"),
-        "title", "description", "snippet", "article_url", "news_source", "language", "published_timestamp",
-        at(entity, "$.name").alias("entity_name"))
+
+
+def _entity(entity: Column) -> list[Column]:
+    return [at(entity, "$.symbol").alias("entity_ticker"), at(entity, "$.sentiment_score", "double").alias("sentiment_score"),
+            at(entity, "$.name").alias("entity_name")]
+
+
+def parse_articles(raw: DataFrame) -> DataFrame:
+    """One row per message, with typed entities and ``_version``, a digest of all it says about the article itself."""
+    said = [*ARTICLE_TEXTS, F.unix_micros("published_timestamp").cast("string")]
+    version = F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in said]), 256)
+    return (_articles(raw).withColumn("entities", F.transform("entities", lambda entity: F.struct(*_entity(entity))))
+            .withColumn(VERSION, F.unhex(version)))
+
+
+def one_article(articles: DataFrame) -> DataFrame:
+    """The versions of each article without redelivered copies; one that lists other entities is kept besides."""
+    listed = articles.withColumn("_listed", F.sha2(to_text(F.struct("entities")), 256))
+    return listed.dropDuplicates(["article_uuid", VERSION, "_listed"]).drop("_listed")
+
+
+def listed_entities(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """A row per article and entity, without the article's texts."""
+    return articles.select("article_uuid", VERSION, "published_timestamp", *also, F.explode("entities").alias("_entity")).select(
+        "article_uuid", VERSION, "published_timestamp", *also, "_entity.*")
+
+
+def places(articles: DataFrame) -> DataFrame:
+    """The order of an article's versions by their texts, for articles that have more than one."""
+    number = F.xxhash64(VERSION)
+    several = (articles.select("article_uuid", VERSION).groupBy("article_uuid").agg(F.min(number).alias("_low"), F.max(number).alias("_high"))
+               .filter("_low <> _high").select("article_uuid"))
+    texts = (lookup_join(articles.select("article_uuid", VERSION, *ARTICLE_TEXTS), several, ["article_uuid"], "left_semi")
+             .dropDuplicates(["article_uuid", VERSION]))
+    greatest = Window.partitionBy("article_uuid").orderBy(*[F.col(c).desc_nulls_first() for c in ARTICLE_TEXTS])
+    return texts.select("article_uuid", VERSION, F.row_number().over(greatest).alias("_place"))
+
+
+def one_entity(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One row per article and entity of :func:`parse_articles`: the newest, a missing time counting as newest.
+
+    Rows of one time are told apart by their score, then the article's texts, then their name.  Entities are reduced without these
+    texts, of which each version of an article is shuffled once, however many entities it lists.  ``also`` names
+    columns that follow from the article's id.
+    """
+    entities = lookup_join(listed_entities(articles, also), places(articles), ["article_uuid", VERSION], "left")
+    newest = Window.partitionBy(*ENTITY_KEYS).orderBy(
+        F.col("published_timestamp").desc_nulls_first(), F.col("sentiment_score").desc_nulls_first(),
+        F.col("_place").asc(), F.col("entity_name").desc_nulls_first())
+    kept = entities.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_place")
+    texts = articles.select(*also, "article_uuid", VERSION, *ARTICLE_TEXTS).dropDuplicates([*also, "article_uuid", VERSION])
+    return kept.join(texts, [*also, "article_uuid", VERSION]).select(
+        "article_uuid", "entity_ticker", "sentiment_score", *ARTICLE_TEXTS, "published_timestamp", "entity_name", *also)
+
+
+def parse_entity_news(raw: DataFrame) -> DataFrame:
+    ticker, score, name = _entity(F.col("entity"))
+    return _articles(raw).select("*", F.explode("entities").alias("entity")).select(
+        "article_uuid", ticker, score, *ARTICLE_TEXTS, "published_timestamp", name)
 
 
 def entity_news(raw: DataFrame) -> DataFrame:
-    return one_entity(parse_entity_news(raw))
+    return one_entity(parse_articles(raw))
 
 
 def parse_headlines(raw: DataFrame) -> DataFrame:
