@@ -7,6 +7,8 @@ into, and puts these parts in the place of the old ones, model by model.  What i
 
 Trades are dealt by ticker group and day, bars by ticker group and year, headlines by day.  A quote's copies may differ in time, not in
 their sequence number, so quotes are dealt by ticker group and block of sequence numbers; entities of an article by a hash.
+Articles are staged with their lists of entities, one row per version; rows per entity, which repeat the article's texts, are
+made where they are stored and never shuffled.
 Features depend on the newest bars of their ticker besides: these are kept apart, and where the baseline of a ticker
 changes, the features of its group are made anew.
 
@@ -66,7 +68,7 @@ def staged(groups: int = GROUPS, block: int = BLOCK) -> dict[str, Staged]:
                          named("q", group_of("asset_ticker", groups), F.floor(F.col("sequence_id") / block))),
         "bars": Staged(names.STG_BARS, names.BARS, staging.parse_bars, staging.one_bar,
                        named("b", group_of("stock_ticker", groups), F.date_format("candle_date", year))),
-        "entities": Staged(names.STG_ENTITY_NEWS, names.ENTITY_NEWS, staging.parse_entity_news, staging.one_entity,
+        "entities": Staged(names.STG_ENTITY_NEWS, names.ENTITY_NEWS, staging.parse_articles, staging.one_article,
                            named("e", group_of("article_uuid", groups))),
         "headlines": Staged(names.STG_HEADLINES, names.HEADLINES, staging.parse_headlines, staging.one_headline,
                             named("h", F.date_format("published_timestamp", day))),
@@ -120,6 +122,10 @@ def features_of(tables: Tables, ticks: DataFrame, parts: Iterable[str], as_of: d
     return marts.with_features(lookup_join(live, baselines, ["stock_ticker"], "left"), as_of, [PART])
 
 
+def entities_as_news(articles: DataFrame) -> DataFrame:
+    return unified.entity_news_as_news(staging.one_entity(articles, [PART]), [PART])
+
+
 def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = None, rules=names.TICKER_RULES,
               groups: int = GROUPS, block: int = BLOCK) -> dict[str, list[str]]:
     """Bring all stored models up to the raw tables; the parts of each that were made anew.
@@ -140,12 +146,15 @@ def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = N
 
     made: dict[str, list[str]] = {}
 
-    def put(model: str, parts: list[str], *sources: tuple[Callable[[DataFrame], DataFrame], str, list[str]]) -> None:
+    def put(model: str, parts: list[str], *sources: tuple[Callable[[DataFrame], DataFrame], str, list[str]], gather: bool = True) -> None:
         """Make parts of a model from parts of others; a model that isn't there yet is made even without any."""
         made[model] = parts
         if parts or not tables.versions(model).exists():
             frames = [make(tables.versions(source).stored(some)) for make, source, some in sources]
-            tables.replace_parts(model, reduce(DataFrame.unionByName, frames), parts)
+            if gather:
+                tables.replace_parts(model, reduce(DataFrame.unionByName, frames), parts)
+            else:
+                tables.replace_parts(model, frames[0], parts, *frames[1:], gather=False)
 
     ticks, news = touched["quotes"] + touched["trades"], touched["entities"] + touched["headlines"]
     put(names.INT_TICKS, ticks, (lambda df: unified.quotes_as_ticks(df, [PART]), names.STG_QUOTES, touched["quotes"]),
@@ -156,9 +165,12 @@ def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = N
     known = tables.versions(names.INT_TICKS).state()["parts"]
     features = sorted({*ticks, *(p for p in known if p[1:].split("-")[0] in changed)})
     put(names.FCT_FEATURES, features, (lambda df: features_of(tables, df, features, as_of), names.INT_TICKS, features))
-    put(names.INT_NEWS, news, (lambda df: unified.entity_news_as_news(df, [PART]), names.STG_ENTITY_NEWS, touched["entities"]),
-        (lambda df: unified.known_headlines(df, rules, [PART]), names.STG_HEADLINES, touched["headlines"]))
-    put(names.FCT_NEWS_INPUTS, news, (lambda df: marts.news_inputs(df, as_of, also=[PART]), names.INT_NEWS, news))
+    # No part has both entities and headlines.
+    entities, headlines = touched["entities"], touched["headlines"]
+    put(names.INT_NEWS, news, (entities_as_news, names.STG_ENTITY_NEWS, entities),
+        (lambda df: unified.known_headlines(df, rules, [PART]), names.STG_HEADLINES, headlines), gather=False)
+    put(names.FCT_NEWS_INPUTS, news, (lambda df: marts.news_inputs(df, as_of, also=[PART]), names.INT_NEWS, entities),
+        (lambda df: marts.news_inputs(df, as_of, also=[PART]), names.INT_NEWS, headlines), gather=False)
     if not tables.versions(names.DIM_ASSETS).exists():
         tables.replace(names.DIM_ASSETS, marts.assets(spark, as_of))
     state.note(**noted)

@@ -44,9 +44,9 @@ class Tables:
         """Full refresh.  Readers see the old rows until all new ones are there; of two writers at once the later one fails."""
         return self.versions(name).replace(df)
 
-    def replace_parts(self, name: str, df: DataFrame, parts: Iterable[str]) -> None:
-        """Refresh of the named parts alone; ``df`` has theirs in the column ``_part``."""
-        self.versions(name).replace_parts(df, parts)
+    def replace_parts(self, name: str, df: DataFrame, parts: Iterable[str], *more: DataFrame, gather: bool = True) -> None:
+        """Refresh of the named parts alone; ``df`` and ``more`` have theirs in the column ``_part``, no part in two of them."""
+        self.versions(name).replace_parts(df, parts, None, *more, gather=gather)
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))
