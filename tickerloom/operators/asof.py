@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom.functions.clock import epoch_second
 from tickerloom.operators.lookup import lookup_join
-from tickerloom.session import settle
+from tickerloom.session import settle, stored
 
 SPAN_SECONDS = 30 * 86_400
 
@@ -27,7 +27,9 @@ def latest_before(rows: DataFrame, records: DataFrame, on: Sequence[str], row_ti
     A record of the very time counts only with ``same``.  Rows without a key or time get NULL, records
     without one are never found.  Of records with equal key and time the greatest ``carry`` counts, a
     missing value being the least.  ``carry`` may not hold maps.  Both times must be of one type.
+    ``rows`` are read twice, for their questions and for the answers, so they are stored first.
     """
+    rows = stored(rows)
     on, carry = list(on), list(carry)
     known_key = F.lit(True)
     for c in on:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,3 +55,10 @@ def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, on reliable shared storage, and go on from the result."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once into columnar files on the shared storage, and go on from them: for a costly table with many rows that is read again."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
