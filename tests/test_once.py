@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
+from tickerloom.operators import lookup
 from tickerloom.operators.asof import latest_before
 
 
@@ -21,6 +22,15 @@ def counted(spark):
     return seen, count
 
 
+def test_facts_of_a_large_lookup(spark, counted):
+    seen, count = counted
+    facts = count(spark.range(1000).select(F.when(F.col("id") % 5 > 0, F.col("id") % 3).alias("k"), "id"))
+    table = spark.createDataFrame([(0, "a"), (2, "c"), (None, "n")], "k long, name string")
+    got = rows(lookup.lookup_join(facts, table, ["k"], "left", max_bytes=0), "id")
+    assert got == [(i % 3 if i % 5 else None, i, {0: "a", 2: "c"}.get(i % 3) if i % 5 else None) for i in range(1000)]
+    assert seen.value == 1000
+
+
 def test_rows_of_an_as_of_join(spark, counted):
     seen, count = counted
     asked = count(spark.range(500).select((F.col("id") % 4).alias("k"), F.timestamp_seconds(F.col("id")).alias("at")))

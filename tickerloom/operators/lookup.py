@@ -1,7 +1,8 @@
 """Joins of a fact table with a table that has one row per key.
 
-``lookup_join`` measures the lookup side and broadcasts it only if it is small;
-otherwise ``skew_join`` shuffles both sides and splits the keys that hold too many rows.
+``lookup_join`` measures the lookup side and broadcasts it only if it is small.  Otherwise both sides are
+shuffled, and keys that hold too many rows are split: by adaptive execution, which knows their size from the
+shuffle itself, or, where that is off (as in streams), by ``skew_join``, which counts the facts first.
 """
 
 from __future__ import annotations
@@ -38,14 +39,25 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width.cast("long"))).first()[0] or 0
 
 
+def splits_large_partitions(df: DataFrame) -> bool:
+    """Whether the session splits partitions of a shuffled join that are far larger than the others."""
+    conf = df.sparkSession.conf
+    return all(conf.get(f"spark.sql.adaptive.{name}").lower() == "true" for name in ("enabled", "skewJoin.enabled"))
+
+
 def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left",
                 max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Join ``facts`` with ``lookup``, which is computed once and measured first."""
+    """Join ``facts`` with ``lookup``, which is computed once and measured first.
+
+    ``facts`` are computed once too, but with a large lookup where adaptive execution is off.
+    """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"{how}: every row of the result must belong to a row of facts")
     lookup = settle(lookup)
     if measured_bytes(lookup) <= max_bytes:
         return facts.join(F.broadcast(lookup), list(on), how)
+    if splits_large_partitions(facts):
+        return facts.join(lookup, list(on), how)
     return skew_join(facts, lookup, on, how)
 
 
