@@ -1,11 +1,15 @@
 """Costly inputs are computed once."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from tickerloom.operators import lookup
 from tickerloom.operators.asof import latest_before
+from tickerloom.plans import marts
+from tickerloom.streaming import market
 
 
 @pytest.fixture
@@ -39,3 +43,17 @@ def test_rows_of_an_as_of_join(spark, counted):
     got = latest_before(asked, known, ["k"], "at", "since", ["price"])
     assert rows(got.groupBy("price").count(), "price") == [(None, 500 - 99 - 50), (1.0, 99), (2.0, 50)]
     assert seen.value == 500
+
+
+def test_batches_of_a_stream_with_many_baselines(spark, counted, tmp_path, monkeypatch):
+    seen, count = counted
+    monkeypatch.setattr(marts, "lookup_join", partial(lookup.lookup_join, max_bytes=0))
+    ticks = spark.range(300).selectExpr("cast(id % 3 as string) AS stock_ticker", "timestamp_ntz'2024-01-01 00:00:00' AS event_timestamp",
+                                        "cast(id as double) AS trade_price", "1.0D AS trade_volume")
+    ticks.write.parquet(str(tmp_path / "ticks"))
+    bars = spark.createDataFrame([("1", 7.0)], "stock_ticker string, close_price double").withColumn("candle_date", F.to_date(F.lit("2023-12-31")))
+    live = count(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")))
+    market.enrich(live, lambda: bars, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 300 and out.filter("baseline_close = 7.0 AND stock_ticker = '1'").count() == 100
+    assert seen.value == 300

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.plans import marts, staging, unified
+from tickerloom.session import stored
 from tickerloom.streaming import dedup
 from tickerloom.streaming.ingest import triggered
 
@@ -49,10 +50,13 @@ def live_ticks(raw_quotes: DataFrame, raw_trades: DataFrame, delay: str = "10 mi
 
 def enrich(ticks: DataFrame, read_bars: Callable[[], DataFrame], target: str, checkpoint: str,
            as_of: str | None = None, run: str = "enrich", continuous: bool = False) -> StreamingQuery:
-    """Append features of each batch, against the bars as they stand when it runs."""
+    """Append features of each batch, against the bars as they stand when it runs.
+
+    Streams run without adaptive execution, so a join with many baselines counts the batch first: it is stored, not parsed again.
+    """
 
     def append(batch: DataFrame, number: int) -> None:
-        (marts.market_features(batch, read_bars(), as_of).withColumn("batch", F.lit(f"{run}-{number}"))
+        (marts.market_features(stored(batch), read_bars(), as_of).withColumn("batch", F.lit(f"{run}-{number}"))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch").parquet(target))
 
