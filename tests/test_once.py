@@ -5,7 +5,8 @@ from functools import partial
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import rows
+from tests.helpers import raw, rows
+from tickerloom.functions.payload import computed_once
 from tickerloom.operators import lookup
 from tickerloom.operators.asof import latest_before
 from tickerloom.plans import marts
@@ -57,3 +58,10 @@ def test_batches_of_a_stream_with_many_baselines(spark, counted, tmp_path, monke
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 300 and out.filter("baseline_close = 7.0 AND stock_ticker = '1'").count() == 100
     assert seen.value == 300
+
+
+def test_a_costly_value_is_computed_below_the_unnesting(spark):
+    once = computed_once(raw(spark, {"a": 1}, {"a": 2}), F.try_parse_json("raw_payload"), "payload").filter("payload IS NOT NULL")
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse") == 1 and all("parse" not in line for line in plan.splitlines() if "Generate" in line or "Filter" in line)
+    assert once.columns == ["raw_payload", "payload"] and once.count() == 2

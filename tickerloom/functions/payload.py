@@ -9,9 +9,10 @@ def computed_once(df: DataFrame, value: Column, name: str) -> DataFrame:
     """``df`` with a column that is costly to compute.
 
     Filters on a plain column are moved below its projection, which computes it once more
-    for the filter.  They are not moved below the unnesting of an array.
+    for the filter.  They are not moved below the unnesting of an array.  The value is computed in the
+    projection below it, which is compiled; an unnesting may not be, and would interpret it.
     """
-    return df.withColumn(name, F.explode(F.array(value)))
+    return df.withColumn("_once", value).withColumn(name, F.explode(F.array("_once"))).drop("_once")
 
 
 def with_payload(df: DataFrame, column: str = "raw_payload", name: str = "payload") -> DataFrame:
