@@ -3,9 +3,11 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickerloom.llm import boosting, personal_data, queries
 from tickerloom.llm.store import ready
@@ -145,3 +147,41 @@ def test_trees_and_calibration():
     least, share = boosting.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 0, 1]))
     assert least.tolist() == [0.1, 0.2, 0.4] and share.tolist() == [0, 1 / 3, 1]
     assert boosting.calibrated(np.array([0.05, 0.25, 0.9]), (least, share)).tolist() == [0, 1 / 3, 1]
+
+
+def test_all_documents_teach(spark):
+    """The documents with the 4,000 smallest hashes have no personal data, so they alone would teach nothing."""
+    ids = [r.id for r in spark.range(4600).orderBy(F.xxhash64("id", F.lit(11)), "id").collect()]
+    made = [t for _, t, _ in texts_with_spans(random.Random(3), 600)]
+    rows = [(i, "no data here") for i in ids[:4000]] + list(zip(ids[4000:], made))
+    judge = personal_data.learn(spark.createDataFrame(rows, "doc_id long, text string"))
+    seeds = [zlib.crc32(str(i).encode()) for i in ids[4000:]]
+    assert judge.lessons == sum(len(list(personal_data.lessons(t, s))) for t, s in zip(made, seeds)) and set(judge.least) == set(personal_data.KINDS)
+
+
+def test_all_spans_of_a_text_teach():
+    one, text = "write to ann@example.com. ", "write to ann@example.com. " * 300
+    own = [x for x in personal_data.lessons(text, 1)]
+    assert len(own) > 250 * len(list(personal_data.lessons(one, 1))) // 2
+
+
+def test_trees_over_parts_are_the_trees_over_all():
+    chance = np.random.default_rng(2)
+    x = chance.integers(0, 9, (900, 3)).astype(float)
+    y = (x[:, 0] + x[:, 1] > 8).astype(float)
+    whole = boosting.Trees(x, y)
+    codes = whole.codes(x)
+    order = chance.permutation(900)
+    parts = [order[:100], order[100:110], order[110:]]
+    again = boosting.Trees.over(whole.edges, y.mean(), lambda trees, splits: sum(trees.sums(codes[p], y[p], np.ones(len(p)), splits) for p in parts))
+    assert (whole.scores(x) == again.scores(x)).all()
+    assert all(np.array_equal(e, np.unique(np.quantile(c, np.linspace(0, 1, boosting.BINS + 1)[1:-1]))) for e, c in zip(whole.edges, x.T))
+
+
+def test_searched_patterns_equal_plain_ones():
+    chance = random.Random(8)
+    for _ in range(4000):
+        text = "".join(chance.choice([" at ", "(at)", "[AT] ", "a", "t", " dot ", ".", "b", "(", "+", "1", "23", "4567", " ", "-", ":", "c0"]) for _ in range(chance.randint(1, 16)))
+        for pattern, begin in ((personal_data.IP, personal_data.RUN), (personal_data.DOTTED, personal_data.RUN), (personal_data.DIGITS, personal_data.RUN_OR_SIGN)):
+            assert [m.span() for m in personal_data.begun(pattern, begin, text)] == [m.span() for m in pattern.finditer(text)], text
+        assert [m.span() for m in personal_data.spelled(text)] == [m.span() for m in personal_data.SPELLED.finditer(text)], text

@@ -3,9 +3,10 @@
 The patterns proper (base) always count.  Loose generators propose more, overlapping each other: addresses spelled out or with
 letters beyond ASCII, version 6 addresses, phone numbers without a country's sign, cards with other separators.  No table
 labels personal data, so the trees learn from the patterns: candidates that hold a base span are right, those whose form rules
-them out (check digit, parts over 255, dates, a domain without a dot) are wrong, the rest are no examples; base spans of the sample written in other ways are right, and dates, versions, prices and numbers with a
-changed digit put in their places are wrong.  Scores are calibrated on documents kept out of the fit, per kind; a kind's threshold
-is the least score from which the calibrated share of right ones reaches PRECISION.
+them out (check digit, parts over 255, dates, a domain without a dot) are wrong, the rest are no examples; base spans written in other ways are right, and dates, versions, prices and numbers with a
+changed digit put in their places are wrong.  Every document teaches: its examples stay in tables, which Spark counts and groups, and the
+trees are fitted to sums over these tables.  Scores are calibrated on the third of the documents kept out of the fit, per kind; a kind's
+threshold is the least score from which the calibrated share of right ones reaches PRECISION.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickerloom.llm.arrays import blocks
-from tickerloom.llm.boosting import Trees, calibrated, isotonic
-from tickerloom.llm.store import documents
+from tickerloom.llm.boosting import Trees, bin_edges, calibrated, isotonic
+from tickerloom.llm.store import documents, kept
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000  # documents whose candidates the trees learn from
-EXAMPLES = 30_000  # candidates that come to the driver
 PRECISION = 0.9
+GRID = 4  # decimals of a score that is calibrated
 AROUND = 24
-WINDOW = 200_000  # characters of a text around which an example is cut
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -44,6 +44,10 @@ DOTTED = re.compile(r"(?<![0-9.])[0-9]++(?:\.[0-9]++){2,}+")
 COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![0-9A-Za-z:])")
 DIGITS = re.compile(r"(?<![0-9])(?:\+\s?)?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+")
 DATE = re.compile(r"(?:19|20)[0-9]{2}[./-][01]?[0-9][./-][0-3]?[0-9]|[0-3]?[0-9][./-][01]?[0-9][./-](?:19|20)[0-9]{2}")
+# Where a pattern may begin: searching for these is faster than trying it at each character.
+RUN = re.compile("[0-9]+")
+RUN_OR_SIGN = re.compile(r"[0-9]+|[+(]")
+AT = re.compile(r"[aA][tT][\s\])}]")
 CUES = (re.compile(r"mail|contact|kontakt|correo|courriel|@", re.I), re.compile(r"\bip|host|server|addr|from", re.I),
         re.compile(r"card|visa|karte|carte|tarjeta|credit", re.I), re.compile(r"phone|tel|call|fax|mobil|ruf", re.I),
         re.compile(r"version|licen|isbn|order|invoice|no\.|nr\.|token|key|v\.?\s?$|[$€£]", re.I))
@@ -64,6 +68,29 @@ def small_parts(text: str) -> bool:
     return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in text.split("."))
 
 
+def begun(pattern: re.Pattern, begin: re.Pattern, text: str) -> Iterator[re.Match]:
+    """``pattern.finditer(text)``, for a pattern that begins where ``begin`` does and within a run of digits only at its first."""
+    at = 0
+    while place := begin.search(text, at):
+        found = pattern.match(text, place.start())
+        if found:
+            yield found
+        at = (found or place).end()
+
+
+def spelled(text: str) -> Iterator[re.Match]:
+    """``SPELLED.finditer(text)``: the 'at' has at most a bracket and two blanks before it."""
+    end = 0
+    for place in AT.finditer(text):
+        at = place.start()
+        if at > end and (text[at - 1] in "[({" or text[at - 1].isspace()):
+            for start in range(max(end, at - 3), at):
+                if (found := SPELLED.match(text, start)) and found.end() > at:
+                    yield found
+                    end = found.end()
+                    break
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     at, end = text.find("@"), 0
     while at >= 0:
@@ -79,7 +106,7 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the patterns proper, by kind, then start."""
     found = [("email", a, b) for a, b in emails(text)]
-    found += [("ip", m.start(), m.end()) for m in IP.finditer(text) if small_parts(m.group())]
+    found += [("ip", m.start(), m.end()) for m in begun(IP, RUN, text) if small_parts(m.group())]
     found += [("card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 16 and 16 <= len(d := digits_of(m.group())) <= 19 and luhn(d)]
     found += [("phone", m.start(), m.end()) for m in PHONE.finditer(text) if 8 <= len(digits_of(m.group())) <= 15]
     return found
@@ -97,15 +124,16 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if start < at and domain:
             found.append(("email", start, domain.end()))
         at = text.find("@", at + 1)
-    for m in SPELLED.finditer(text):
+    for m in spelled(text):
         start = m.start()
         while start and LOOSE_LOCAL.match(text[start - 1]):
             start -= 1
         if start < m.start():
             found.append(("email", start, SPELLED_DOMAIN.match(text, m.end()).end()))
-    found += [("ip", m.start(), m.end()) for m in DOTTED.finditer(text)]
-    found += [("ip", m.start(), m.end()) for m in COLONS.finditer(text) if len(m.group().replace(":", "")) >= 2]
-    for m in DIGITS.finditer(text):
+    found += [("ip", m.start(), m.end()) for m in begun(DOTTED, RUN, text)]
+    if text.count(":") > 1:
+        found += [("ip", m.start(), m.end()) for m in COLONS.finditer(text) if len(m.group().replace(":", "")) >= 2]
+    for m in begun(DIGITS, RUN_OR_SIGN, text):
         start, n = m.start(), len(digits_of(m.group()))
         found += [("card", start, m.end())] * (12 <= n <= 19) + [("phone", start, m.end())] * (n <= 15)
     return found
@@ -184,14 +212,18 @@ def ruled_out(kind: str, span: str) -> bool:
 def lessons(text: str, seed: int) -> Iterator[tuple[str, list[float], bool]]:
     """(kind, features, right) of the text's own candidates and of those made from its base spans."""
     base = base_spans(text)
-    held = {(k, a, b) for k, a, b in base}
+    held = {kind: [(a, b) for k, a, b in base if k == kind] for kind in KINDS}
     for kind, start, end in candidates(text):
-        mine = any(k == kind and start <= a and b <= end and 2 * (b - a) >= end - start for k, a, b in held) if len(held) < 200 else (kind, start, end) in held
+        inside, mine = bisect_left(held[kind], (start, 0)), False
+        while not mine and inside < len(held[kind]) and held[kind][inside][0] < end:
+            a, b = held[kind][inside]
+            mine = b <= end and 2 * (b - a) >= end - start
+            inside += 1
         if mine or ruled_out(kind, text[start:end]):
             yield kind, features(text, kind, start, end), mine
     chance = random.Random(seed)
-    for kind, start, end in base[:100]:
-        left, right = text[max(0, start - WINDOW):start][-AROUND:], text[end:end + AROUND]
+    for kind, start, end in base:
+        left, right = text[max(0, start - AROUND):start], text[end:end + AROUND]
         for span, good in rewritten(kind, text[start:end], chance):
             made = left + span + right
             for k, a, b in candidates(made):
@@ -200,61 +232,128 @@ def lessons(text: str, seed: int) -> Iterator[tuple[str, list[float], bool]]:
                     yield k, features(made, k, a, b), good and k == kind and whole
 
 
+LESSON = "part int, kind string, features array<double>, right boolean"
+CODED = "part int, kind string, codes binary, right boolean"
+
+
 def teach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in blocks(batches, "text"):
         rows = []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            seed = zlib.crc32(str(doc_id).encode())
+            seed = zlib.crc32((text if doc_id is None else str(doc_id)).encode())
             rows += [{"part": seed % 3, "kind": k, "features": [float(v) for v in f], "right": r} for k, f, r in lessons(text, seed)]
         if rows:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("part", pa.int32()), ("kind", pa.string()), ("features", pa.list_(pa.float64())), ("right", pa.bool_())]))
 
 
+def matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("features").flatten().to_numpy().reshape(batch.num_rows, -1)
+
+
+def value_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for f, column in enumerate(matrix(batch).T if batch.num_rows else ()):
+            value, n = np.unique(column, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"feature": np.full(len(value), f, np.int32), "value": value, "n": n.astype(np.int64)})
+
+
+def encode(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            codes = np.stack([np.searchsorted(e, column, "left") for e, column in zip(edges, matrix(batch).T)], 1).astype(np.uint8)
+            yield pa.RecordBatch.from_pydict({"part": batch.column("part"), "kind": batch.column("kind"), "codes": [row.tobytes() for row in codes], "right": batch.column("right")})
+
+
+def decoded(batch: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+
+
+def part_sums(batches: Iterator[pa.RecordBatch], trees: Trees, splits: list) -> Iterator[pa.RecordBatch]:
+    """One row: what the task's examples add to the sums of a tree's next level."""
+    parts = (trees.sums(decoded(b), b.column("right").to_numpy(zero_copy_only=False).astype(float), b.column("n").to_numpy().astype(float), splits) for b in batches if b.num_rows)
+    if isinstance(total := sum(parts), np.ndarray):
+        yield pa.RecordBatch.from_pydict({"sums": [total.tobytes()]})
+
+
+def score_counts(batches: Iterator[pa.RecordBatch], trees: Trees) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_pydict({"kind": batch.column("kind"), "score": trees.coded_scores(decoded(batch)).round(GRID), "right": batch.column("right"), "n": batch.column("n")})
+
+
 class Judge:
-    """Trees, and per kind the calibration of their scores and the threshold."""
-
-    def __init__(self, part: np.ndarray, kind: np.ndarray, x: np.ndarray, y: np.ndarray, precision: float = PRECISION):
-        self.trees, self.steps, self.least = None, {}, {}
-        fit = part > 0
-        if len(y) and 0 < y[fit].sum() < fit.sum():
-            self.trees = Trees(x[fit], y[fit].astype(float))
-            scores = self.trees.scores(x)
-            for name in KINDS:
-                mine = ~fit & (kind == name)
-                if y[mine].any():
-                    steps = isotonic(scores[mine], y[mine])
-                    enough = steps[1] >= precision
-                    if enough.any():
-                        self.steps[name], self.least[name] = steps, float(steps[1][enough][0])
+    """Trees, and per kind the calibration of their scores and the threshold; ``lessons`` is how many examples taught them."""
+
+    def __init__(self, trees: Trees | None = None, steps: dict[str, tuple[np.ndarray, np.ndarray]] | None = None, precision: float = PRECISION, lessons: int = 0):
+        self.trees, self.steps, self.least, self.lessons = trees, {}, {}, lessons
+        for name, step in (steps or {}).items():
+            enough = step[1] >= precision
+            if enough.any():
+                self.steps[name], self.least[name] = step, float(step[1][enough][0])
 
     def judge(self, found: list[tuple[str, int, int]], x: list[list[float]]) -> list[float]:
         """Calibrated score of each candidate, or -1 where its kind's threshold isn't reached."""
         if self.trees is None or not found:
             return [-1.0] * len(found)
-        raw = self.trees.scores(np.array(x))
-        out = []
-        for (kind, _, _), score in zip(found, raw):
-            share = float(calibrated(np.array([score]), self.steps[kind])[0]) if kind in self.steps else -1.0
-            out.append(share if share >= self.least.get(kind, 2.0) else -1.0)
-        return out
+        raw, kinds, out = self.trees.scores(np.array(x, float)).round(GRID), np.array([k for k, _, _ in found]), np.full(len(found), -1.0)
+        for kind, steps in self.steps.items():
+            mine = kinds == kind
+            share = calibrated(raw[mine], steps)
+            out[mine] = np.where(share >= self.least[kind], share, -1.0)
+        return out.tolist()
+
 
+def learn(docs: DataFrame) -> Judge:
+    """Fit and calibrate on the candidates of all ``docs`` (doc_id, text).
 
-def learn(docs: DataFrame, sample: int = SAMPLE, examples: int = EXAMPLES) -> Judge:
-    """Fit on the candidates of ``sample`` documents (those with the smallest hashes of their ids), at most ``examples`` of them."""
-    ids = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample).distinct()
-    taught = documents(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").mapInArrow(teach, "part int, kind string, features array<double>, right boolean")
-    rows = taught.orderBy(F.xxhash64("features", "kind"), "right").limit(examples).toArrow()
-    x = np.array(rows.column("features").to_pylist(), float)
-    return Judge(rows.column("part").to_numpy(), np.array(rows.column("kind").to_pylist()), x, np.array(rows.column("right").to_pylist(), bool))
+    The driver gets how often each feature has each value, a row of sums a task for each level of a tree, and
+    how many candidates of a kind have a score of ``GRID`` decimals; the examples themselves stay in tables.  Equal ones are one row with a number.
+    """
+    spark = docs.sparkSession
+    taught = kept(documents(docs, "doc_id", "text").mapInArrow(teach, LESSON), "lessons")
+    fit = taught.where("part > 0")
+    counts = fit.mapInArrow(value_counts, "feature int, value double, n long").groupBy("feature", "value").agg(F.sum("n").alias("n")).orderBy("feature", "value").toArrow()
+    feature, value, n = (counts.column(c).to_numpy() for c in ("feature", "value", "n"))
+    edges = [bin_edges(value[feature == f], n[feature == f]) for f in np.unique(feature)]
+    right = dict(fit.groupBy("right").count().collect())
+    if len(right) < 2:
+        return Judge()
+    coded = taught.mapInArrow(lambda it: encode(it, edges), CODED).groupBy((F.col("part") > 0).alias("fit"), "kind", "codes", "right").agg(F.count("*").alias("n"))
+    coded = kept(coded.repartition(spark.sparkContext.defaultParallelism), "coded")
+    examples, others = coded.where("fit").select("codes", "right", "n"), coded.where("NOT fit").select("kind", "codes", "right", "n")
+
+    def sums(trees: Trees, splits: list) -> np.ndarray:
+        rows = examples.mapInArrow(lambda it: part_sums(it, trees, splits), "sums binary").toArrow().column("sums").to_pylist()
+        return sum(np.frombuffer(r) for r in rows).reshape(2, 2 ** len(splits), len(edges), -1)
+
+    trees = Trees.over(edges, right[True] / sum(right.values()), sums)
+    levels = (others.mapInArrow(lambda it: score_counts(it, trees), "kind string, score double, right boolean, n long").groupBy("kind", "score")
+              .agg(F.sum("n").alias("n"), F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("yes")).toArrow())
+    kind, score, n, yes = (levels.column(c).to_numpy() for c in ("kind", "score", "n", "yes"))
+    steps = {k: isotonic(score[kind == k], yes[kind == k], n[kind == k]) for k in KINDS if yes[kind == k].any()}
+    return Judge(trees, steps, lessons=int(sum(right.values()) + n.sum()))
 
 
 def spans(text: str, model: Judge) -> list[dict]:
     """Base spans and the candidates that the model accepts, by kind, then start."""
-    base = base_spans(text)
+    return all_spans([text], model)[0]
+
+
+def all_spans(texts: list[str], model: Judge) -> list[list[dict]]:
+    """The same for many texts, whose candidates are judged together."""
+    proposed = []
+    for text in texts:
+        base = base_spans(text)
+        known = set(base)
+        found = [c for c in dict.fromkeys(candidates(text)) if c not in known]
+        proposed.append((base, found, [features(text, *c) for c in found] if model.trees else []))
+    scores = iter(model.judge([c for _, found, _ in proposed for c in found], [x for _, _, rows in proposed for x in rows]))
+    return [chosen(base, found, [next(scores) for _ in found]) for base, found, _ in proposed]
+
+
+def chosen(base: list[tuple[str, int, int]], found: list[tuple[str, int, int]], scores: list[float]) -> list[dict]:
+    """Base spans and those of the candidates found that fit, best score first."""
     out = [{"kind": k, "start": a, "end": b, "score": 1.0, "base": True} for k, a, b in base]
-    known = set(base)
-    found = [c for c in dict.fromkeys(candidates(text)) if c not in known]
-    scores = model.judge(found, [features(text, *c) for c in found])
     taken = sorted((a, b, k, False) for k, a, b in base)
     for score, (kind, start, end) in sorted(zip(scores, found), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1][1], x[1][0])):
         if score >= 0 and fits(taken, kind, start, end):
@@ -284,7 +383,7 @@ def fits(taken: list[tuple], kind: str, start: int, end: int) -> bool:
 def mark(batches: Iterator[pa.RecordBatch], model: Judge) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("base", pa.bool_())]))
     for batch in blocks(batches, "text"):
-        found = [spans(text, model) for text in batch.column("text").to_pylist()]
+        found = all_spans(batch.column("text").to_pylist(), model)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
 
