@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc
+from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc, wordbpe
 from tickerloom.llm.arrays import Prefixes, edges, text_bytes
 from tickerloom.llm.components import components
 from tickerloom.llm.store import labelled_sample, ready
@@ -524,3 +524,24 @@ def test_the_labelled_sample_is_bounded(spark):
     docs = documents(spark, [(i % 5, words(3, i)) for i in range(50)])
     labels = spark.createDataFrame([(i, 1) for i in range(5)] * 3, "doc_id long, quality int")
     assert labelled_sample(docs, labels, "quality", 7).count() == 7
+
+
+def test_words_cut_at_signs_have_the_library_ids(monkeypatch):
+    """Stems and the signs after them, long words, special strings, and tables that are renewed often."""
+    monkeypatch.setattr(wordbpe, "_ENCODERS", {})
+    encode = wordbpe.encoder()
+    chance = random.Random(1)
+    some = ["a", "The", "é", "Ü", ".", "x.", "y,", " ", "  ", "\n", "\t", "<|endoftext|>", "<|", "|>", "a%%%", "it's.", "x'", "É.", "é!", "漢", "###", "1", "zz" * 40]
+    for name, least in (("MOST_WORDS", 50), ("MOST_IDS", 900), ("TOGETHER", 7)):
+        monkeypatch.setattr(wordbpe, name, least)
+    for _ in range(400):
+        texts = ["".join(chance.choice(some) for _ in range(chance.randint(0, 14))) for _ in range(chance.randint(1, 5))]
+        assert encode.ids(texts) == [encode.whole(t).astype("<u4").tobytes() for t in texts], texts
+    words = ["beach", "thé"] + [s + t for s in ("beach", "thé") for t in ("###", "$$$", "!!", ".***")]
+    monkeypatch.setattr(wordbpe, "_ENCODERS", {})
+    monkeypatch.setattr(wordbpe, "MOST_WORDS", 200_000)
+    encode, slow = wordbpe.encoder(), []
+    library = encode._encode
+    monkeypatch.setattr(encode, "_encode", lambda words, plain, others: slow.extend(words[i] for i in others) or library(words, plain, others))
+    encode.ids([" ".join(words)])
+    assert sorted(slow) == [b"!!", b"###", b"$$$", b".***"]

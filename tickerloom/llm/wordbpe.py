@@ -6,7 +6,8 @@ are those of its blank-separated words one after another, and a word met before
 encoded again.  Texts are cut at blanks and line feeds alone; other white space stays inside
 a word, where the tokenizer itself deals with it.  The tokenizer lower-cases, so A-Z is lower-cased
 first, but for texts with combining marks, which compose with small letters only, or with special strings.
-The tables of words are bounded; words met again outlive the others.
+A table numbers the words, and the ids of all its words lie in one array, from which those of the texts are taken by number.
+The tables are bounded; words met again outlive the others.
 """
 
 from __future__ import annotations
@@ -14,15 +15,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import chain, count, islice, repeat
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 MOST_WORDS = 200_000
+MOST_IDS = 16 * MOST_WORDS
 LONG_WORD = 64
+TOGETHER = 1 << 20  # words whose ids are taken at once
 # Small letters of the first two Unicode blocks: neither normalising nor cutting changes a word of these.
 PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+# Something that ends in a letter, and ASCII signs after it, which are a stretch of their own for the tokenizer; an apostrophe may not be, and '>' may end a special string.
+ENDED = re.compile(rb"(.*(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([!-&(-/:-=?@[-`{-~]+)", re.S)
 _ENCODERS: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -48,8 +55,7 @@ class Encoder:
         suffix = bare["model"].get("end_of_word_suffix") or ""
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.words, self.older = Words(), Words()
 
     def whole(self, text: str) -> np.ndarray:
         """The ids as the library gives them for the text in one piece."""
@@ -63,61 +69,110 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit numbers."""
         cut = [folded(t).replace(b"\n", b" ").split(b" ") for t in texts]
-        needed = set().union(*cut)
-        new = needed - self.words.keys()
-        if len(self.words) + len(new) > MOST_WORDS:
-            self.words, self.older = {}, self.words
-            new = needed
-        found = {w: ids for w in new if (ids := self.older.get(w)) is not None}
-        self.words.update(found)
-        new -= found.keys()
-        found = {b"": b""}
-        stems = {w[:-1]: w[-1:] for w in new if plain_end(w)}
-        for word, ids in self._encode({w for w in new if not plain_end(w)} | (stems.keys() - self.words.keys()) | {b".", b","}):
-            found[word] = ids
-        table = self.words
-        for word in new:
-            if word not in found:
-                stem = word[:-1]
-                found[word] = (found[stem] if stem in found else table[stem]) + found[word[-1:]]
-        if any(len(w) > LONG_WORD for w in found):
-            table.update((w, ids) for w, ids in found.items() if len(w) <= LONG_WORD)
-            table = table | found
-        else:
-            table.update(found)
-        return [b"".join(map(table.__getitem__, words)) for words in cut]
-
-    def _encode(self, words: Iterable[bytes]) -> Iterable[tuple[bytes, bytes]]:
-        """Encode many words as few texts.  Plain words end where a token ends a word, the others are told apart by the offsets."""
-        plain, others = [], []
-        for word in words:
-            (plain if PLAIN.fullmatch(word) else others).append(word)
+        ends = np.cumsum([0, *map(len, cut)])
+        if len(self.words.flat) > MOST_IDS:
+            self.words, self.older = Words(), Words()
+        elif len(self.words.number) > MOST_WORDS:
+            self.words, self.older = Words(), self.words
+        words = self.words
+        known = len(words.number)
+        numbers = np.fromiter(map(words.number.__getitem__, chain.from_iterable(cut)), np.int32, int(ends[-1]))
+        del cut
+        if len(words.number) > known:
+            self._add(list(islice(words.number, known, None)), known)
+        raw, at = words.bytes_of(numbers, ends)
+        for word in [w for w in islice(words.number, known, None) if len(w) > LONG_WORD]:
+            del words.number[word]
+        return [raw[a:z] for a, z in zip(at, at[1:])]
+
+    def _add(self, new: list[bytes], known: int) -> None:
+        """The ids of new words: those of the older table, those of a stem and what ends it, or those that the library gives."""
+        words, older = self.words, self.older
+        number, first = words.number, len(words.at) - 1
+        plain, others, ended, parts = [], [], [], []
+        there, before = older.places(new), 0
+        while before < len(new):  # stems may be new, too
+            for i in (np.flatnonzero(there[before:] < 0) + before).tolist():
+                word = new[i]
+                if PLAIN.fullmatch(word):
+                    plain.append(i)
+                elif end := ENDED.fullmatch(word):
+                    ended.append(i)
+                    parts.append((number[end[1]], number[end[2]]))
+                else:
+                    others.append(i)
+            before = len(new)
+            new += islice(number, known + before, None)
+            there = np.concatenate([there, older.places(new[before:])])
+        met = np.flatnonzero(there >= 0)
+        begin, size = np.zeros((len(new), 2), np.int64), np.zeros((len(new), 2), np.int64)
+        begin[met, 0], size[met, 0] = len(words.flat) + older.at[there[met]], older.at[there[met] + 1] - older.at[there[met]]
+        pool, base = [words.flat, older.flat], len(words.flat) + len(older.flat)
+        for here, ids, at in self._encode(new, plain, others):
+            begin[here, 0], size[here, 0] = base + at[:-1], np.diff(at)
+            pool.append(ids)
+            base += len(ids)
+        if ended:
+            parts = np.array(parts)
+            begin[ended] = np.concatenate([words.at[:-1], begin[:, 0]])[parts]
+            size[ended] = np.concatenate([np.diff(words.at), size[:, 0]])[parts]
+        words.flat = np.concatenate([words.flat, taken(np.concatenate(pool), begin.ravel(), size.ravel())])
+        words.at = np.concatenate([words.at, words.at[-1] + np.cumsum(size.sum(1))])
+
+    def _encode(self, words: list[bytes], plain: list[int], others: list[int]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Encode many words as few texts: places of words, their ids one after another, and where each word's begin.
+
+        Plain words end where a token ends a word, the others are told apart by the offsets.
+        """
         for part in (plain[i:i + 20_000] for i in range(0, len(plain), 20_000)):
-            got = self.bare.encode_batch_fast([b" ".join(part[i:i + 500]).decode() for i in range(0, len(part), 500)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, "<u4") for e in got])
+            texts = [b" ".join([words[k] for k in part[i:i + 500]]).decode() for i in range(0, len(part), 500)]
+            got = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in got), "<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(part) and at[-1] == len(ids):
-                yield from slices(part, ids, np.append(0, at))
+                yield part, ids, np.append(0, at)
             else:
-                others += part
+                others = others + part
         for part in (others[i:i + 500] for i in range(0, len(others), 500)):
-            text = b" ".join(part).decode()
+            text = b" ".join([words[k] for k in part]).decode()
             got = self.tokenizer.encode(text, add_special_tokens=False)
             begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got))
             ends = np.cumsum([len(w) + 1 for w in text.split(" ")])
-            yield from slices(part, np.array(got.ids, "<u4"), np.append(0, np.searchsorted(begins, ends)))
+            yield part, np.array(got.ids, "<u4"), np.append(0, np.searchsorted(begins, ends))
 
 
-def slices(words: list[bytes], ids: np.ndarray, at: np.ndarray) -> Iterable[tuple[bytes, bytes]]:
-    raw, at = ids.tobytes(), (4 * at).tolist()
-    return ((word, raw[a:z]) for word, a, z in zip(words, at, at[1:]))
+class Words:
+    """Numbered words; the ids of word ``n`` are ``flat[at[n]:at[n + 1]]``.  A word that is looked up gets a number; its ids must be added then."""
+
+    def __init__(self):
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.flat, self.at = np.zeros(0, "<u4"), np.zeros(2, np.int64)
+        self.number[b""]
+
+    def places(self, words: list[bytes]) -> np.ndarray:
+        """The words' numbers, -1 for those that have none."""
+        return np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+
+    def bytes_of(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[bytes, list[int]]:
+        """The ids of all words, and in bytes where those up to each of ``ends`` end."""
+        sizes = np.diff(self.at)
+        raw, before, place = [], 0, np.zeros(len(ends), np.int64)
+        for k in range(0, len(numbers), TOGETHER):
+            some = numbers[k:k + TOGETHER]
+            size = sizes[some]
+            upto = before + np.append(0, np.cumsum(size))
+            mine = slice(*np.searchsorted(ends, [k, k + len(some) + 1]))
+            place[mine] = upto[ends[mine] - k]
+            raw.append(taken(self.flat, self.at[some], size).tobytes())
+            before = upto[-1]
+        return b"".join(raw) if len(raw) != 1 else raw[0], (4 * place).tolist()
+
+
+def taken(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after another."""
+    return flat[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
 def folded(text: str) -> bytes:
     raw = text.encode()
     return raw if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw else raw.lower()
-
-
-def plain_end(word: bytes) -> bool:
-    """Whether a word is something after a small letter and one stop or comma, which is a token of its own."""
-    return len(word) > 1 and word[-1] in b".," and 0x61 <= word[-2] <= 0x7A
