@@ -545,3 +545,15 @@ def test_words_cut_at_signs_have_the_library_ids(monkeypatch):
     monkeypatch.setattr(encode, "_encode", lambda words, plain, others: slow.extend(words[i] for i in others) or library(words, plain, others))
     encode.ids([" ".join(words)])
     assert sorted(slow) == [b"!!", b"###", b"$$$", b".***"]
+
+
+def test_terms_of_a_word_are_looked_up_once(monkeypatch):
+    """A word's beginnings are hashed for each distinct word, and the counts are those of a plain count."""
+    made = []
+    monkeypatch.setattr(toxicity, "mix", lambda x, mix=toxicity.mix: made.append(len(x)) or mix(x))
+    found, doc, place, times = toxicity.term_counts(pa.array(["Grobian grobian, grob", "", "a grobian gro grobianen " * 50]))
+    assert made == [2, 2, 2]
+    want = {(0, "grobian"): 2, (0, "grob"): 1, (2, "a"): 50, (2, "grobian"): 50, (2, "gro"): 50, (2, "grobianen"): 50}
+    want |= {(d, f"{w}-"): n for d, n in ((0, 2), (2, 100)) for w in ("grob", "grobi", "grobia")}
+    assert sorted(zip(doc.tolist(), times.tolist())) == sorted((d, n) for (d, _), n in want.items())
+    assert len(found) == len({t for _, t in want}) and (np.diff(doc) >= 0).all() and len(place) == len(want)

@@ -38,26 +38,29 @@ BEGINNINGS = (4, 5, 6)
 INSIDE = np.isin(np.arange(256), [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Signed hashes of all terms of all texts, and the text of each."""
+def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct terms (signed hashes) of all texts, and (text, number of the term, times) of each term of a text, sorted.
+
+    The beginnings of a word are looked up once, however often it stands there.
+    """
     raw, at = text_bytes(column)
     low = LOWER[raw]
     begin, end = edges(INSIDE[low], at)
     table = Prefixes(low)
     doc = np.searchsorted(at, begin, "right") - 1
-    hashes, docs = [table.of(begin, end)], [doc]
+    words, first, word = np.unique(table.of(begin, end), return_index=True, return_inverse=True)
+    begin, end = begin[first], end[first]
+    hashes, owners = [words], [np.arange(len(words))]
     for n in BEGINNINGS:
-        long = end - begin > n
+        long = np.flatnonzero(end - begin > n)
         hashes.append(mix(table.of(begin[long], begin[long] + n) + STEP))
-        docs.append(doc[long])
-    return signed(np.concatenate(hashes)), np.concatenate(docs)
-
-
-def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct terms of all texts, and (text, number of the term, times) of each term of a text, sorted."""
-    hashes, doc = terms(column)
-    found, place = np.unique(hashes, return_inverse=True)
-    cell, times = np.unique(doc * len(found) + place, return_counts=True)
+        owners.append(long)
+    found, place = np.unique(signed(np.concatenate(hashes)), return_inverse=True)
+    number = np.full((len(owners), len(words)), -1)
+    for row, owner, some in zip(number, owners, np.split(place, np.cumsum([*map(len, owners)])[:-1])):
+        row[owner] = some
+    terms = number[:, word]
+    cell, times = np.unique((doc * len(found) + terms)[terms >= 0], return_counts=True)
     return found, cell // max(len(found), 1), cell % max(len(found), 1), times
 
 
