@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.llm import contamination, fingerprints, language, line_dedup, near_duplicates, packing, quality, token_counts, toxicity, warc, wordbpe
-from tickerloom.llm.arrays import Prefixes, edges, text_bytes
+from tickerloom.llm.arrays import Prefixes, edges, lists, text_bytes
 from tickerloom.llm.components import components
 from tickerloom.llm.store import labelled_sample, ready
 from tickerloom.llm.wordbpe import encoder
@@ -88,6 +89,48 @@ def test_nearest_examples_are_exact(monkeypatch):
         assert bank.read < 0.9 * bank.bounded  # the bounds leave blocks unread
 
 
+def test_light_terms_are_read_for_few_examples(monkeypatch):
+    """The lists that weigh little are read only for examples that can be near, and copies of an example tie exactly, in the order of their places."""
+    chance = np.random.default_rng(4)
+    n, terms = 600, 400
+    part = (chance.random((n, terms)) < 0.2) * chance.random((n, terms)) * np.where(np.arange(terms) < 40, 1.0, 0.1)
+    part[:3] = 0
+    part[2, 399] = 1  # shares light terms alone
+    part /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
+    dense = np.concatenate([part, part, part]).astype(np.float32).astype(float)
+    doc, term = np.nonzero(dense)
+    at = np.searchsorted(doc, np.arange(len(dense) + 1))
+    monkeypatch.setattr(toxicity, "DENSE", 380)
+    monkeypatch.setattr(toxicity, "HEAVY", 40)
+    bank = toxicity.Bank(at, term, dense[doc, term], np.zeros(len(dense)), np.arange(len(dense)), chance.integers(0, 2**40, len(dense)), terms, np.arange(len(dense)))
+    assert bank.heavy.shape[1] == 40 and bank.light.shape[1] == 340 and len(bank.entry) > 0
+    asked = []
+    monkeypatch.setattr(toxicity, "cosines", lambda w, rows, *more, cosines=toxicity.cosines: asked.append(len(rows)) or cosines(w, rows, *more))
+    for i, (best, scores) in enumerate(bank.all_nearest(at, term, dense[doc, term], 15)):
+        every = dense @ dense[i]
+        expected = np.sort(every[every > 1e-12])[::-1][:15]
+        assert np.allclose(scores, expected, atol=1e-9) and np.allclose(every[bank.ids[best]], scores, atol=1e-9)
+        assert all(a < b for a, b, x, y in zip(best, best[1:], bank.ids[best] % n, bank.ids[best[1:]] % n) if x == y)
+        assert all(s == t for s, t, x, y in zip(scores, scores[1:], bank.ids[best] % n, bank.ids[best[1:]] % n) if x == y)
+    assert np.mean(asked) < 0.2 * len(dense)
+
+
+def test_opening_the_index_lets_its_source_go(tmp_path):
+    """An opened index holds the lists and blocks alone, and a new one takes the place of the old one before it is read."""
+    n, size = 3000, 400
+    at = np.arange(n + 1) * size
+    terms = np.random.default_rng(5).integers(0, 50_000, n * size).astype(np.int32)
+    one = pa.array(np.arange(n))
+    (tmp_path / "a").mkdir()
+    pq.write_table(pa.table({"doc_id": one, "label": one, "hash": one, "number": one, "terms": lists(terms, at), "weights": lists(np.full(n * size, 0.05, np.float32), at)}), tmp_path / "a" / "x.parquet")
+    before = pa.total_allocated_bytes()
+    toxicity.Examples((tmp_path / "a").as_uri(), 50_000, 0.5).open()
+    assert pa.total_allocated_bytes() - before < 1_000_000
+    with pytest.raises(FileNotFoundError):
+        toxicity.Examples((tmp_path / "none").as_uri(), 50_000, 0.5).open()
+    assert not toxicity._OPENED
+
+
 def test_toxicity_equals_a_plain_search(spark):
     rows = [(i, words(12 + i % 30, i) + (" grobian" if i % 6 == 0 else "")) for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(0, 300, 2)], "doc_id long, toxic int")

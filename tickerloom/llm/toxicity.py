@@ -5,7 +5,9 @@ weighs in: those of a bounded sample of labelled rows make the vocabulary, with
 all documents, and a term that no example has counts in the length of a text's vector.  A weight grows with how
 far the term leans towards label 1 in the sample, but no term is dropped.  The sample is the bank of examples, an
 inverted index: lists of the commonest terms are stored in blocks with their largest weights, and a block that can't
-hold a nearer example than those found is not read; the other lists are short and read whole.  The result is exact.  Neighbours
+hold a nearer example than those found is not read; the other lists are short and read whole.  In the blocks that are read the
+lists that weigh most come first, and the others only for examples that can still be near by the length of what they leave.
+The result is exact.  Neighbours
 vote with weights that fall with their distance, and a monotone curve fitted by leaving each example out
 turns votes into probabilities.
 """
@@ -29,6 +31,7 @@ SAMPLE = 12_000
 SAMPLE_BYTES = 100_000
 NEIGHBOURS = 15
 DENSE = 2048
+HEAVY = 768  # of those lists
 ALIKE = 64
 BLOCK = 64  # examples
 FIRST = 2  # blocks that are read before the bounds decide
@@ -48,8 +51,10 @@ def term_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     begin, end = edges(INSIDE[low], at)
     table = Prefixes(low)
     doc = np.searchsorted(at, begin, "right") - 1
-    words, first, word = np.unique(table.of(begin, end), return_index=True, return_inverse=True)
-    begin, end = begin[first], end[first]
+    words, word = np.unique(table.of(begin, end), return_inverse=True)
+    some = np.empty(len(words), np.int64)
+    some[word] = np.arange(len(word))
+    begin, end = begin[some], end[some]
     hashes, owners = [words], [np.arange(len(words))]
     for n in BEGINNINGS:
         long = np.flatnonzero(end - begin > n)
@@ -107,6 +112,14 @@ class Vocabulary:
         return np.searchsorted(doc, np.arange(len(column) + 1)), term, weight / norm[doc]
 
 
+def stretches(begins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The places of stretches of an array, one stretch after another."""
+    ends = np.cumsum(counts)
+    places = np.repeat(begins - ends + counts, counts)
+    places += np.arange(len(places))
+    return places
+
+
 def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     counts, rows = np.zeros(len(vocabulary.hashes) + 1, np.int64), 0
     for part in blocks(batches, "text"):
@@ -117,24 +130,33 @@ def document_counts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -
     yield pa.RecordBatch.from_pydict({"term": np.append(some, -1).astype(np.int32), "n": np.append(counts[1:][some], rows).astype(np.int64)})
 
 
+def cosines(weights: np.ndarray, rows: np.ndarray, columns: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Products of some rows with a query that has only some columns, each summed in the same order."""
+    return (weights.ravel().take(rows[:, None] * weights.shape[1] + columns) * query).sum(1)
+
+
 class Bank:
     """Labelled examples as an inverted index.
 
     Alike examples stand next to each other, in blocks of BLOCK.  The longest lists, those of the terms that stand in the most
-    examples, are kept block by block with the largest weight of each block; of such a block nothing is read when that bound, together with
-    the other terms, can't reach the neighbours found so far.  Neither ids nor labels choose between equal cosines, but hashes of the texts.
+    examples, have the largest weight of each block; of a block nothing is read when that bound, together with
+    the other terms, can't reach the neighbours found so far.  Of the blocks that are read, the lists that weigh most (heavy) are read whole.
+    Of the others (light) each example has the length of that part of its vector: by Cauchy and Schwarz it bounds what the light terms add, and they are
+    read only for an example that can still be among the nearest.  Neither ids nor labels choose between equal cosines, but hashes of the texts.
     """
 
     def __init__(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, labels: np.ndarray, ids: np.ndarray, hashes: np.ndarray, n_terms: int, number: np.ndarray | None = None):
         self.n = n = len(labels)
         counts = np.bincount(term, minlength=n_terms)
         columns = np.argsort(-counts, kind="stable")[:DENSE]
-        self.column = np.full(max(n_terms, 1), -1)
+        self.column = np.full(max(n_terms, 1), -1, np.int32)
         self.column[columns] = np.arange(len(columns))
         row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
-        often = self.column[term] >= 0
+        often = (self.column >= 0)[term]
+        rare_term, rare_row, rare_weight = (x[~often] for x in (term, row, weight))
+        term, row, weight = term[often], row[often], weight[often].astype(np.float32)
         # The commonest terms tell languages and kinds of text apart.
-        most = often & (self.column[term] < ALIKE)
+        most = self.column[term] < ALIKE
         rough = np.zeros((n, ALIKE), np.float32)
         rough[row[most], self.column[term[most]]] = weight[most]
         order = np.lexsort((labels, hashes, rough.argmax(1) if n else np.zeros(0)))
@@ -142,46 +164,61 @@ class Bank:
         place[order] = np.arange(n, dtype=np.int32)
         self.labels, self.ids = labels[order], ids[order]
         self.place = {int(k): int(v) for k, v in zip(number, place)} if number is not None else {}
-        by_term = np.argsort(term[~often], kind="stable")
+        self.groups = -(-n // BLOCK)
+        mass = np.bincount(self.column[term], weight.astype(float) ** 2, len(columns))
+        columns = columns[np.argsort(-mass, kind="stable")]
+        self.column[columns] = np.arange(len(columns))
+        there, column = place[row], self.column[term]
+        self.largest = np.zeros((len(columns), self.groups), np.float32)
+        np.maximum.at(self.largest, (column, there // BLOCK), weight)
+        self.heavy, self.light = (np.zeros((self.groups * BLOCK, len(part)), np.float32) for part in np.split(columns, [HEAVY]))
+        heavy = column < HEAVY
+        self.heavy[there[heavy], column[heavy]] = weight[heavy]
+        self.light[there[~heavy], column[~heavy] - HEAVY] = weight[~heavy]
+        self.light_length = np.sqrt(np.bincount(there[~heavy], weight[~heavy].astype(float) ** 2, self.groups * BLOCK)).astype(np.float32)
+        del term, row, weight, there, column, heavy, most, often, rough
+        self.term_at = np.concatenate([[0], np.cumsum(np.bincount(rare_term, minlength=n_terms))])
+        by_term = np.argsort(rare_term, kind="stable")
+        del rare_term
         # An entry is a number and a weight side by side, so that a list is read once.
         self.entry = np.empty((len(by_term), 2), np.int32)
-        self.entry[:, 0] = place[row[~often]][by_term]
-        self.entry[:, 1] = weight[~often][by_term].astype(np.float32).view(np.int32)
+        self.entry[:, 0] = place[rare_row[by_term]]
+        self.entry[:, 1] = rare_weight[by_term].astype(np.float32).view(np.int32)
         self.entry = self.entry.view(np.int64).ravel()
-        self.term_at = np.concatenate([[0], np.cumsum(np.bincount(term[~often], minlength=n_terms))])
-        self.groups = -(-n // BLOCK)
-        self.blocks = np.zeros((self.groups, len(columns), BLOCK), np.float32)
-        there = place[row[often]]
-        self.blocks[there // BLOCK, self.column[term[often]], there % BLOCK] = weight[often]
-        self.largest = np.ascontiguousarray(self.blocks.max(2).T) if n else np.zeros((len(columns), 0), np.float32)
         self.read = self.bounded = 0
 
+    def rest(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the terms that have short lists add to the cosine with each example."""
+        begins = self.term_at[term]
+        counts = self.term_at[term + 1] - begins
+        entry = self.entry[stretches(begins, counts)]
+        factor = np.repeat(weight, counts)
+        factor *= entry.view(np.float32)[1::2]
+        return np.bincount(entry.view(np.int32)[0::2], factor, self.groups * BLOCK)
+
     def all_nearest(self, at: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of the texts the ``k`` examples with the largest cosine above 0, ties by their place in the bank."""
+        heavy = self.heavy.shape[1]
         for first in range(0, len(at) - 1, TOGETHER):
             last = min(first + TOGETHER, len(at) - 1)
             if not self.n:
                 yield from [(np.zeros(0, np.int64), np.zeros(0))] * (last - first)
                 continue
-            begin = at[first]
+            mine = slice(at[first], at[last])
             doc = np.repeat(np.arange(last - first), np.diff(at[first:last + 1]))
-            here, some = self.column[term[begin:at[last]]], weight[begin:at[last]]
+            here = self.column[term[mine]]
             often = here >= 0
-            query = np.zeros((last - first, len(self.largest)), np.float32)
-            query[doc[often], here[often]] = some[often]
-            rest = np.zeros((last - first, self.groups * BLOCK))
-            for i in range(first, last):
-                mine = slice(at[i], at[i + 1])
-                rare = here[at[i] - begin:at[i + 1] - begin] < 0
-                asked = term[mine][rare]
-                begins, ends = self.term_at[asked], self.term_at[asked + 1]
-                cuts = list(map(slice, begins.tolist(), ends.tolist()))
-                if cuts:
-                    entry = np.concatenate([self.entry[c] for c in cuts])
-                    factor = np.repeat(weight[mine][rare], ends - begins) * entry.view(np.float32)[1::2]
-                    rest[i - first] = np.bincount(entry.view(np.int32)[0::2], factor, rest.shape[1])
-            bound = query @ self.largest + rest.reshape(last - first, self.groups, BLOCK).max(2)
-            sums = np.full(rest.shape, -1.0)
+            exact = np.zeros((last - first, len(self.largest)))
+            exact[doc[often], here[often]] = weight[mine][often]
+            query = exact.astype(np.float32)
+            length = np.sqrt((query[:, heavy:] ** 2).sum(1))
+            asked, factor, rare_at = term[mine][~often], weight[mine][~often], np.searchsorted(doc[~often], np.arange(last - first + 1))
+            rest = np.array([self.rest(asked[a:b], factor[a:b]) for a, b in zip(rare_at[:-1], rare_at[1:])])
+            bound = query[:, :heavy] @ self.largest[:heavy] + rest.reshape(last - first, self.groups, BLOCK).max(2)
+            bound += np.minimum(query[:, heavy:] @ self.largest[heavy:], length[:, None] * self.light_length.reshape(self.groups, BLOCK).max(1))
+            # Sums without the light terms, which are lower bounds.
+            sums = np.full(rest.shape, -9.0, np.float32)
+            front, others = np.ascontiguousarray(query[:, :heavy]), rest.astype(np.float32)
             least = np.zeros(last - first)
             open_blocks = np.zeros(bound.shape, bool)
             likely = np.argsort(-bound, axis=1)[:, :FIRST]
@@ -191,27 +228,33 @@ class Bank:
                 for b in np.flatnonzero(open_blocks.any(0)):
                     asking = np.flatnonzero(open_blocks[:, b])
                     here_at = slice(b * BLOCK, (b + 1) * BLOCK)
-                    sums[asking, here_at] = query[asking] @ self.blocks[b] + rest[asking, here_at]
+                    sums[asking, here_at] = front[asking] @ self.heavy[here_at].T + others[asking, here_at]
                 done |= open_blocks
                 if without is not None:
-                    sums[np.arange(last - first), without[first:last]] = -1.0
+                    sums[np.arange(last - first), without[first:last]] = -9.0
                 if turn == 0:
                     seen = np.take_along_axis(sums.reshape(bound.shape + (BLOCK,)), likely[:, :, None], 1).reshape(last - first, -1)
                     least = np.maximum(np.partition(seen, max(seen.shape[1] - k, 0), axis=1)[:, max(seen.shape[1] - k, 0)], 0) if seen.shape[1] >= k else least
                     open_blocks = (bound >= least[:, None] - 1e-4) & (bound > 0) & ~done
             self.read += int(done.sum())
             self.bounded += done.size
-            for i in range(first, last):
-                mine = sums[i - first]
+            for i, mine in enumerate(sums):
                 # Single precision chooses with some to spare, double precision decides.
-                best = np.flatnonzero(mine > max(least[i - first] - 1e-4, 0))
+                floor, above = least[i], mine[mine > least[i]]
+                if len(above) > k:
+                    floor = np.partition(above, len(above) - k)[len(above) - k]
+                best = np.flatnonzero(mine + length[i] * self.light_length > max(floor - 1e-4, 0))
+                own = heavy + np.flatnonzero(query[i, heavy:])
+                light = cosines(self.light, best, own - heavy, exact[i, own])
+                total = mine[best] + light
+                near = total > 0
                 if len(best) > k:
-                    best = best[mine[best] >= np.partition(mine[best], len(best) - k)[len(best) - k] - 1e-4]
-                own = here[at[i] - begin:at[i + 1] - begin]
-                column = own[own >= 0]
-                exact = rest[i - first][best] + weight[at[i]:at[i + 1]][own >= 0] @ self.blocks[(best // BLOCK)[None, :], column[:, None], (best % BLOCK)[None, :]].astype(float)
-                top = np.lexsort((best, -exact))[:k]
-                yield best[top], exact[top]
+                    near &= total >= np.partition(total, len(best) - k)[len(best) - k] - 1e-4
+                best = best[near]
+                own = np.flatnonzero(query[i, :heavy])
+                total = rest[i][best] + light[near] + cosines(self.heavy, best, own, exact[i, own])
+                top = np.lexsort((best, -total))[:k]
+                yield best[top], total[top]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The same for one text."""
@@ -234,14 +277,17 @@ class Examples:
     def open(self) -> Bank:
         """The bank, made from the stored vectors once in a worker."""
         if self.path not in _OPENED:
+            _OPENED.clear()
             where, root = pafs.FileSystem.from_uri(self.path)
             stored = pq.read_table(root, filesystem=where, columns=["doc_id", "label", "hash", "number", "terms", "weights"])
             sizes = pc.list_value_length(stored.column("terms")).to_numpy()
             at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
             term, weight = (pc.list_flatten(stored.column(c)).to_numpy() for c in ("terms", "weights"))
-            ids = stored.column("doc_id").fill_null(-1).to_numpy()
-            _OPENED.clear()
-            _OPENED[self.path] = Bank(at, term, weight, stored.column("label").to_numpy().astype(float), ids, stored.column("hash").to_numpy(), self.n_terms, stored.column("number").to_numpy())
+            ids, label, hashes, number = (stored.column(c).fill_null(-1).to_numpy() for c in ("doc_id", "label", "hash", "number"))
+            # The index is made from copies of what it needs, so the table's memory can go.
+            del stored
+            pa.default_memory_pool().release_unused()
+            _OPENED[self.path] = Bank(at, term, weight, label.astype(float), ids, hashes, self.n_terms, number)
         return _OPENED[self.path]
 
     def vote(self, labels: np.ndarray, scores: np.ndarray) -> float:
