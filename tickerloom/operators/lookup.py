@@ -54,13 +54,24 @@ def lookup_join(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"{how}: every row of the result must belong to a row of facts")
     lookup = settle(lookup)
-    if measured_bytes(lookup) <= max_bytes:
+    return _joined(facts, lookup, on, how, measured_bytes(lookup) <= max_bytes)
+
+
+def _joined(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, small: bool) -> DataFrame:
+    if small:
         return facts.join(F.broadcast(lookup), list(on), how)
     if splits_large_partitions(facts):
         return facts.join(lookup, list(on), how)
     return skew_join(facts, lookup, on, how)
 
 
+def split_by(facts: DataFrame, lookup: DataFrame, on: Sequence[str], max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``facts`` that have their key in ``lookup``, and the others.  ``lookup`` is computed once and measured first."""
+    lookup = settle(lookup)
+    small = measured_bytes(lookup) <= max_bytes
+    return _joined(facts, lookup, on, "left_semi", small), _joined(facts, lookup, on, "left_anti", small)
+
+
 def _spread(df: DataFrame, pieces: Column) -> Column:
     """Number of the piece a row belongs to, the same on every attempt of a task.
 

@@ -10,14 +10,15 @@ unnesting, which otherwise would read it once per part and carry the message alo
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom import names
 from tickerloom.functions.clock import from_epoch_ms
 from tickerloom.functions.payload import at, key_path, to_text, with_payload
-from tickerloom.operators.dedup import keep_any, keep_latest
-from tickerloom.operators.lookup import lookup_join
+from tickerloom.operators.dedup import KEY, keep_any, keep_latest, split_copies
+from tickerloom.operators.lookup import lookup_join, split_by
 
 
 TRADE_KEYS = ["stock_ticker", "event_timestamp", "trade_price", "trade_volume"]
@@ -154,12 +155,10 @@ def places(articles: DataFrame) -> DataFrame:
     return texts.select("article_uuid", VERSION, F.row_number().over(greatest).alias("_place"))
 
 
-def one_entity(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-    """One row per article and entity of :func:`parse_articles`: the newest, a missing time counting as newest.
+def _told_apart(articles: DataFrame, also: Sequence[str]) -> DataFrame:
+    """One row per article and entity where an article may have several versions.
 
-    Rows of one time are told apart by their score, then the article's texts, then their name.  Entities are reduced without these
-    texts, of which each version of an article is shuffled once, however many entities it lists.  ``also`` names
-    columns that follow from the article's id.
+    Entities are reduced without their articles' texts, of which each version of an article is shuffled once, however many entities it lists.
     """
     entities = lookup_join(listed_entities(articles, also), places(articles), ["article_uuid", VERSION], "left")
     newest = Window.partitionBy(*ENTITY_KEYS).orderBy(
@@ -167,8 +166,41 @@ def one_entity(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
         F.col("_place").asc(), F.col("entity_name").desc_nulls_first())
     kept = entities.withColumn("_rank", F.row_number().over(newest)).filter("_rank = 1").drop("_rank", "_place")
     texts = articles.select(*also, "article_uuid", VERSION, *ARTICLE_TEXTS).dropDuplicates([*also, "article_uuid", VERSION])
-    return kept.join(texts, [*also, "article_uuid", VERSION]).select(
-        "article_uuid", "entity_ticker", "sentiment_score", *ARTICLE_TEXTS, "published_timestamp", "entity_name", *also)
+    return kept.join(texts, [*also, "article_uuid", VERSION])
+
+
+def _of_one_list(articles: DataFrame) -> DataFrame:
+    """One row per article and entity where each article is one row: its list is reduced where it is."""
+    def in_order(entity: Column) -> Column:
+        fields = ["sentiment_score", "entity_name"]
+        return F.struct(entity["entity_ticker"].alias("entity_ticker"),
+                        *[x for f in fields for x in (entity[f].isNull().alias(f"{f}_missing"), entity[f].alias(f))])
+
+    def first_of_ticker(entity: Column, i: Column) -> Column:
+        return (i == 0) | ~entity["entity_ticker"].eqNullSafe(F.get("_greatest", i - 1)["entity_ticker"])
+
+    greatest = articles.withColumn("_greatest", F.sort_array(F.transform("entities", in_order), asc=False))
+    listed = greatest.withColumn("_entity", F.explode(F.filter("_greatest", first_of_ticker)))
+    return listed.withColumns({f: F.col("_entity")[f] for f in ("entity_ticker", "sentiment_score", "entity_name")})
+
+
+def one_entity(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One row per article and entity of :func:`parse_articles`: the newest, a missing time counting as newest.
+
+    Rows of one time are told apart by their score, then the article's texts, then their name.  An article that came once is
+    neither shuffled nor sorted with others; of one that came again without a change one copy is shuffled.  Only where
+    versions differ are entities of an article compared across messages.  ``also`` names columns that follow from the article's id.
+    """
+    copies, alone = split_copies(articles, ["article_uuid"])
+    said = F.xxhash64(VERSION, to_text(F.struct("entities")))
+    numbered = copies.withColumn(KEY, F.xxhash64("article_uuid"))
+    differing = (numbered.groupBy(KEY).agg(F.min(said).alias("_low"), F.max(said).alias("_high"))
+                 .filter("_low <> _high").select(KEY))
+    edited, repeated = split_by(numbered, differing, [KEY])
+    lists = [repeated.drop(KEY).dropDuplicates(["article_uuid"]), *([] if alone is None else [alone])]
+    rows = [_of_one_list(some) for some in lists] + [_told_apart(edited.drop(KEY), also)]
+    columns = ["article_uuid", "entity_ticker", "sentiment_score", *ARTICLE_TEXTS, "published_timestamp", "entity_name", *also]
+    return reduce(DataFrame.unionByName, [some.select(*columns) for some in rows])
 
 
 def parse_entity_news(raw: DataFrame) -> DataFrame:
