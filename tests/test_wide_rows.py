@@ -1,21 +1,19 @@
 """Wide rows whose key came once stay where they are."""
 
 import random
+import re
 
 from tests.helpers import raw, rows
-from tickerloom.operators.dedup import keep_latest
+from tickerloom.operators.dedup import keep_latest, keep_latest_wide
 from tickerloom.plans import staging
 from tests.test_news import messages
 
 
-def final_plan(df):
-    """What ran, without the branches that turned out to be empty."""
+def shuffled(df):
+    """What the exchanges that ran with rows read; a branch that turned out to be empty reads nothing."""
     df.collect()
-    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-
-
-def shuffled_texts(df):
-    return [line for line in final_plan(df).splitlines() if "Exchange" in line or "Sort" in line]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return [below for below in re.split(r"Exchange|Sort ", plan)[1:] if re.match(r"(?s)((?!EmptyRelation|<empty>).)*Scan Exist", below)]
 
 
 def articles(n):
@@ -28,7 +26,7 @@ def articles(n):
 
 def test_articles_that_came_once_are_not_shuffled(spark):
     given = raw(spark, *articles(60)).repartition(4).checkpoint()
-    assert shuffled_texts(staging.entity_news(given)) == []
+    assert shuffled(staging.entity_news(given)) == []
 
 
 def test_once_again_and_edited(spark):
@@ -41,3 +39,25 @@ def test_once_again_and_edited(spark):
     expected = rows(keep_latest(staging.parse_entity_news(given), staging.ENTITY_KEYS, ["published_timestamp"]))
     assert sorted(map(repr, rows(staging.entity_news(given)))) == sorted(map(repr, expected))
     assert {("m", None), ("m", "A")} <= {r[:2] for r in expected}
+
+
+def headline_rows(n, others):
+    chance = random.Random(7)
+    for i in range(n):
+        yield {"title": f"t{i}", "publishedAt": chance.choice(["2024-01-01T00:00:00Z", None]), "description": "d" * 50}
+    for _ in range(others):
+        yield {"title": chance.choice(["a", "b", "t1"]), "publishedAt": chance.choice(["2024-01-01T00:00:00Z", "2024-01-02T00:00:00Z", None]),
+               "description": chance.choice(["x", "y", None]), "author": chance.choice(["p", None])}
+
+
+def test_headlines_that_came_once_are_not_shuffled(spark):
+    given = raw(spark, *headline_rows(60, 0)).repartition(4).checkpoint()
+    assert shuffled(staging.headlines(given)) == []
+
+
+def test_headlines_equal_the_latest_whole_rows(spark):
+    """Also those without a time, and where too many keys have copies to tell them apart."""
+    parsed = staging.parse_headlines(raw(spark, *headline_rows(40, 60)).repartition(4).checkpoint())
+    expected = sorted(map(repr, rows(keep_latest(parsed, staging.HEADLINE_KEYS, []))))
+    assert sorted(map(repr, rows(staging.one_headline(parsed)))) == expected and len(expected) > 45
+    assert sorted(map(repr, rows(keep_latest_wide(parsed, staging.HEADLINE_KEYS, [], max_bytes=0)))) == expected

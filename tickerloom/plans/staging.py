@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickerloom import names
 from tickerloom.functions.clock import from_epoch_ms
 from tickerloom.functions.payload import at, key_path, to_text, with_payload
-from tickerloom.operators.dedup import KEY, keep_any, keep_latest, split_copies
+from tickerloom.operators.dedup import KEY, keep_any, keep_latest, keep_latest_wide, split_copies
 from tickerloom.operators.lookup import lookup_join, split_by
 
 
@@ -41,7 +41,7 @@ def one_bar(rows: DataFrame) -> DataFrame:
 
 
 def one_headline(rows: DataFrame) -> DataFrame:
-    return keep_latest(rows, HEADLINE_KEYS, [])
+    return keep_latest_wide(rows, HEADLINE_KEYS, [])
 
 
 def _payload(raw: DataFrame) -> DataFrame:
