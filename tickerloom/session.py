@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,6 +53,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Jobs within delete their shuffle files when they end, not whenever the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, on reliable shared storage, and go on from the result."""
     shared_dir(df.sparkSession)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickerloom import names
 from tickerloom.functions.payload import with_payload
-from tickerloom.sources.versions import Files
+from tickerloom.session import lean
+from tickerloom.sources.versions import FILES, Files
 
 UNREADABLE = "unreadable"
 STORED = ("raw_payload variant, unreadable_text string, "
@@ -52,9 +53,10 @@ def append_batch(messages: DataFrame, root: str, batch: int | str) -> None:
     Rows of a table and day are brought together before they are written, so that a batch makes
     few files; adaptive execution cuts a table and day that is larger than its target size.
     """
-    (raw_rows(messages).withColumn("batch", F.lit(str(batch))).hint("rebalance", "bronze_table", "ingest_date")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bronze_table", "ingest_date", "batch").parquet(root))
+    with lean(messages.sparkSession):
+        (raw_rows(messages).withColumn("batch", F.lit(str(batch))).hint("rebalance", "bronze_table", "ingest_date")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").options(**FILES)
+         .partitionBy("bronze_table", "ingest_date", "batch").parquet(root))
 
 
 def _stored(spark: SparkSession, root: str, table: str) -> DataFrame:

@@ -14,8 +14,13 @@ from tickerloom.sources.versions import Versions
 
 
 class Tables:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark = spark
+    """``keep`` is the number of versions that stay of a replaced table; without it all stay until they are vacuumed.
+
+    A reader of a version that goes fails, so where others read while tables are replaced, enough are to be kept.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keep: int | None = None):
+        self.spark, self.keep = spark, keep
         self.root = root.rstrip("/")
 
     def path(self, name: str) -> str:
@@ -42,11 +47,21 @@ class Tables:
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Full refresh.  Readers see the old rows until all new ones are there; of two writers at once the later one fails."""
-        return self.versions(name).replace(df)
+        stored = self.versions(name).replace(df)
+        self.tidy(name)
+        return stored
+
+    def tidy(self, name: str) -> None:
+        """Delete the versions of a table that are not to stay."""
+        if self.keep:
+            self.versions(name).vacuum(self.keep, strays=False)
 
-    def replace_parts(self, name: str, df: DataFrame, parts: Iterable[str], *more: DataFrame, gather: bool = True) -> None:
-        """Refresh of the named parts alone; ``df`` and ``more`` have theirs in the column ``_part``, no part in two of them."""
-        self.versions(name).replace_parts(df, parts, None, *more, gather=gather)
+    def replace_parts(self, name: str, df: DataFrame, parts: Iterable[str] | None = None, *more: DataFrame, gather: bool = True,
+                      each: Iterable[tuple[str, DataFrame]] = ()) -> list[str]:
+        """Refresh of the named parts alone; ``df`` and ``more`` have theirs in the column ``_part``, no part in two of them or in ``each``."""
+        written = self.versions(name).replace_parts(df, parts, None, *more, gather=gather, each=each)
+        self.tidy(name)
+        return written
 
     def append(self, name: str, df: DataFrame) -> None:
         df.write.mode("append").parquet(self.path(name))

@@ -652,7 +652,7 @@ UNION ALL SELECT 'outcomes', count(*), round(avg(actual_price), 2) FROM settled"
 @query("s8_whole_refresh", WHOLE_REFRESH_SQL)
 def _(spark, sf):
     """All seven models from the raw tables, then scores, then outcomes; replaced twice, as by two cycles."""
-    tables, root = Tables(spark, scratch(spark, "models")), scratch(spark, "bronze")
+    tables, root = Tables(spark, scratch(spark, "models"), keep=1), scratch(spark, "bronze")
     for part in range(2):
         bronze.append_batch(inputs.all_messages(spark, sf, "2024-01-10", part), root, f"delivery-{part}")
         refresh.transform(tables, root, AS_OF, MARKET_RULES)
