@@ -6,8 +6,12 @@ import random
 from pyspark.sql import functions as F
 
 from tests.helpers import raw, rows
-from tickerloom.plans import staging
+from tickerloom import names
+from tickerloom.plans import incremental, staging
+from tickerloom.session import shared_dir
+from tickerloom.sources import bronze
 from tickerloom.sources.tables import Tables
+from workload import inputs
 
 
 def size(folder):
@@ -45,3 +49,15 @@ def test_texts_that_rows_per_entity_repeat_are_stored_about_once(spark, tmp_path
     given = raw(spark, *articles(40, 40_000, 20)).repartition(2).checkpoint()
     assert Tables(spark, str(tmp_path)).replace("news", staging.entity_news(given)).count() == 800
     assert size(str(tmp_path)) < 2 * 40 * 40_000
+
+
+def test_merges_keep_no_copy_of_the_raw_rows(spark, tmp_path):
+    tables, root, sent = Tables(spark, str(tmp_path / "models"), keep=1), str(tmp_path / "bronze"), articles(200, 3000, 3)
+    shared_dir(spark)
+    held = size(spark.sparkContext.getCheckpointDir())
+    for day, some in (("2024-01-10", sent[:150]), ("2024-01-11", sent[100:])):
+        bronze.append_batch(inputs.queue_records(raw(spark, *some), names.ENTITY_NEWS, day), root, day)
+        incremental.transform(tables, root, "2024-01-20 12:00:00", groups=2)
+    assert tables.read(names.INT_NEWS).count() == tables.read(names.FCT_NEWS_INPUTS).count() == 600
+    assert size(spark.sparkContext.getCheckpointDir()) - held < 200 * 3000 / 4
+    assert size(str(tmp_path / "models")) < 4 * 200 * 3000

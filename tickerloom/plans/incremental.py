@@ -21,14 +21,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickerloom import names
 from tickerloom.operators.lookup import lookup_join
 from tickerloom.plans import marts, staging, unified
-from tickerloom.session import settle
 from tickerloom.sources import bronze
 from tickerloom.sources.tables import Tables
 from tickerloom.sources.versions import PART
@@ -76,15 +75,18 @@ def staged(groups: int = GROUPS, block: int = BLOCK) -> dict[str, Staged]:
 
 
 def merge(tables: Tables, raw: DataFrame, how: Staged) -> list[str]:
-    """Bring raw rows into a staging model; the parts that they fall into."""
-    new = settle(how.reduce(how.parse(raw)).withColumn(PART, how.part))
-    parts = sorted(r[0] for r in new.select(PART).distinct().collect())
+    """Bring raw rows into a staging model; the parts that they fall into.
+
+    Raw rows are read once for the names of these parts and once to be reduced together with what is stored in them.
+    """
+    new = how.parse(raw)
     store = tables.versions(how.model)
     if not store.exists():
-        store.replace_parts(new, parts)
-    elif parts:
-        both = new.unionByName(store.stored(parts)).drop(PART)
-        store.replace_parts(how.reduce(both).withColumn(PART, how.part), parts)
+        return tables.replace_parts(how.model, how.reduce(new).withColumn(PART, how.part))
+    parts = sorted(r[0] for r in new.select(how.part.alias(PART)).distinct().collect())
+    if parts:
+        both = new.unionByName(store.stored(parts).drop(PART))
+        tables.replace_parts(how.model, how.reduce(both).withColumn(PART, how.part), parts)
     return parts
 
 
@@ -113,7 +115,9 @@ def merge_baselines(tables: Tables, bars: DataFrame, groups: int, n: int = names
         return set(within)
     marked = now.withColumn("_side", F.lit(1)).unionByName(marts.baselines(old, n).withColumn("_side", F.lit(-1)))
     changed = marked.groupBy(*now.columns).agg(F.sum("_side").alias("_n")).filter("_n <> 0")
-    return {r[0] for r in changed.select(group.alias("g")).distinct().collect()}
+    groups_changed = {r[0] for r in changed.select(group.alias("g")).distinct().collect()}
+    tables.tidy(NEWEST_BARS)
+    return groups_changed
 
 
 def features_of(tables: Tables, ticks: DataFrame, parts: Iterable[str], as_of: datetime | str | None) -> DataFrame:
@@ -146,15 +150,19 @@ def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = N
 
     made: dict[str, list[str]] = {}
 
-    def put(model: str, parts: list[str], *sources: tuple[Callable[[DataFrame], DataFrame], str, list[str]], gather: bool = True) -> None:
-        """Make parts of a model from parts of others; a model that isn't there yet is made even without any."""
+    def put(model: str, parts: list[str], *sources: tuple[Callable[[DataFrame], DataFrame], str, list[str]], gather: bool = False,
+            each: tuple[Callable[[DataFrame], DataFrame], str, list[str]] | None = None) -> None:
+        """Make parts of a model from parts of others; a model that isn't there yet is made even without any.
+
+        Rows of a stored part lie together, and so do those made from them, unless they are to be gathered.  Parts of
+        the source ``each`` are made one by one.
+        """
         made[model] = parts
         if parts or not tables.versions(model).exists():
-            frames = [make(tables.versions(source).stored(some)) for make, source, some in sources]
-            if gather:
-                tables.replace_parts(model, reduce(DataFrame.unionByName, frames), parts)
-            else:
-                tables.replace_parts(model, frames[0], parts, *frames[1:], gather=False)
+            first, *more = [make(tables.versions(source).stored(some)) for make, source, some in sources]
+            make, source, some = each or (None, None, [])
+            one_by_one = ((p, make(tables.versions(source).stored([p]))) for p in some)
+            tables.replace_parts(model, first, parts, *more, gather=gather, each=one_by_one)
 
     ticks, news = touched["quotes"] + touched["trades"], touched["entities"] + touched["headlines"]
     put(names.INT_TICKS, ticks, (lambda df: unified.quotes_as_ticks(df, [PART]), names.STG_QUOTES, touched["quotes"]),
@@ -164,13 +172,13 @@ def transform(tables: Tables, bronze_root: str, as_of: datetime | str | None = N
     changed = merge_baselines(tables, tables.versions(names.STG_BARS).stored(touched["bars"]), groups)
     known = tables.versions(names.INT_TICKS).state()["parts"]
     features = sorted({*ticks, *(p for p in known if p[1:].split("-")[0] in changed)})
-    put(names.FCT_FEATURES, features, (lambda df: features_of(tables, df, features, as_of), names.INT_TICKS, features))
-    # No part has both entities and headlines.
+    put(names.FCT_FEATURES, features, (lambda df: features_of(tables, df, features, as_of), names.INT_TICKS, features), gather=True)
+    # No part has both entities and headlines.  Rows per entity repeat their article's texts, so they aren't sorted by part.
     entities, headlines = touched["entities"], touched["headlines"]
-    put(names.INT_NEWS, news, (entities_as_news, names.STG_ENTITY_NEWS, entities),
-        (lambda df: unified.known_headlines(df, rules, [PART]), names.STG_HEADLINES, headlines), gather=False)
-    put(names.FCT_NEWS_INPUTS, news, (lambda df: marts.news_inputs(df, as_of, also=[PART]), names.INT_NEWS, entities),
-        (lambda df: marts.news_inputs(df, as_of, also=[PART]), names.INT_NEWS, headlines), gather=False)
+    put(names.INT_NEWS, news, (lambda df: unified.known_headlines(df, rules, [PART]), names.STG_HEADLINES, headlines),
+        each=(entities_as_news, names.STG_ENTITY_NEWS, entities))
+    inputs = partial(marts.news_inputs, as_of=as_of, also=[PART])
+    put(names.FCT_NEWS_INPUTS, news, (inputs, names.INT_NEWS, headlines), each=(inputs, names.INT_NEWS, entities))
     if not tables.versions(names.DIM_ASSETS).exists():
         tables.replace(names.DIM_ASSETS, marts.assets(spark, as_of))
     state.note(**noted)

@@ -134,8 +134,10 @@ def parse_articles(raw: DataFrame) -> DataFrame:
 
 def one_article(articles: DataFrame) -> DataFrame:
     """The versions of each article without redelivered copies; one that lists other entities is kept besides."""
-    listed = articles.withColumn("_listed", F.sha2(to_text(F.struct("entities")), 256))
-    return listed.dropDuplicates(["article_uuid", VERSION, "_listed"]).drop("_listed")
+    copies, alone = split_copies(articles, ["article_uuid"])
+    listed = copies.withColumn("_listed", F.sha2(to_text(F.struct("entities")), 256))
+    kept = listed.dropDuplicates(["article_uuid", VERSION, "_listed"]).drop("_listed")
+    return kept if alone is None else alone.unionByName(kept)
 
 
 def listed_entities(articles: DataFrame, also: Sequence[str] = ()) -> DataFrame:
