@@ -55,7 +55,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def lean(spark: SparkSession) -> Iterator[None]:
-    """Jobs within delete their shuffle files when they end, not whenever the driver happens to collect its garbage."""
+    """Jobs within delete their shuffle files when they end, not whenever the driver happens to collect its garbage.
+
+    The setting holds for the session, so other jobs that it begins meanwhile do so too; a frame that is run again shuffles again.
+    """
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
